@@ -211,3 +211,47 @@ BACKTEST_SCORES = {
     "DEPOSIT_COMPETITION_PRESSURE_INDEX": "Deposit competition index",
 }
 TOP_SHARES = [5, 10, 20]
+
+# Published indices as id -> (score column, title).
+PUBLISHED_INDICES = {
+    "run_risk": ("RUN_RISK_INDEX", "Run Risk Index"),
+    "alm_mismatch": ("ALM_MISMATCH_INDEX", "ALM Mismatch Index"),
+    "deposit_competition": ("DEPOSIT_COMPETITION_PRESSURE_INDEX", "Deposit Competition Index"),
+    "funding_fragility": ("FUNDING_FRAGILITY_INDEX", "Composite Fragility Index"),
+}
+
+# Report column lists.
+INDEX_COLUMNS = ["RUN_RISK_INDEX", "DEPOSIT_STICKINESS_INDEX", "ALM_MISMATCH_INDEX", "TREASURY_BUFFER_INDEX",
+                 "DEPOSIT_COMPETITION_PRESSURE_INDEX", "DEPOSIT_COMPETITION_RESILIENCE_INDEX",
+                 "FUNDING_FRAGILITY_INDEX"]
+FEATURE_COLUMNS = ["UNINSURED_SHARE", "BROKERED_SHARE", "CORE_DEPOSIT_SHARE", "NONINTEREST_SHARE",
+                   "TIME_DEPOSIT_SHARE", "VOLATILE_TO_LIQUID_LOWER", "LONG_TERM_ASSETS_TO_STABLE_FUNDING_BASELINE",
+                   "LOANS_TO_CORE_DEPOSITS", "TREASURY_TO_UNINSURED", "TREASURY_AGENCY_TO_RUNNABLE",
+                   "HQLA_NARROW_LOWER_TO_RUNNABLE", "HAS_TREASURY_YIELD_HISTORY", "YC_2YR", "YC_10YR",
+                   "YC_10Y_2Y_SLOPE_BP", "SECURITY_DURATION_PROXY", "SHORT_FHLB_SHARE", "SUPERVISED_OUTFLOW_SCORE",
+                   "RUN_RISK_SCORE", "STICKINESS_SCORE", "OUTSIDE_OPTION_RATE_BP", "OUTSIDE_OPTION_PREMIUM_BP",
+                   "OUTSIDE_OPTION_PREMIUM_POS_BP", "PASS_THROUGH_GAP_BP", "RATE_SENSITIVE_DEPOSIT_EXPOSURE",
+                   "DEPOSIT_COMPETITION_PRESSURE_SCORE", "DEPOSIT_COMPETITION_RESILIENCE_SCORE"]
+SCENARIO_COLUMNS = ["DEPOSIT_WAL_BASELINE", "DEPOSIT_WAL_ADVERSE", "DEPOSIT_WAL_SEVERE",
+                    "DEPOSIT_STABLE_EQUIV_BASELINE", "DEPOSIT_STABLE_EQUIV_ADVERSE", "DEPOSIT_STABLE_EQUIV_SEVERE"]
+SCHEDULE_REPORT_COLUMNS = ["LOAN_WAM_PROXY", "TD_WAM_PROXY", "DURATION_GAP_LITE", "REPRICING_GAP_0_3M",
+                           "CUMULATIVE_GAP_3_5Y"]
+BRANCH_REPORT_COLUMNS = ["SOD_BRANCH_COUNT", "SOD_STATE_COUNT", "SOD_DEPOSIT_HHI_STATE", "SOD_COUNTY_COUNT"]
+LEAGUE_FEATURES = ["UNINSURED_SHARE", "VOLATILE_TO_LIQUID_LOWER", "TREASURY_TO_UNINSURED", "LOANS_TO_CORE_DEPOSITS",
+                   "OUTSIDE_OPTION_PREMIUM_BP", "PASS_THROUGH_GAP_BP", "RATE_SENSITIVE_DEPOSIT_EXPOSURE"]
+SUMMARY_FEATURES = ["RUN_RISK_SCORE", "UNINSURED_SHARE", "VOLATILE_TO_LIQUID_LOWER", "TREASURY_TO_UNINSURED",
+                    "DEPOSIT_COMPETITION_PRESSURE_SCORE", "OUTSIDE_OPTION_PREMIUM_BP", "PASS_THROUGH_GAP_BP"]
+REGIME_COLUMNS = ["TREASURY_YIELD_DATE", "HAS_TREASURY_YIELD_HISTORY", "YC_3MO", "YC_2YR", "YC_10YR", "YC_30YR",
+                  "YC_10Y_3M_SLOPE_BP", "YC_10Y_2Y_SLOPE_BP", "YC_2YR_QOQ_CHANGE_BP", "YC_10YR_QOQ_CHANGE_BP",
+                  "YC_10Y_3M_SLOPE_BP_QOQ_CHANGE_BP", "YC_10Y_2Y_SLOPE_BP_QOQ_CHANGE_BP"]
+CORE_COLUMNS = ["CERT", "REPDTE", "NAMEFULL", "PEER_GROUP", "ASSET", "BKCLASS", "STALP", "CITY", "RSSDID", "RSSDHCR",
+                "DEPDOM", "DEPDOM_EFFECTIVE", "UNINSURED_SHARE", "BROKERED_SHARE", "CORE_DEPOSIT_SHARE",
+                "NONINTEREST_SHARE", "TIME_DEPOSIT_SHARE", "DOMESTIC_DEPOSIT_COST", "DEP_GROWTH_QOQ",
+                "DEP_GROWTH_VOL_4Q", "DEP_DRAWDOWN_4Q", "TREASURY_TO_UNINSURED", "TREASURY_AGENCY_TO_RUNNABLE",
+                "HQLA_NARROW_LOWER_TO_RUNNABLE", "HAS_TREASURY_YIELD_HISTORY", "RUN_RISK_SCORE", "STICKINESS_SCORE",
+                "RUN_RISK_INDEX", "DEPOSIT_STICKINESS_INDEX", "ALM_MISMATCH_INDEX", "TREASURY_BUFFER_INDEX",
+                "FUNDING_FRAGILITY_INDEX", "DEPOSIT_WAL_BASELINE", "DEPOSIT_WAL_ADVERSE", "DEPOSIT_WAL_SEVERE",
+                "DEPOSIT_STABLE_EQUIV_BASELINE", "DEPOSIT_STABLE_EQUIV_ADVERSE", "DEPOSIT_STABLE_EQUIV_SEVERE",
+                "INDEX_VERSION", "HAS_SOD_FEATURES", "HAS_FFIEC_FEATURES", "HAS_DERIVATIVE_FEATURES",
+                "HAS_HISTORICAL_ENTITY_MAP"]
+ENRICHED_FLAGS = ["HAS_FFIEC_FEATURES", "HAS_DERIVATIVE_FEATURES", "HAS_TREASURY_YIELD_HISTORY"]

@@ -144,18 +144,22 @@ def sod_features(sod: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def group_summary(df: DataFrame, by: Sequence[str], values: Sequence[str],
-                  slice_values: int = SLICE_VALUES) -> DataFrame:
-    """``X_MEDIAN``, ``X_MEAN``, ``X_COUNT`` per group.
+                  slice_values: int = SLICE_VALUES, strategy: str = "sliced") -> DataFrame:
+    """``X_MEDIAN``, ``X_MEAN``, ``X_COUNT`` per group, a NULL key being a group of its own.
 
     Means and counts are one partial aggregate; medians come from sliced histograms.
     """
     values = [v for v in values if v in df.columns]
     plain = df.groupBy(*by).agg(
         *[a for v in values for a in (F.avg(v).alias(f"{v}_MEAN"), F.count(v).alias(f"{v}_COUNT"))])
-    quantiles = exact_quantiles(df, by, values, [0.5], slice_values)
+    # NULL keys stay a group: the quantile pass sees a stand-in struct, never NULL itself
+    marked = df.withColumns({f"__by_{k}": F.struct(F.col(k).alias("k")) for k in by})
+    quantiles = exact_quantiles(marked, [f"__by_{k}" for k in by], values, [0.5], slice_values, strategy)
+    quantiles = quantiles.select("*", *[F.col(f"__by_{k}.k").alias(k) for k in by])
     medians = quantiles.groupBy(*by).agg(
         *[F.max(F.when(F.col("__metric") == v, F.col("q0"))).alias(f"{v}_MEDIAN") for v in values])
-    joined = plain.join(medians, list(by), "left")
+    medians = medians.select(*[F.col(k).alias(f"__by_{k}") for k in by], *[f"{v}_MEDIAN" for v in values])
+    joined = plain.join(medians, [plain[k].eqNullSafe(medians[f"__by_{k}"]) for k in by], "left")
     return joined.select(*by, *[f"{v}_{s}" for v in values for s in ("MEDIAN", "MEAN", "COUNT")])
 
 

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.session import cut_lineage
+
 SLICE_VALUES = 131_072
 WINDOW_ROWS = 500_000
 COUNT = "__n"
@@ -99,7 +101,8 @@ class Rank:
     """One ranked column.
 
     ``percentile``: average-tie rank / non-null count; ``flip`` takes 1 - rank.
-    ``competition``: 1 + number of larger values.
+    ``competition``: 1 + number of larger values; ``ascending``: 1 + number of smaller ones.
+    ``at_most``: number of values <= this one.
     NULL stays unranked and becomes ``fill``.
     """
 
@@ -113,6 +116,10 @@ class Rank:
     def of(self, below: Column, ties: Column, total: Column) -> Column:
         if self.kind == "competition":
             return (total - below - ties + 1).cast("long")
+        if self.kind == "ascending":
+            return (below + 1).cast("long")
+        if self.kind == "at_most":
+            return (below + ties).cast("long")
         rank = (below + (ties + 1) / F.lit(2.0)) / total
         if self.flip:
             rank = F.lit(1.0) - rank
@@ -140,13 +147,16 @@ def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Seq
     check found small; ``sliced`` is for any size; ``auto`` makes the check itself.
     """
     by, keys = list(by), list(keys)
+    for name in {r.value for r in ranks} - set(df.columns):
+        df = df.withColumn(name, F.lit(None).cast("double"))
     if strategy == "auto":
         strategy = rank_strategy(df, by)
     if strategy == "window":
         return _rank_in_windows(df, by, ranks)
     if strategy != "sliced":
         raise ValueError(f"unknown rank strategy: {strategy}")
-    return _rank_in_slices(df, by, ranks, keys, slice_values)
+    # The sliced plan reads its input three times: written once, not computed three times.
+    return _rank_in_slices(cut_lineage(df), by, ranks, keys, slice_values)
 
 
 def _rank_in_windows(df: DataFrame, by: list[str], ranks: Sequence[Rank]) -> DataFrame:
@@ -200,12 +210,19 @@ def _at(position: Column, below: str, count: str, value: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str], shares: Sequence[float],
-                    slice_values: int = SLICE_VALUES) -> DataFrame:
-    """Linear-interpolated quantiles: one row per (by, ``__metric``) with ``q0``, ``q1``.. and ``n``."""
+                    slice_values: int = SLICE_VALUES, strategy: str = "sliced") -> DataFrame:
+    """Linear-interpolated quantiles: one row per (by, ``__metric``) with ``q0``, ``q1``.. and ``n``.
+
+    ``window`` is for groups known to fit one task: Spark's own percentile aggregate.
+    """
     groups = [*by, "__metric"]
     rows = stack_values(df, by, values)
     for name in by:
         rows = rows.filter(F.col(name).isNotNull())
+    if strategy == "window":
+        return rows.groupBy(*groups).agg(
+            F.count("__value").alias("n"),
+            *[F.percentile("__value", float(share)).alias(f"q{i}") for i, share in enumerate(shares)])
     placed = running_weights(histogram(rows, groups), groups, "__value", [COUNT], slice_values)
     n, below = F.col(f"{COUNT}__total"), f"{COUNT}__below"
     picks = []
