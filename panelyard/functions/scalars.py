@@ -134,6 +134,12 @@ def last_completed_quarter(today: ColumnLike, today_counts: bool = True) -> Colu
     return F.when(today == quarter_end(today), today).otherwise(previous)
 
 
+def quarter_sequence(first: ColumnLike, last: ColumnLike) -> Column:
+    """Quarter ends from the quarter of ``first`` up to ``last``, one row each."""
+    ends = F.sequence(F.add_months(F.trunc(as_col(first), "quarter"), 2), as_col(last), F.expr("interval 3 months"))
+    return F.explode(F.transform(ends, lambda d: F.last_day(d)))
+
+
 def survey_year(day: ColumnLike) -> Column:
     """Branch survey known at ``day``: up to June it is last year's."""
     day = as_col(day)

@@ -24,6 +24,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
         SparkSession.builder.master(f"local[{cores}]")
         .appName("panelyard")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
     )

@@ -36,15 +36,22 @@ def yield_feed(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def read_yield_xml(spark: SparkSession, path: str | Sequence[str], row_tag: str = "m:properties") -> DataFrame:
-    """Rows of an Atom feed; the schema is declared (all tenors as text), so nothing is inferred."""
-    def feed(tenor: str) -> str:
-        return "d:BC_" + tenor.replace("MO", "MONTH").replace("YR", "YEAR")
-
-    names = ["d:NEW_DATE", *[feed(t) for t in TENORS]]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", "false").schema(schema).load(path)
-    return yield_feed(raw)
+def _feed_fields() -> str:
+    tenors = [t.replace("MO", "MONTH").replace("YR", "YEAR") for t in TENORS]
+    return ", ".join(f"{n} string" for n in ["NEW_DATE", *[f"BC_{t}" for t in tenors]])
+
+
+def read_yield_xml(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Rows of Atom feed files. The schema is declared (all tenors as text), so nothing is inferred."""
+    reader = spark.read.format("xml").option("rowTag", "properties").option("ignoreNamespace", "true")
+    return yield_feed(reader.schema(_feed_fields()).load(path))
+
+
+def yield_xml_rows(documents: DataFrame, xml: str = "xml") -> DataFrame:
+    """Rows of Atom feed documents held in a column."""
+    schema = f"entry array<struct<content: struct<properties: struct<{_feed_fields().replace(' string', ': string')}>>>>"
+    parsed = documents.select(F.from_xml(xml, schema, {"ignoreNamespace": "true"}).alias("x"))
+    return yield_feed(parsed.select(F.explode("x.entry").alias("e")).select("e.content.properties.*"))
 
 
 def yield_columns(df: DataFrame) -> DataFrame:
