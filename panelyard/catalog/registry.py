@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.catalog.fragments import with_fragments
 from panelyard.catalog.frames import Frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {}  # without the fragments they use
 
 
 def _parse(spec: str) -> list[tuple[str, str]]:
@@ -67,7 +66,7 @@ def query(name: str, spec: str | None = None, source: str | None = None, where:
         QUERIES[name] = run
         if source is not None:
             text = source if " " not in source.strip() else f"({source})"
-            CHECKS[name] = with_fragments(shaped_sql(spec, f"{text} AS checked", where) if spec else source)
+            CHECKS[name] = shaped_sql(spec, f"{text} AS checked", where) if spec else source
         return fn
 
     return register
