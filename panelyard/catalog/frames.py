@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import quarter_end
 from panelyard.operators.ordered import WINDOW_ROWS
+from panelyard.session import cut_lineage
 
 # Size bands that split the surrogate entities into four groups.
 BANDS = [("community", 0.0, 0.9e6), ("regional", 0.9e6, 1.2e6), ("large_regional", 1.2e6, 1.5e6),
@@ -131,6 +132,12 @@ class Frames:
         names = self.institutions.select(F.col("FED_RSSD").alias("__s"), "CERT", "NAMEFULL", "STALP", "BKCLASS", "EQ")
         return self.financials.join(names, "__s").drop("__s")
 
+    @cached_property
+    def written_panel(self) -> DataFrame:
+        """The panel written once, for pipelines that read it several times: it is far
+        smaller than the lines it sums, which are then scanned once."""
+        return cut_lineage(self.panel)
+
     @cached_property
     def branch(self) -> DataFrame:
         """One row per line: entity, year, deposit, branch, state and county."""

@@ -14,16 +14,17 @@ from panelyard.plans.publish import component_breakdown, top_drivers
 from panelyard.session import cut_lineage
 
 
-def stage_deposits(f: Frames):
-    return deposits.deposit_features(f.panel, strategy=f.strategy)
+def stage_deposits(f: Frames, panel=None):
+    return deposits.deposit_features(f.panel if panel is None else panel, strategy=f.strategy)
 
 
-def stage_mismatch(f: Frames):
-    return mismatch.mismatch_features(stage_deposits(f), check=False)
+def stage_mismatch(f: Frames, panel=None):
+    return mismatch.mismatch_features(stage_deposits(f, panel), check=False)
 
 
 def stage_treasury(f: Frames):
-    return treasury.treasury_features(stage_mismatch(f), f.yields, check=False)
+    # rates are looked up for the panel's dates, so the panel is read twice from here on
+    return treasury.treasury_features(stage_mismatch(f, f.written_panel), f.yields, check=False)
 
 
 def stage_competition(f: Frames):
@@ -224,7 +225,7 @@ def search_filter_page(f):
 
 
 @query("union_all_flags", "CERT REPDTE:d CHECK DETAIL",
-       "SELECT CERT, REPDTE, 'COREDEP_GT_DEPDOM' AS CHECK, 'COREDEP > DEPDOM' AS DETAIL FROM v_panel WHERE COREDEP > DEPDOM "
+       "SELECT CERT, REPDTE, 'COREDEP_GT_DEPDOM' AS \"CHECK\", 'COREDEP > DEPDOM' AS DETAIL FROM v_panel WHERE COREDEP > DEPDOM "
        "UNION ALL SELECT CERT, REPDTE, 'SCPLEDGE_GT_SC', 'SCPLEDGE > SC' FROM v_panel WHERE SCPLEDGE > SC "
        "UNION ALL SELECT CERT, REPDTE, 'NEGATIVE_DEPOSIT', 'DEPDOM < 0' FROM v_panel WHERE DEPDOM < 0 "
        "UNION ALL SELECT CERT, REPDTE, 'NEGATIVE_DEPOSIT', 'COREDEP < 0' FROM v_panel WHERE COREDEP < 0")

@@ -106,7 +106,7 @@ def competition_rank(f):
 
 
 @query("row_pair_checks", "CERT REPDTE:d CHECK",
-       f"SELECT CERT, REPDTE, 'RSSDHCR_CHANGE' AS CHECK FROM (SELECT *, lag(RSSDHCR) {HISTORY} AS h FROM v_panel) WHERE RSSDHCR <> h")
+       f"SELECT CERT, REPDTE, 'RSSDHCR_CHANGE' AS \"CHECK\" FROM (SELECT *, lag(RSSDHCR) {HISTORY} AS h FROM v_panel) WHERE RSSDHCR <> h")
 def row_pair_checks(f):
     return checks.run_checks(f.panel, [checks.date_order, checks.holder_changes])
 

@@ -27,16 +27,23 @@ def total(columns: Iterable[Column]) -> Column:
 
 def number(value: ColumnLike) -> Column:
     """Text or number as double; unreadable text and NaN become NULL."""
+    if isinstance(value, str):
+        return F.expr(f"nanvl(try_cast(`{value}` AS DOUBLE), NULL)")
     parsed = as_col(value).try_cast("double")
     return F.when(~F.isnan(parsed), parsed)
 
 
 def nz(value: ColumnLike) -> Column:
+    """NULL as zero. Names go to the JVM as one expression text, which keeps plan building quick."""
+    if isinstance(value, str):
+        return F.expr(f"coalesce(`{value}`, 0D)")
     return F.coalesce(as_col(value), F.lit(0.0))
 
 
 def safe_div(numerator: ColumnLike, denominator: ColumnLike) -> Column:
     """NULL when either side is NULL or the denominator is zero."""
+    if isinstance(numerator, str) and isinstance(denominator, str):
+        return F.expr(f"try_divide(`{numerator}`, `{denominator}`)")
     return F.try_divide(as_col(numerator), as_col(denominator))
 
 
@@ -60,6 +67,21 @@ def row_max(*columns: ColumnLike) -> Column:
     return F.greatest(*[as_col(c) for c in columns])
 
 
+def nz_sum(names: Iterable[str]) -> str:
+    """SQL text: left-to-right sum of columns with NULL as zero."""
+    return " + ".join(f"coalesce(`{n}`, 0D)" for n in names)
+
+
+def nz_weighted(weights: dict[str, float]) -> str:
+    """SQL text: sum of columns (NULL as zero) times their weights."""
+    return " + ".join(f"coalesce(`{n}`, 0D) * {double(w)}" for n, w in weights.items())
+
+
+def double(x: float) -> str:
+    """SQL text of a double literal."""
+    return f"{float(x)!r}D"
+
+
 def present_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
     have = set(df.columns)
     return [n for n in names if n in have]

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.scalars import double
 from panelyard.session import cut_lineage
 
 SLICE_VALUES = 131_072
@@ -128,6 +129,23 @@ class Rank:
         return rank * F.lit(self.scale) if self.scale != 1.0 else rank
 
 
+    def sql(self, place: str, ties: str, total: str) -> str:
+        """The same from SQL texts of rank, ties and count."""
+        if self.kind == "competition":
+            return f"{total} - {place} - {ties} + 2"
+        if self.kind == "ascending":
+            return f"CAST({place} AS BIGINT)"
+        if self.kind == "at_most":
+            return f"{place} - 1 + {ties}"
+        rank = f"({place} - 1 + ({ties} + 1) / 2D) / {total}"
+        if self.flip:
+            rank = f"(1D - {rank})"
+        return f"{rank} * {double(self.scale)}" if self.scale != 1.0 else rank
+
+    def absent(self) -> str:
+        return "NULL" if self.fill is None else double(self.fill * self.scale)
+
+
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     """Rows of the largest group (one small aggregate)."""
     row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
@@ -160,18 +178,18 @@ def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Seq
 
 
 def _rank_in_windows(df: DataFrame, by: list[str], ranks: Sequence[Rank]) -> DataFrame:
-    known = F.lit(True)
-    for name in by:
-        known = known & F.col(name).isNotNull()
-    group = Window.partitionBy(*by)
+    """All ranks over one partitioning, written as SQL text (one call per column)."""
+    group = ", ".join(f"`{n}`" for n in by)
+    known = "".join(f" AND `{n}` IS NOT NULL" for n in by)
     out = {}
     for r in ranks:
-        value = F.col(r.value).cast("double")
-        ordered = group.orderBy(value.asc_nulls_last())
-        ties = F.count(value).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
-        rank = r.of(F.rank().over(ordered) - 1, ties, F.count(value).over(group))
-        absent = F.lit(r.fill * r.scale if r.fill is not None else None)
-        out[r.out] = F.when(value.isNotNull() & known, rank).otherwise(absent)
+        value = f"CAST(`{r.value}` AS DOUBLE)"
+        order = f"PARTITION BY {group} ORDER BY {value} ASC NULLS LAST"
+        place = f"rank() OVER ({order})"
+        ties = f"count({value}) OVER ({order} RANGE BETWEEN CURRENT ROW AND CURRENT ROW)"
+        count = f"count({value}) OVER (PARTITION BY {group})"
+        out[r.out] = F.expr(f"CASE WHEN {value} IS NOT NULL{known} THEN {r.sql(place, ties, count)} "
+                            f"ELSE {r.absent()} END")
     return df.withColumns(out)
 
 

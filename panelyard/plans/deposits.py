@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard import config as cfg
 from panelyard.functions.scalars import (
-    clip, clip01, coalesce_columns, ensure_columns, nz, safe_div, total,
+    clip, clip01, coalesce_columns, double, ensure_columns, nz_sum, nz_weighted, safe_div,
 )
 from panelyard.operators.ordered import Rank, add_ranks
 from panelyard.operators.windows import drawdown, growth, history, lagged, rolling_std
@@ -38,14 +38,14 @@ def deposit_mix(panel: DataFrame) -> DataFrame:
         "NONINTEREST_SHARE": safe_div("DEPNIDOM", deposits),
         "TRN_EX_DDT": clip(F.col("TRN") - F.col("DDT"), lower=0),
     })
-    return df.withColumn("NMD_TOTAL", total([nz(c) for c in cfg.DEPOSIT_CATEGORIES.values()]))
+    return df.withColumn("NMD_TOTAL", F.expr(nz_sum(cfg.DEPOSIT_CATEGORIES.values())))
 
 
 def time_deposit_buckets(df: DataFrame) -> DataFrame:
     """Eight maturity buckets (current field, else legacy field) and the time-deposit share."""
     buckets = {name: coalesce_columns(df, [new, old]) for name, (new, old, _) in cfg.TIME_BUCKETS.items()}
     df = ensure_columns(df.withColumns(buckets), ["NTRTIME"])
-    df = df.withColumn("TD_BUCKET_SUM", total([nz(b) for b in cfg.TIME_BUCKETS]))
+    df = df.withColumn("TD_BUCKET_SUM", F.expr(nz_sum(cfg.TIME_BUCKETS)))
     df = df.withColumn("TIME_DEPOSITS_EFFECTIVE",
                        F.when(F.col("TD_BUCKET_SUM") > 0, F.col("TD_BUCKET_SUM")).otherwise(F.col("NTRTIME")))
     return df.withColumn("TIME_DEPOSIT_SHARE", safe_div("TIME_DEPOSITS_EFFECTIVE", "DEPDOM_EFFECTIVE"))
@@ -86,8 +86,8 @@ def rank_score(df: DataFrame, components: Sequence[tuple[str, float, str]], scor
     have = df.columns
     df = add_ranks(df, by, ranks, keys, strategy).select(*have, *[r.out for r in ranks])
     weight_sum = sum(weight for _, weight in used)
-    weighted = total([F.col(f"RANK_{name}") * F.lit(weight) for name, weight in used])
-    df = df.withColumn(score, weighted / F.lit(weight_sum) * 100.0)
+    weighted = nz_weighted({f"RANK_{name}": weight for name, weight in used})
+    df = df.withColumn(score, F.expr(f"({weighted}) / {double(weight_sum)} * 100D"))
     return df.withColumn(complement, F.lit(100.0) - F.col(score))
 
 
@@ -97,8 +97,8 @@ def run_risk_score(df: DataFrame, components=cfg.RUN_RISK_COMPONENTS, strategy:
 
 def time_deposit_wal(df: DataFrame, horizon: float = cfg.STABILITY_HORIZON_YEARS) -> DataFrame:
     """Midpoint-weighted life of time deposits and the part that outlasts the horizon."""
-    weighted = total([nz(name) * F.lit(mid) for name, (_, _, mid) in cfg.TIME_BUCKETS.items()])
-    stable = total([nz(name) * F.lit(min(mid / horizon, 1.0)) for name, (_, _, mid) in cfg.TIME_BUCKETS.items()])
+    weighted = F.expr(nz_weighted({name: mid for name, (_, _, mid) in cfg.TIME_BUCKETS.items()}))
+    stable = F.expr(nz_weighted({name: min(mid / horizon, 1.0) for name, (_, _, mid) in cfg.TIME_BUCKETS.items()}))
     return df.withColumns({
         "TIME_DEPOSIT_WAL": safe_div(weighted, "TIME_DEPOSITS_EFFECTIVE"),
         "TIME_DEPOSIT_STABLE_EQUIV": stable,
@@ -108,27 +108,26 @@ def time_deposit_wal(df: DataFrame, horizon: float = cfg.STABILITY_HORIZON_YEARS
 def deposit_life_scenarios(df: DataFrame, scenarios: Sequence[cfg.LifeScenario] = tuple(cfg.LIFE_SCENARIOS),
                            horizon: float = cfg.STABILITY_HORIZON_YEARS) -> DataFrame:
     """Deposit lives, weighted lives and stable equivalents per scenario."""
-    risk = clip01(F.col("RUN_RISK_SCORE") / 100.0)
-    for scenario in scenarios:
-        lives = {}
-        for category, (base, floor) in scenario.lives.items():
-            # an unknown score keeps the life unknown: greatest() alone would give the floor
-            shortened = clip(F.lit(base) * (F.lit(1.0) - F.lit(scenario.risk_adjustment) * risk), lower=floor)
-            lives[f"{category.upper()}_LIFE_{scenario.name}"] = shortened
-        df = df.withColumns(lives)
-        amounts = [(nz(column), F.col(f"{category.upper()}_LIFE_{scenario.name}"))
+    df = df.withColumn("__risk", clip01(F.col("RUN_RISK_SCORE") / 100.0))
+    # an unknown score keeps the life unknown: greatest() alone would give the floor
+    df = df.withColumns({
+        f"{category.upper()}_LIFE_{s.name}": F.expr(
+            f"CASE WHEN __risk IS NOT NULL THEN greatest({double(base)} * (1D - {double(s.risk_adjustment)} * __risk), "
+            f"{double(floor)}) END")
+        for s in scenarios for category, (base, floor) in s.lives.items()})
+    out = {}
+    for s in scenarios:
+        amounts = [(f"coalesce(`{column}`, 0D)", f"`{category.upper()}_LIFE_{s.name}`")
                    for category, column in cfg.DEPOSIT_CATEGORIES.items()]
-        years = total([amount * life for amount, life in amounts])
-        # min(life / horizon, 1); clip keeps an unknown life unknown
-        stable = total([amount * clip(life / F.lit(horizon), upper=1.0) for amount, life in amounts])
-        timed = nz("TIME_DEPOSIT_WAL") * nz("TIME_DEPOSITS_EFFECTIVE")
-        df = df.withColumns({
-            f"NMD_WAL_{scenario.name}": safe_div(years, "NMD_TOTAL"),
-            f"DEPOSIT_WAL_{scenario.name}": safe_div(years + timed,
-                                                     F.col("NMD_TOTAL") + nz("TIME_DEPOSITS_EFFECTIVE")),
-            f"DEPOSIT_STABLE_EQUIV_{scenario.name}": stable + F.col("TIME_DEPOSIT_STABLE_EQUIV"),
-        })
-    return df
+        years = " + ".join(f"{amount} * {life}" for amount, life in amounts)
+        stable = " + ".join(f"CASE WHEN {life} IS NOT NULL THEN {amount} * least({life} / {double(horizon)}, 1D) END"
+                            for amount, life in amounts)
+        timed = "coalesce(TIME_DEPOSIT_WAL, 0D) * coalesce(TIME_DEPOSITS_EFFECTIVE, 0D)"
+        out[f"NMD_WAL_{s.name}"] = F.expr(f"try_divide({years}, NMD_TOTAL)")
+        out[f"DEPOSIT_WAL_{s.name}"] = F.expr(
+            f"try_divide({years} + {timed}, NMD_TOTAL + coalesce(TIME_DEPOSITS_EFFECTIVE, 0D))")
+        out[f"DEPOSIT_STABLE_EQUIV_{s.name}"] = F.expr(f"{stable} + TIME_DEPOSIT_STABLE_EQUIV")
+    return df.withColumns(out).drop("__risk")
 
 
 def deposit_features(panel: DataFrame, components=cfg.RUN_RISK_COMPONENTS, strategy: str = "auto") -> DataFrame:

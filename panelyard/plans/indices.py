@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard import config as cfg
-from panelyard.functions.scalars import any_present, banded, clip, nz, number, total
+from panelyard.functions.scalars import any_present, banded, clip, double, nz, number
 from panelyard.operators.joins import merge_stages
 from panelyard.operators.ordered import Rank, add_ranks
 
@@ -42,9 +42,12 @@ def _combine(df: DataFrame, index: str, components: Sequence[tuple[str, float]],
     if not components:
         return df.withColumn(index, F.lit(None).cast("double"))
     weight_sum = sum(weight for _, weight in components)
-    df = df.withColumns({f"{index}_CONTRIB_{name}": F.col(rank_of(name)) * F.lit(weight) / F.lit(weight_sum)
-                         for name, weight in components})
-    return df.withColumn(index, clip(total([F.col(f"{index}_CONTRIB_{name}") for name, _ in components]), 0, 100))
+    parts = {f"{index}_CONTRIB_{name}": f"{rank_of(name)} * {double(weight)} / {double(weight_sum)}"
+             for name, weight in components}
+    mixed = " + ".join(parts.values())
+    # percentiles are never NULL here, so greatest/least keep their plain meaning
+    return df.withColumns({**{name: F.expr(part) for name, part in parts.items()},
+                           index: F.expr(f"least(greatest({mixed}, 0D), 100D)")})
 
 
 def weighted_index(df: DataFrame, components, index: str, by: Sequence[str] = GROUP, flip: bool = False,
@@ -68,9 +71,11 @@ def fragility_indices(df: DataFrame, bands=cfg.SIZE_BANDS, weighted=None, strate
     sources = list(dict.fromkeys([*plain, *[name for usable in parts.values() for name, _ in usable]]))
     ranks = [Rank(name, f"__p_{name}", scale=100.0, fill=0.5) for name in sources]
     df = add_ranks(df, GROUP, ranks, KEYS, strategy) if ranks else df
+    simple = {}
     for source, (index, inverse) in PLAIN_INDICES.items():
-        value = F.col(f"__p_{source}") if source in plain else F.lit(None).cast("double")
-        df = df.withColumns({index: value, inverse: F.lit(100.0) - value})
+        value = f"__p_{source}" if source in plain else "CAST(NULL AS DOUBLE)"
+        simple |= {index: F.expr(value), inverse: F.expr(f"100D - {value}")}
+    df = df.withColumns(simple)
     for index, usable in parts.items():
         df = _combine(df, index, usable, lambda name: f"__p_{name}")
     weights = {key: weight for key, weight, _ in cfg.COMPOSITE_COMPONENTS}

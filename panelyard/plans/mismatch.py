@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelyard import config as cfg
 from panelyard.functions.scalars import (
-    clip, ensure_columns, nz, present_columns, row_max, safe_div, total,
+    double, ensure_columns, nz, nz_sum, nz_weighted, present_columns, safe_div,
 )
 
 AGENCY_HAIRCUT = 0.85
@@ -31,20 +31,25 @@ def with_fallback_column(df: DataFrame, preferred: str, other: str, out: str,
 def runnable_funding(df: DataFrame) -> DataFrame:
     """Larger of volatile liabilities and uninsured + brokered + list-service deposits."""
     df = ensure_columns(df, ["DEPUNA", "IDDEPLAM", "BRO", "DEPLSNB", "VOLIAB"])
-    uninsured = F.coalesce(F.when(F.col("DEPUNA") > 0, F.col("DEPUNA")), F.lit(0.5) * F.col("IDDEPLAM"))
-    parts = nz(uninsured) + nz("BRO") + nz("DEPLSNB")
-    return df.withColumns({"UNINSURED_PROXY": uninsured, "RUNNABLE_FUNDING_PROXY": row_max("VOLIAB", parts)})
+    df = df.withColumn("UNINSURED_PROXY", F.expr("coalesce(CASE WHEN DEPUNA > 0 THEN DEPUNA END, 0.5D * IDDEPLAM)"))
+    # greatest() skips NULL, which is the rule here
+    return df.withColumn("RUNNABLE_FUNDING_PROXY",
+                         F.expr(f"greatest(VOLIAB, {nz_sum(['UNINSURED_PROXY', 'BRO', 'DEPLSNB'])})"))
+
+
+def narrow_liquid() -> str:
+    """SQL text: cash, fed funds, treasuries and agencies after a haircut."""
+    return f"{nz_sum(['CHBAL', 'FREPO', 'SCUST'])} + {double(AGENCY_HAIRCUT)} * coalesce(SCAGE, 0D)"
 
 
 def liquid_assets(df: DataFrame) -> DataFrame:
     """Narrow and broad liquid assets, net of pledged securities, and the run coverage."""
     df = ensure_columns(df, ["CHBAL", "FREPO", "SCUST", "SCAGE", "SCAF", "SCPLEDGE"])
-    narrow = nz("CHBAL") + nz("FREPO") + nz("SCUST") + F.lit(AGENCY_HAIRCUT) * nz("SCAGE")
-    other = clip(nz("SCAF") - nz("SCUST") - nz("SCAGE"), lower=0)
-    df = df.withColumn("LIQUID_ASSETS_NARROW", narrow)
-    df = df.withColumn("LIQUID_ASSETS_BROAD", F.col("LIQUID_ASSETS_NARROW") + F.lit(0.5) * other)
+    other = "greatest(coalesce(SCAF, 0D) - coalesce(SCUST, 0D) - coalesce(SCAGE, 0D), 0D)"
+    df = df.withColumns({"LIQUID_ASSETS_NARROW": F.expr(narrow_liquid()),
+                         "LIQUID_ASSETS_BROAD": F.expr(f"{narrow_liquid()} + 0.5D * {other}")})
     df = df.withColumns({
-        f"UNPLEDGED_LIQUID_{kind}_LOWER": clip(F.col(f"LIQUID_ASSETS_{kind}") - nz("SCPLEDGE"), lower=0)
+        f"UNPLEDGED_LIQUID_{kind}_LOWER": F.expr(f"greatest(LIQUID_ASSETS_{kind} - coalesce(SCPLEDGE, 0D), 0D)")
         for kind in ("NARROW", "BROAD")
     })
     return df.withColumns({
@@ -57,29 +62,25 @@ def stable_funding(df: DataFrame, check: bool = True) -> DataFrame:
     """Equity, deposits that stay and term advances against long-term assets."""
     df = ensure_columns(df, ["EQ", "COREDEP", "ASSTLT", *cfg.ADVANCE_BUCKETS])
     df = with_fallback_column(df, "DEPOSIT_STABLE_EQUIV_BASELINE", "COREDEP", "__stable", check)
-    funding = nz("EQ") + nz("__stable") + total([nz(c) for c in cfg.ADVANCE_BUCKETS[1:]])
-    df = df.withColumn("STABLE_FUNDING_BASELINE", funding).drop("__stable")
+    terms = f"{nz_sum(['EQ', '__stable'])} + ({nz_sum(cfg.ADVANCE_BUCKETS[1:])})"
+    df = df.withColumn("STABLE_FUNDING_BASELINE", F.expr(terms))
     return df.withColumns({
         "LONG_TERM_ASSETS_TO_STABLE_FUNDING_BASELINE": safe_div("ASSTLT", "STABLE_FUNDING_BASELINE"),
-        "STRUCTURAL_TERM_GAP_BASELINE": F.col("ASSTLT") - F.col("STABLE_FUNDING_BASELINE"),
-    })
+        "STRUCTURAL_TERM_GAP_BASELINE": F.expr("ASSTLT - STABLE_FUNDING_BASELINE"),
+    }).drop("__stable")
 
 
 def security_duration(df: DataFrame) -> DataFrame:
     """Midpoint life of securities, and how far it exceeds the deposit life."""
     df = ensure_columns(df, ["SCRDEBT", "DEPOSIT_WAL_BASELINE", *cfg.SECURITY_BUCKETS])
-    years = total([nz(name) * F.lit(mid) for name, mid in cfg.SECURITY_BUCKETS.items()])
-    buckets = total([nz(name) for name in cfg.SECURITY_BUCKETS])
-    base = F.when(F.col("SCRDEBT") != 0, F.col("SCRDEBT")).otherwise(buckets)
-    df = df.withColumn("SECURITY_DURATION_PROXY", safe_div(years, base))
-    return df.withColumn("SECURITY_VS_DEPOSIT_GAP_BASELINE",
-                         F.col("SECURITY_DURATION_PROXY") - F.col("DEPOSIT_WAL_BASELINE"))
+    base = f"CASE WHEN SCRDEBT <> 0 THEN SCRDEBT ELSE {nz_sum(cfg.SECURITY_BUCKETS)} END"
+    df = df.withColumn("SECURITY_DURATION_PROXY", F.expr(f"try_divide({nz_weighted(cfg.SECURITY_BUCKETS)}, {base})"))
+    return df.withColumn("SECURITY_VS_DEPOSIT_GAP_BASELINE", F.expr("SECURITY_DURATION_PROXY - DEPOSIT_WAL_BASELINE"))
 
 
 def loan_core_ratio(df: DataFrame) -> DataFrame:
     df = ensure_columns(df, ["LNLSNET", "COREDEP", "IDLNCORR"])
-    return df.withColumn("LOANS_TO_CORE_DEPOSITS",
-                         F.coalesce(safe_div("LNLSNET", "COREDEP"), F.col("IDLNCORR") / 100.0))
+    return df.withColumn("LOANS_TO_CORE_DEPOSITS", F.expr("coalesce(try_divide(LNLSNET, COREDEP), IDLNCORR / 100D)"))
 
 
 def short_advance_share(df: DataFrame) -> DataFrame:

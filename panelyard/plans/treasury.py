@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard import config as cfg
-from panelyard.functions.scalars import clip, ensure_columns, nz, present_columns, safe_div
+from panelyard.functions.scalars import clip, double, ensure_columns, nz_sum, present_columns, safe_div
 from panelyard.operators.joins import asof_dates, spread_dates
-from panelyard.plans.mismatch import AGENCY_HAIRCUT, with_fallback_column
+from panelyard.plans.mismatch import AGENCY_HAIRCUT, narrow_liquid, with_fallback_column
 
 BOOK = ["SCUST", "SCAGE", "SCPLEDGE", "CHBAL", "FREPO", "DEPUNA", "VOLIAB"]
 # Yield columns used, and slope name -> (long, short).
@@ -26,15 +26,17 @@ def runnable_base(df: DataFrame, check: bool = True) -> DataFrame:
 
 
 def treasury_coverage(df: DataFrame, check: bool = True) -> DataFrame:
+    """Treasuries against uninsured deposits and liquid assets against runnable funding."""
     df = runnable_base(df, check)
-    upper = nz("CHBAL") + nz("FREPO") + nz("SCUST") + F.lit(AGENCY_HAIRCUT) * nz("SCAGE")
-    df = df.withColumns({
-        "TREASURY_TO_UNINSURED": safe_div(nz("SCUST"), "DEPUNA"),
-        "TREASURY_AGENCY_TO_RUNNABLE": safe_div(nz("SCUST") + F.lit(AGENCY_HAIRCUT) * nz("SCAGE"), "__run"),
-        "HQLA_NARROW_UPPER": upper,
-    })
-    df = df.withColumn("HQLA_NARROW_LOWER", clip(F.col("HQLA_NARROW_UPPER") - nz("SCPLEDGE"), lower=0))
-    return df.withColumn("HQLA_NARROW_LOWER_TO_RUNNABLE", safe_div("HQLA_NARROW_LOWER", "__run")).drop("__run")
+    agencies = f"{double(AGENCY_HAIRCUT)} * coalesce(SCAGE, 0D)"
+    return df.withColumns({
+        "TREASURY_TO_UNINSURED": F.expr("try_divide(coalesce(SCUST, 0D), DEPUNA)"),
+        "TREASURY_AGENCY_TO_RUNNABLE": F.expr(f"try_divide(coalesce(SCUST, 0D) + {agencies}, __run)"),
+        "HQLA_NARROW_UPPER": F.expr(narrow_liquid()),
+        "HQLA_NARROW_LOWER": F.expr(f"greatest({narrow_liquid()} - coalesce(SCPLEDGE, 0D), 0D)"),
+        "HQLA_NARROW_LOWER_TO_RUNNABLE": F.expr(
+            f"try_divide(greatest({narrow_liquid()} - coalesce(SCPLEDGE, 0D), 0D), __run)"),
+    }).drop("__run")
 
 
 def rate_shock(df: DataFrame, shocks: Sequence[int] = tuple(cfg.SHOCKS_BP), check: bool = True) -> DataFrame:
@@ -42,20 +44,23 @@ def rate_shock(df: DataFrame, shocks: Sequence[int] = tuple(cfg.SHOCKS_BP), chec
     df = runnable_base(ensure_columns(df, ["SECURITY_DURATION_PROXY"]), check)
     duration = F.coalesce(clip("SECURITY_DURATION_PROXY", DURATION_LOW, DURATION_HIGH), F.lit(DURATION_DEFAULT))
     df = df.withColumn("TREASURY_DURATION_ASSUMPTION", duration)
-    years = F.col("TREASURY_DURATION_ASSUMPTION")
-    agency_years = F.least(years + F.lit(AGENCY_EXTRA), F.lit(AGENCY_HIGH))
+    years = "TREASURY_DURATION_ASSUMPTION"
+    agency_years = f"least({years} + {double(AGENCY_EXTRA)}, {double(AGENCY_HIGH)})"
+    held, agencies = "coalesce(SCUST, 0D)", "coalesce(SCAGE, 0D)"
+    after = {}
     for bp in shocks:
-        move = F.lit(bp / 10_000.0)
-        agency_left = clip(nz("SCAGE") - nz("SCAGE") * agency_years * move, lower=0)
-        df = df.withColumn(f"TREASURY_LOSS_{bp}BP", nz("SCUST") * years * move)
-        df = df.withColumn(f"TREASURY_AFTER_{bp}BP", clip(nz("SCUST") - F.col(f"TREASURY_LOSS_{bp}BP"), lower=0))
-        liquid = (nz("CHBAL") + nz("FREPO") + F.col(f"TREASURY_AFTER_{bp}BP")
-                  + F.lit(AGENCY_HAIRCUT) * agency_left - nz("SCPLEDGE"))
-        df = df.withColumns({
-            f"TREASURY_TO_UNINSURED_AFTER_{bp}BP": safe_div(f"TREASURY_AFTER_{bp}BP", "DEPUNA"),
-            f"HQLA_NARROW_LOWER_TO_RUNNABLE_AFTER_{bp}BP": safe_div(clip(liquid, lower=0), "__run"),
-        })
-    return df.drop("__run")
+        loss = f"{held} * {years} * {double(bp / 10_000.0)}"
+        after[f"TREASURY_LOSS_{bp}BP"] = F.expr(loss)
+        after[f"TREASURY_AFTER_{bp}BP"] = F.expr(f"greatest({held} - {loss}, 0D)")
+    df = df.withColumns(after)
+    ratios = {}
+    for bp in shocks:
+        left = f"greatest({agencies} - {agencies} * {agency_years} * {double(bp / 10_000.0)}, 0D)"
+        liquid = (f"{nz_sum(['CHBAL', 'FREPO'])} + TREASURY_AFTER_{bp}BP + {double(AGENCY_HAIRCUT)} * {left}"
+                  " - coalesce(SCPLEDGE, 0D)")
+        ratios[f"TREASURY_TO_UNINSURED_AFTER_{bp}BP"] = safe_div(f"TREASURY_AFTER_{bp}BP", "DEPUNA")
+        ratios[f"HQLA_NARROW_LOWER_TO_RUNNABLE_AFTER_{bp}BP"] = F.expr(f"try_divide(greatest({liquid}, 0D), __run)")
+    return df.withColumns(ratios).drop("__run")
 
 
 def regime_by_date(panel: DataFrame, history: DataFrame, order: Sequence[str] = ()) -> DataFrame:
