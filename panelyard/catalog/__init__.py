@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["source_queries", "scalar_queries", "join_queries", "group_queries", "window_queries", "feature_queries"]
+MODULES = ["source_queries", "scalar_queries", "join_queries", "group_queries", "window_queries", "feature_queries",
+           "evaluation_queries", "report_queries"]
 
 
 def load():

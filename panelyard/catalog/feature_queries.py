@@ -76,7 +76,7 @@ def liquid_assets(f):
     return mismatch.liquid_assets(mismatch.runnable_funding(f.panel))
 
 
-@query("stable_funding", K + "STABLE_FUNDING_BASELINE:r LONG_TERM_ASSETS_TO_STABLE_FUNDING_BASELINE:r STRUCTURAL_TERM_GAP_BASELINE:r",
+@query("stable_funding", K + "STABLE_FUNDING_BASELINE:m LONG_TERM_ASSETS_TO_STABLE_FUNDING_BASELINE:r STRUCTURAL_TERM_GAP_BASELINE:m",
        "v_stable")
 def stable_funding(f):
     return mismatch.stable_funding(stage_deposits(f), check=False)
