@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["source_queries", "scalar_queries", "join_queries", "group_queries", "window_queries", "feature_queries",
-           "evaluation_queries", "report_queries"]
+           "evaluation_queries", "report_queries", "text_queries"]
 
 
 def load():

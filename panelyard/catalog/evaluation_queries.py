@@ -16,10 +16,10 @@ K = "CERT REPDTE:d "
 _FLAGS = " ".join(f"FORWARD_OBSERVED_{h}Q:i FAIL_WITHIN_{h}Q:i" for h in cfg.HORIZONS)
 
 
-def labelled(f: Frames):
-    """Index table with failure labels: the scores and the columns a back-test reads."""
-    narrow = stage_indices(f).select("CERT", "REPDTE", *cfg.BACKTEST_SCORES)
-    return backtest.failure_labels(narrow, f.failures, FIRST_YEAR, LAST_YEAR)
+def labelled(f: Frames, table=None):
+    """Index table with failure labels, written once: the scores and the columns a back-test reads."""
+    narrow = (stage_indices(f) if table is None else table).select("CERT", "REPDTE", *cfg.BACKTEST_SCORES)
+    return cut_lineage(backtest.failure_labels(narrow, f.failures, FIRST_YEAR, LAST_YEAR))
 
 
 @query("failure_labels", K + "FAILDATE:d QUARTERS_TO_FAILURE:i " + _FLAGS, "v_labels")
@@ -33,21 +33,19 @@ _TOPS = [f"{m}_AT_{k}PCT" for k in cfg.TOP_SHARES for m in ("PRECISION", "RECALL
 @query("auc", "SLICE HORIZON_QUARTERS:i SCORE_COL AUC:r N_FAILURES:i N_TOTAL:i",
        "SELECT * FROM v_metrics WHERE SLICE = 'full_sample'")
 def auc(f):
-    rows = cut_lineage(labelled(f))
-    return backtest.metrics_table(rows, {"full_sample": (None, None)})
+    return backtest.metrics_table(labelled(f), {"full_sample": (None, None)})
 
 
 @query("precision_recall_at", "SLICE HORIZON_QUARTERS:i SCORE_COL " + " ".join(f"{t}:r" for t in _TOPS),
        "SELECT * FROM v_metrics WHERE SLICE = 'full_sample'")
 def precision_recall_at(f):
-    rows = cut_lineage(labelled(f))
-    return backtest.metrics_table(rows, {"full_sample": (None, None)})
+    return backtest.metrics_table(labelled(f), {"full_sample": (None, None)})
 
 
 @query("metrics_table", "SLICE HORIZON_QUARTERS:i SCORE_COL SCORE_LABEL AUC:r N_FAILURES:i N_TOTAL:i " + " ".join(f"{t}:r" for t in _TOPS),
        "v_metrics")
 def metrics_table(f):
-    return backtest.metrics_table(cut_lineage(labelled(f)), EPISODES)
+    return backtest.metrics_table(labelled(f), EPISODES)
 
 
 @query("outflow_labels", K + "NEXT_DEP_GROWTH_QOQ:r NEXT_Q_OBSERVED:b SEVERE_RELATIVE_OUTFLOW:i SEVERE_ABSOLUTE_OUTFLOW:i", "v_outflow")
@@ -91,7 +89,7 @@ def consistency_checks(f):
 
 
 _R = {"UNINSURED_SHARE": "DESC", "TREASURY_TO_UNINSURED": "ASC", "VOLATILE_TO_LIQUID_LOWER": "DESC"}
-FRAGMENTS["v_section"] = f"SELECT * FROM v_tsy WHERE REPDTE = DATE '{QUARTER}'"
+FRAGMENTS["v_section"] = f"SELECT CERT, REPDTE, {', '.join(_R)} FROM v_tsy WHERE REPDTE = DATE '{QUARTER}'"
 FRAGMENTS["v_first_last"] = "SELECT CERT, " + ", ".join(
     f"arg_max({{'v': {c}}}, REPDTE).v - arg_min({{'v': {c}}}, REPDTE).v AS DELTA_{c}" for c in _R) + " FROM v_tsy GROUP BY 1"
 _RANKED = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (ORDER BY {c} {d} NULLS LAST) END AS RANK_{c}, count({c}) OVER () AS N_{c}"

@@ -76,10 +76,11 @@ def liquid_assets(f):
     return mismatch.liquid_assets(mismatch.runnable_funding(f.panel))
 
 
-@query("stable_funding", K + "STABLE_FUNDING_BASELINE:m LONG_TERM_ASSETS_TO_STABLE_FUNDING_BASELINE:r STRUCTURAL_TERM_GAP_BASELINE:m",
-       "v_stable")
+@query("stable_funding", K + "STABLE_FUNDING_BASELINE:r LONG_TERM_ASSETS_TO_STABLE_FUNDING_BASELINE:r GAP_TO_ASSETS:r",
+       "SELECT *, STRUCTURAL_TERM_GAP_BASELINE / ASSET AS GAP_TO_ASSETS FROM v_stable")
 def stable_funding(f):
-    return mismatch.stable_funding(stage_deposits(f), check=False)
+    df = mismatch.stable_funding(stage_deposits(f), check=False)
+    return df.withColumn("GAP_TO_ASSETS", F.col("STRUCTURAL_TERM_GAP_BASELINE") / F.col("ASSET"))
 
 
 @query("stable_funding_fallback", K + "STABLE_FUNDING_BASELINE:r",

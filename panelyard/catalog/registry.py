@@ -11,14 +11,13 @@ from panelyard.catalog.frames import Frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}  # without the fragments they use
-DIGITS = {"r": 6, "m": 3}
 
 
 def _parse(spec: str) -> list[tuple[str, str]]:
     """``"CERT REPDTE:d X:r N:i"``: name and output kind.
 
-    d = date as text, r = double rounded to six digits, m = amount rounded to three, i = bigint,
-    b = boolean as bigint, nothing = as it is.
+    d = date as text, r = double rounded to six digits, i = bigint, b = boolean as bigint,
+    nothing = as it is.
     """
     return [(name, kind) for name, _, kind in (token.partition(":") for token in spec.split())]
 
@@ -29,9 +28,9 @@ def shaped(df: DataFrame, spec: str) -> DataFrame:
         column = F.col(name)
         if kind == "d":
             column = F.date_format(column, "yyyy-MM-dd")
-        elif kind in ("r", "m"):
+        elif kind == "r":
             # adding zero turns a negative zero into zero
-            column = F.round(column.cast("double"), DIGITS[kind]) + F.lit(0.0)
+            column = F.round(column.cast("double"), 6) + F.lit(0.0)
         elif kind in ("i", "b"):
             column = column.cast("bigint")
         out.append(column.alias(name))
@@ -44,8 +43,8 @@ def shaped_sql(spec: str, source: str, where: str = "") -> str:
         column = f'"{name}"'
         if kind == "d":
             column = f"strftime({column}, '%Y-%m-%d')"
-        elif kind in ("r", "m"):
-            column = f"round(CAST({column} AS DOUBLE), {DIGITS[kind]}) + 0.0e0"
+        elif kind == "r":
+            column = f"round(CAST({column} AS DOUBLE), 6) + 0.0e0"
         elif kind in ("i", "b"):
             column = f"CAST({column} AS BIGINT)"
         out.append(f'{column} AS "{name}"')

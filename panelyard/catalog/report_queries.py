@@ -8,7 +8,7 @@ from panelyard import config as cfg
 from panelyard.catalog.evaluation_queries import labelled
 from panelyard.catalog.fragments import FRAGMENTS, num
 from panelyard.catalog.frames import EPISODES, QUARTER
-from panelyard.catalog.group_queries import layers, stage_competition, stage_deposits, stage_indices
+from panelyard.catalog.group_queries import layers, stage_competition, stage_deposits, stage_indices, written_indices
 from panelyard.catalog.registry import query
 from panelyard.functions.scalars import last_completed_quarter, quarter_distance
 from panelyard.operators.windows import lagged
@@ -117,7 +117,7 @@ def component_breakdown(f):
 
 
 _PLAIN = ("SELECT i.CERT AS cert, i.NAMEFULL AS name, i.PEER_GROUP AS peer_group, g.n AS peer_group_bank_count, ASSET AS assets, "
-          "DEPDOM_EFFECTIVE AS deposits, UNINSURED_SHARE AS uninsured_pct, STALP AS state, strftime(REPDTE, '%Y-%m-%d') AS repdte, "
+          "DEPDOM_EFFECTIVE AS deposits, UNINSURED_SHARE AS uninsured_pct, STALP AS state, strftime(i.REPDTE, '%Y-%m-%d') AS repdte, "
           "RUN_RISK_INDEX AS run_risk, ALM_MISMATCH_INDEX AS alm_mismatch, TREASURY_BUFFER_INDEX AS treasury_buffer, "
           "DEPOSIT_COMPETITION_PRESSURE_INDEX AS deposit_competition, FUNDING_FRAGILITY_INDEX AS funding_fragility, BKCLASS AS charter, "
           "strftime(TREASURY_YIELD_DATE, '%Y-%m-%d') AS treasury_yield_date, YC_10Y_3M_SLOPE_BP AS yc_10y_3m_slope_bp, INDEX_VERSION AS index_version, "
@@ -134,7 +134,7 @@ _SUMMARY = ("cert name peer_group peer_group_bank_count:i assets:r deposits:r un
        _PLAIN)
 def league_rows(f):
     """The published records; their arrays are checked by size and by the sum of all contributions."""
-    rows = publish.league_rows(cut_lineage(stage_indices(f)), f.failures)
+    rows = publish.league_rows(written_indices(f), f.failures)
     sizes, sums = F.lit(0), F.lit(0.0)
     for name in publish.COMPONENT_ARRAYS:
         sizes = sizes + F.size(name)
@@ -144,32 +144,32 @@ def league_rows(f):
 
 @query("bank_summary_rows", _SUMMARY, _PLAIN)
 def bank_summary_rows(f):
-    return publish.bank_summary_rows(cut_lineage(stage_indices(f)), f.failures)
+    return publish.bank_summary_rows(written_indices(f), f.failures)
 
 
 @query("league_records", "JSON")
 def league_records(f):
     """One JSON record per entity."""
-    return publish.rows_to_json(publish.league_rows(cut_lineage(stage_indices(f)), f.failures))
+    return publish.rows_to_json(publish.league_rows(written_indices(f), f.failures))
 
 
 @query("headline_metric", "SLICE HORIZON_QUARTERS:i SCORE_COL AUC:r RECALL_AT_20PCT:r",
        "SELECT * FROM v_metrics WHERE SLICE = 'full_sample' AND HORIZON_QUARTERS = 4 AND SCORE_COL = 'FUNDING_FRAGILITY_INDEX'")
 def headline_metric(f):
-    metrics = backtest.metrics_table(cut_lineage(labelled(f)), {"full_sample": EPISODES["full_sample"]}, [4])
+    metrics = backtest.metrics_table(labelled(f), {"full_sample": EPISODES["full_sample"]}, [4])
     return publish.headline_metric(metrics, "FUNDING_FRAGILITY_INDEX")
 
 
 def _warning(source: str, c: str) -> str:
-    return (f"CASE WHEN {c} IS NULL THEN '{source} coverage is unavailable for the published site snapshot.' WHEN {c} < asof THEN "
-            f"'{source} coverage trails the published site snapshot (' || strftime({c}, '%Y-%m-%d') || ' vs ' || strftime(asof, '%Y-%m-%d') || ').' END")
+    return (f"CASE WHEN {c} IS NULL THEN '{source} coverage is unavailable for the published site snapshot.' WHEN {c} < day THEN "
+            f"'{source} coverage trails the published site snapshot (' || strftime({c}, '%Y-%m-%d') || ' vs ' || strftime(day, '%Y-%m-%d') || ').' END")
 
 
 @query("freshness", "site_snapshot_as_of ffiec sod treasury warnings stale:b",
-       "SELECT strftime(asof, '%Y-%m-%d') AS site_snapshot_as_of, strftime(ffiec, '%Y-%m-%d') AS ffiec, strftime(sod, '%Y-%m-%d') AS sod, "
+       "SELECT strftime(day, '%Y-%m-%d') AS site_snapshot_as_of, strftime(ffiec, '%Y-%m-%d') AS ffiec, strftime(sod, '%Y-%m-%d') AS sod, "
        "strftime(treasury, '%Y-%m-%d') AS treasury, concat_ws(' | ', " + ", ".join(
-           _warning(s, c) for s, c in (("fdic_financials", "asof"), ("ffiec", "ffiec"), ("sod", "sod"), ("treasury", "treasury")))
-       + ") AS warnings, asof < DATE '2001-09-30' AS stale FROM (SELECT max(REPDTE) AS asof, max(CASE WHEN HAS_FFIEC_FEATURES > 0 THEN REPDTE END) "
+           _warning(s, c) for s, c in (("fdic_financials", "day"), ("ffiec", "ffiec"), ("sod", "sod"), ("treasury", "treasury")))
+       + ") AS warnings, day < DATE '2001-09-30' AS stale FROM (SELECT max(REPDTE) AS day, max(CASE WHEN HAS_FFIEC_FEATURES > 0 THEN REPDTE END) "
        "AS ffiec, max(TREASURY_YIELD_DATE) AS treasury, make_date(CAST(year(max(CASE WHEN HAS_SOD_FEATURES > 0 THEN REPDTE END)) AS INT), 6, 30) AS sod "
        "FROM (SELECT l.*, r.TREASURY_YIELD_DATE FROM v_layers l JOIN v_regime r ON l.REPDTE = r.REPDTE))")
 def freshness(f):
@@ -192,9 +192,9 @@ def source_lag(f):
 
 @query("manifest", "JSON")
 def manifest(f):
-    mart = cut_lineage(stage_indices(f))
+    mart = written_indices(f)
     core, enriched = reports.core_enriched_split(mart)
-    metrics = backtest.metrics_table(cut_lineage(labelled(f)), {"full_sample": EPISODES["full_sample"]}, [4])
+    metrics = backtest.metrics_table(labelled(f, mart), {"full_sample": EPISODES["full_sample"]}, [4])
     return publish.rows_to_json(publish.manifest(mart, BUILT_AT, core, enriched, metrics))
 
 
@@ -208,8 +208,8 @@ FRAGMENTS["v_headline"] = "SELECT * FROM v_metrics WHERE SLICE = 'full_sample' A
          "(SELECT *, row_number() OVER (PARTITION BY INDEX_ID ORDER BY SCORE DESC NULLS LAST, CERT) AS RANK FROM v_scores QUALIFY RANK <= 3) "
          "GROUP BY 1) t ON n.INDEX_ID = t.INDEX_ID")
 def manifest_indices(f):
-    mart = cut_lineage(stage_indices(f))
-    metrics = backtest.metrics_table(cut_lineage(labelled(f)), {"full_sample": EPISODES["full_sample"]}, [4])
+    mart = written_indices(f)
+    metrics = backtest.metrics_table(labelled(f, mart), {"full_sample": EPISODES["full_sample"]}, [4])
     out = publish.index_records(reports.snapshot(mart), metrics)
     return out.withColumn("tops", F.array_join(F.transform("top_banks", lambda b: b["cert"]), ","))
 
