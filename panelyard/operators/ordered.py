@@ -6,10 +6,11 @@ large part of the table) to one task. Here instead
 
 1. equal values are collapsed first (``groupBy(group, value)``, combined map
    side), so a value that a third of the rows share is one row;
-2. the distinct values are cut into slices at those values whose hash is 0 modulo
-   ``slice_values``: about that many distinct values per slice whatever the group
-   size, and the same cuts whenever a lost task is computed again;
-3. slice totals give each slice its offset, and a window runs inside slices only.
+2. the distinct values are range-partitioned by (group, value) into slices of about
+   equal size and written once with their slice number: a large group spans many
+   slices, and a lost task cannot change the cuts;
+3. slice totals (one row per slice) give each slice its offset, and a window runs
+   inside slices only.
 
 The cuts only steer balance. Results do not depend on them.
 """
@@ -25,55 +26,27 @@ from pyspark.sql import functions as F
 from panelyard.functions.scalars import double
 from panelyard.session import cut_lineage
 
-SLICE_VALUES = 131_072
 WINDOW_ROWS = 500_000
 COUNT = "__n"
 
 
 def stack_values(df: DataFrame, keep: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Long form (keep..., ``__metric``, ``__value``) of double columns, nulls left out."""
-    pairs = F.array(*[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("v")) for v in values])
-    long = df.select(*keep, F.explode(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("__p"))
-    return long.select(*keep, F.col("__p.m").alias("__metric"), F.col("__p.v").alias("__value"))
-
-
-def _slice_number(value: Column, cuts: Column) -> Column:
-    """How many of the sorted cuts are <= value (binary search)."""
-    size = F.size(cuts)
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(size + 1)).cast("int"))
-
-    def narrow(acc: Column, _: Column) -> Column:
-        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        right = F.get(cuts, middle) <= value
-        return (
-            F.when(acc["lo"] >= acc["hi"], acc)
-            .when(right, F.struct((middle + 1).alias("lo"), acc["hi"].alias("hi")))
-            .otherwise(F.struct(acc["lo"].alias("lo"), middle.alias("hi")))
-        )
-
-    start = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
-    found = F.aggregate(steps, start, narrow, lambda acc: acc["lo"])
-    return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
+    pairs = F.array(*[F.struct(F.lit(v).alias("__metric"), F.col(v).cast("double").alias("__value")) for v in values])
+    return df.select(*keep, F.inline(pairs)).filter(F.col("__value").isNotNull())
 
 
 def running_weights(hist: DataFrame, groups: Sequence[str], value: str, weights: Sequence[str],
-                    slice_values: int = SLICE_VALUES) -> DataFrame:
+                    slices: int | None = None) -> DataFrame:
     """Add ``<w>__below`` and ``<w>__total`` to a histogram.
 
-    ``hist`` has one row per (groups, value) and holds a positive row count
-    ``__n``; ``weights`` are non-negative columns of it. Groups must not be NULL.
+    ``hist`` has one row per (groups, value); ``weights`` are non-negative columns of it.
+    Groups must not be NULL. ``slices`` defaults to the number of shuffle partitions.
     """
     groups = list(groups)
-    # The product keeps the test above the histogram aggregate, so this branch and
-    # the main one read the same shuffle instead of computing the input twice.
-    marked = F.pmod(F.xxhash64(*groups, value), F.lit(slice_values)) * F.col(COUNT) == 0
-    cuts = hist.filter(marked).groupBy(*groups).agg(F.sort_array(F.collect_set(value)).alias("__cuts"))
-    sliced = (
-        hist.join(cuts, groups, "left")
-        .withColumn("__slice", _slice_number(F.col(value), F.col("__cuts")))
-        .drop("__cuts")
-    )
-    # One row per slice: a window over a group here sees (distinct values / slice_values) rows.
+    n = slices or int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = cut_lineage(hist.repartitionByRange(n, *groups, value).withColumn("__slice", F.spark_partition_id()))
+    # Slices are contiguous, so there are at most (slices + groups) of these rows.
     totals = sliced.groupBy(*groups, "__slice").agg(*[F.sum(w).alias(w) for w in weights])
     earlier = Window.partitionBy(*groups).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*groups)
@@ -158,7 +131,7 @@ def rank_strategy(df: DataFrame, by: Sequence[str], limit: int = WINDOW_ROWS) ->
 
 
 def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Sequence[str],
-              strategy: str = "auto", slice_values: int = SLICE_VALUES) -> DataFrame:
+              strategy: str = "auto", slices: int | None = None) -> DataFrame:
     """Rank columns inside groups; ``keys`` identify a row.
 
     ``window`` ranks all columns in one exchange on ``by`` and is for groups that a
@@ -174,7 +147,7 @@ def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Seq
     if strategy != "sliced":
         raise ValueError(f"unknown rank strategy: {strategy}")
     # The sliced plan reads its input three times: written once, not computed three times.
-    return _rank_in_slices(cut_lineage(df), by, ranks, keys, slice_values)
+    return _rank_in_slices(cut_lineage(df), by, ranks, keys, slices)
 
 
 def _rank_in_windows(df: DataFrame, by: list[str], ranks: Sequence[Rank]) -> DataFrame:
@@ -194,13 +167,13 @@ def _rank_in_windows(df: DataFrame, by: list[str], ranks: Sequence[Rank]) -> Dat
 
 
 def _rank_in_slices(df: DataFrame, by: list[str], ranks: Sequence[Rank], keys: list[str],
-                    slice_values: int) -> DataFrame:
+                    slices: int | None) -> DataFrame:
     names = list(dict.fromkeys(r.value for r in ranks))
     rows = stack_values(df, list(dict.fromkeys([*keys, *by])), names)
     for name in by:
         rows = rows.filter(F.col(name).isNotNull())
     placed = running_weights(histogram(rows, [*by, "__metric"]), [*by, "__metric"], "__value",
-                             [COUNT], slice_values)
+                             [COUNT], slices)
     back = rows.join(placed, [*by, "__metric", "__value"]).groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("__metric") == name,
@@ -228,7 +201,7 @@ def _at(position: Column, below: str, count: str, value: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str], shares: Sequence[float],
-                    slice_values: int = SLICE_VALUES, strategy: str = "sliced") -> DataFrame:
+                    slices: int | None = None, strategy: str = "sliced") -> DataFrame:
     """Linear-interpolated quantiles: one row per (by, ``__metric``) with ``q0``, ``q1``.. and ``n``.
 
     ``window`` is for groups known to fit one task: Spark's own percentile aggregate.
@@ -241,7 +214,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str], sha
         return rows.groupBy(*groups).agg(
             F.count("__value").alias("n"),
             *[F.percentile("__value", float(share)).alias(f"q{i}") for i, share in enumerate(shares)])
-    placed = running_weights(histogram(rows, groups), groups, "__value", [COUNT], slice_values)
+    placed = running_weights(histogram(rows, groups), groups, "__value", [COUNT], slices)
     n, below = F.col(f"{COUNT}__total"), f"{COUNT}__below"
     picks = []
     for i, share in enumerate(shares):
@@ -261,7 +234,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str], sha
 
 
 def ranked_metrics(df: DataFrame, cell: Sequence[str], score: str, labels: dict[str, tuple[str, str]],
-                   top_shares: Sequence[int], slice_values: int = SLICE_VALUES) -> DataFrame:
+                   top_shares: Sequence[int], slices: int | None = None) -> DataFrame:
     """AUC and precision/recall at the top of a score, for several labels in one pass.
 
     ``labels`` maps a name to (label column 0/1/NULL, observed column 0/1). Rows whose
@@ -278,7 +251,7 @@ def ranked_metrics(df: DataFrame, cell: Sequence[str], score: str, labels: dict[
         weights += [f"{name}_pos", f"{name}_all"]
     hist = df.filter(F.col(score).isNotNull()).groupBy(*cell, score).agg(
         F.count(F.lit(1)).alias(COUNT), *aggs)
-    placed = running_weights(hist, cell, score, weights, slice_values)
+    placed = running_weights(hist, cell, score, weights, slices)
     measures = []
     for name in labels:
         pos, every = F.col(f"{name}_pos"), F.col(f"{name}_all")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard import config as cfg
 from panelyard.functions.scalars import entity_id, parse_date_columns, quarter_distance, quarter_end_offset
-from panelyard.operators.ordered import SLICE_VALUES, ranked_metrics
+from panelyard.operators.ordered import ranked_metrics
 
 FIRST_YEAR, LAST_YEAR = 2007, 2024
 
@@ -68,7 +68,7 @@ def score_rows(df: DataFrame, scores: Sequence[str], keep: Sequence[str]) -> Dat
 
 def metrics_table(labelled: DataFrame, episodes=cfg.EPISODES, horizons: Sequence[int] = tuple(cfg.HORIZONS),
                   scores: dict[str, str] = cfg.BACKTEST_SCORES, top_shares: Sequence[int] = tuple(cfg.TOP_SHARES),
-                  slice_values: int = SLICE_VALUES) -> DataFrame:
+                  slices: int | None = None) -> DataFrame:
     """AUC, precision and recall per episode, horizon and score, from one histogram pass.
 
     Every cell of the grid is reported; a cell without rows has zero counts.
@@ -78,7 +78,7 @@ def metrics_table(labelled: DataFrame, episodes=cfg.EPISODES, horizons: Sequence
     long = score_rows(labelled.select("REPDTE", *flags, *present), list(present), ["REPDTE", *flags])
     measured = ranked_metrics(
         episode_rows(long, episodes), ["SLICE", "SCORE_COL"], "__score",
-        {str(h): (f"FAIL_WITHIN_{h}Q", f"FORWARD_OBSERVED_{h}Q") for h in horizons}, top_shares, slice_values)
+        {str(h): (f"FAIL_WITHIN_{h}Q", f"FORWARD_OBSERVED_{h}Q") for h in horizons}, top_shares, slices)
     measured = measured.withColumn("HORIZON_QUARTERS", F.col("LABEL").cast("int")).drop("LABEL")
     grid = labelled.sparkSession.createDataFrame(
         [(e, h, s, label) for e in episodes for h in horizons for s, label in present.items()],

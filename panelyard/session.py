@@ -50,15 +50,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and read on from there.
+    """Write ``df`` once as a table under the shared checkpoint root and read on from there.
 
-    Used where a plan is referenced several times (each rank pass reads its input
-    twice) or grows in a loop; the copy survives the loss of executors.
+    Used where a plan is read several times or grows in a loop. The table survives the
+    loss of executors, is computed in one pass, and later reads take only the columns
+    they need.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

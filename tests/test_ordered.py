@@ -31,7 +31,7 @@ def test_ranks(data, strategy):
     df, pdf = data
     ranks = [Rank("v", "pct", fill=0.5), Rank("v", "flip", flip=True, scale=100.0, fill=0.5), Rank("v", "place", "competition"),
              Rank("v", "up", "ascending"), Rank("v", "most", "at_most"), Rank("absent", "none", fill=0.5)]
-    got = add_ranks(df, ["g"], ranks, ["id"], strategy, slice_values=16).toPandas().set_index("id").sort_index()
+    got = add_ranks(df, ["g"], ranks, ["id"], strategy, slices=16).toPandas().set_index("id").sort_index()
     assert len(got) == len(pdf)
     by = pdf.groupby("g")["v"]
     pct = by.rank(pct=True)
@@ -46,7 +46,7 @@ def test_ranks(data, strategy):
 @pytest.mark.parametrize("strategy", ["window", "sliced"])
 def test_quantiles(data, strategy):
     df, pdf = data
-    got = exact_quantiles(df, ["g"], ["v"], [0.05, 0.5, 0.9], slice_values=16, strategy=strategy).toPandas().set_index("g")
+    got = exact_quantiles(df, ["g"], ["v"], [0.05, 0.5, 0.9], slices=16, strategy=strategy).toPandas().set_index("g")
     want = pdf.groupby("g")["v"].quantile([0.05, 0.5, 0.9]).unstack()
     for name, share in (("q0", 0.05), ("q1", 0.5), ("q2", 0.9)):
         assert np.allclose(got[name].sort_index(), want[share].sort_index())
@@ -61,7 +61,7 @@ def brute_auc(score, label):
 
 def test_metrics(data):
     df, pdf = data
-    got = ranked_metrics(df, ["g"], "v", {"h": ("y", "seen")}, [5, 10, 20], slice_values=16).toPandas().set_index("g")
+    got = ranked_metrics(df, ["g"], "v", {"h": ("y", "seen")}, [5, 10, 20], slices=16).toPandas().set_index("g")
     for group, rows in pdf[(pdf.seen == 1) & pdf.y.notna() & pdf.v.notna()].groupby("g"):
         label, score = rows.y.to_numpy(), rows.v.to_numpy()
         assert got.loc[group, "AUC"] == pytest.approx(brute_auc(score, label))
