@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard import config as cfg
 from panelyard.functions.scalars import ensure_columns, number, nz, safe_div, total
+from panelyard.session import cut_lineage
 
 REPRICING_CODES = [
     *[c for pair in cfg.LOAN_CODES.values() for c in pair], *cfg.RE_LOAN_CODES.values(),
@@ -150,8 +151,12 @@ def duration_gap(df: DataFrame) -> DataFrame:
 
 def repricing_features(facts: DataFrame, keys: Sequence[str], batch: str = "REPDTE",
                        order: Sequence[str] = ()) -> DataFrame:
-    """Long schedule facts to bucket, maturity and gap features per entity and report date."""
-    wide = pivot_codes(facts, keys, REPRICING_CODES, order=order)
+    """Long schedule facts to bucket, maturity and gap features per entity and report date.
+
+    The wide table (one row per filer and date) is read again for the per-batch tests, so
+    it is written once instead of pivoting the facts twice.
+    """
+    wide = cut_lineage(pivot_codes(facts, keys, REPRICING_CODES, order=order))
     firsts = [first for first, _ in cfg.BORROWING_CODES.values()]
     return duration_gap(repricing_gaps(maturity_totals(
         repricing_buckets(wide, present_by_batch(facts, firsts, batch), batch), batch)))
