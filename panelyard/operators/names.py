@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -101,7 +102,7 @@ def token_overlap(asked: DataFrame, registered: DataFrame) -> DataFrame:
     by_subset = offered.join(shared, "common").select("words", score.alias("score"), "hit").filter(
         F.col("score") >= MIN_SCORE)
     # one side longer than the subset limit: the other side has at least this many words
-    least = int(SUBSET_WORDS * MIN_SCORE)
+    least = math.ceil((SUBSET_WORDS + 1) * MIN_SCORE - 1e-9)
     frequency = right.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     a = _rare_pairs(left.filter(size >= least), frequency_of_both(left, frequency))
     b = _rare_pairs(right.filter(size >= least).select("words"), frequency_of_both(left, frequency))

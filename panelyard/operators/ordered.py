@@ -141,13 +141,15 @@ def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Seq
     for name in {r.value for r in ranks} - set(df.columns):
         df = df.withColumn(name, F.lit(None).cast("double"))
     if strategy == "auto":
+        df = cut_lineage(df)  # counted and ranked from one written copy
         strategy = rank_strategy(df, by)
+    elif strategy == "sliced":
+        df = cut_lineage(df)  # read three times below
     if strategy == "window":
         return _rank_in_windows(df, by, ranks)
     if strategy != "sliced":
         raise ValueError(f"unknown rank strategy: {strategy}")
-    # The sliced plan reads its input three times: written once, not computed three times.
-    return _rank_in_slices(cut_lineage(df), by, ranks, keys, slices)
+    return _rank_in_slices(df, by, ranks, keys, slices)
 
 
 def _rank_in_windows(df: DataFrame, by: list[str], ranks: Sequence[Rank]) -> DataFrame:
