@@ -135,7 +135,7 @@ def monotone_overlay(f):
 
 @query("tree_overlay", K + "SUPERVISED_OUTFLOW_SCORE")
 def tree_overlay(f):
-    """Boosted trees with fewer rounds than the default, to keep the check short."""
+    """Boosted trees; the number of rounds is a parameter."""
     df = model_table(f)
     return overlay.full_sample_fit(df, _features(df), kind="trees", strategy=f.strategy, trees=5)[0]
 

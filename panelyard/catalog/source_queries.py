@@ -45,13 +45,16 @@ def schedule_ingest(f):
 
 
 @query("schedule_labels", "CODE LABEL",
-       "SELECT p_type || p_brand AS CODE, arg_max(p_name, p_partkey) AS LABEL FROM part WHERE p_size % 3 = 1 GROUP BY 1")
+       "SELECT p_type || p_brand AS CODE, arg_max(p_name, p_partkey) AS LABEL FROM part GROUP BY 1")
 def schedule_labels(f):
-    # size plays the line number: header, label and data lines of every schedule part
-    cells = f.table("part").select(
-        F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("path"), F.col("p_brand").alias("part"),
-        (F.col("p_size") % 3).alias("line_number"), F.lit(1).alias("position"),
-        F.concat("p_type", "p_brand").alias("CODE"), F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("CELL"))
+    # the label line of every part, next to data lines that must not count
+    def cell(table, key, line, code, text):
+        return f.table(table).select(
+            F.lpad(F.col(key).cast("string"), 12, "0").alias("path"), F.lit("x").alias("part"), F.lit(line).alias("line_number"),
+            F.lit(1).alias("position"), code.alias("CODE"), F.concat(F.lit(" "), text, F.lit(" ")).alias("CELL"))
+
+    labels = cell("part", "p_partkey", 1, F.concat("p_type", "p_brand"), F.col("p_name"))
+    cells = labels.unionByName(cell("supplier", "s_suppkey", 2, F.col("s_name"), F.col("s_name")))
     return schedules.schedule_labels(cells)
 
 
