@@ -41,7 +41,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``. A local folder is used only
     when the session runs in one process, where every task sees the same disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
