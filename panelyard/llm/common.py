@@ -6,14 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Upper-case ASCII letters become lower case, everything else stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Rows of one Arrow batch that are turned into Python objects at a time.
-SLICE = 256
+ODD = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+#: Rows, and bytes of their texts, that are worked on at a time; a longer text stands alone.
+SLICE, SLICE_BYTES = 256, 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +32,22 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, column: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows and, with ``column``, of about SLICE_BYTES bytes in it."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist() if column else None
+        at = 0
+        while at < batch.num_rows:
+            end = min(at + rows, batch.num_rows)
+            if sizes:
+                total = sizes[at]
+                stop = at + 1
+                while stop < end and total + sizes[stop] <= SLICE_BYTES:
+                    total += sizes[stop]
+                    stop += 1
+                end = stop
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def raw(column: pa.Array) -> list[bytes]:
@@ -45,7 +60,7 @@ def per_text(docs: DataFrame, schema: str, make: Callable[[], Callable], column:
     """``make()`` runs once a task and gives ``f(batch, texts) -> dict of columns`` for slices of the rows."""
     def run(batches):
         work = None
-        for part in slices(batches):
+        for part in slices(batches, column=column):
             work = work or make()
             out = work(part, raw(part.column(column)))
             if out is not None:
@@ -63,3 +78,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ODD and of its inverse modulo 2^64."""
+    if len(_POWERS.get("up", ())) < n:
+        size = max(n, 1 << 16)
+        for name, base in (("up", ODD), ("down", pow(ODD, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, .. for sizes[0] numbers, then those of first[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def spans_hash(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [first, last) of ``buf``; first > 0."""
+    up, down = powers(len(buf))
+    sums = np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up)
+    return mix64((sums[last - 1] - sums[first - 1]) * down[first])

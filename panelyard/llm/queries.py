@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm import chunk_recipes, huffman_ids, mixing, url_filter, wu_manber
+from panelyard.llm import chunk_recipes, fact_machine, gru_toxicity, huffman_ids, mixing, url_filter, wu_manber
 from panelyard.llm.common import table
 from panelyard.session import scratch_path
 
@@ -77,6 +77,34 @@ def op7_hash_threshold_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def fold(doc_id="doc_id", of=3):
+    """crc32 of the id as text, modulo ``of``; a null id is the text "null"."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")) % of
+
+
+@query()
+def op4_factorisation_machine(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fact_machine.train(fact_machine.sample(docs, labels.where(fold(of=3) != 1)))
+    out = fact_machine.score(docs, model)
+    return out.select("doc_id", (fold(of=3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+TOXIC = 0.3
+
+
+def toxicity_model(spark, sf_dir):
+    """Fitted to the labelled rows whose id does not fall into the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(fold(of=4) != 2)
+    return gru_toxicity.train(gru_toxicity.sample(table(spark, sf_dir, "documents"), labels))
+
+
+@query()
+def op10_gru_toxicity(spark, sf_dir):
+    out = gru_toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return out.select("doc_id", (fold(of=4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 @query()
 def op8_url_ngram_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
