@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm import chunk_recipes, fact_machine, gru_toxicity, huffman_ids, mixing, url_filter, wu_manber
+from panelyard.llm import chunk_recipes, fact_machine, gru_toxicity, huffman_ids, mixing, url_filter, wrapper_text, wu_manber
 from panelyard.llm.common import table
 from panelyard.session import scratch_path
 
@@ -90,6 +90,11 @@ def op4_factorisation_machine(spark, sf_dir):
     return out.select("doc_id", (fold(of=3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query()
+def op5_wrapper_text(spark, sf_dir):
+    return wrapper_text.main_text(table(spark, sf_dir, "pages"))
+
+
 TOXIC = 0.3
 
 
