@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm import chunk_recipes, fact_machine, gru_toxicity, huffman_ids, mixing, url_filter, wrapper_text, wu_manber
+from panelyard.llm import chunk_recipes, fact_machine, fm_substrings, gru_toxicity, huffman_ids, mixing, url_filter, wrapper_text, wu_manber
 from panelyard.llm.common import table
 from panelyard.session import scratch_path
 
@@ -60,6 +60,19 @@ def op2_wu_manber(spark, sf_dir):
     return out.drop("items", "spans")
 
 
+@query("""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM x JOIN f USING (h) WHERE first < doc_id),
+e AS (SELECT doc_id, w[k] AS word, k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+r AS (SELECT e.doc_id, count(g.k) AS n_removed, string_agg(CASE WHEN g.k IS NULL THEN word END, ' ' ORDER BY e.k) AS kept
+  FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.k = g.k GROUP BY e.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)""")
+def op6_fm_substrings(spark, sf_dir):
+    return fm_substrings.repeated_words(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
   CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15)) AS BIGINT) AS h FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),

@@ -259,8 +259,8 @@ def references(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, min_pages: int = PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars."""
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    schema = rows.select("page_id", "url", "host").schema.add("blocks", "array<struct<node:int,same:boolean,text:string>>")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
+    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, blocks array<struct<node:int,same:boolean,text:string>>"
     kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("text", pa.string())]))
 
     def run(batches):
