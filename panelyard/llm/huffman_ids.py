@@ -16,10 +16,11 @@ An empty table gives an empty file set. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import zlib
-from array import array
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +28,124 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import id_and_text, per_text, raw, slices
+from panelyard.llm.common import id_and_text, per_text, ranges, raw, slices
 from panelyard.session import cut_lineage
 
 LIMIT, EVERY = 16, 64
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 17, 1 << 22
-CACHED = 200_000
+CACHED = 600_000
 FILE = ("shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, n_bits bigint, bits binary, offsets binary")
 
 
+class Kept:
+    """Stretches already encoded: their number, and their ids one after another."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.place, self.cores, self.used = {}, {}, 0
+        self.begin, self.sizes, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint32)
+
+    def add(self, words: list[bytes], ids: list[tuple]):
+        if not words:
+            return
+        n, sizes = len(self.place), np.array([len(x) for x in ids])
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        self.begin, self.sizes = self.room(self.begin, n + len(words)), self.room(self.sizes, n + len(words))
+        self.ids = self.room(self.ids, self.used + len(flat))
+        self.begin[n:n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n:n + len(words)] = sizes
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+
+    @staticmethod
+    def room(values: np.ndarray, size: int) -> np.ndarray:
+        if size <= len(values):
+            return values
+        return np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)])
+
+
+_KEPT: dict[str, Kept] = {}
+
+
 class Encoder:
-    """Ids of texts. No token of this vocabulary crosses white space, so the tokenizer is asked once for each
-    distinct stretch between white space, and answers are kept for the stretches that come again."""
+    """Ids of texts. No token of this kind of vocabulary crosses white space, so the tokenizer is asked once for each
+    distinct stretch between white space, and answers are kept for the stretches that come again.
+
+    Where tokens mark the ends of words, stretches of letters (with a full stop or comma behind them at most) are one
+    word each: many are encoded as one text and its ids are parted at the ends of words.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # hundreds of thousands of kept words and no cycles
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), end_id, {}
-
-    def __call__(self, texts: list[bytes]) -> list[array]:
+        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        self.kept = _KEPT.setdefault(path, Kept())  # a worker runs many tasks
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.last = None
+        if suffix:
+            self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.signs = {sign: self.alone([sign])[0] for sign in ".,"}
+
+    def alone(self, words: list[str]) -> list[tuple]:
+        return [tuple(x.ids) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[tuple]:
+        """Ids of words of letters."""
+        out = []
+        for at in range(0, len(words), 500):
+            some = words[at:at + 500]
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            cuts = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                out += [tuple(ids[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)]
+            else:  # a letter whose lower case is no single letter parts a word
+                out += self.alone(some)
+        return out
+
+    def learn(self, new: list[bytes]) -> None:
+        simple, other, cores = [], [], self.kept.cores
+        for raw_word in new:
+            word = raw_word.decode()
+            if word.isascii():
+                word = word.lower()
+            core, tail = (word[:-1], word[-1]) if word[-1] in self.signs else (word, "")
+            if self.last is not None and core.isalpha():
+                simple.append((raw_word, core, tail))
+            else:
+                other.append(raw_word)
+        fresh = list({core for _, core, _ in simple}.difference(cores))
+        cores.update(zip(fresh, self.words(fresh), strict=True))
+        self.kept.add([w for w, _, _ in simple], [cores[core] + self.signs[tail] if tail else cores[core] for _, core, tail in simple])
+        self.kept.add(other, self.alone([w.decode() for w in other]))
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words}.difference(self.known))
-        if len(self.known) + len(new) > CACHED:
-            self.known = {}
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for word, got in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = tuple(got.ids)
-        get = self.known.__getitem__
-        return [array("I", chain(chain.from_iterable(map(get, words)), (self.end,))) for words in split]
+        words = list(chain.from_iterable(split))
+        ends = np.cumsum([len(x) for x in split])
+
+        def places(some):
+            return np.fromiter(map(self.kept.place.get, some, repeat(-1)), np.int64, len(some))
+
+        at = places(words)
+        if len(missing := np.flatnonzero(at < 0)):
+            unknown = [words[i] for i in missing.tolist()]
+            new = set(unknown)
+            if len(self.kept.place) + len(new) > CACHED:
+                self.kept.clear()
+                missing, unknown, new = slice(None), words, set(words)
+            self.learn(list(new))
+            at[missing] = places(unknown)
+        sizes = self.kept.sizes[at]
+        ids = self.kept.ids[ranges(self.kept.begin[at], sizes)]
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
+        end = np.array([self.end], np.uint32)
+        return [np.concatenate([ids[i:j], end]) for i, j in zip(upto[:-1], upto[1:], strict=True)]
 
 
 def vocabulary(path: str, end_id: int) -> int:
@@ -74,7 +162,7 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encode = Encoder(path, end_id)
 
         def work(part, texts):
-            ids = [np.frombuffer(x, np.uint32).astype(kind) for x in encode(texts)]
+            ids = [x.astype(kind) for x in encode(texts)]
             return {"doc_id": part.column("doc_id"), "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
                     "ids": pa.array([x.tobytes() for x in ids], pa.binary())}
         return work
