@@ -128,5 +128,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group."""
-    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).dropDuplicates()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__kept")).dropDuplicates()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])

@@ -86,10 +86,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 def copies_of(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
-    chosen = mix(docs, **options).select(F.col("doc_id").alias("_of"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-                                         F.col("copies").alias("_copies")).where("_copies > 0").dropDuplicates()
-    keyed = docs.withColumn("_row", word_count(F.col("text")))
-    out = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_of")) & F.col("source").eqNullSafe(F.col("_source"))
-                     & (F.col("_row") == F.col("_size")))
+    chosen = mix(docs, **options).select(F.col("doc_id").alias("__of"), F.col("source").alias("__source"), F.col("size").alias("__size"),
+                                         F.col("copies").alias("__copies")).where("__copies > 0").dropDuplicates()
+    keyed = docs.withColumn("__row", word_count(F.col("text")))
+    out = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("__of")) & F.col("source").eqNullSafe(F.col("__source"))
+                     & (F.col("__row") == F.col("__size")))
     # array_repeat and explode give a row its copies in place
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
