@@ -71,11 +71,10 @@ _KEPT: dict[str, Kept] = {}
 
 
 class Encoder:
-    """Ids of texts. No token of this kind of vocabulary crosses white space, so the tokenizer is asked once for each
-    distinct stretch between white space, and answers are kept for the stretches that come again.
-
-    Where tokens mark the ends of words, stretches of letters (with a full stop or comma behind them at most) are one
-    word each: many are encoded as one text and its ids are parted at the ends of words.
+    """Ids of texts. Where tokens mark the ends of words, none crosses white space, so the tokenizer is asked once for
+    each distinct stretch between white space, and answers are kept for the stretches that come again. Stretches of
+    letters (with a full stop or comma behind them at most) are one word each: many are encoded as one text, whose ids
+    are parted at the ends of words. Other vocabularies encode whole texts.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -91,16 +90,30 @@ class Encoder:
             self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
             self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.signs = {sign: self.alone([sign])[0] for sign in ".,"}
+        self.bare = self.without_rules() if suffix else None
+        self.any_case = suffix is not None and self.alone(["AbZ"]) == self.alone(["abz"])
 
     def alone(self, words: list[str]) -> list[tuple]:
         return [tuple(x.ids) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[tuple]:
+    def without_rules(self):
+        """The same model behind a plain split at blanks, for words of a to z, which the rules leave as they are; None if
+        they don't."""
+        from tokenizers import Tokenizer
+
+        spec = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        bare = Tokenizer.from_str(json.dumps(spec))
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        probe = [*letters, letters, *(a + b for a in letters for b in letters)]
+        same = [tuple(x.ids) for x in bare.encode_batch_fast(probe, add_special_tokens=False)] == self.alone(probe)
+        return bare if same else None
+
+    def words(self, words: list[str], tokenizer) -> list[tuple]:
         """Ids of words of letters."""
         out = []
         for at in range(0, len(words), 500):
             some = words[at:at + 500]
-            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            ids = tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
             cuts = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(cuts) == len(some) and cuts[-1] == len(ids):
                 out += [tuple(ids[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)]
@@ -109,22 +122,24 @@ class Encoder:
         return out
 
     def learn(self, new: list[bytes]) -> None:
-        simple, other, cores = [], [], self.kept.cores
-        for raw_word in new:
-            word = raw_word.decode()
-            if word.isascii():
-                word = word.lower()
-            core, tail = (word[:-1], word[-1]) if word[-1] in self.signs else (word, "")
-            if self.last is not None and core.isalpha():
-                simple.append((raw_word, core, tail))
-            else:
-                other.append(raw_word)
-        fresh = list({core for _, core, _ in simple}.difference(cores))
-        cores.update(zip(fresh, self.words(fresh), strict=True))
-        self.kept.add([w for w, _, _ in simple], [cores[core] + self.signs[tail] if tail else cores[core] for _, core, tail in simple])
-        self.kept.add(other, self.alone([w.decode() for w in other]))
+        cores, signs = self.kept.cores, self.signs
+        ascii_words, others = [w for w in new if w.isascii()], [w for w in new if not w.isascii()]
+        # only ASCII may be lower-cased before the tokenizer's own rules
+        texts = b"\n".join(ascii_words).decode().split("\n") if ascii_words else []
+        texts = [t.lower() for t in texts] if self.any_case else texts
+        for words, texts, plain in ((ascii_words, texts, True), (others, [w.decode() for w in others], False)):
+            heads = [t[:-1] if t[-1] in signs else t for t in texts]
+            simple = [h.isalpha() for h in heads]
+            fresh = list({h for h, s in zip(heads, simple, strict=True) if s}.difference(cores))
+            cores.update(zip(fresh, self.words(fresh, self.bare if plain and self.any_case and self.bare else self.tokenizer), strict=True))
+            self.kept.add([w for w, s in zip(words, simple, strict=True) if s],
+                          [cores[h] if len(h) == len(t) else cores[h] + signs[t[-1]] for h, t, s in zip(heads, texts, simple, strict=True) if s])
+            rest = [w for w, s in zip(words, simple, strict=True) if not s]
+            self.kept.add(rest, self.alone([w.decode() for w in rest]))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        if self.last is None:
+            return [np.array([*ids, self.end], np.uint32) for ids in self.alone([t.decode() for t in texts])]
         split = [t.split() for t in texts]
         words = list(chain.from_iterable(split))
         ends = np.cumsum([len(x) for x in split])
