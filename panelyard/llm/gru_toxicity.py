@@ -216,6 +216,8 @@ def common(owner: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
 
 def train(rows: list[tuple[bytes, int]]) -> dict[str, np.ndarray]:
     """rows: text and label. The order of the rows doesn't matter."""
+    if not rows:
+        return new_model() | {"share": np.zeros(1)}
     rows = sorted(rows, key=lambda x: (zlib.crc32(x[0]), x[0]))
     words = Words([t for t, _ in rows])
     windows, masks, counts = windows_of(words)
