@@ -97,8 +97,16 @@ def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def spans_hash(buf: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [first, last) of ``buf``; first > 0."""
-    up, down = powers(len(buf))
-    sums = np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up)
-    return mix64((sums[last - 1] - sums[first - 1]) * down[first])
+def spans_hash(buf: np.ndarray, first: np.ndarray, last: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of the byte spans [first, last) of ``buf``, which are in order; first > 0.
+
+    About ``limit`` bytes are worked on at a time, so the arrays stay small for long texts."""
+    out, i = np.empty(len(first), np.uint64), 0
+    while i < len(first):
+        base = int(first[i]) - 1
+        j = max(i + 1, int(np.searchsorted(last, base + limit, side="right")))
+        up, down = powers(int(last[j - 1]) - base)
+        sums = np.cumsum((buf[base:last[j - 1]].astype(np.uint64) + np.uint64(1)) * up)
+        out[i:j] = mix64((sums[last[i:j] - base - 1] - sums[first[i:j] - base - 1]) * down[first[i:j] - base])
+        i = j
+    return out

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from panelyard.llm.common import id_and_text, mix64, per_text, ranges, spans_hash
 
 WINDOW, STRIDE = 48, 32
-PER_CLASS, MOST_WINDOWS = 2500, 24
+PER_CLASS, MOST_WINDOWS = 2000, 24
 WORDS, GRAMS, WIDE, HIDDEN = 1 << 17, 1 << 15, 16, 8
 STEPS, BATCH, RATE = 400, 48, 0.01
 OFTEN, SEED = 4, 7
@@ -46,12 +46,13 @@ class Words:
         self.counts = np.diff(np.searchsorted(first, ends), prepend=0)
         hashes = spans_hash(buf, first, last)
         self.hash, at, self.ids = np.unique(hashes, return_index=True, return_inverse=True)
-        wide = buf.astype(np.uint64)
-        three = wide[:-4] | wide[1:-3] << np.uint64(8) | wide[2:-2] << np.uint64(16)
-        five = three | wide[3:-1] << np.uint64(24) | wide[4:] << np.uint64(32)
         size = last[at] - first[at]
         # the blanks around a word mark its ends
-        grams = [(mix64(three[ranges(first[at] - 1, size)]), size), (mix64(five[ranges(first[at] - 1, np.maximum(size - 2, 0))]), np.maximum(size - 2, 0))]
+        grams = []
+        for n in (3, 5):
+            many = np.maximum(size + 3 - n, 0)
+            where = ranges(first[at] - 1, many)
+            grams.append((mix64(sum(buf[where + k].astype(np.uint64) << np.uint64(8 * k) for k in range(n))), many))
         self.row = (self.hash % np.uint64(WORDS)).astype(np.int64)
         self.sizes = size + np.maximum(size - 2, 0)
         owner = np.concatenate([np.repeat(np.arange(len(at)), n) for _, n in grams])
@@ -208,10 +209,14 @@ class Adam:
         self.m[k][at] -= self.fixed[k][at][:, None] * rate * total / np.sqrt(self.rows[k][at])
 
 
-def common(owner: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """1 for table rows that occur in at least OFTEN texts; the others stay 0, so nothing is learnt by heart."""
-    pairs = np.unique(owner.astype(np.int64) * size + rows)
-    return (np.bincount(pairs % size, minlength=size) >= OFTEN).astype(np.float32)
+def common(words: Words) -> dict[str, np.ndarray]:
+    """For each hashed table 1 for rows that occur in at least OFTEN texts; the others stay 0, so nothing is learnt by heart."""
+    seen = {"word": np.zeros(WORDS, np.int32), "gram": np.zeros(GRAMS, np.int32)}
+    for ids in words.texts():
+        some = np.unique(ids)
+        seen["word"][np.unique(words.row[some])] += 1
+        seen["gram"][np.unique(words.grams[ranges(words.begin[some], words.sizes[some])])] += 1
+    return {k: (v >= OFTEN).astype(np.float32) for k, v in seen.items()}
 
 
 def train(rows: list[tuple[bytes, int]]) -> dict[str, np.ndarray]:
@@ -225,10 +230,7 @@ def train(rows: list[tuple[bytes, int]]) -> dict[str, np.ndarray]:
     kept = np.flatnonzero(counts <= MOST_WINDOWS)
     labels = np.array([y for _, y in rows], np.float32)
     m = new_model()
-    owner = np.repeat(np.arange(len(rows)), words.counts)
-    fixed = {"word": common(owner, words.row[words.ids] if len(words.ids) else words.ids, WORDS)}
-    fixed["gram"] = common(np.repeat(owner, words.sizes[words.ids]) if len(words.ids) else owner,
-                           words.grams[ranges(words.begin[words.ids], words.sizes[words.ids])] if len(words.ids) else words.ids, GRAMS)
+    fixed = common(words)
     for k, often in fixed.items():
         m[k] *= often[:, None]
     if not len(kept) or not 0 < labels[kept].mean() < 1:
