@@ -50,7 +50,7 @@ def metrics_table(f):
 
 @query("outflow_labels", K + "NEXT_DEP_GROWTH_QOQ:r NEXT_Q_OBSERVED:b SEVERE_RELATIVE_OUTFLOW:i SEVERE_ABSOLUTE_OUTFLOW:i", "v_outflow")
 def outflow_labels(f):
-    return outflow.outflow_labels(f.written_panel, strategy=f.strategy)
+    return outflow.outflow_labels(f.written_panel)
 
 
 def _found(source: str, condition: str, code: str, detail: str) -> str:
@@ -107,13 +107,13 @@ _PASSES = {"PASS_MAX_UNINSURED": "coalesce(UNINSURED_SHARE = m, false)", "PASS_V
        "AS VOLATILE_SHARE_AT_MOST FROM v_section s)) x JOIN v_first_last d ON x.CERT = d.CERT".replace("SELECT *, PASS_MAX", "SELECT x.*, d.* EXCLUDE (CERT), PASS_MAX"))
 def stress_case_report(f):
     """Every entity of the last full quarter as the stress case."""
-    return stress.stress_case_report(stage_treasury(f), QUARTER, strategy=f.strategy)
+    return stress.stress_case_report(stage_treasury(f), QUARTER)
 
 
 def model_table(f: Frames):
     """Labels next to the features of the overlay, written once: every fit reads it."""
     have = [c for c in overlay.FEATURE_SIGNS]
-    df = outflow.outflow_labels(stage_treasury(f), strategy=f.strategy)
+    df = outflow.outflow_labels(stage_treasury(f))
     return cut_lineage(df.select("CERT", "REPDTE", "DEPDOM", overlay.LABEL, *[c for c in have if c in df.columns]))
 
 
@@ -124,41 +124,41 @@ def _features(df):
 @query("logistic_overlay", K + "SUPERVISED_OUTFLOW_SCORE")
 def logistic_overlay(f):
     df = model_table(f)
-    return overlay.full_sample_fit(df, _features(df), kind="logistic", strategy=f.strategy)[0]
+    return overlay.full_sample_fit(df, _features(df), kind="logistic")[0]
 
 
 @query("monotone_overlay", K + "SUPERVISED_OUTFLOW_SCORE")
 def monotone_overlay(f):
     df = model_table(f)
-    return overlay.full_sample_fit(df, _features(df), kind="signed", strategy=f.strategy)[0]
+    return overlay.full_sample_fit(df, _features(df), kind="signed")[0]
 
 
 @query("tree_overlay", K + "SUPERVISED_OUTFLOW_SCORE")
 def tree_overlay(f):
     """Boosted trees; the number of rounds is a parameter."""
     df = model_table(f)
-    return overlay.full_sample_fit(df, _features(df), kind="trees", strategy=f.strategy, trees=5)[0]
+    return overlay.full_sample_fit(df, _features(df), kind="trees", trees=5)[0]
 
 
 @query("walk_forward", K + "SUPERVISED_OUTFLOW_SCORE SUPERVISED_TRAIN_QUARTERS SUPERVISED_OOT_AUC_MEAN")
 def walk_forward(f):
     df = model_table(f)
-    return overlay.walk_forward(df, _features(df), strategy=f.strategy)[0]
+    return overlay.walk_forward(df, _features(df))[0]
 
 
 @query("full_sample_fit", K + "SUPERVISED_OUTFLOW_SCORE")
 def full_sample_fit(f):
     df = model_table(f)
-    return overlay.full_sample_fit(df, _features(df), label="SEVERE_ABSOLUTE_OUTFLOW", strategy=f.strategy)[0]
+    return overlay.full_sample_fit(df, _features(df), label="SEVERE_ABSOLUTE_OUTFLOW")[0]
 
 
 @query("importances", "RANK FEATURE IMPORTANCE")
 def importances(f):
     df = model_table(f)
-    return overlay.importance_table(f.spark, overlay.full_sample_fit(df, _features(df), strategy=f.strategy)[1])
+    return overlay.importance_table(f.spark, overlay.full_sample_fit(df, _features(df))[1])
 
 
 @query("supervised_overlay", K + "SUPERVISED_OUTFLOW_SCORE SUPERVISED_RISK_SCORE SUPERVISED_MODEL_TYPE SUPERVISED_LABEL_KIND "
        "SEVERE_ABSOLUTE_OUTFLOW")
 def supervised_overlay(f):
-    return overlay.supervised_overlay(cut_lineage(stage_treasury(f)), walk=False, strategy=f.strategy)
+    return overlay.supervised_overlay(cut_lineage(stage_treasury(f)), walk=False)

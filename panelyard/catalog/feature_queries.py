@@ -49,7 +49,7 @@ _RANKS = [f"RANK_{n}" for n, _, _ in cfg.RUN_RISK_COMPONENTS]
 @query("run_risk_score", K + cols([*_RANKS, "RUN_RISK_SCORE", "STICKINESS_SCORE"]), "v_run")
 def run_risk_score(f):
     df = deposits.deposit_dynamics(deposits.deposit_cost(deposits.time_deposit_buckets(deposits.deposit_mix(f.panel))))
-    return deposits.run_risk_score(df, strategy=f.strategy)
+    return deposits.run_risk_score(df)
 
 
 @query("time_deposit_wal", K + "TIME_DEPOSIT_WAL:r TIME_DEPOSIT_STABLE_EQUIV:r", "v_wal")
@@ -293,13 +293,12 @@ _CONTRIB = [f"ALM_MISMATCH_INDEX_CONTRIB_{c}" for c, _, _ in cfg.MISMATCH_COMPON
 
 @query("weighted_index", K + "PEER_GROUP ALM_MISMATCH_INDEX:r " + cols(_CONTRIB), "v_windex")
 def weighted(f):
-    return indices.weighted_index(indices.with_peer_group(stage_mismatch(f), BANDS), cfg.MISMATCH_COMPONENTS, "ALM_MISMATCH_INDEX",
-                                  strategy=f.strategy)
+    return indices.weighted_index(indices.with_peer_group(stage_mismatch(f), BANDS), cfg.MISMATCH_COMPONENTS, "ALM_MISMATCH_INDEX")
 
 
 @query("fragility_indices", K + "PEER_GROUP " + cols(cfg.INDEX_COLUMNS), "v_idx")
 def fragility_indices(f):
-    return indices.fragility_indices(stage_competition(f), BANDS, strategy=f.strategy)
+    return indices.fragility_indices(stage_competition(f), BANDS)
 
 
 @query("indices_frame", K + "PEER_GROUP INDEX_VERSION " + cols(cfg.INDEX_COLUMNS)
@@ -312,7 +311,7 @@ def indices_frame(f):
 @query("run_risk_index", K + "PEER_GROUP RUN_RISK_SCORE:r RUN_RISK_INDEX:r",
        f"SELECT *, 100.0e0 * {pct_rank('RUN_RISK_SCORE', 'REPDTE, PEER_GROUP', '0.5e0')} AS RUN_RISK_INDEX FROM (SELECT *, {PEERS} AS PEER_GROUP FROM v_run)")
 def run_risk_index(f):
-    return indices.fragility_indices(stage_deposits(f), BANDS, {"ALM_MISMATCH_INDEX": [], "TREASURY_BUFFER_INDEX": []}, f.strategy)
+    return indices.fragility_indices(stage_deposits(f), BANDS, {"ALM_MISMATCH_INDEX": [], "TREASURY_BUFFER_INDEX": []})
 
 
 @query("treasury_features", K + "TREASURY_TO_UNINSURED_AFTER_100BP:r HQLA_NARROW_LOWER_TO_RUNNABLE:r YC_10Y_3M_SLOPE_BP:r "

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import quarter_end
-from panelyard.operators.ordered import WINDOW_ROWS
 from panelyard.session import cut_lineage
 
 # Size bands that split the surrogate entities into four groups.
@@ -102,12 +101,6 @@ class Frames:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    @cached_property
-    def strategy(self) -> str:
-        """How to rank: a panel has one row per entity and date, so no group of a quarter has
-        more rows than there are entities. That bound is read from the file footers."""
-        return "window" if self.table("supplier").count() <= WINDOW_ROWS else "sliced"
-
     @cached_property
     def financials(self) -> DataFrame:
         """One row per entity and quarter; lines are summed before anything is joined."""

@@ -15,7 +15,7 @@ from panelyard.session import cut_lineage
 
 
 def stage_deposits(f: Frames, panel=None):
-    return deposits.deposit_features(f.panel if panel is None else panel, strategy=f.strategy)
+    return deposits.deposit_features(f.panel if panel is None else panel)
 
 
 def stage_mismatch(f: Frames, panel=None):
@@ -28,12 +28,12 @@ def stage_treasury(f: Frames):
 
 
 def stage_competition(f: Frames):
-    return competition.competition_features(stage_treasury(f), f.rates, strategy=f.strategy)
+    return competition.competition_features(stage_treasury(f), f.rates)
 
 
 def stage_indices(f: Frames):
     """The whole pipeline on one lineage."""
-    return indices.indices_frame(stage_competition(f), bands=BANDS, strategy=f.strategy)
+    return indices.indices_frame(stage_competition(f), bands=BANDS)
 
 
 def written_indices(f: Frames):
@@ -75,7 +75,7 @@ _SUMMARY = [*cfg.INDEX_COLUMNS, *cfg.SUMMARY_FEATURES]
        + " FROM v_idx GROUP BY 1, 2")
 def peer_summary(f):
     # read twice (moments and medians), so the index table is written once
-    return reports.peer_summary(cut_lineage(stage_indices(f).select("REPDTE", "PEER_GROUP", *_SUMMARY)), f.strategy)
+    return reports.peer_summary(cut_lineage(stage_indices(f).select("REPDTE", "PEER_GROUP", *_SUMMARY)))
 
 
 _REGIME = ["HAS_TREASURY_YIELD_HISTORY", "YC_3MO", "YC_2YR", "YC_10YR"]
@@ -151,7 +151,7 @@ def duplicate_keys(f):
 @query("group_quantile", "REPDTE:d P5:r",
        "SELECT REPDTE, quantile_cont(BRO, 0.05) AS P5 FROM v_panel WHERE BRO IS NOT NULL GROUP BY 1")
 def group_quantile(f):
-    return outflow.group_quantile(f.panel, "REPDTE", "BRO", 0.05, "P5", f.strategy)
+    return outflow.group_quantile(f.panel, "REPDTE", "BRO", 0.05, "P5")
 
 
 @query("group_quantile_sliced", "l_returnflag P5:r P50:r P90:r",
@@ -172,7 +172,7 @@ def group_quantile_sliced(f):
 def median_impute(f):
     df = f.panel
     train = df.filter(F.col("REPDTE") < F.lit("1999-01-01").cast("date"))
-    return overlay.median_impute(train, df, ["BRO", "DDT", "IDCD1T3"], f.strategy)
+    return overlay.median_impute(train, df, ["BRO", "DDT", "IDCD1T3"])
 
 
 @query("usable_features", "FEATURE N_VALUES:i STD:r",

@@ -35,7 +35,7 @@ _LEAGUE = ["ASSET", *cfg.INDEX_COLUMNS, "RUN_RISK_SCORE", "DEPOSIT_COMPETITION_P
        "SELECT *, CASE WHEN FUNDING_FRAGILITY_INDEX IS NOT NULL THEN rank() OVER (ORDER BY FUNDING_FRAGILITY_INDEX DESC NULLS LAST) END "
        f"AS FRAGILITY_RANK FROM v_idx WHERE REPDTE = DATE '{QUARTER}'")
 def league_table(f):
-    return reports.league_table(stage_indices(f), QUARTER, f.strategy)
+    return reports.league_table(stage_indices(f), QUARTER)
 
 
 @query("scenario_comparison", "CERT NAMEFULL RUN_RISK_SCORE:r " + cols(cfg.SCENARIO_COLUMNS), f"SELECT * FROM v_dep WHERE REPDTE = DATE '{QUARTER}'")

@@ -271,7 +271,7 @@ def normalize(f):
 def risk_band(f):
     from panelyard.plans.deposits import deposit_features
 
-    df = deposit_features(f.panel, strategy=f.strategy)
+    df = deposit_features(f.panel)
     return df.withColumns({"BAND": S.threshold_label("RUN_RISK_SCORE", cfg.RISK_BANDS, "low"),
                            "TIER": S.threshold_label("RUN_RISK_SCORE", cfg.COMPOSITE_TIERS, "low")})
 

@@ -20,7 +20,7 @@ KEYS = ["CERT", "REPDTE"]
        f"{pct_rank('RSSDHCR', 'REPDTE')} AS OPEN FROM v_panel")
 def pct_rank_quarter(f):
     ranks = [Rank("BRO", "UP", fill=0.5), Rank("DDT", "DOWN", flip=True, fill=0.5), Rank("RSSDHCR", "OPEN")]
-    return add_ranks(f.panel, ["REPDTE"], ranks, KEYS, f.strategy)
+    return add_ranks(f.panel, ["REPDTE"], ranks, KEYS)
 
 
 FRAGMENTS["v_banded"] = f"SELECT *, {PEERS} AS PEER_GROUP FROM v_panel"
@@ -31,7 +31,7 @@ FRAGMENTS["v_banded"] = f"SELECT *, {PEERS} AS PEER_GROUP FROM v_panel"
        f"100.0e0 * coalesce(1.0e0 - {pct_rank('RSSDHCR', GROUP)}, 0.5e0) AS FLIPPED FROM v_banded")
 def pct_rank_peer(f):
     ranks = [Rank("BRO", "P", scale=100.0, fill=0.5), Rank("RSSDHCR", "FLIPPED", flip=True, scale=100.0, fill=0.5)]
-    return add_ranks(indices.with_peer_group(f.panel, BANDS), ["REPDTE", "PEER_GROUP"], ranks, KEYS, f.strategy)
+    return add_ranks(indices.with_peer_group(f.panel, BANDS), ["REPDTE", "PEER_GROUP"], ranks, KEYS)
 
 
 @query("pct_rank_sliced", "l_orderkey l_linenumber:i l_partkey R:r PLACE:i",
@@ -100,7 +100,7 @@ def latest_snapshot(f):
        "AS SHARE_AT_MOST FROM v_panel")
 def competition_rank(f):
     ranks = [Rank("BRO", "PLACE", "competition"), Rank("BRO", "ENTITY_RANK", "ascending"), Rank("BRO", "__m", "at_most")]
-    ranked = add_ranks(f.panel, ["REPDTE"], ranks, KEYS, f.strategy)
+    ranked = add_ranks(f.panel, ["REPDTE"], ranks, KEYS)
     sizes = f.panel.groupBy("REPDTE").agg(F.count(F.lit(1)).alias("__n"))  # one row per report date
     return ranked.join(F.broadcast(sizes), "REPDTE").withColumn("SHARE_AT_MOST", F.col("__m") / F.col("__n"))
 

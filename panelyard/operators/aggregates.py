@@ -144,7 +144,7 @@ def sod_features(sod: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def group_summary(df: DataFrame, by: Sequence[str], values: Sequence[str],
-                  slices: int | None = None, strategy: str = "sliced") -> DataFrame:
+                  slices: int | None = None) -> DataFrame:
     """``X_MEDIAN``, ``X_MEAN``, ``X_COUNT`` per group, a NULL key being a group of its own.
 
     Means and counts are one partial aggregate; medians come from sliced histograms.
@@ -154,7 +154,7 @@ def group_summary(df: DataFrame, by: Sequence[str], values: Sequence[str],
         *[a for v in values for a in (F.avg(v).alias(f"{v}_MEAN"), F.count(v).alias(f"{v}_COUNT"))])
     # NULL keys stay a group: the quantile pass sees a stand-in struct, never NULL itself
     marked = df.withColumns({f"__by_{k}": F.struct(F.col(k).alias("k")) for k in by})
-    quantiles = exact_quantiles(marked, [f"__by_{k}" for k in by], values, [0.5], slices, strategy)
+    quantiles = exact_quantiles(marked, [f"__by_{k}" for k in by], values, [0.5], slices)
     quantiles = quantiles.select("*", *[F.col(f"__by_{k}.k").alias(k) for k in by])
     medians = quantiles.groupBy(*by).agg(
         *[F.max(F.when(F.col("__metric") == v, F.col("q0"))).alias(f"{v}_MEDIAN") for v in values])

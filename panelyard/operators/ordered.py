@@ -23,10 +23,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.functions.scalars import double
 from panelyard.session import cut_lineage
 
-WINDOW_ROWS = 500_000
+SLICE_ROWS = 200_000
 COUNT = "__n"
 
 
@@ -41,10 +40,11 @@ def running_weights(hist: DataFrame, groups: Sequence[str], value: str, weights:
     """Add ``<w>__below`` and ``<w>__total`` to a histogram.
 
     ``hist`` has one row per (groups, value); ``weights`` are non-negative columns of it.
-    Groups must not be NULL. ``slices`` defaults to the number of shuffle partitions.
+    Groups must not be NULL. ``slices`` defaults to one for each SLICE_ROWS rows of the histogram.
     """
     groups = list(groups)
-    n = slices or int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hist = cut_lineage(hist)  # sampled and dealt out from one written copy
+    n = slices or max(1, -(-hist.count() // SLICE_ROWS))
     sliced = cut_lineage(hist.repartitionByRange(n, *groups, value).withColumn("__slice", F.spark_partition_id()))
     # Slices are contiguous, so there are at most (slices + groups) of these rows.
     totals = sliced.groupBy(*groups, "__slice").agg(*[F.sum(w).alias(w) for w in weights])
@@ -102,70 +102,15 @@ class Rank:
         return rank * F.lit(self.scale) if self.scale != 1.0 else rank
 
 
-    def sql(self, place: str, ties: str, total: str) -> str:
-        """The same from SQL texts of rank, ties and count."""
-        if self.kind == "competition":
-            return f"{total} - {place} - {ties} + 2"
-        if self.kind == "ascending":
-            return f"CAST({place} AS BIGINT)"
-        if self.kind == "at_most":
-            return f"{place} - 1 + {ties}"
-        rank = f"({place} - 1 + ({ties} + 1) / 2D) / {total}"
-        if self.flip:
-            rank = f"(1D - {rank})"
-        return f"{rank} * {double(self.scale)}" if self.scale != 1.0 else rank
-
-    def absent(self) -> str:
-        return "NULL" if self.fill is None else double(self.fill * self.scale)
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group (one small aggregate)."""
-    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return int(row[0] or 0)
-
+def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Sequence[str], slices: int | None = None) -> DataFrame:
+    """Rank columns inside groups of any size; ``keys`` identify a row.
 
-def rank_strategy(df: DataFrame, by: Sequence[str], limit: int = WINDOW_ROWS) -> str:
-    """``window`` if every group is known to fit one task, else ``sliced``."""
-    return "window" if largest_group(df, by) <= limit else "sliced"
-
-
-def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Sequence[str],
-              strategy: str = "auto", slices: int | None = None) -> DataFrame:
-    """Rank columns inside groups; ``keys`` identify a row.
-
-    ``window`` ranks all columns in one exchange on ``by`` and is for groups that a
-    check found small; ``sliced`` is for any size; ``auto`` makes the check itself.
+    Only keys, groups and values are ranked, as narrow rows, and joined back once.
     """
     by, keys = list(by), list(keys)
     for name in {r.value for r in ranks} - set(df.columns):
         df = df.withColumn(name, F.lit(None).cast("double"))
-    if strategy == "auto":
-        df = cut_lineage(df)  # counted and ranked from one written copy
-        strategy = rank_strategy(df, by)
-    elif strategy == "sliced":
-        df = cut_lineage(df)  # read three times below
-    if strategy == "window":
-        return _rank_in_windows(df, by, ranks)
-    if strategy != "sliced":
-        raise ValueError(f"unknown rank strategy: {strategy}")
-    return _rank_in_slices(df, by, ranks, keys, slices)
-
-
-def _rank_in_windows(df: DataFrame, by: list[str], ranks: Sequence[Rank]) -> DataFrame:
-    """All ranks over one partitioning, written as SQL text (one call per column)."""
-    group = ", ".join(f"`{n}`" for n in by)
-    known = "".join(f" AND `{n}` IS NOT NULL" for n in by)
-    out = {}
-    for r in ranks:
-        value = f"CAST(`{r.value}` AS DOUBLE)"
-        order = f"PARTITION BY {group} ORDER BY {value} ASC NULLS LAST"
-        place = f"rank() OVER ({order})"
-        ties = f"count({value}) OVER ({order} RANGE BETWEEN CURRENT ROW AND CURRENT ROW)"
-        count = f"count({value}) OVER (PARTITION BY {group})"
-        out[r.out] = F.expr(f"CASE WHEN {value} IS NOT NULL{known} THEN {r.sql(place, ties, count)} "
-                            f"ELSE {r.absent()} END")
-    return df.withColumns(out)
+    return _rank_in_slices(cut_lineage(df), by, ranks, keys, slices)
 
 
 def _rank_in_slices(df: DataFrame, by: list[str], ranks: Sequence[Rank], keys: list[str],
@@ -203,19 +148,12 @@ def _at(position: Column, below: str, count: str, value: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str], shares: Sequence[float],
-                    slices: int | None = None, strategy: str = "sliced") -> DataFrame:
-    """Linear-interpolated quantiles: one row per (by, ``__metric``) with ``q0``, ``q1``.. and ``n``.
-
-    ``window`` is for groups known to fit one task: Spark's own percentile aggregate.
-    """
+                    slices: int | None = None) -> DataFrame:
+    """Linear-interpolated quantiles: one row per (by, ``__metric``) with ``q0``, ``q1``.. and ``n``."""
     groups = [*by, "__metric"]
     rows = stack_values(df, by, values)
     for name in by:
         rows = rows.filter(F.col(name).isNotNull())
-    if strategy == "window":
-        return rows.groupBy(*groups).agg(
-            F.count("__value").alias("n"),
-            *[F.percentile("__value", float(share)).alias(f"q{i}") for i, share in enumerate(shares)])
     placed = running_weights(histogram(rows, groups), groups, "__value", [COUNT], slices)
     n, below = F.col(f"{COUNT}__total"), f"{COUNT}__below"
     picks = []

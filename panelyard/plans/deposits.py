@@ -73,8 +73,7 @@ def deposit_dynamics(df: DataFrame) -> DataFrame:
 
 
 def rank_score(df: DataFrame, components: Sequence[tuple[str, float, str]], score: str, complement: str,
-               fill: float = 0.5, by: Sequence[str] = ("REPDTE",), keys: Sequence[str] = SCORE_KEYS,
-               strategy: str = "auto") -> DataFrame:
+               fill: float = 0.5, by: Sequence[str] = ("REPDTE",), keys: Sequence[str] = SCORE_KEYS) -> DataFrame:
     """100 x weighted mean of percentile ranks, with ``RANK_<column>`` kept per component.
 
     Components with a weight of zero or less are left out; an absent column ranks as ``fill``.
@@ -84,15 +83,15 @@ def rank_score(df: DataFrame, components: Sequence[tuple[str, float, str]], scor
         return df.withColumns({score: F.lit(None).cast("double"), complement: F.lit(None).cast("double")})
     ranks = [Rank(name, f"RANK_{name}", fill=fill) for name, _ in used]
     have = df.columns
-    df = add_ranks(df, by, ranks, keys, strategy).select(*have, *[r.out for r in ranks])
+    df = add_ranks(df, by, ranks, keys).select(*have, *[r.out for r in ranks])
     weight_sum = sum(weight for _, weight in used)
     weighted = nz_weighted({f"RANK_{name}": weight for name, weight in used})
     df = df.withColumn(score, F.expr(f"({weighted}) / {double(weight_sum)} * 100D"))
     return df.withColumn(complement, F.lit(100.0) - F.col(score))
 
 
-def run_risk_score(df: DataFrame, components=cfg.RUN_RISK_COMPONENTS, strategy: str = "auto") -> DataFrame:
-    return rank_score(df, components, "RUN_RISK_SCORE", "STICKINESS_SCORE", strategy=strategy)
+def run_risk_score(df: DataFrame, components=cfg.RUN_RISK_COMPONENTS) -> DataFrame:
+    return rank_score(df, components, "RUN_RISK_SCORE", "STICKINESS_SCORE")
 
 
 def time_deposit_wal(df: DataFrame, horizon: float = cfg.STABILITY_HORIZON_YEARS) -> DataFrame:
@@ -130,8 +129,8 @@ def deposit_life_scenarios(df: DataFrame, scenarios: Sequence[cfg.LifeScenario]
     return df.withColumns(out).drop("__risk")
 
 
-def deposit_features(panel: DataFrame, components=cfg.RUN_RISK_COMPONENTS, strategy: str = "auto") -> DataFrame:
+def deposit_features(panel: DataFrame, components=cfg.RUN_RISK_COMPONENTS) -> DataFrame:
     """The whole deposit stage: panel rows in, the same rows with deposit features out."""
     known = panel.filter(F.col("CERT").isNotNull() & F.col("REPDTE").isNotNull())
     df = deposit_dynamics(deposit_cost(time_deposit_buckets(deposit_mix(known))))
-    return deposit_life_scenarios(time_deposit_wal(run_risk_score(df, components, strategy)))
+    return deposit_life_scenarios(time_deposit_wal(run_risk_score(df, components)))

@@ -51,18 +51,18 @@ def _combine(df: DataFrame, index: str, components: Sequence[tuple[str, float]],
 
 
 def weighted_index(df: DataFrame, components, index: str, by: Sequence[str] = GROUP, flip: bool = False,
-                   keys: Sequence[str] = KEYS, strategy: str = "auto") -> DataFrame:
+                   keys: Sequence[str] = KEYS) -> DataFrame:
     """Weighted mean of peer percentiles (0-100); each part is kept as a contribution.
 
     Components the frame lacks are left out and the weights renormalised.
     """
     usable = _usable(df, components)
     ranks = [Rank(name, f"__p_{name}", flip=flip, scale=100.0, fill=0.5) for name, _ in usable]
-    ranked = add_ranks(df, by, ranks, keys, strategy) if ranks else df
+    ranked = add_ranks(df, by, ranks, keys) if ranks else df
     return _combine(ranked, index, usable, lambda name: f"__p_{name}").drop(*[r.out for r in ranks])
 
 
-def fragility_indices(df: DataFrame, bands=cfg.SIZE_BANDS, weighted=None, strategy: str = "auto") -> DataFrame:
+def fragility_indices(df: DataFrame, bands=cfg.SIZE_BANDS, weighted=None) -> DataFrame:
     """All indices from one pass of ranks inside (quarter, peer group)."""
     weighted = weighted or WEIGHTED_INDICES
     df = with_peer_group(df, bands)
@@ -70,7 +70,7 @@ def fragility_indices(df: DataFrame, bands=cfg.SIZE_BANDS, weighted=None, strate
     plain = {source: names for source, names in PLAIN_INDICES.items() if source in df.columns}
     sources = list(dict.fromkeys([*plain, *[name for usable in parts.values() for name, _ in usable]]))
     ranks = [Rank(name, f"__p_{name}", scale=100.0, fill=0.5) for name in sources]
-    df = add_ranks(df, GROUP, ranks, KEYS, strategy) if ranks else df
+    df = add_ranks(df, GROUP, ranks, KEYS) if ranks else df
     simple = {}
     for source, (index, inverse) in PLAIN_INDICES.items():
         value = f"__p_{source}" if source in plain else "CAST(NULL AS DOUBLE)"
@@ -104,9 +104,9 @@ def unhedged_flag(df: DataFrame) -> DataFrame:
 
 
 def indices_frame(first: DataFrame, *stages: DataFrame, bands=cfg.SIZE_BANDS, version: str = cfg.BASE_VERSION,
-                  weighted=None, strategy: str = "auto") -> DataFrame:
+                  weighted=None) -> DataFrame:
     """Stage outputs to the published index table. One stage that carries all columns needs no join."""
-    df = fragility_indices(merge_stages(first, *stages), bands, weighted, strategy)
+    df = fragility_indices(merge_stages(first, *stages), bands, weighted)
     for flag, prefixes in FLAG_PREFIXES.items():
         if flag not in df.columns:
             df = df.withColumn(flag, any_present([c for c in df.columns if c.startswith(prefixes)]))

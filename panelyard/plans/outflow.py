@@ -22,12 +22,12 @@ def next_growth(df: DataFrame) -> DataFrame:
     })
 
 
-def group_quantile(df: DataFrame, by: str, value: str, share: float, out: str, strategy: str = "sliced") -> DataFrame:
+def group_quantile(df: DataFrame, by: str, value: str, share: float, out: str) -> DataFrame:
     """One row per group: the interpolated quantile of the non-null values."""
-    return exact_quantiles(df, [by], [value], [share], strategy=strategy).select(by, F.col("q0").alias(out))
+    return exact_quantiles(df, [by], [value], [share]).select(by, F.col("q0").alias(out))
 
 
-def outflow_labels(df: DataFrame, percentile: float = 5.0, strategy: str = "sliced") -> DataFrame:
+def outflow_labels(df: DataFrame, percentile: float = 5.0) -> DataFrame:
     """Weakest next-quarter growth of each quarter, and the same restricted to real shrinkage.
 
     The threshold table has one row per report date, so it is broadcast.
@@ -35,7 +35,7 @@ def outflow_labels(df: DataFrame, percentile: float = 5.0, strategy: str = "slic
     df = next_growth(df)
     growth = F.col("NEXT_DEP_GROWTH_QOQ")
     observed = F.col("NEXT_Q_OBSERVED") & growth.isNotNull()
-    cut = group_quantile(df.filter(observed), "REPDTE", "NEXT_DEP_GROWTH_QOQ", percentile / 100.0, "__cut", strategy)
+    cut = group_quantile(df.filter(observed), "REPDTE", "NEXT_DEP_GROWTH_QOQ", percentile / 100.0, "__cut")
     df = df.join(F.broadcast(cut), "REPDTE", "left")
     weak = F.coalesce(growth <= F.col("__cut"), F.lit(False))
     return df.withColumns({

@@ -70,25 +70,24 @@ def _vector(df: DataFrame, features: Sequence[str], centres: Sequence[float], sc
     return VectorAssembler(inputCols=names, outputCol="__features").transform(scaled).drop(*names)
 
 
-def train_medians(train: DataFrame, features: Sequence[str], strategy: str = "sliced") -> list[float]:
+def train_medians(train: DataFrame, features: Sequence[str]) -> list[float]:
     """Median per feature over the training rows, 0 for an empty one (one value per feature is read)."""
     numbers = train.select(*[number(f).alias(f) for f in features])
-    found = {r["__metric"]: r["q0"] for r in exact_quantiles(numbers, [], features, [0.5], strategy=strategy).collect()}
+    found = {r["__metric"]: r["q0"] for r in exact_quantiles(numbers, [], features, [0.5]).collect()}
     return [float(found.get(f, 0.0)) for f in features]
 
 
-def median_impute(train: DataFrame, rows: DataFrame, features: Sequence[str], strategy: str = "sliced") -> DataFrame:
+def median_impute(train: DataFrame, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Fill gaps of ``rows`` with the medians of ``train`` as a plan (no value passes the driver)."""
     numbers = train.select(*[number(f).alias(f) for f in features])
-    medians = exact_quantiles(numbers, [], features, [0.5], strategy=strategy)
+    medians = exact_quantiles(numbers, [], features, [0.5])
     wide = medians.agg(*[F.max(F.when(F.col("__metric") == f, F.col("q0"))).alias(f) for f in features])
     one = wide.select(F.struct(*features)).scalar()
     filled = rows.withColumn("__m", one)
     return filled.withColumns({f: F.coalesce(number(f), F.col("__m")[f], F.lit(0.0)) for f in features}).drop("__m")
 
 
-def fit_model(train: DataFrame, features: Sequence[str], label: str = LABEL, kind: str = "logistic",
-              strategy: str = "sliced", trees: int = TREES, min_rows: int = 0) -> Fitted | None:
+def fit_model(train: DataFrame, features: Sequence[str], label: str = LABEL, kind: str = "logistic", trees: int = TREES, min_rows: int = 0) -> Fitted | None:
     """Fit on the labelled rows; None unless both classes and ``min_rows`` rows occur.
 
     ``logistic``: L2, balanced classes. ``signed``: the same with each coefficient held to
@@ -96,7 +95,7 @@ def fit_model(train: DataFrame, features: Sequence[str], label: str = LABEL, kin
     """
     features = list(features)
     known = train.filter(F.col(label).isNotNull())
-    medians = train_medians(known, features, strategy)
+    medians = train_medians(known, features)
     filled = _imputed(known, features, medians)
     stats = filled.agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label)).alias("p"),
@@ -139,15 +138,13 @@ def _unscored(df: DataFrame) -> DataFrame:
     return df.withColumn(SCORE, F.lit(None).cast("double"))
 
 
-def full_sample_fit(df: DataFrame, features: Sequence[str], label: str = LABEL, kind: str = "logistic",
-                    strategy: str = "sliced", trees: int = TREES) -> tuple[DataFrame, Fitted | None]:
+def full_sample_fit(df: DataFrame, features: Sequence[str], label: str = LABEL, kind: str = "logistic", trees: int = TREES) -> tuple[DataFrame, Fitted | None]:
     """One fit over all labelled rows; unscored with fewer than 50 rows or one class."""
-    fitted = fit_model(df, features, label, kind, strategy, trees, MIN_ROWS)
+    fitted = fit_model(df, features, label, kind, trees, MIN_ROWS)
     return (_unscored(df) if fitted is None else fitted.score(df)), fitted
 
 
-def walk_forward(df: DataFrame, features: Sequence[str], label: str = LABEL, kind: str = "logistic",
-                 strategy: str = "sliced", min_quarters: int = MIN_QUARTERS, min_events: int = MIN_EVENTS,
+def walk_forward(df: DataFrame, features: Sequence[str], label: str = LABEL, kind: str = "logistic", min_quarters: int = MIN_QUARTERS, min_events: int = MIN_EVENTS,
                  trees: int = TREES) -> tuple[DataFrame, Fitted | None]:
     """Score each quarter with a model trained on all earlier ones.
 
@@ -162,7 +159,7 @@ def walk_forward(df: DataFrame, features: Sequence[str], label: str = LABEL, kin
     for seen, row in enumerate(quarters):
         day = F.lit(row["REPDTE"])
         if seen >= min_quarters and events >= min_events:
-            last = fit_model(table.filter(F.col("REPDTE") < day), features, label, kind, strategy, trees) or last
+            last = fit_model(table.filter(F.col("REPDTE") < day), features, label, kind, trees) or last
         events += row["events"]
         test = table.filter(F.col("REPDTE") == day)
         scored = _unscored(test) if last is None else last.score(test)
@@ -185,14 +182,14 @@ def importance_table(spark, fitted: Fitted | None) -> DataFrame:
 
 
 def supervised_overlay(df: DataFrame, percentile: float = 5.0, walk: bool = True, kind: str = "signed",
-                       label: str = LABEL, strategy: str = "sliced", trees: int = TREES) -> DataFrame:
+                       label: str = LABEL, trees: int = TREES) -> DataFrame:
     """Labels, usable features, model scores and the 0-100 risk score."""
-    labelled = cut_lineage(outflow_labels(df, percentile, strategy))
+    labelled = cut_lineage(outflow_labels(df, percentile))
     features = usable_features(labelled, list(FEATURE_SIGNS))
     if len(features) < MIN_FEATURES:
         return _unscored(labelled).withColumn("SUPERVISED_RISK_SCORE", F.lit(None).cast("double"))
     run = walk_forward if walk else full_sample_fit
-    scored, fitted = run(labelled, features, label, kind, strategy, trees=trees)
+    scored, fitted = run(labelled, features, label, kind, trees=trees)
     extra = {"SUPERVISED_MODEL_TYPE": F.lit(kind), "SUPERVISED_LABEL_KIND": F.lit(label),
              "SUPERVISED_RISK_SCORE": clip(F.col(SCORE) * 100.0, 0, 100)}
     for i, (name, value) in enumerate(fitted.importances() if fitted else []):

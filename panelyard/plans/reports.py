@@ -27,13 +27,13 @@ def drill_down(df: DataFrame, cert: str) -> DataFrame:
     return rows.select(*present_columns(df, names)).orderBy("REPDTE")
 
 
-def league_table(df: DataFrame, quarter: str, strategy: str = "auto") -> DataFrame:
+def league_table(df: DataFrame, quarter: str) -> DataFrame:
     """One quarter by composite, ranked from the most fragile (ties share a rank, unknown last)."""
     names = ["CERT", "NAMEFULL", "PEER_GROUP", "ASSET", *cfg.INDEX_COLUMNS, "RUN_RISK_SCORE",
              "DEPOSIT_COMPETITION_PRESSURE_SCORE", *cfg.LEAGUE_FEATURES]
     rows = in_quarter(df, quarter).select("REPDTE", *present_columns(df, names))
     ranked = add_ranks(rows, ["REPDTE"], [Rank("FUNDING_FRAGILITY_INDEX", "FRAGILITY_RANK", "competition")],
-                       ["CERT"], strategy)
+                       ["CERT"])
     return ranked.drop("REPDTE").orderBy(F.col("FUNDING_FRAGILITY_INDEX").desc_nulls_last(), "CERT")
 
 
@@ -44,9 +44,9 @@ def scenario_comparison(df: DataFrame, quarter: str) -> DataFrame:
     return rows.orderBy(F.col("RUN_RISK_SCORE").desc_nulls_last(), "CERT")
 
 
-def peer_summary(df: DataFrame, strategy: str = "sliced") -> DataFrame:
+def peer_summary(df: DataFrame) -> DataFrame:
     """Median, mean and count of the published measures per quarter and peer group."""
-    return group_summary(df, ["REPDTE", "PEER_GROUP"], [*cfg.INDEX_COLUMNS, *cfg.SUMMARY_FEATURES], strategy=strategy)
+    return group_summary(df, ["REPDTE", "PEER_GROUP"], [*cfg.INDEX_COLUMNS, *cfg.SUMMARY_FEATURES])
 
 
 def regime_summary(df: DataFrame) -> DataFrame:

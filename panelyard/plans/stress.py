@@ -13,8 +13,7 @@ RATIOS = {"UNINSURED_SHARE": "competition", "TREASURY_TO_UNINSURED": "ascending"
           "VOLATILE_TO_LIQUID_LOWER": "competition"}
 
 
-def stress_case_report(panel: DataFrame, quarter: str, cert: str | None = None,
-                       strategy: str = "auto") -> DataFrame:
+def stress_case_report(panel: DataFrame, quarter: str, cert: str | None = None) -> DataFrame:
     """Ranks, first-to-last changes and three pass/fail rules per entity of a quarter.
 
     With ``cert`` the report is cut to that entity; ranks still run over the whole quarter.
@@ -23,12 +22,11 @@ def stress_case_report(panel: DataFrame, quarter: str, cert: str | None = None,
     section = rows.filter(F.col("REPDTE") == F.lit(quarter).cast("date"))
     ranks = [Rank(name, f"RANK_{name}", kind) for name, kind in RATIOS.items()]
     ranks.append(Rank("VOLATILE_TO_LIQUID_LOWER", "__at_most", "at_most"))
-    ranked = add_ranks(section, ["REPDTE"], ranks, ["CERT", "REPDTE"], strategy)
+    ranked = add_ranks(section, ["REPDTE"], ranks, ["CERT", "REPDTE"])
     whole = section.groupBy("REPDTE").agg(
         F.count(F.lit(1)).alias("N_ROWS"), F.max("UNINSURED_SHARE").alias("__max"),
         *[F.count(name).alias(f"N_{name}") for name in RATIOS])
-    medians = exact_quantiles(section, ["REPDTE"], ["TREASURY_TO_UNINSURED"], [0.5], strategy=(
-        "window" if strategy == "window" else "sliced")).select("REPDTE", F.col("q0").alias("__median"))
+    medians = exact_quantiles(section, ["REPDTE"], ["TREASURY_TO_UNINSURED"], [0.5]).select("REPDTE", F.col("q0").alias("__median"))
     first_last = rows.groupBy("CERT").agg(*[
         a for name in RATIOS
         for a in (F.min_by(F.struct(name), "REPDTE").alias(f"__first_{name}"),

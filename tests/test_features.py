@@ -152,13 +152,12 @@ def test_worse_bank_scores_higher(frame):
     good = [10.0, 0.5, 0.5, 0.1, 0.5, 0.1, 2.0, 2.0, 2.0]
     bad = [90.0, 2.0, 2.0, 3.0, 1.5, 0.9, 0.1, 0.1, 0.1]
     df = frame(schema, [("1", "2024-03-31", 5e5, *good), ("2", "2024-03-31", 6e5, *bad)])
-    for strategy in ("window", "sliced"):
-        got = by(indices.indices_frame(df, strategy=strategy), "CERT")
-        assert got["2"]["FUNDING_FRAGILITY_INDEX"] > got["1"]["FUNDING_FRAGILITY_INDEX"]
-        assert got["1"]["PEER_GROUP"] == "community" and got["1"]["INDEX_VERSION"] == cfg.BASE_VERSION
-        parts = sum(got["2"][f"ALM_MISMATCH_INDEX_CONTRIB_{c}"] for c, _, _ in cfg.MISMATCH_COMPONENTS)
-        assert parts == pytest.approx(got["2"]["ALM_MISMATCH_INDEX"])
-        assert got["1"]["DEPOSIT_COMPETITION_PRESSURE_INDEX"] is None
+    got = by(indices.indices_frame(df), "CERT")
+    assert got["2"]["FUNDING_FRAGILITY_INDEX"] > got["1"]["FUNDING_FRAGILITY_INDEX"]
+    assert got["1"]["PEER_GROUP"] == "community" and got["1"]["INDEX_VERSION"] == cfg.BASE_VERSION
+    parts = sum(got["2"][f"ALM_MISMATCH_INDEX_CONTRIB_{c}"] for c, _, _ in cfg.MISMATCH_COMPONENTS)
+    assert parts == pytest.approx(got["2"]["ALM_MISMATCH_INDEX"])
+    assert got["1"]["DEPOSIT_COMPETITION_PRESSURE_INDEX"] is None
 
 
 def test_versions(frame):

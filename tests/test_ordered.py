@@ -26,12 +26,11 @@ def data(spark):
         rows, columns=["id", "g", "v", "y", "seen"])
 
 
-@pytest.mark.parametrize("strategy", ["window", "sliced"])
-def test_ranks(data, strategy):
+def test_ranks(data):
     df, pdf = data
     ranks = [Rank("v", "pct", fill=0.5), Rank("v", "flip", flip=True, scale=100.0, fill=0.5), Rank("v", "place", "competition"),
              Rank("v", "up", "ascending"), Rank("v", "most", "at_most"), Rank("absent", "none", fill=0.5)]
-    got = add_ranks(df, ["g"], ranks, ["id"], strategy, slices=16).toPandas().set_index("id").sort_index()
+    got = add_ranks(df, ["g"], ranks, ["id"], slices=16).toPandas().set_index("id").sort_index()
     assert len(got) == len(pdf)
     by = pdf.groupby("g")["v"]
     pct = by.rank(pct=True)
@@ -43,10 +42,9 @@ def test_ranks(data, strategy):
     assert (got["none"] == 0.5).all()
 
 
-@pytest.mark.parametrize("strategy", ["window", "sliced"])
-def test_quantiles(data, strategy):
+def test_quantiles(data):
     df, pdf = data
-    got = exact_quantiles(df, ["g"], ["v"], [0.05, 0.5, 0.9], slices=16, strategy=strategy).toPandas().set_index("g")
+    got = exact_quantiles(df, ["g"], ["v"], [0.05, 0.5, 0.9], slices=16).toPandas().set_index("g")
     want = pdf.groupby("g")["v"].quantile([0.05, 0.5, 0.9]).unstack()
     for name, share in (("q0", 0.05), ("q1", 0.5), ("q2", 0.9)):
         assert np.allclose(got[name].sort_index(), want[share].sort_index())

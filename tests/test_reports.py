@@ -93,9 +93,8 @@ def test_league_and_scenarios(mart):
     assert reports.drill_down(mart, "404").count() == 0
 
 
-@pytest.mark.parametrize("strategy", ["window", "sliced"])
-def test_peer_summary(mart, strategy):
-    got = by(reports.peer_summary(mart, strategy), "REPDTE", "PEER_GROUP")
+def test_peer_summary(mart):
+    got = by(reports.peer_summary(mart), "REPDTE", "PEER_GROUP")
     cell = got["2024-03-31", "regional"]
     assert (cell["UNINSURED_SHARE_MEDIAN"], cell["UNINSURED_SHARE_COUNT"], cell["ALM_MISMATCH_INDEX_COUNT"]) == (pytest.approx(0.35), 2, 1)
 
@@ -168,12 +167,11 @@ def test_stress_report(frame):
     df = frame("CERT string, REPDTE date, UNINSURED_SHARE double, TREASURY_TO_UNINSURED double, VOLATILE_TO_LIQUID_LOWER double",
                [("1", "2022-12-31", 0.9, 0.1, 3.0), ("2", "2022-12-31", 0.2, 0.5, 1.0), ("3", "2022-12-31", 0.3, None, None),
                 ("1", "2021-12-31", 0.8, 0.4, 1.0)])
-    for strategy in ("window", "sliced"):
-        got = by(stress.stress_case_report(df, "2022-12-31", strategy=strategy), "CERT")
-        one = got["1"]
-        assert (one["RANK_UNINSURED_SHARE"], one["RANK_TREASURY_TO_UNINSURED"], one["N_TREASURY_TO_UNINSURED"]) == (1, 1, 2)
-        assert one["DELTA_TREASURY_TO_UNINSURED"] == pytest.approx(-0.3) and one["CHECKS_PASSED"] == 3
-        assert one["VOLATILE_SHARE_AT_MOST"] == pytest.approx(2 / 3) and got["3"]["CHECKS_PASSED"] == 0
+    got = by(stress.stress_case_report(df, "2022-12-31"), "CERT")
+    one = got["1"]
+    assert (one["RANK_UNINSURED_SHARE"], one["RANK_TREASURY_TO_UNINSURED"], one["N_TREASURY_TO_UNINSURED"]) == (1, 1, 2)
+    assert one["DELTA_TREASURY_TO_UNINSURED"] == pytest.approx(-0.3) and one["CHECKS_PASSED"] == 3
+    assert one["VOLATILE_SHARE_AT_MOST"] == pytest.approx(2 / 3) and got["3"]["CHECKS_PASSED"] == 0
     assert stress.stress_case_report(df, "2022-12-31", "2").count() == 1
 
 
