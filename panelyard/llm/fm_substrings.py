@@ -8,13 +8,14 @@ Every word covered by a sequence of ``WINDOW`` words that also starts in a docum
 3. The windows left are cut into blocks of ``BLOCK`` neighbours at fixed distances from their anchor. All windows of a
    block share their middle words, whose hash is the block's key: equal windows have equal keys, so a key's blocks can
    be searched apart from all others. Equal blocks are sent once by a task and indexed once, with their smallest id.
+   Keys stand for 64-bit hashes of words, the words behind a key for 32 bits of them.
 4. Keys are dealt over shards. A shard's blocks, as word numbers, become FM-indexes of at most ``INDEX_WORDS`` words (at
    key boundaries): a Burrows-Wheeler transform from prefix doubling up to the window length, kept as a wavelet matrix
    of packed bits with popcount ranks. Backward search runs for all windows of the shard side by side and gives the
    length each can be matched beyond itself; for windows that match in full, the least id in the suffix interval.
 5. The windows go back to their documents, which are rebuilt from the words that stay.
 
-Anchors only choose what is searched; the search settles what repeats. Words are compared by 64-bit hashes.
+Anchors only choose what is searched; the search settles what repeats.
 
 Defined results. A null text has no words. A document of fewer than ``WINDOW`` words keeps all. Null ids are neither
 removed from nor a reason to remove. Rows with one id don't count as earlier than each other; repeated rows get the same
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from panelyard.llm.common import id_and_text, mix64, per_text, ranges, slices, spans_hash
 from panelyard.session import cut_lineage
 
-WINDOW, GRAM, BLOCK = 50, 8, 8
+WINDOW, GRAM, BLOCK = 50, 8, 16
+#: Distinct blocks that a task holds back until it sends them.
+HELD = 100_000
 INDEX_WORDS = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,29 +139,46 @@ def inverses_of(n: int) -> np.ndarray:
 
 
 def candidate_blocks(docs: DataFrame, window: int) -> DataFrame:
-    """key, content (digest of the block's words), doc_id, doc_key, start, n; words where the task sends a content first."""
-    def make():
-        sent = set()
+    """A row per block of a document: key, content (digest of its words), doc_id, doc_key, start, n. And once per task and
+    distinct block: key, content, least and most (ids that have it in the task), words (32 bits of each word's hash)."""
+    schema = "key bigint, content bigint, doc_id bigint, doc_key bigint, start bigint, n bigint, least bigint, most bigint, words binary"
+    names = [part.split()[0] for part in schema.split(", ")]
 
-        def work(part, texts):
-            out = {k: [] for k in ("key", "content", "doc_id", "doc_key", "start", "n", "words")}
-            for doc, doc_key, wanted, text in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), part.column("wanted"), texts, strict=True):
-                words = word_hashes(text)
+    def run(batches):
+        held: dict[tuple, list] = {}
+
+        def table(rows):
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_pydict({name: pa.array(c, pa.binary() if name == "words" else pa.int64()) for name, c in zip(names, columns, strict=True)})
+
+        def send():
+            rows = [(k, c, None, None, None, None, *v) for (k, c), v in held.items()]
+            held.clear()
+            for at in range(0, len(rows), 4096):
+                yield table(rows[at:at + 4096])
+
+        for part in slices(batches, column="text"):
+            rows = []
+            for doc, doc_key, wanted, text in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), part.column("wanted"), part.column("text").to_pylist(), strict=True):
+                words = word_hashes((text or "").encode())
                 keys, first, size = blocks_of(words, np.asarray(wanted.values).view(np.uint64), window)
+                codes = words.astype(np.uint32)
                 for k, i, n in zip(keys.view(np.int64).tolist(), first.tolist(), size.tolist(), strict=True):
                     data = words[i:i + n + window - 1].tobytes()
                     content = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
-                    known = (k, content) in sent
-                    if not known:
-                        if len(sent) >= 1_000_000:  # then a content may be sent again
-                            sent.clear()
-                        sent.add((k, content))
-                    for name, value in (("key", k), ("content", content), ("doc_id", doc), ("doc_key", doc_key), ("start", i), ("n", n), ("words", None if known else data)):
-                        out[name].append(value)
-            return {name: pa.array(values, pa.binary() if name == "words" else pa.int64()) for name, values in out.items()}
-        return work
+                    rows.append((k, content, doc, doc_key, i, n, None, None, None))
+                    known = held.get((k, content))
+                    if known is None:
+                        held[k, content] = [doc, doc, codes[i:i + n + window - 1].tobytes()]
+                    else:
+                        known[0], known[1] = min(known[0], doc), max(known[1], doc)
+            if rows:
+                yield table(rows)
+            if len(held) >= HELD:
+                yield from send()
+        yield from send()
 
-    return per_text(docs, "key bigint, content bigint, doc_id bigint, doc_key bigint, start bigint, n bigint, words binary", make)
+    return docs.mapInArrow(run, schema)
 
 
 class Bits:
@@ -228,8 +248,8 @@ class FMIndex:
 
 
 def least_ids(contents: list[tuple[int, bytes]], window: int) -> list[np.ndarray]:
-    """contents: (smallest id, word hashes) of distinct blocks; for each the smallest id that has each of its windows."""
-    rows = [np.frombuffer(data, np.uint64) for _, data in contents]
+    """contents: (smallest id, 32-bit words) of distinct blocks; for each the smallest id that has each of its windows."""
+    rows = [np.frombuffer(data, np.uint32) for _, data in contents]
     ids = np.array([i for i, _ in contents], np.int64)
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
@@ -258,49 +278,54 @@ def least_ids(contents: list[tuple[int, bytes]], window: int) -> list[np.ndarray
 
 
 def search_shards(contents: DataFrame, window: int) -> DataFrame:
-    """contents: key, content, doc_id, words. Gives content and the smallest id of each of its windows."""
+    """contents: key, content, least, most, words, some of them from several tasks. Gives key, content and the smallest id of
+    each of its windows, where there is a smaller one than some document's that has the block."""
     n = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, size, last = {}, 0, None
 
         def answer():
-            found = least_ids([(doc, words) for _, _, doc, words in held], window)
-            return pa.RecordBatch.from_pydict({"key": pa.array([h[0] for h in held], pa.int64()), "content": pa.array([h[1] for h in held], pa.int64()),
-                                               "least": pa.array(found, pa.list_(pa.int64()))})
+            found = least_ids([(v[0], v[2]) for v in held.values()], window)
+            rows = [(k, c, least) for ((k, c), v), least in zip(held.items(), found, strict=True) if (least < v[1]).any()]
+            return pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in rows], pa.int64()), "content": pa.array([r[1] for r in rows], pa.int64()),
+                                               "least": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
 
         for part in slices(batches, column="words"):
-            for row in zip(*(part.column(c).to_pylist() for c in ("key", "content", "doc_id", "words")), strict=True):
-                if size >= INDEX_WORDS and row[0] != last:
+            for key, content, low, high, words in zip(*(part.column(c).to_pylist() for c in ("key", "content", "least", "most", "words")), strict=True):
+                if size >= INDEX_WORDS and key != last:
                     yield answer()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3]) // 8
-                last = row[0]
+                    held, size = {}, 0
+                last, known = key, held.get((key, content))
+                if known is None:
+                    held[key, content] = [low, high, words]
+                    size += len(words) // 4
+                else:
+                    known[0], known[1] = min(known[0], low), max(known[1], high)
         if held:
             yield answer()
 
-    dealt = contents.repartition(n, "key").sortWithinPartitions("key").select("key", "content", "doc_id", "words")
+    dealt = contents.repartition(n, "key").sortWithinPartitions("key").select("key", "content", "least", "most", "words")
     return dealt.mapInArrow(run, "key bigint, content bigint, least array<bigint>")
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the kept words where any were removed; else null)."""
     rows = id_and_text(docs).withColumn("key", F.xxhash64("text"))
-    seen = cut_lineage(scan(rows, window))
-    ids = seen.where("doc_id IS NOT NULL").select("doc_id", "key", "digest", "n_words", "anchors")
+    seen = cut_lineage(scan(rows, window).withColumn("row", F.monotonically_increasing_id()))
+    ids = seen.where("doc_id IS NOT NULL").select("row", "doc_id", "key", "digest", "n_words", "anchors")
     firsts = cut_lineage(ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"))
     known = ids.join(firsts, "digest", "left")
     copies = known.where(f"first < doc_id AND n_words >= {window}").select("doc_id", "key", F.lit(True).alias("copy")).distinct()
-    pairs = cut_lineage(known.where("first IS NULL OR first = doc_id").select("doc_id", "key", F.explode("anchors").alias("anchor")))
+    pairs = known.where("first IS NULL OR first = doc_id").select("row", "doc_id", F.explode("anchors").alias("anchor"))
     shared = cut_lineage(pairs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"))
-    wanted = pairs.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("wanted"))
+    wanted = pairs.select("row", "anchor").join(shared, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
+    wanted = wanted.join(ids.select("row", "doc_id", "key"), "row").drop("row")
     # the texts that the search concerns, written once for both later uses
-    texts = cut_lineage(rows.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted"))
-    blocks = cut_lineage(candidate_blocks(texts.dropDuplicates(["doc_id", "key"]), window))
-    contents = blocks.groupBy("key", "content").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
-    found = cut_lineage(search_shards(contents, window))
-    hits = blocks.select("key", "content", "doc_id", "doc_key", "start").join(found, ["key", "content"])
+    texts = cut_lineage(rows.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted").dropDuplicates(["doc_id", "key"]))
+    blocks = cut_lineage(candidate_blocks(texts, window))
+    found = cut_lineage(search_shards(blocks.where("words IS NOT NULL"), window))
+    hits = blocks.where("words IS NULL").select("key", "content", "doc_id", "doc_key", "start").join(found, ["key", "content"])
     at = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = hits.select("doc_id", "doc_key", at.alias("at")).where(F.size("at") > 0)
     hits = hits.groupBy("doc_id", F.col("doc_key").alias("key")).agg(F.flatten(F.collect_list("at")).alias("at"))
@@ -320,7 +345,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     "sha": pa.array([o[1] for o in out], pa.string()), "kept": pa.array([o[2] for o in out], pa.string())}
         return work
 
-    cut = texts.select("doc_id", "key", "text").dropDuplicates(["doc_id", "key"]).join(hits, ["doc_id", "key"])
+    cut = texts.select("doc_id", "key", "text").join(hits, ["doc_id", "key"])
     cut = per_text(cut, "doc_id bigint, key bigint, gone bigint, sha string, kept string", make)
     cut = cut.unionByName(copies.where("copy").join(seen.select("doc_id", "key", "n_words").distinct(), ["doc_id", "key"])
                           .select("doc_id", "key", F.col("n_words").alias("gone"), F.sha2(F.lit(""), 256).alias("sha"), F.lit("").alias("kept")))
