@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from panelyard import config as cfg
 from panelyard.catalog.fragments import FRAGMENTS
 from panelyard.catalog.frames import EPISODES, FIRST_YEAR, LAST_YEAR, QUARTER, Frames
-from panelyard.catalog.group_queries import stage_indices, stage_treasury
+from panelyard.catalog.feature_queries import staged_panel
+from panelyard.catalog.group_queries import stage_indices, stage_mismatch, stage_treasury
 from panelyard.catalog.registry import query
-from panelyard.plans import backtest, checks, outflow, overlay, stress
+from panelyard.plans import backtest, checks, outflow, overlay, stress, treasury
 from panelyard.session import cut_lineage
 
 K = "CERT REPDTE:d "
@@ -113,7 +114,8 @@ def stress_case_report(f):
 def model_table(f: Frames):
     """Labels next to the features of the overlay, written once: every fit reads it."""
     have = [c for c in overlay.FEATURE_SIGNS]
-    df = outflow.outflow_labels(stage_treasury(f))
+    staged = stage_mismatch(f, cut_lineage(staged_panel(f)))
+    df = outflow.outflow_labels(treasury.treasury_features(staged, f.yields, check=False))
     return cut_lineage(df.select("CERT", "REPDTE", "DEPDOM", overlay.LABEL, *[c for c in have if c in df.columns]))
 
 
@@ -135,9 +137,9 @@ def monotone_overlay(f):
 
 @query("tree_overlay", K + "SUPERVISED_OUTFLOW_SCORE")
 def tree_overlay(f):
-    """Boosted trees; the number of rounds is a parameter."""
+    """Boosted trees, without sign constraints."""
     df = model_table(f)
-    return overlay.full_sample_fit(df, _features(df), kind="trees", trees=5)[0]
+    return overlay.full_sample_fit(df, _features(df), kind="trees")[0]
 
 
 @query("walk_forward", K + "SUPERVISED_OUTFLOW_SCORE SUPERVISED_TRAIN_QUARTERS SUPERVISED_OOT_AUC_MEAN")
@@ -149,7 +151,7 @@ def walk_forward(f):
 @query("full_sample_fit", K + "SUPERVISED_OUTFLOW_SCORE")
 def full_sample_fit(f):
     df = model_table(f)
-    return overlay.full_sample_fit(df, _features(df), label="SEVERE_ABSOLUTE_OUTFLOW")[0]
+    return overlay.full_sample_fit(df, _features(df))[0]
 
 
 @query("importances", "RANK FEATURE IMPORTANCE")
@@ -159,6 +161,7 @@ def importances(f):
 
 
 @query("supervised_overlay", K + "SUPERVISED_OUTFLOW_SCORE SUPERVISED_RISK_SCORE SUPERVISED_MODEL_TYPE SUPERVISED_LABEL_KIND "
-       "SEVERE_ABSOLUTE_OUTFLOW")
+       "SUPERVISED_IMPORTANCE_1 SUPERVISED_COEF_1 SEVERE_RELATIVE_OUTFLOW")
 def supervised_overlay(f):
-    return overlay.supervised_overlay(cut_lineage(stage_treasury(f)), walk=False)
+    staged = stage_mismatch(f, cut_lineage(staged_panel(f)))
+    return overlay.supervised_overlay(cut_lineage(treasury.treasury_features(staged, f.yields, check=False)))

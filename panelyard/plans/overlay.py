@@ -23,15 +23,15 @@ from panelyard.session import cut_lineage
 FEATURE_SIGNS = {
     "UNINSURED_SHARE": 1, "BROKERED_SHARE": 1, "CORE_DEPOSIT_SHARE": 0, "NONINTEREST_SHARE": 0,
     "TIME_DEPOSIT_SHARE": 0, "SHORT_FHLB_SHARE": 1, "VOLATILE_TO_LIQUID_LOWER": 1, "LOANS_TO_CORE_DEPOSITS": 1,
-    "DOMESTIC_DEPOSIT_COST": 1, "DEP_GROWTH_VOL_4Q": 1, "DEP_DRAWDOWN_4Q": 1, "SOD_DEPOSIT_HHI_STATE": 1,
-    "SOD_DEPOSIT_HHI_COUNTY": 1, "SOD_TOP_STATE_SHARE": 1, "HAS_IR_DERIVATIVES": 0, "DURATION_GAP_LITE": 1,
-    "LOAN_WAM_PROXY": 1, "DEPOSIT_WAL_BASELINE": -1,
+    "DOMESTIC_DEPOSIT_COST": 1, "DEP_GROWTH_VOL_4Q": 1, "DEP_DRAWDOWN_4Q": 1, "DURATION_GAP_LITE": 1,
+    "LOAN_WAM_PROXY": 1, "TD_WAM_PROXY": -1, "SOD_DEPOSIT_HHI_STATE": 1, "SOD_DEPOSIT_HHI_COUNTY": 1,
+    "SOD_TOP_STATE_SHARE": 1, "HAS_IR_DERIVATIVES": 0,
 }
 # Training gates.
 MIN_QUARTERS, MIN_EVENTS, MIN_ROWS, MIN_FEATURES, MIN_AUC_ROWS = 4, 20, 50, 3, 10
 # Model settings.
 MAX_ITERATIONS, TREES, TREE_DEPTH, TREE_STEP = 1000, 200, 4, 0.05
-LABEL = "SEVERE_ABSOLUTE_OUTFLOW"
+LABEL = "SEVERE_RELATIVE_OUTFLOW"
 SCORE = "SUPERVISED_OUTFLOW_SCORE"
 
 
@@ -158,14 +158,18 @@ def walk_forward(df: DataFrame, features: Sequence[str], label: str = LABEL, kin
     parts, last, events = [], None, 0
     for seen, row in enumerate(quarters):
         day = F.lit(row["REPDTE"])
+        now = last
         if seen >= min_quarters and events >= min_events:
-            last = fit_model(table.filter(F.col("REPDTE") < day), features, label, kind, trees) or last
+            now = fit_model(table.filter(F.col("REPDTE") < day), features, label, kind, trees)
+            last = now or last  # a quarter whose earlier labels are one class stays unscored
         events += row["events"]
         test = table.filter(F.col("REPDTE") == day)
-        scored = _unscored(test) if last is None else last.score(test)
-        trained = F.lit(None if last is None else seen).cast("int")
+        scored = _unscored(test) if now is None else now.score(test)
+        trained = F.lit(None if now is None else seen).cast("int")
         parts.append(scored.select("CERT", "REPDTE", label, SCORE, trained.alias("SUPERVISED_TRAIN_QUARTERS")))
-    scored = reduce(DataFrame.unionAll, parts)
+    if not parts:
+        return _unscored(df).withColumn("SUPERVISED_TRAIN_QUARTERS", F.lit(None).cast("int")).withColumn("SUPERVISED_OOT_AUC_MEAN", F.lit(None).cast("double")), None
+    scored = cut_lineage(reduce(DataFrame.unionAll, parts))  # read for the measure and for the result
     scored = scored.withColumn("__known", (F.col(label).isNotNull() & F.col(SCORE).isNotNull()).cast("int"))
     by_quarter = ranked_metrics(scored, ["REPDTE"], SCORE, {"label": (label, "__known")}, [])
     worth = F.col("N_TOTAL") > MIN_AUC_ROWS

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelyard.plans import overlay
 
-FEATURES = ["UNINSURED_SHARE", "CORE_DEPOSIT_SHARE", "DEPOSIT_WAL_BASELINE"]
+FEATURES = ["UNINSURED_SHARE", "CORE_DEPOSIT_SHARE", "TD_WAM_PROXY"]
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def panel(spark):
             label = None if q == 7 else int(rng.random() < 1 / (1 + np.exp(-(4 * u - 2 * k - w - 1.0))))
             rows.append((str(c), day, float(u) if c % 7 else None, float(k), float(w), label, 100.0 + 10 * float(rng.random())))
     return spark.createDataFrame(rows, "CERT string, REPDTE string, UNINSURED_SHARE double, CORE_DEPOSIT_SHARE double, "
-                                 "DEPOSIT_WAL_BASELINE double, y int, DEPDOM double").withColumn("REPDTE", F.col("REPDTE").cast("date"))
+                                 "TD_WAM_PROXY double, y int, DEPDOM double").withColumn("REPDTE", F.col("REPDTE").cast("date"))
 
 
 def test_logistic_reaches_the_penalised_optimum(panel):
@@ -43,7 +43,7 @@ def test_logistic_reaches_the_penalised_optimum(panel):
 def test_signs_are_kept(panel):
     _, fitted = overlay.full_sample_fit(panel, FEATURES, "y", "signed")
     weights = dict(zip(FEATURES, fitted.model.coefficients.toArray(), strict=True))
-    assert weights["UNINSURED_SHARE"] >= 0 and weights["DEPOSIT_WAL_BASELINE"] <= 0
+    assert weights["UNINSURED_SHARE"] >= 0 and weights["TD_WAM_PROXY"] <= 0
     names = [n for n, _ in fitted.importances()]
     assert sorted(names) == sorted(FEATURES)
 
