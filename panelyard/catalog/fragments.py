@@ -102,9 +102,9 @@ FRAGMENTS["v_branch"] = (
 
 
 def _daily(names: list[str]) -> str:
-    return ("SELECT CAST(o_orderdate AS DATE) AS DATE, " + ", ".join(
+    return ("SELECT CAST(o_orderdate AS DATE) - CAST(greatest(isodow(o_orderdate) - 5, 0) AS INTEGER) AS DATE, " + ", ".join(
         f"round(avg(CASE WHEN o_orderpriority = '{RATE_PRIORITIES[n]}' THEN o_totalprice END) / 50000.0e0, 10) AS {n}"
-        for n in names) + " FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY 1")
+        for n in names) + " FROM orders GROUP BY 1")
 
 
 FRAGMENTS["v_yields"] = _daily(YIELD_COLUMNS)

@@ -194,10 +194,10 @@ def field_audit(f):
     return tables.field_audit(f.panel, ["CERT", "BRO", "DDT", "NOSUCH"], ["CERT", "BRO", "NOSUCH", "ASSET"])
 
 
-@query("exact_dedupe", "l_returnflag l_linestatus l_quantity l_tax l_discount",
-       "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_tax, l_discount FROM lineitem")
+@query("exact_dedupe", None, "SELECT DISTINCT * FROM lineitem")
 def exact_dedupe(f):
-    return tables.exact_dedupe(f.table("lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_tax", "l_discount"))
+    """Whole rows, each of them twice in the input."""
+    return tables.exact_dedupe(f.table("lineitem").unionAll(f.table("lineitem")))
 
 
 @query("rows_to_json", "JSON",
@@ -208,9 +208,9 @@ def to_json(f):
 
 
 @query("keyword_line_scan", "doc_id line_number:i snippet",
-       """SELECT doc_id, line_number, trim(line)[1:1000] AS snippet FROM (
+       """SELECT doc_id, line_number, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS snippet FROM (
  SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_number FROM (
- SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS lines FROM documents))
+ SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]') AS lines FROM documents))
  WHERE regexp_matches(line, '(?i)maturity|repric|lement|a\\.b')""")
 def keyword_scan(f):
     return keyword_line_scan(f.table("documents"), ["maturity", "Repric", "lement", "a.b"], key="doc_id")

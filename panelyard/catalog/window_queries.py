@@ -102,7 +102,7 @@ def competition_rank(f):
     ranks = [Rank("BRO", "PLACE", "competition"), Rank("BRO", "ENTITY_RANK", "ascending"), Rank("BRO", "__m", "at_most")]
     ranked = add_ranks(f.panel, ["REPDTE"], ranks, KEYS)
     sizes = f.panel.groupBy("REPDTE").agg(F.count(F.lit(1)).alias("__n"))  # one row per report date
-    return ranked.join(F.broadcast(sizes), "REPDTE").withColumn("SHARE_AT_MOST", F.col("__m") / F.col("__n"))
+    return ranked.join(sizes, "REPDTE").withColumn("SHARE_AT_MOST", F.col("__m") / F.col("__n"))
 
 
 @query("row_pair_checks", "CERT REPDTE:d CHECK",

@@ -85,8 +85,8 @@ def asof_dates(days: DataFrame, history: DataFrame, values: Sequence[str], day:
 
 
 def spread_dates(panel: DataFrame, per_day: DataFrame, day: str = "REPDTE") -> DataFrame:
-    """Join a one-row-per-calendar-day table to the panel (a few thousand rows per decade: broadcast)."""
-    return panel.join(F.broadcast(per_day), day, "left")
+    """Join a one-row-per-calendar-day table to the panel (a few thousand rows per decade)."""
+    return panel.join(per_day, day, "left")
 
 
 def asof_join(panel: DataFrame, history: DataFrame, values: Sequence[str], day: str = "REPDTE",

@@ -36,7 +36,7 @@ def outflow_labels(df: DataFrame, percentile: float = 5.0) -> DataFrame:
     growth = F.col("NEXT_DEP_GROWTH_QOQ")
     observed = F.col("NEXT_Q_OBSERVED") & growth.isNotNull()
     cut = group_quantile(df.filter(observed), "REPDTE", "NEXT_DEP_GROWTH_QOQ", percentile / 100.0, "__cut")
-    df = df.join(F.broadcast(cut), "REPDTE", "left")
+    df = df.join(cut, "REPDTE", "left")
     weak = F.coalesce(growth <= F.col("__cut"), F.lit(False))
     return df.withColumns({
         "SEVERE_RELATIVE_OUTFLOW": F.when(observed, weak.cast("int")),

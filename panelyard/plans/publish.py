@@ -125,7 +125,7 @@ def league_rows(mart: DataFrame, failures: DataFrame | None = None) -> DataFrame
     """
     latest = latest_snapshot(mart)
     # one row per peer group: the bands are a handful
-    sized = latest.join(F.broadcast(peer_sizes(latest)), "PEER_GROUP", "left")
+    sized = latest.join(peer_sizes(latest), "PEER_GROUP", "left")
     rows = component_breakdown(sized)
     deposits = "DEPDOM_EFFECTIVE" if "DEPDOM_EFFECTIVE" in mart.columns else "DEPDOM"
     if failures is None:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard import config as cfg
-from panelyard.functions.scalars import entity_id, nz, present_columns
+from panelyard.functions.scalars import nz, present_columns
 from panelyard.operators.aggregates import group_summary
 from panelyard.operators.joins import add_new_columns
 from panelyard.operators.ordered import Rank, add_ranks
@@ -23,7 +24,8 @@ def drill_down(df: DataFrame, cert: str) -> DataFrame:
     """One entity over all quarters."""
     names = ["CERT", "REPDTE", "NAMEFULL", "PEER_GROUP", "ASSET", *cfg.INDEX_COLUMNS, *cfg.FEATURE_COLUMNS,
              *cfg.SCENARIO_COLUMNS, *cfg.SCHEDULE_REPORT_COLUMNS, *cfg.BRANCH_REPORT_COLUMNS]
-    rows = df.filter(entity_id("CERT") == F.lit(str(cert).strip()))
+    # ids of the table are canonical, so the plain column is compared and the filter reaches the files
+    rows = df.filter(F.col("CERT") == F.lit(re.sub(r"\.0+$", "", str(cert).strip())))
     return rows.select(*present_columns(df, names)).orderBy("REPDTE")
 
 

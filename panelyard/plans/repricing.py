@@ -53,7 +53,7 @@ def repricing_buckets(wide: DataFrame, borrowing_present: DataFrame | None = Non
     wide = ensure_columns(wide, REPRICING_CODES)
     if borrowing_present is not None:
         # one row per report date: a few hundred rows at any scale
-        wide = wide.join(F.broadcast(borrowing_present), batch, "left")
+        wide = wide.join(borrowing_present, batch, "left")
     out: dict[str, Column] = {name: F.coalesce(*codes) for name, codes in cfg.LOAN_CODES.items()}
     out |= {name: F.col(c) for name, c in {**cfg.RE_LOAN_CODES, **cfg.TIME_DEPOSIT_CODES}.items()}
     for name, (first, second) in cfg.BORROWING_CODES.items():
@@ -80,7 +80,7 @@ def sum_present(df: DataFrame, columns: Sequence[str], out: str, batch: str | No
         any_value = df.agg(F.max(known.cast("int"))).scalar()
         return df.withColumn(out, F.when(any_value == 1, total([nz(c) for c in columns])).otherwise(F.lit(empty)))
     seen = df.groupBy(batch).agg(F.max(known.cast("int")).alias("__any"))
-    joined = df.join(F.broadcast(seen), batch, "left")
+    joined = df.join(seen, batch, "left")
     return joined.withColumn(
         out, F.when(F.col("__any") == 1, total([nz(c) for c in columns])).otherwise(F.lit(empty))).drop("__any")
 
@@ -109,7 +109,7 @@ def maturity_totals(df: DataFrame, batch: str | None = "REPDTE") -> DataFrame:
     else:
         seen = df.groupBy(batch).agg(*[F.max(F.coalesce(*buckets).isNotNull().cast("int")).alias(f"__any_{name}")
                                        for name, (buckets, _, _) in books.items()])
-        df = df.join(F.broadcast(seen), batch, "left")
+        df = df.join(seen, batch, "left")
         df = df.withColumns({
             name: F.when(F.col(f"__any_{name}") == 1, total([nz(b) for b in buckets]))
             for name, (buckets, _, _) in books.items()

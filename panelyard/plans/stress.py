@@ -32,7 +32,7 @@ def stress_case_report(panel: DataFrame, quarter: str, cert: str | None = None)
         for a in (F.min_by(F.struct(name), "REPDTE").alias(f"__first_{name}"),
                   F.max_by(F.struct(name), "REPDTE").alias(f"__last_{name}"))])
     # the two summaries are one row each: the section is one quarter
-    df = ranked.join(F.broadcast(whole), "REPDTE").join(F.broadcast(medians), "REPDTE", "left")
+    df = ranked.join(whole, "REPDTE").join(medians, "REPDTE", "left")
     df = df if cert is None else df.filter(F.col("CERT") == F.lit(str(cert).strip()))
     df = df.join(first_last, "CERT", "left")
     df = df.withColumns({

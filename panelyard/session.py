@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 
@@ -36,17 +36,41 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage.
+    """The shared folder for cut lineage: the one that ``spark.checkpoint.dir`` names.
 
-    A cluster names it in ``spark.checkpoint.dir``. A local folder is used only
-    when the session runs in one process, where every task sees the same disk.
+    Where it is unset, a session of one process (tests, the benchmark) sets one of its own; a cluster must name it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
-    return tempfile.gettempdir() + f"/panelyard-checkpoints-{os.getpid()}"
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelyard-checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+_WRITTEN: list[str] = []
+
+
+def clean_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables written under the checkpoint folder after the first ``since`` of them.
+
+    For when no frame that reads them is used any more: between jobs, and at the end of the process.
+    """
+    system = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _WRITTEN[since:]:
+        target = system.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    del _WRITTEN[since:]
+
+
+def _clean_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clean_scratch(spark)
+
+
+atexit.register(_clean_at_exit)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -54,7 +78,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Used where a plan is read several times or grows in a loop. The table survives the
     loss of executors, is computed in one pass, and later reads take only the columns
-    they need.
+    they need. It lives until ``clean_scratch`` or the end of the process.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
@@ -64,4 +88,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint root for a written table."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path

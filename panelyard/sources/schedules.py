@@ -67,7 +67,7 @@ def schedule_cells(lines: DataFrame) -> DataFrame:
     """
     head = lines.filter(F.col("line_number") == 0).select("path", "part", F.transform(
         F.split("line", "\t"), _unquoted).alias("codes"))
-    body = lines.filter(F.col("line_number") > 0).join(F.broadcast(head), ["path", "part"])
+    body = lines.filter(F.col("line_number") > 0).join(head, ["path", "part"])
     cells = F.arrays_zip(F.col("codes").alias("c"), F.split("line", "\t").alias("v"))
     return body.select("path", "part", "line_number", F.posexplode(cells).alias("position", "z"),
                        _unquoted(F.element_at(F.split("line", "\t"), F.array_position("codes", "IDRSSD").cast("int")))
@@ -76,15 +76,25 @@ def schedule_cells(lines: DataFrame) -> DataFrame:
         F.col("z.c").alias("CODE"), _unquoted(F.col("z.v")).alias("CELL"))
 
 
-def schedule_facts(cells: DataFrame, codes: Sequence[str]) -> DataFrame:
-    """Data cells of the target codes as (path, REPDTE, IDRSSD, CODE, VALUE, part)."""
-    data = cells.filter((F.col("line_number") > 1) & F.col("CODE").isin(list(codes)))
+def schedule_facts(cells: DataFrame, codes: Sequence[str], patterns: Sequence[str] = ()) -> DataFrame:
+    """Data cells of the target codes as (path, REPDTE, IDRSSD, CODE, VALUE, part).
+
+    A code is taken from the first part of its archive that has the column, in the order of ``patterns`` and then of
+    names; cells of later parts don't fill its gaps.
+    """
+    rank = F.lit(len(patterns))
+    for i, pattern in reversed(list(enumerate(patterns))):
+        rank = F.when(F.col("part").contains(pattern), i).otherwise(rank)
+    wanted = cells.filter(F.col("CODE").isin(list(codes)))
+    # one row per archive and code
+    first = wanted.groupBy("path", "CODE").agg(F.min(F.struct(rank.alias("rank"), "part"))["part"].alias("part"))
+    data = wanted.filter(F.col("line_number") > 1).join(first, ["path", "CODE", "part"])
     return data.select("path", report_date_from_name("path").alias("REPDTE"), "IDRSSD", "CODE",
                        number("CELL").alias("VALUE"), "part")
 
 
 def schedule_table(facts: DataFrame, codes: Sequence[str], keys: Sequence[str] = ("REPDTE", "IDRSSD")) -> DataFrame:
-    """One row per filer with a column per code; the first part wins where a code repeats."""
+    """One row per filer with a column per code."""
     order = ["part"] if "part" in facts.columns else []
     return pivot_codes(facts, keys, codes, order=order)
 
@@ -98,7 +108,7 @@ def schedule_labels(cells: DataFrame, line: int = 1) -> DataFrame:
 def read_schedules(spark: SparkSession, paths: str | Sequence[str], patterns: Sequence[str],
                    codes: Sequence[str]) -> DataFrame:
     """Archives to the wide schedule table."""
-    return schedule_table(schedule_facts(schedule_cells(archive_lines(spark, paths, patterns)), codes), codes)
+    return schedule_table(schedule_facts(schedule_cells(archive_lines(spark, paths, patterns)), codes, patterns), codes)
 
 
 def base_name(path: ColumnLike) -> Column:

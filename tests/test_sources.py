@@ -65,7 +65,7 @@ def test_schedules(spark, tmp_path):
     cells = schedules.schedule_cells(lines)
     wanted = ["RCONA570", "RCONA571"]
     got = by(schedules.schedule_table(schedules.schedule_facts(cells, wanted), wanted), "IDRSSD")
-    assert {k: (r["RCONA570"], r["RCONA571"]) for k, r in got.items()} == {"10": (100.0, 7.5), "11": (None, None), "12": (5.0, None)}
+    assert {k: (r["RCONA570"], r["RCONA571"]) for k, r in got.items()} == {"10": (100.0, 7.5), "11": (None, None), "12": (None, None)}
     assert str(got["10"]["REPDTE"]) == "2023-06-30"
     labels = by(schedules.schedule_labels(cells), "CODE")
     assert labels["RCONA571"]["LABEL"] == "Later loans" and "IDRSSD" not in labels
