@@ -13,6 +13,7 @@ from panelyard.catalog.registry import query
 from panelyard.functions import scalars as S
 from panelyard.functions.text import SUFFIX_PATTERN, normalize_name
 from panelyard.plans import indices, mismatch, panel, repricing
+from panelyard.plans.calendar import source_status, source_windows
 from panelyard.plans.competition import rates_to_bp
 from panelyard.plans.reports import curve_regime
 from panelyard.plans.treasury import regime_by_date
@@ -207,6 +208,42 @@ def quarter_calendar(f):
     return calendar.join(counts, "QUARTER", "left").fillna(0, ["FILINGS"])
 
 
+TODAY = "2021-05-10"
+FRAGMENTS["v_files"] = """SELECT ['financials', 'ffiec', 'sod', 'treasury'][o_orderkey % 4 + 1] AS SOURCE,
+ CAST(CAST(o_orderdate AS DATE) + INTERVAL 20 YEAR AS DATE) AS d FROM orders"""
+
+
+def files(f):
+    """One file name per order, dated twenty years later, as a source's folder would hold it."""
+    day = F.add_months(F.col("o_orderdate").cast("date"), 240)
+    source = F.element_at(F.array(*map(F.lit, ("financials", "ffiec", "sod", "treasury"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return f.table("orders").select(source.alias("SOURCE"), day.alias("d"), F.concat(F.lit("/raw/all_"), F.date_format(day, "yyyyMMdd"), F.lit(".zip")).alias("PATH"))
+
+
+@query("source_status", "SOURCE LATEST TARGET LAG:i UNIT STATUS",
+       """SELECT SOURCE, CASE WHEN SOURCE IN ('sod', 'treasury') THEN CAST(max(year(d)) AS VARCHAR) ELSE strftime(max(d), '%Y-%m-%d') END AS LATEST,
+ CASE WHEN SOURCE IN ('sod', 'treasury') THEN '2020' ELSE '2021-03-31' END AS TARGET,
+ CASE WHEN SOURCE IN ('sod', 'treasury') THEN 2020 - max(year(d)) ELSE (2021 - year(max(d))) * 4 - (quarter(max(d)) - 1) END AS LAG,
+ CASE WHEN SOURCE IN ('sod', 'treasury') THEN 'Y' ELSE 'Q' END AS UNIT, 'OK' AS STATUS FROM v_files GROUP BY SOURCE""")
+def status(f):
+    return source_status(files(f), TODAY)
+
+
+@query("source_windows", "SOURCE PERIOD FILES:i",
+       """SELECT w.SOURCE, w.PERIOD, count(v.d) AS FILES FROM (
+ SELECT 'financials' AS SOURCE, strftime(last_day(m), '%Y%m%d') AS PERIOD FROM (SELECT unnest(generate_series(DATE '2007-03-01', DATE '2021-03-01', INTERVAL 3 MONTH)) AS m)
+ UNION ALL SELECT 'ffiec', strftime(last_day(m), '%Y%m%d') FROM (SELECT unnest(generate_series(DATE '2020-03-01', DATE '2021-03-01', INTERVAL 3 MONTH)) AS m)
+ UNION ALL SELECT 'sod', CAST(unnest(range(2010, 2021)) AS VARCHAR) UNION ALL SELECT 'treasury', '20' || CAST(unnest(range(22, 21)) AS VARCHAR)) w
+ LEFT JOIN v_files v ON v.SOURCE = w.SOURCE AND w.PERIOD = CASE WHEN length(w.PERIOD) = 4 THEN CAST(year(v.d) AS VARCHAR)
+  ELSE strftime(last_day(date_trunc('quarter', v.d) + INTERVAL 2 MONTH), '%Y%m%d') END GROUP BY 1, 2""")
+def windows(f):
+    """Files that each source has for the periods it should cover."""
+    yearly = F.col("SOURCE").isin("sod", "treasury")
+    have = files(f).select("SOURCE", F.when(yearly, F.year("d").cast("string")).otherwise(F.date_format(S.quarter_end("d"), "yyyyMMdd")).alias("PERIOD"))
+    have = have.groupBy("SOURCE", "PERIOD").agg(F.count(F.lit(1)).alias("FILES"))
+    return source_windows(f.spark, TODAY).join(have, ["SOURCE", "PERIOD"], "left").fillna(0, ["FILES"])
+
+
 @query("annual_survey_year", "o_orderkey SURVEY:i SNAPSHOT:d",
        """SELECT o_orderkey, year(o_orderdate) - CASE WHEN month(o_orderdate) <= 6 THEN 1 ELSE 0 END AS SURVEY,
  make_date(CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) >= 6 THEN 0 ELSE 1 END AS INT), 6, 30) AS SNAPSHOT FROM orders""")

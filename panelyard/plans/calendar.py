@@ -28,7 +28,8 @@ def source_windows(spark: SparkSession, today: str) -> DataFrame:
         part = part.select("SOURCE", F.date_format("d", "yyyyMMdd").alias("PERIOD"))
         out = part if out is None else out.unionByName(part)
     for source, (first, last) in YEARLY_RANGES.items():
-        years = F.sequence(F.lit(first), _last_year(today, last)).cast("array<string>")
+        end = _last_year(today, last)
+        years = F.when(end >= first, F.sequence(F.lit(first), F.greatest(end, F.lit(first)))).cast("array<string>")
         out = out.unionByName(one.select(F.lit(source).alias("SOURCE"), F.explode(years).alias("PERIOD")))
     return out
 
