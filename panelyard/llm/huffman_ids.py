@@ -19,6 +19,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import unicodedata
 import zlib
 from itertools import chain, repeat
 
@@ -33,7 +34,7 @@ from panelyard.session import cut_lineage
 
 LIMIT, EVERY = 16, 64
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 17, 1 << 22
-CACHED = 600_000
+CACHED = 900_000
 FILE = ("shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, n_bits bigint, bits binary, offsets binary")
 
 
@@ -44,21 +45,18 @@ class Kept:
         self.clear()
 
     def clear(self):
-        self.place, self.cores, self.used = {}, {}, 0
+        self.place, self.used = {}, 0
         self.begin, self.sizes, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint32)
 
-    def add(self, words: list[bytes], ids: list[tuple]):
-        if not words:
-            return
-        n, sizes = len(self.place), np.array([len(x) for x in ids])
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        self.begin, self.sizes = self.room(self.begin, n + len(words)), self.room(self.sizes, n + len(words))
-        self.ids = self.room(self.ids, self.used + len(flat))
-        self.begin[n:n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n:n + len(words)] = sizes
-        self.ids[self.used:self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+    def add(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray):
+        n, k = len(self.place), len(words)
+        self.begin, self.sizes = self.room(self.begin, n + k), self.room(self.sizes, n + k)
+        self.ids = self.room(self.ids, self.used + len(ids))
+        self.begin[n:n + k] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n:n + k] = sizes
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.place.update(zip(words, range(n, n + k), strict=True))
 
     @staticmethod
     def room(values: np.ndarray, size: int) -> np.ndarray:
@@ -72,9 +70,9 @@ _KEPT: dict[str, Kept] = {}
 
 class Encoder:
     """Ids of texts. Where tokens mark the ends of words, none crosses white space, so the tokenizer is asked once for
-    each distinct stretch between white space, and answers are kept for the stretches that come again. Stretches of
-    letters (with a full stop or comma behind them at most) are one word each: many are encoded as one text, whose ids
-    are parted at the ends of words. Other vocabularies encode whole texts.
+    each distinct stretch between white space, and answers are kept for the stretches that come again. Lower-case words
+    of letters, which the tokenizer's rules leave as they are, are encoded many at a time behind a plain split at blanks,
+    and the ids parted at the ends of words. Other vocabularies encode whole texts.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -84,63 +82,62 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
         self.kept = _KEPT.setdefault(path, Kept())  # a worker runs many tasks
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
-        self.last = None
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.last = self.bare = None
         if suffix:
             self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
             self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        self.signs = {sign: self.alone([sign])[0] for sign in ".,"}
-        self.bare = self.without_rules() if suffix else None
-        self.any_case = suffix is not None and self.alone(["AbZ"]) == self.alone(["abz"])
+            rules = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": rules}}))
+            letters = "abcdefghijklmnopqrstuvwxyzàâäçéèêëîïñóôöùûüß"
+            probe = [*letters, letters, *(a + b for a in letters for b in letters)]
+            same = self.alone(self.bare, probe) == self.alone(self.tokenizer, probe)
+            any_case = self.alone(self.tokenizer, ["AbZ", "a.", "a1,"]) == self.alone(self.tokenizer, ["abz", "a .", "a1 ,"])
+            self.bare = self.bare if same and any_case else None
 
-    def alone(self, words: list[str]) -> list[tuple]:
-        return [tuple(x.ids) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def without_rules(self):
-        """The same model behind a plain split at blanks, for words of a to z, which the rules leave as they are; None if
-        they don't."""
-        from tokenizers import Tokenizer
-
-        spec = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        bare = Tokenizer.from_str(json.dumps(spec))
-        letters = "abcdefghijklmnopqrstuvwxyz"
-        probe = [*letters, letters, *(a + b for a in letters for b in letters)]
-        same = [tuple(x.ids) for x in bare.encode_batch_fast(probe, add_special_tokens=False)] == self.alone(probe)
-        return bare if same else None
-
-    def words(self, words: list[str], tokenizer) -> list[tuple]:
-        """Ids of words of letters."""
-        out = []
-        for at in range(0, len(words), 500):
-            some = words[at:at + 500]
-            ids = tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            cuts = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                out += [tuple(ids[i:j]) for i, j in zip([0, *cuts], cuts, strict=False)]
-            else:  # a letter whose lower case is no single letter parts a word
-                out += self.alone(some)
-        return out
+    @staticmethod
+    def alone(tokenizer, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def stretches(self, text: bytes) -> list[bytes]:
+        """The stretches of a text, in lower case where that doesn't change what the tokenizer's own rules give."""
+        if self.bare is None:
+            return text.split()
+        low = text.lower()
+        if text.isascii() or unicodedata.is_normalized("NFC", low.decode()) and unicodedata.is_normalized("NFC", text.decode()):
+            return low.split()
+        return text.split()
 
     def learn(self, new: list[bytes]) -> None:
-        cores, signs = self.kept.cores, self.signs
-        ascii_words, others = [w for w in new if w.isascii()], [w for w in new if not w.isascii()]
-        # only ASCII may be lower-cased before the tokenizer's own rules
-        texts = b"\n".join(ascii_words).decode().split("\n") if ascii_words else []
-        texts = [t.lower() for t in texts] if self.any_case else texts
-        for words, texts, plain in ((ascii_words, texts, True), (others, [w.decode() for w in others], False)):
-            heads = [t[:-1] if t[-1] in signs else t for t in texts]
-            simple = [h.isalpha() for h in heads]
-            fresh = list({h for h, s in zip(heads, simple, strict=True) if s}.difference(cores))
-            cores.update(zip(fresh, self.words(fresh, self.bare if plain and self.any_case and self.bare else self.tokenizer), strict=True))
-            self.kept.add([w for w, s in zip(words, simple, strict=True) if s],
-                          [cores[h] if len(h) == len(t) else cores[h] + signs[t[-1]] for h, t, s in zip(heads, texts, simple, strict=True) if s])
-            rest = [w for w, s in zip(words, simple, strict=True) if not s]
-            self.kept.add(rest, self.alone([w.decode() for w in rest]))
+        texts = b" ".join(new).decode().split(" ")
+        # a full stop or comma behind letters is a word of its own
+        signs = [t[-1] in ".," for t in texts]
+        cores = [t[:-1] if s else t for t, s in zip(texts, signs, strict=True)]
+        # two bytes a letter at most: scripts whose letters no rule changes
+        plain = np.array([c.islower() and c.isalpha() and len(w) <= 2 * len(c) for w, c in zip(new, cores, strict=True)], bool)
+        if self.bare is None or not unicodedata.is_normalized("NFC", " ".join(texts)):
+            plain[:] = False
+        for at in np.array_split(np.flatnonzero(plain), max(1, plain.sum() // 1000)):
+            if len(at):
+                some = at.tolist()
+                spaced = " ".join([f"{cores[i]} {texts[i][-1]}" if signs[i] else texts[i] for i in some])
+                ids = np.array(self.bare.encode_batch_fast([spaced], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                upto = np.cumsum([1 + signs[i] for i in some])
+                if len(ends) == upto[-1]:
+                    self.kept.add([new[i] for i in some], np.diff(ends[upto - 1], prepend=0), ids)
+                else:
+                    plain[at] = False
+        rest = np.flatnonzero(~plain).tolist()
+        if rest:
+            ids = self.alone(self.tokenizer, [texts[i] for i in rest])
+            self.kept.add([new[i] for i in rest], np.array([len(x) for x in ids]), np.fromiter(chain.from_iterable(ids), np.uint32))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         if self.last is None:
-            return [np.array([*ids, self.end], np.uint32) for ids in self.alone([t.decode() for t in texts])]
-        split = [t.split() for t in texts]
+            return [np.array([*ids, self.end], np.uint32) for ids in self.alone(self.tokenizer, [t.decode() for t in texts])]
+        split = [self.stretches(t) for t in texts]
         words = list(chain.from_iterable(split))
         ends = np.cumsum([len(x) for x in split])
 
