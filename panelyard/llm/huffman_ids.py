@@ -16,7 +16,6 @@ An empty table gives an empty file set. Other columns are not read.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import unicodedata
@@ -34,7 +33,7 @@ from panelyard.session import cut_lineage
 
 LIMIT, EVERY = 16, 64
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 17, 1 << 22
-CACHED = 900_000
+CACHED = 400_000
 FILE = ("shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, n_bits bigint, bits binary, offsets binary")
 
 
@@ -77,7 +76,6 @@ class Encoder:
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # hundreds of thousands of kept words and no cycles
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
