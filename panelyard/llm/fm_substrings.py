@@ -10,7 +10,8 @@ Every word covered by a sequence of ``WINDOW`` words that also starts in a docum
    be searched apart from all others. Equal blocks are sent once by a task and indexed once, with their smallest id.
    Keys stand for 64-bit hashes of words, the words behind a key for 32 bits of them.
 4. Keys are dealt over shards. A shard's blocks, as word numbers, become FM-indexes of at most ``INDEX_WORDS`` words (at
-   key boundaries): a Burrows-Wheeler transform from prefix doubling up to the window length, kept as a wavelet matrix
+   key boundaries; a key of more than ``KEY_ROWS`` blocks is not indexed but cut into single windows, whose digests meet
+   in map-side sums): a Burrows-Wheeler transform from prefix doubling up to the window length, kept as a wavelet matrix
    of packed bits with popcount ranks. Backward search runs for all windows of the shard side by side and gives the
    length each can be matched beyond itself; for windows that match in full, the least id in the suffix interval.
 5. The windows go back to their documents, which are rebuilt from the words that stay.
@@ -38,6 +39,8 @@ WINDOW, GRAM, BLOCK = 50, 8, 16
 #: Distinct blocks that a task holds back until it sends them.
 HELD = 100_000
 INDEX_WORDS = 1 << 20
+#: Rows of a key, one per task and distinct block, above which its blocks become single windows.
+KEY_ROWS = 256
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -309,6 +312,41 @@ def search_shards(contents: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, content bigint, least array<bigint>")
 
 
+def split_windows(contents: DataFrame, window: int) -> DataFrame:
+    """A row per window of each block: key, content, at (its place in the block), digest (of the key and its words), least, most."""
+    def run(batches):
+        for part in slices(batches, column="words"):
+            sizes, digests = [], []
+            for key, words in zip(part.column("key").to_pylist(), part.column("words").to_pylist(), strict=True):
+                starts = range(0, len(words) - 4 * window + 1, 4)
+                salt = key.to_bytes(8, "little", signed=True)
+                digests += [hashlib.blake2b(words[i:i + 4 * window], digest_size=16, salt=salt).digest() for i in starts]
+                sizes.append(len(starts))
+            sizes = np.array(sizes, np.int64)
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_pydict({**{c: part.column(c).take(row) for c in ("key", "content", "least", "most")},
+                                              "at": pa.array(ranges(np.zeros(len(sizes), np.int64), sizes)), "digest": pa.array(digests, pa.binary())})
+
+    return contents.mapInArrow(run, "key bigint, content bigint, least bigint, most bigint, at bigint, digest binary")
+
+
+def least_of_windows(contents: DataFrame, window: int) -> DataFrame:
+    """Like ``search_shards``, without an index: the least ids of single windows that repeat are joined back to the blocks.
+    Windows that one document alone has are null in the array."""
+    windows = cut_lineage(split_windows(contents, window))
+    least = windows.groupBy("digest").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first < last").select("digest", "first")
+    parts = windows.select("key", "content", "at", "digest").distinct().join(least, "digest")
+    found = parts.groupBy("key", "content").agg(F.map_from_entries(F.collect_list(F.struct("at", "first"))).alias("firsts"), F.max("at").alias("end"))
+    return found.select("key", "content", F.transform(F.sequence(F.lit(0).cast("bigint"), "end"), lambda i: F.col("firsts")[i]).alias("least"))
+
+
+def least_by_key(contents: DataFrame, window: int) -> DataFrame:
+    """key, content and the smallest ids of the windows: by indexes, and window by window for keys with many blocks."""
+    crowded = cut_lineage(contents.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > KEY_ROWS).select("key"))
+    few = search_shards(contents.join(crowded, "key", "left_anti"), window)
+    return few.unionByName(least_of_windows(contents.join(crowded, "key", "left_semi"), window))
+
+
 def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the kept words where any were removed; else null)."""
     rows = id_and_text(docs).withColumn("key", F.xxhash64("text"))
@@ -324,7 +362,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # the texts that the search concerns, written once for both later uses
     texts = cut_lineage(rows.join(wanted, ["doc_id", "key"]).select("doc_id", "key", "text", "wanted").dropDuplicates(["doc_id", "key"]))
     blocks = cut_lineage(candidate_blocks(texts, window))
-    found = cut_lineage(search_shards(blocks.where("words IS NOT NULL"), window))
+    found = cut_lineage(least_by_key(blocks.where("words IS NOT NULL"), window))
     hits = blocks.where("words IS NULL").select("key", "content", "doc_id", "doc_key", "start").join(found, ["key", "content"])
     at = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     hits = hits.select("doc_id", "doc_key", at.alias("at")).where(F.size("at") > 0)

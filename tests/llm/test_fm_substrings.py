@@ -70,3 +70,28 @@ def test_index_counts_like_a_scan():
             assert sorted(index.suffixes[a:b].tolist()) == places
         else:
             assert len(places) == 1
+
+
+@pytest.mark.parametrize("key_rows", [S.KEY_ROWS, 3])
+def test_no_index_holds_a_whole_crowded_key(documents, monkeypatch, key_rows):
+    """A passage between different texts makes as many distinct blocks at its ends as documents have it."""
+    monkeypatch.setattr(S, "KEY_ROWS", key_rows)
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(70)]
+    rows = [(i, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])) for i in range(40)]
+    rows += [(i, " ".join([word() for _ in range(30)] + passage[3:60] + [word() for _ in range(30)])) for i in range(40, 60)]
+    got = S.repeated_words(documents(rows), 50).drop("kept").collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(rows, 50)
+
+
+def test_crowded_keys_reach_no_shard(documents, monkeypatch):
+    monkeypatch.setattr(S, "KEY_ROWS", 8)
+    seen = []
+    search = S.search_shards
+    monkeypatch.setattr(S, "search_shards", lambda contents, window: seen.append(contents) or search(contents, window))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(20)) + f" {passage} " + " ".join(f"b{i}x{k}" for k in range(20))) for i in range(40)]
+    assert sorted(x.n_removed for x in S.repeated_words(documents(rows)).collect()) == [0] + [60] * 39
+    most = [x["count"] for x in seen[0].groupBy("key").count().collect()]
+    assert max(most, default=0) <= 8
