@@ -1,14 +1,15 @@
 """Main text of web pages by wrapper induction.
 
-The pages of a host share a reference page (the one with the smallest hash). Every page's DOM tree is aligned with the
-reference by simple tree matching: equal tags match, children align in order so that most nodes match. A block of text
-whose aligned node says the same on nine tenths of the host's pages (with different main texts, four at least) belongs to
-the template; blocks that vary, or have no partner, are content. Before that, regions that are no article by their
+The pages of a host share up to ``REFERENCES`` reference pages, one of each of its commonest shapes, empty pages left out.
+Every page's DOM tree is aligned with them by simple tree matching: equal tags match, children align in order so that
+most nodes match. A block's slot is the node of the first reference that it is aligned with, or the place of its nearest
+aligned ancestor. A text that stands in one slot on nine tenths of the host's pages (with different main texts, four at
+least; whether or not a reference has it) belongs to
+the template; blocks that vary are content. Before that, regions that are no article by their
 element or name (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) are left
 out, and where a page has an article or main element only what lies in it counts.
 
-Counts of a host's nodes are partial sums of one row per page and node, so a hot host is no hot task; the reference is
-one page per host. Trees deeper than ``DEPTH`` are flattened below it, which changes no text.
+Counts of a host's nodes are partial sums of one row per page and block, so a hot host is no hot task. Trees deeper than ``DEPTH`` are flattened below it, which changes no text.
 
 Defined results. Null or empty html has the empty text. A null url, or one without ``://``, belongs to the host "".
 Pages repeat as they are repeated in the table. Character references are decoded, white space inside a block (line
@@ -17,18 +18,19 @@ breaks included) becomes one space. An empty table gives an empty table. Other c
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.llm.common import slices
 from panelyard.llm.url_filter import host_of
 from panelyard.session import cut_lineage
 
-DEPTH, PAGES, SHARE = 80, 4, 0.9
+DEPTH, PAGES, SHARE, REFERENCES = 80, 4, 0.9, 3
 #: Child lists whose product is larger are aligned from both ends instead of by the quadratic table.
 CELLS = 40_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -235,49 +237,75 @@ def blocks(root: Node) -> list[tuple[int, str]]:
     return out
 
 
-def aligned(page: str, reference: str | None) -> list[dict]:
-    """Blocks of a page: text, number of the reference's node that the block's element is aligned with (-1: none),
-    and whether the reference's block says the same."""
+@functools.lru_cache(maxsize=256)
+def numbered(page: str) -> Node:
     root = parse(page)
     number(root)
-    own, pairs, said = blocks(root), {}, {}
-    if reference and own:
-        other = parse(reference)
-        number(other)
-        matching(root, other, pairs)
-        for node, text in blocks(other):
-            said.setdefault(node, set()).add(text)
-    return [{"node": pairs.get(node, -1), "same": text in said.get(pairs.get(node, -1), ()), "text": text} for node, text in own]
+    return root
+
+
+def slots_of(page: Node, references: list[str]) -> dict[int, int]:
+    """A slot for each node of a numbered page: the node of the first reference that it is aligned with, or a negative
+    number for the place of its nearest aligned ancestor."""
+    slots: dict[int, int] = {}
+    for r, reference in enumerate(references):
+        pairs: dict[int, int] = {}
+        matching(page, numbered(reference), pairs)
+        for node, other in pairs.items():
+            slots.setdefault(node, r << 32 | other)
+    waiting = [page]
+    while waiting:
+        node = waiting.pop()
+        own = slots.setdefault(node.number, -1)
+        for child in node.children():
+            slots.setdefault(child.number, -2 - own if own >= 0 else own)
+            waiting.append(child)
+    return slots
+
+
+def aligned(page: str, references: list[str]) -> list[dict]:
+    """Blocks of a page: text and the slot of the block's element."""
+    root = parse(page)
+    number(root)
+    own = blocks(root)
+    slots = slots_of(root, references) if own else {}
+    return [{"slot": slots[node], "text": text} for node, text in own]
 
 
 def references(pages: DataFrame) -> DataFrame:
-    """host and html of one page of each host, the one with the smallest hash."""
-    hashed = pages.withColumn("hash", F.xxhash64("html"))
-    least = hashed.groupBy("host").agg(F.min("hash").alias("hash"))
-    return cut_lineage(hashed.join(least, ["host", "hash"]).select("host", F.col("html").alias("reference")).dropDuplicates(["host"]))
+    """host and up to ``REFERENCES`` pages of it that have text: one of each of the commonest shapes (sets of tags)."""
+    tags = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit("<([a-z][a-z0-9]*)"), F.lit(1))))
+    shaped = pages.where(F.trim("html") != "").select("host", "html", F.xxhash64(tags).alias("shape"), F.xxhash64("html").alias("hash"))
+    counts = shaped.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("times"), F.min("hash").alias("hash"))
+    # tasks send no more than so many of a host
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("times"), "hash"))
+    chosen = cut_lineage(counts.withColumn("place", place).where(F.col("place") <= REFERENCES).select("host", "hash", "place"))
+    found = shaped.select("host", "hash", "html").join(chosen, ["host", "hash"]).dropDuplicates(["host", "place"])
+    found = found.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "html"))).alias("found"))
+    return cut_lineage(found.select("host", F.col("found.html").alias("reference")))
 
 
 def main_text(pages: DataFrame, min_pages: int = PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, blocks array<struct<node:int,same:boolean,text:string>>"
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("same", pa.bool_()), ("text", pa.string())]))
+    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, blocks array<struct<slot:bigint,text:string>>"
+    kind = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.string())]))
 
     def run(batches):
         for part in slices(batches, column="html"):
             both = zip(part.column("html").to_pylist(), part.column("reference").to_pylist(), strict=True)
-            found = pa.array([aligned(page, reference) for page, reference in both], kind)
+            found = pa.array([aligned(page, reference or []) for page, reference in both], kind)
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), found], names=["page_id", "url", "host", "blocks"])
 
     parsed = cut_lineage(rows.join(references(rows), "host", "left").select("page_id", "url", "host", "html", "reference").mapInArrow(run, schema))
+    marks = F.transform("blocks", lambda b: F.xxhash64(b["slot"], b["text"]))
     # pages of a host with the same main text count once
-    narrow = parsed.select("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("digest"),
-                           F.array_distinct(F.transform(F.filter("blocks", lambda b: b["same"]), lambda b: b["node"])).alias("nodes"))
-    narrow = narrow.groupBy("host", "digest").agg(F.first("nodes").alias("nodes"))
+    narrow = parsed.where(F.size("blocks") > 0).select("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("digest"), F.array_distinct(marks).alias("marks"))
+    narrow = narrow.groupBy("host", "digest").agg(F.first("marks").alias("marks"))
     per_host = narrow.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    per_node = narrow.select("host", F.explode("nodes").alias("node")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("times"))
-    fixed = per_node.where(F.col("times") >= min_pages).join(per_host, "host").where(F.col("times") >= F.col("pages") * share)
-    template = cut_lineage(fixed.groupBy("host").agg(F.collect_list("node").alias("template")))
-    kept = F.filter("blocks", lambda b: ~(b["same"] & F.coalesce(F.array_contains("template", b["node"]), F.lit(False))))
+    per_mark = narrow.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("times"))
+    fixed = per_mark.where(F.col("times") >= min_pages).join(per_host, "host").where(F.col("times") >= F.col("pages") * share)
+    template = cut_lineage(fixed.groupBy("host").agg(F.collect_list("mark").alias("template")))
+    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", F.xxhash64(b["slot"], b["text"])), F.lit(False)))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return parsed.join(template, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -46,3 +46,21 @@ def test_what_a_host_repeats_is_template(site):
 def test_copies_of_a_page_are_no_template(site, spark):
     copies = spark.createDataFrame([(k, "http://c.org/x", "<p>same</p><p>text</p>") for k in range(9)], "page_id bigint, url string, html string")
     assert {r.text for r in W.main_text(copies).collect()} == {"same\ntext"}
+
+
+def test_template_is_what_the_pages_say_not_one_reference(spark):
+    """An empty page, one without the notice and one broken off must not decide for the host."""
+    def page(k):
+        return f"<body><div><p>Read our terms</p></div><div><h2>Story {k}</h2><p>Body {k}</p></div><section><p>Call us now</p></section></body>"
+
+    rows = [(k, page(k)) for k in range(40)] + [(40, ""), (41, "<body><div><p>Gone</p>"), (42, "<body><div><h2>Story 42</h2><p>Body 42</p></div></body>")]
+    for salt in range(3):  # other hashes, so that another page has the smallest
+        pages = spark.createDataFrame([(k, "http://h.org/x", f"<!--{salt}-->{h}" if h else h) for k, h in rows], "page_id bigint, url string, html string")
+        got = {r.page_id: r.text for r in W.main_text(pages).collect()}
+        assert got == {**{k: f"Story {k}\nBody {k}" for k in [*range(40), 42]}, 40: "", 41: "Gone"}
+
+
+def test_a_reference_that_says_something_else_hides_no_template():
+    assert [b["slot"] for b in W.aligned("<p>a</p><p>b</p>", ["<p>x</p><p>y</p>", "<p>a</p>"])] == [1, 2]
+    assert [b["slot"] for b in W.aligned("<p>a</p><ul><li>b</ul>", ["<p>x</p>", "<ul><li>y</ul>"])] == [1, 1 << 32 | 2]
+    assert [b["slot"] for b in W.aligned("<p>a</p><ul><li>b</ul>", ["<p>x</p>"])] == [1, -2]
