@@ -5,9 +5,11 @@ Every page's DOM tree is aligned with them by simple tree matching: equal tags m
 most nodes match. A block's slot is the node of the first reference that it is aligned with, or the place of its nearest
 aligned ancestor. A text that stands in one slot on nine tenths of the host's pages (with different main texts, four at
 least; whether or not a reference has it) belongs to
-the template; blocks that vary are content. Before that, regions that are no article by their
-element or name (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) are left
-out, and where a page has an article or main element only what lies in it counts.
+the template; blocks that vary are content. Only then element names
+count: of the blocks that vary, regions that by their element or name are no article (page headers, sidebars, notices,
+adverts, forms, reader comments) are left out unless they hold the page's title or most of its varying text, and where an
+article or main element holds enough of that text only what lies in it counts. Menus, footers, asides, controls and
+scripts, known by their element, never count.
 
 Counts of a host's nodes are partial sums of one row per page and block, so a hot host is no hot task. Trees deeper than ``DEPTH`` are flattened below it, which changes no text.
 
@@ -37,7 +39,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3
 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption""".split())
-NO_TEXT = frozenset("""head script style noscript template nav footer aside form button select option textarea input iframe svg canvas object
+#: Elements whose text is never prose of the page.
+NO_TEXT = frozenset("""head script style noscript template nav footer aside button select option textarea input iframe svg canvas object
 menu dialog title""".split())
 NO_NAME = frozenset("""ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation
 breadcrumb breadcrumbs header masthead footer sidebar aside notice notices cookie cookies consent popup modal newsletter subscribe subscription
@@ -179,64 +182,121 @@ def ends_matching(left, right, pairs) -> int:
     return total
 
 
-def outside(node: Node, in_article: bool) -> bool:
-    """Whether the node is no part of an article."""
-    if node.tag in NO_TEXT or node.tag == "header" and not in_article:
+def doubtful(node: Node, in_article: bool) -> bool:
+    """Whether the element or its name hints that the node is no part of an article."""
+    if node.tag == "form" or node.tag == "header" and not in_article:
         return True
-    return bool(node.name) and node.tag not in ("html", "body") and not NO_NAME.isdisjoint(WORD.findall(node.name))
+    return bool(node.name) and node.tag not in ("html", "body", "main", "article") and not NO_NAME.isdisjoint(WORD.findall(node.name))
 
 
-def articles(root: Node) -> list[Node]:
-    """The outermost article or main elements, or the whole page where there are none."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-
-    def visit(node, inside):
-        if node is not root and outside(node, False):
-            return
-        if node.tag in found and node.tag not in inside:
-            found[node.tag].append(node)
-            inside = inside | {node.tag}
-        for child in node.children():
-            visit(child, inside)
-
-    visit(root, frozenset())
-    return found["article"] or found["main"] or [root]
+def measured(root: Node) -> dict[int, tuple[int, bool, bool]]:
+    """By number of the node: length of its text (without elements of no text), whether it holds a block, an h1 or main."""
+    known: dict[int, tuple[int, bool, bool]] = {}
+    waiting = [(root, False)]
+    while waiting:
+        node, done = waiting.pop()
+        if not done:
+            waiting.append((node, True))
+            waiting += [(c, False) for c in node.children() if c.tag not in NO_TEXT]
+            continue
+        below = [(c, known[c.number]) for c in node.children() if c.tag not in NO_TEXT]
+        length = sum(len(x.strip()) for x in node.items if isinstance(x, str)) + sum(k[0] for _, k in below)
+        known[node.number] = (length, any(c.tag in BLOCKS or k[1] for c, k in below), any(c.tag in ("h1", "main") and k[0] or k[2] for c, k in below))
+    return known
 
 
-def blocks(root: Node) -> list[tuple[int, str]]:
-    """(number of the element, text) of every block of text in the page's articles, in page order."""
-    out: list[tuple[int, str]] = []
+def marked(root: Node) -> list[dict]:
+    """Every block of text of a numbered page, in page order: number of its element, text, the doubtful regions round it
+    (outermost first), the outermost article and main round it (-1: none), whether it is a title (in an h1), and whether
+    it lies loose in the page's root or body."""
+    out: list[dict] = []
     held: list[str] = []
+    sizes = measured(root)
 
-    def flush(owner):
+    def flush(owner, regions, article, main, title, loose):
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((owner, text))
-
-    def visit(node, owner, in_article):
-        for item in node.items:
-            if isinstance(item, str):
-                held.append(item)
-            elif item.tag in ("br", "wbr"):
-                held.append(" " if item.tag == "br" else "")
-            elif outside(item, in_article):
-                if item.tag in BLOCKS:
-                    flush(owner)
-            elif item.tag in BLOCKS:
-                flush(owner)
-                visit(item, item.number, in_article)
-                flush(item.number)
-            else:
-                visit(item, owner, in_article)
-
-    for top in articles(root):
-        flush(top.number)
-        visit(top, top.number, top.tag in ("article", "main"))
-        flush(top.number)
+            out.append({"node": owner, "text": text, "regions": list(regions), "article": article, "main": main, "title": title, "loose": loose})
+
+    # a frame: items left, what the text in it belongs to, and whether its end closes a block
+    top = (root.number, (), -1, -1, False, True)
+    stack = [(iter(root.items), top, True)]
+    while stack:
+        items, at, block = stack[-1]
+        item = next(items, None)
+        if item is None:
+            stack.pop()
+            if block:
+                flush(*at)
+            continue
+        if isinstance(item, str):
+            held.append(item)
+            continue
+        if item.tag in ("br", "wbr"):
+            held.append(" " if item.tag == "br" else "")
+            continue
+        owner, regions, article, main, title, loose = at
+        part = item.tag in BLOCKS
+        if item.tag in NO_TEXT:
+            if part:
+                flush(*at)
+            continue
+        length, holds_block, holds_title = sizes[item.number]
+        if doubtful(item, article >= 0 or main >= 0) and not holds_title:
+            if not part and not holds_block and 2 * length <= sizes[root.number][0]:
+                continue  # a few words within a line
+            regions, part = (*regions, item.number), True
+        if part:
+            flush(*at)
+            below = (item.number, regions, item.number if item.tag == "article" and article < 0 else article,
+                     item.number if item.tag == "main" and main < 0 else main, title or item.tag == "h1", loose and item.tag in ("html", "body"))
+        else:
+            below = at
+        stack.append((iter(item.items), below, part))
     return out
 
 
+def chosen(found: list[dict], varies: list[bool]) -> list[dict]:
+    """The blocks of the article among the blocks of a page. Only blocks that vary over the host weigh and stay.
+
+    A doubtful region goes unless it holds most of the varying text; if there is an article, main or title outside, only
+    a region that holds nine tenths of it stays. Articles, or main, count alone if they hold enough of what is left."""
+    left = [b for b, v in zip(found, varies, strict=True) if v]
+    total = sum(len(b["text"]) for b in left)
+    weights: dict[int, int] = {}
+    for b in left:
+        for region in b["regions"]:
+            weights[region] = weights.get(region, 0) + len(b["text"])
+    gone: set[int] = set()
+    for region in weights:
+        if 2 * weights[region] <= total:
+            gone.add(region)
+    lead = [set(b["regions"]) for b in left if b["title"] or b["article"] >= 0 or b["main"] >= 0]
+    for region, weight in weights.items():
+        if region not in gone and 10 * weight <= 9 * total and any(region not in around and gone.isdisjoint(around) for around in lead):
+            gone.add(region)
+    left = [b for b in left if gone.isdisjoint(b["regions"])]
+
+    def weight(blocks):
+        return sum(len(b["text"]) for b in blocks if not b["loose"])
+
+    articles, mains = [b for b in left if b["article"] >= 0], [b for b in left if b["main"] >= 0]
+    if mains and weight(articles) <= weight(mains):
+        inner = [b for b in mains if b["article"] >= 0]
+        if 4 * weight(mains) >= weight(left):
+            left = inner if 2 * weight(inner) >= weight(mains) else mains
+    elif articles and 4 * weight(articles) >= weight(left):
+        left = articles
+    return left
+
+
+def blocks(root: Node) -> list[tuple[int, str]]:
+    """(number of the element, text) of every block of a page that no other page is compared with."""
+    found = marked(root)
+    return [(b["node"], b["text"]) for b in chosen(found, [True] * len(found))]
+
+
 @functools.lru_cache(maxsize=256)
 def numbered(page: str) -> Node:
     root = parse(page)
@@ -264,12 +324,12 @@ def slots_of(page: Node, references: list[str]) -> dict[int, int]:
 
 
 def aligned(page: str, references: list[str]) -> list[dict]:
-    """Blocks of a page: text and the slot of the block's element."""
+    """All blocks of a page, with the slot of the block's element."""
     root = parse(page)
     number(root)
-    own = blocks(root)
+    own = marked(root)
     slots = slots_of(root, references) if own else {}
-    return [{"slot": slots[node], "text": text} for node, text in own]
+    return [{"slot": slots[b["node"]], **b} for b in own]
 
 
 def references(pages: DataFrame) -> DataFrame:
@@ -288,8 +348,9 @@ def references(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, min_pages: int = PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, host string, blocks array<struct<slot:bigint,text:string>>"
-    kind = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.string())]))
+    identity = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string"
+    block = "slot:bigint,text:string,regions:array<int>,article:int,main:int,title:boolean,loose:boolean"
+    kind = pa.list_(pa.struct([("slot", pa.int64()), ("text", pa.string()), ("regions", pa.list_(pa.int32())), ("article", pa.int32()), ("main", pa.int32()), ("title", pa.bool_()), ("loose", pa.bool_())]))
 
     def run(batches):
         for part in slices(batches, column="html"):
@@ -297,7 +358,7 @@ def main_text(pages: DataFrame, min_pages: int = PAGES, share: float = SHARE) ->
             found = pa.array([aligned(page, reference or []) for page, reference in both], kind)
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), found], names=["page_id", "url", "host", "blocks"])
 
-    parsed = cut_lineage(rows.join(references(rows), "host", "left").select("page_id", "url", "host", "html", "reference").mapInArrow(run, schema))
+    parsed = cut_lineage(rows.join(references(rows), "host", "left").select("page_id", "url", "host", "html", "reference").mapInArrow(run, f"{identity}, host string, blocks array<struct<{block}>>"))
     marks = F.transform("blocks", lambda b: F.xxhash64(b["slot"], b["text"]))
     # pages of a host with the same main text count once
     narrow = parsed.where(F.size("blocks") > 0).select("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("digest"), F.array_distinct(marks).alias("marks"))
@@ -306,6 +367,13 @@ def main_text(pages: DataFrame, min_pages: int = PAGES, share: float = SHARE) ->
     per_mark = narrow.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("times"))
     fixed = per_mark.where(F.col("times") >= min_pages).join(per_host, "host").where(F.col("times") >= F.col("pages") * share)
     template = cut_lineage(fixed.groupBy("host").agg(F.collect_list("mark").alias("template")))
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("template", F.xxhash64(b["slot"], b["text"])), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return parsed.join(template, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    varies = F.transform("blocks", lambda b: ~F.coalesce(F.array_contains("template", F.xxhash64(b["slot"], b["text"])), F.lit(False)))
+
+    def choose(batches):
+        for part in slices(batches):
+            both = zip(part.column("blocks").to_pylist(), part.column("varies").to_pylist(), strict=True)
+            texts = pa.array(["\n".join(b["text"] for b in chosen(*of)) for of in both], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), texts], names=["page_id", "url", "text"])
+
+    told = parsed.join(template, "host", "left").select("page_id", "url", "blocks", varies.alias("varies")).mapInArrow(choose, f"{identity}, text string")
+    return told.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -64,3 +64,28 @@ def test_a_reference_that_says_something_else_hides_no_template():
     assert [b["slot"] for b in W.aligned("<p>a</p><p>b</p>", ["<p>x</p><p>y</p>", "<p>a</p>"])] == [1, 2]
     assert [b["slot"] for b in W.aligned("<p>a</p><ul><li>b</ul>", ["<p>x</p>", "<ul><li>y</ul>"])] == [1, 1 << 32 | 2]
     assert [b["slot"] for b in W.aligned("<p>a</p><ul><li>b</ul>", ["<p>x</p>"])] == [1, -2]
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<div id=page class=right-sidebar><p>one</p><p>two</p></div>", "one\ntwo"),
+    ("<article><div class=entry-header><h1>Title</h1></div><p>text</p></article>", "Title\ntext"),
+    ("<article class='post comments-open'><h1>T</h1><p>text</p></article>", "T\ntext"),
+    ("<main><p>The long text of this page.</p></main><article>teaser</article>", "The long text of this page."),
+    ("<article>teaser</article><div><p>The long text of this page, which has no main.</p></div>", "teaser\nThe long text of this page, which has no main."),
+    ("<form action=x><div class=nav>n</div><h2>Head</h2><p>All of the page</p></form>", "Head\nAll of the page"),
+    ("<article><h1>T</h1><p>short</p></article><div class=ad>an advert with more words than that</div>", "T\nshort"),
+    ("<p>a <span class=share>s</span>b</p>", "a b")])
+def test_names_are_a_weak_sign(page, want):
+    root = W.parse(page)
+    W.number(root)
+    assert "\n".join(t for _, t in W.blocks(root)) == want
+
+
+def test_alignment_decides_before_names(spark):
+    """A long constant text outside the wrapper leaves the wrapper most of what varies."""
+    def page(k):
+        return (f"<body><div><p>{'Welcome to all readers of the site. ' * 9}</p></div><div class=has-sidebar><p>Body of story {k}</p></div>"
+                f"<div class=sidebar><p>tip {k}</p></div></body>")
+
+    pages = spark.createDataFrame([(k, "http://h.org/x", page(k)) for k in range(8)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in W.main_text(pages).collect()} == {k: f"Body of story {k}" for k in range(8)}
