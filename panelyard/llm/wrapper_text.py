@@ -11,7 +11,8 @@ adverts, forms, reader comments) are left out unless they hold the page's title
 article or main element holds enough of that text only what lies in it counts. Menus, footers, asides, controls and
 scripts, known by their element, never count.
 
-Counts of a host's nodes are partial sums of one row per page and block, so a hot host is no hot task. Trees deeper than ``DEPTH`` are flattened below it, which changes no text.
+Counts of a host's nodes are partial sums of one row per page and block, so a hot host is no hot task. Trees are walked with stacks, however deep;
+what lies more than ``DEPTH`` levels below where two trees differ is not aligned and counts by its nearest aligned ancestor.
 
 Defined results. Null or empty html has the empty text. A null url, or one without ``://``, belongs to the host "".
 Pages repeat as they are repeated in the table. Character references are decoded, white space inside a block (line
@@ -24,6 +25,7 @@ import functools
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from panelyard.llm.url_filter import host_of
 from panelyard.session import cut_lineage
 
 DEPTH, PAGES, SHARE, REFERENCES = 80, 4, 0.9, 3
-#: Child lists whose product is larger are aligned from both ends instead of by the quadratic table.
+#: Child lists whose product is larger are halved before the quadratic table.
 CELLS = 40_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
@@ -54,10 +56,10 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "items", "number", "size")
+    __slots__ = ("tag", "name", "items", "number", "size", "shape")
 
     def __init__(self, tag: str, name: str = ""):
-        self.tag, self.name, self.items, self.number, self.size = tag, name, [], -1, 1
+        self.tag, self.name, self.items, self.number, self.size, self.shape = tag, name, [], -1, 1, 0
 
     def children(self):
         return [x for x in self.items if not isinstance(x, str)]
@@ -66,37 +68,45 @@ class Node:
 def parse(text: str) -> Node:
     """A DOM tree; items of a node are child nodes and texts."""
     root = Node("html")
-    stack: list[tuple[str, Node]] = [("html", root)]
+    stack = [root]
+    standing: dict[str, int] = {}  # open elements by tag, so that no search goes through the stack in vain
     at, n = 0, len(text)
 
+    def cut(i):
+        for node in stack[i:]:
+            standing[node.tag] -= 1
+        del stack[i:]
+
     def close(tags, behind):
+        if not any(standing.get(tag) for tag in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
+            if stack[i].tag in tags:
+                cut(i)
                 return
-            if stack[i][0] in behind:
+            if stack[i].tag in behind:
                 return
 
     while at < n:
         found = TOKEN.search(text, at)
         if found is None:
-            cut = text.find("<", at)  # an opening tag that the page breaks off in is no text
-            broken = cut >= 0 and re.match(r"</?[A-Za-z]", text[cut:cut + 3]) and ">" not in text[cut:]
-            stack[-1][1].items.append(text[at:cut] if broken else text[at:])
+            end = text.find("<", at)  # an opening tag that the page breaks off in is no text
+            broken = end >= 0 and re.match(r"</?[A-Za-z]", text[end:end + 3]) and ">" not in text[end:]
+            stack[-1].items.append(text[at:end] if broken else text[at:])
             break
         if found.start() > at:
-            stack[-1][1].items.append(text[at:found.start()])
+            stack[-1].items.append(text[at:found.start()])
         at = found.end()
         tag = found[2]
         if not tag:
             continue
         tag = tag.lower()
         if found[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            for i in range(len(stack) - 1, 0, -1) if standing.get(tag) else ():
+                if stack[i].tag == tag:
+                    cut(i)
                     break
-                if tag == "p" and stack[i][0] in ("article", "body", "td"):
+                if tag == "p" and stack[i].tag in ("article", "body", "td"):
                     break
             continue
         if tag in ("html", "body") and len(stack) == 1 and tag == "html":
@@ -107,79 +117,119 @@ def parse(text: str) -> Node:
             close(*CLOSES[tag])
         names = found[3]
         node = Node(tag, " ".join(x.strip("\"'") for x in CLASS.findall(names)).lower() if names and not names.isspace() else "")
-        parent = stack[-1][1]
+        parent = stack[-1]
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             parent.items.append(node)
             at = end.end() if end else n
         elif tag in VOID or names.endswith("/"):
             parent.items.append(node)
-        elif len(stack) > DEPTH:
-            parent.items.append(Node("br"))  # a flattened element still parts words
-            stack.append((tag, parent))
         else:
             parent.items.append(node)
-            stack.append((tag, node))
+            stack.append(node)
+            standing[tag] = standing.get(tag, 0) + 1
     return root
 
 
 def number(root: Node) -> list[Node]:
-    """Nodes in page order; sets their numbers and sizes."""
-    nodes = []
-
-    def visit(node):
+    """Nodes in page order; sets their numbers, sizes and shapes (equal for equal trees of tags)."""
+    nodes, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
         node.number = len(nodes)
         nodes.append(node)
-        node.size = 1 + sum(visit(c) for c in node.children())
-        return node.size
-
-    visit(root)
+        waiting += reversed(node.children())
+    for node in reversed(nodes):
+        below = node.children()
+        node.size = 1 + sum(c.size for c in below)
+        node.shape = hash((node.tag, *[c.shape for c in below]))
     return nodes
 
 
-def matching(a: Node, b: Node, pairs: dict[int, int] | None = None) -> int:
-    """Simple tree matching: the most nodes of two trees that match in order; ``pairs`` takes a's number to b's."""
+def matching(a: Node, b: Node, pairs: dict[int, int] | None = None, depth: int = 0) -> int:
+    """Simple tree matching of numbered trees: the most nodes that match in order; ``pairs`` takes a's number to b's.
+
+    Equal trees match as a whole. Others are aligned down to ``DEPTH`` levels."""
     if a.tag != b.tag:
         return 0
+    if a.shape == b.shape and a.size == b.size:
+        if pairs is not None:
+            pairs.update(zip(range(a.number, a.number + a.size), range(b.number, b.number + b.size), strict=True))
+        return a.size
     if pairs is not None:
         pairs[a.number] = b.number
     left, right = a.children(), b.children()
-    if not left or not right:
+    if not left or not right or depth >= DEPTH:
         return 1
-    if len(left) * len(right) > CELLS:
-        return 1 + ends_matching(left, right, pairs)
-    weights = [[matching(x, y) for y in right] for x in left]
-    table = [[0] * (len(right) + 1)]
-    for row in weights:
-        last, now = table[-1], [0]
-        for j, w in enumerate(row):
-            best = last[j] + w
-            now.append(max(best, last[j + 1], now[j]))
-        table.append(now)
-    if pairs is not None:
-        i, j = len(left), len(right)
+    # equal trees at both ends belong together in a best alignment
+    total, front, back, n = 1, 0, 0, min(len(left), len(right))
+    while front < n and left[front].shape == right[front].shape:
+        total += matching(left[front], right[front], pairs, depth + 1)
+        front += 1
+    while back < n - front and left[-1 - back].shape == right[-1 - back].shape:
+        back += 1
+        total += matching(left[-back], right[-back], pairs, depth + 1)
+    left, right = left[front:len(left) - back], right[front:len(right) - back]
+    known: dict[tuple[int, int], int] = {}
+
+    def weight(x, y):
+        of = x.shape, y.shape
+        if of not in known:
+            known[of] = matching(x, y, None, depth + 1)
+        return known[of]
+
+    if pairs is None:
+        return total + (int(scores(left, right, weight)[-1]) if left and right else 0)
+    for x, y in best_pairs(left, right, weight):
+        total += matching(x, y, pairs, depth + 1)
+    return total
+
+
+def scores(left: list[Node], right: list[Node], weight) -> np.ndarray:
+    """The best sums of weights of ``left`` with each beginning of ``right``."""
+    rows: dict[int, np.ndarray] = {}
+    _, first, of = np.unique(np.array([y.shape for y in right]), return_index=True, return_inverse=True)
+    best = np.zeros(len(right) + 1, np.int64)
+    for x in left:
+        row = rows.get(x.shape)
+        if row is None:
+            row = rows[x.shape] = np.array([weight(x, right[i]) for i in first], np.int64)
+        now = np.maximum(best[1:], best[:-1] + row[of])
+        np.maximum.accumulate(now, out=now)
+        best[1:] = now
+    return best
+
+
+def best_pairs(left: list[Node], right: list[Node], weight):
+    """Pairs, in order, whose weights have the largest sum. Long lists are halved where the sums of both halves are best
+    (Hirschberg), so memory grows with the length and nothing is left out."""
+    waiting = [(left, right)]
+    while waiting:
+        left, right = waiting.pop()
+        if not left or not right:
+            continue
+        if len(left) > 1 and len(left) * len(right) > CELLS:
+            middle = len(left) // 2
+            at = int(np.argmax(scores(left[:middle], right, weight) + scores(left[middle:][::-1], right[::-1], weight)[::-1]))
+            waiting += [(left[middle:], right[at:]), (left[:middle], right[:at])]
+            continue
+        table = [[0] * (len(right) + 1)]
+        for x in left:
+            last, now = table[-1], [0]
+            for j, y in enumerate(right):
+                now.append(max(last[j] + weight(x, y), last[j + 1], now[j]))
+            table.append(now)
+        found, i, j = [], len(left), len(right)
         while i and j:
-            w = weights[i - 1][j - 1]
+            w = weight(left[i - 1], right[j - 1])
             if w and table[i][j] == table[i - 1][j - 1] + w:
                 i, j = i - 1, j - 1
-                matching(left[i], right[j], pairs)
+                found.append((left[i], right[j]))
             elif table[i][j] == table[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-    return 1 + table[-1][-1]
-
-
-def ends_matching(left, right, pairs) -> int:
-    total, front, n = 0, 0, min(len(left), len(right))
-    while front < n and left[front].tag == right[front].tag:
-        total += matching(left[front], right[front], pairs)
-        front += 1
-    for back in range(1, n - front + 1):
-        if left[-back].tag != right[-back].tag:
-            break
-        total += matching(left[-back], right[-back], pairs)
-    return total
+        yield from reversed(found)
 
 
 def doubtful(node: Node, in_article: bool) -> bool:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from panelyard.llm import wrapper_text as W
@@ -89,3 +91,50 @@ def test_alignment_decides_before_names(spark):
 
     pages = spark.createDataFrame([(k, "http://h.org/x", page(k)) for k in range(8)], "page_id bigint, url string, html string")
     assert {r.page_id: r.text for r in W.main_text(pages).collect()} == {k: f"Body of story {k}" for k in range(8)}
+
+
+def test_depth_changes_no_text():
+    deep = "<div>" * 300
+    for page, want in [(f"{deep}<p>one</p><p>two</p>", "one\ntwo"), (f"{deep}<p>a<b>b</b>c</p>", "abc"), (f"{deep}<nav>menu</nav><p>x</p><footer>f</footer>", "x"),
+                       ("<b>" * 3000 + "<p>one</p><p>t<i>w</i>o</p><form>f</form>", "one\ntwo")]:
+        root = W.parse(page)
+        W.number(root)
+        assert "\n".join(t for _, t in W.blocks(root)) == want
+
+
+def best(a, b):
+    """The most nodes that match, by the plain table."""
+    if a.tag != b.tag:
+        return 0
+    x, y = a.children(), b.children()
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            table[i + 1][j + 1] = max(table[i][j] + best(x[i], y[j]), table[i][j + 1], table[i + 1][j])
+    return 1 + table[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [W.CELLS, 4])
+def test_long_lists_are_aligned_whole(monkeypatch, cells):
+    monkeypatch.setattr(W, "CELLS", cells)
+    r = random.Random(cells)
+
+    def tree(depth):
+        tag = r.choice(["div", "ul", "section"])
+        return f"<{tag}>{''.join(tree(depth - 1) for _ in range(r.randrange(7)))}</{tag}>" if depth else f"<{tag}></{tag}>"
+
+    for _ in range(60):
+        a, b = W.parse("".join(tree(2) for _ in range(8))), W.parse("".join(tree(2) for _ in range(8)))
+        W.number(a), W.number(b)
+        pairs = {}
+        assert W.matching(a, b, pairs) == best(a, b) == len(pairs) == len(set(pairs.values()))
+
+
+def test_constant_block_amid_long_lists_has_its_partner():
+    page = lambda n, tag: "<i>x</i>" * n + "<hr>" + "<b>y</b>" * 150 + "<section>same</section>" + f"<{tag}>z</{tag}>" * 90 + "<u>u</u>"
+    a, b = W.parse(page(200, "b")), W.parse(page(170, "i"))
+    of = {n.tag: n.number for n in W.number(a)}
+    at = {n.tag: n.number for n in W.number(b)}
+    pairs = {}
+    W.matching(a, b, pairs)
+    assert pairs[of["section"]] == at["section"]
