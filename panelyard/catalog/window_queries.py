@@ -42,7 +42,7 @@ def pct_rank_sliced(f):
     """Three groups that each hold a third of all lines: the form for groups of any size."""
     lines = f.table("lineitem").withColumn("__key", F.monotonically_increasing_id())
     ranks = [Rank("l_quantity", "R"), Rank("l_extendedprice", "PLACE", "competition")]
-    return add_ranks(lines, ["l_returnflag"], ranks, ["__key"], "sliced")
+    return add_ranks(lines, ["l_returnflag"], ranks, ["__key"])
 
 
 @query("lag_k", "CERT REPDTE:d L1:r L4:r", f"SELECT CERT, REPDTE, {lag('DEPDOM')} AS L1, {lag('DEPDOM', 4)} AS L4 FROM v_panel")

@@ -90,6 +90,9 @@ def median_impute(train: DataFrame, rows: DataFrame, features: Sequence[str]) ->
 def fit_model(train: DataFrame, features: Sequence[str], label: str = LABEL, kind: str = "logistic", trees: int = TREES, min_rows: int = 0) -> Fitted | None:
     """Fit on the labelled rows; None unless both classes and ``min_rows`` rows occur.
 
+    A feature that is the same in all of these rows says nothing about the label and stays out of the fit; with no
+    feature left there is no model.
+
     ``logistic``: L2, balanced classes. ``signed``: the same with each coefficient held to
     its expected sign. ``trees``: boosted trees (no sign constraints).
     """
@@ -104,10 +107,16 @@ def fit_model(train: DataFrame, features: Sequence[str], label: str = LABEL, kin
     n, positives = stats["n"], stats["p"] or 0
     if positives == 0 or positives == n or n < min_rows:
         return None
+    # the mean of equal numbers may miss them by a rounding, so a spread within it counts as none
+    varying = [i for i in range(len(features)) if stats[f"s{i}"] > 1e-12 * max(1.0, abs(stats[f"c{i}"]))]
+    if not varying:
+        return None
+    filled = filled.select(label, *[F.col(f"__x{i}").alias(f"__x{j}") for j, i in enumerate(varying)])
+    features, medians = [features[i] for i in varying], [medians[i] for i in varying]
     centres, scales = [0.0] * len(features), [1.0] * len(features)
     if kind != "trees":
-        centres = [float(stats[f"c{i}"]) for i in range(len(features))]
-        scales = [float(stats[f"s{i}"]) or 1.0 for i in range(len(features))]
+        centres = [float(stats[f"c{i}"]) for i in varying]
+        scales = [float(stats[f"s{i}"]) for i in varying]
     ready = _vector(filled, features, centres, scales)
     up, down = n / (2.0 * positives), n / (2.0 * (n - positives))
     if kind == "trees":

@@ -75,3 +75,20 @@ def test_overlay_end_to_end(panel):
     assert out.count() == 240
     thin = overlay.supervised_overlay(panel.select("CERT", "REPDTE", "DEPDOM"), walk=False)
     assert thin.first()["SUPERVISED_RISK_SCORE"] is None
+
+
+@pytest.mark.parametrize("kind", ["logistic", "signed"])
+def test_constant_features_stay_out_of_the_fit(panel, kind):
+    wide = panel.withColumn("HAS_IR_DERIVATIVES", F.lit(0.1)).withColumn("LOAN_WAM_PROXY", F.lit(None).cast("double"))
+    scored, fitted = overlay.full_sample_fit(wide, [*FEATURES, "HAS_IR_DERIVATIVES", "LOAN_WAM_PROXY"], "y", kind)
+    _, same = overlay.full_sample_fit(panel, FEATURES, "y", kind)
+    assert fitted.features == FEATURES and np.allclose(fitted.model.coefficients.toArray(), same.model.coefficients.toArray(), atol=1e-6)
+    assert scored.filter(F.col(overlay.SCORE).isNull()).count() == 0
+    assert overlay.full_sample_fit(wide, ["HAS_IR_DERIVATIVES"], "y", kind)[1] is None
+
+
+def test_walk_forward_with_a_feature_constant_in_early_windows(panel):
+    late = panel.withColumn("HAS_IR_DERIVATIVES", F.when(F.col("REPDTE") > "2023-04-01", F.crc32("CERT") % 2).otherwise(0).cast("double"))
+    scored, last = overlay.walk_forward(late, [*FEATURES, "HAS_IR_DERIVATIVES"], "y", "signed", min_quarters=4, min_events=5)
+    got = {str(r["REPDTE"]): r["n"] for r in scored.groupBy("REPDTE").agg(F.count(overlay.SCORE).alias("n")).collect()}
+    assert got["2023-03-31"] == 30 and got["2023-12-31"] == 30 and "HAS_IR_DERIVATIVES" in last.features
