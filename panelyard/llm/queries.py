@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm import chunk_recipes, fact_machine, fm_substrings, gru_toxicity, huffman_ids, metric_join, mixing, url_filter, wrapper_text, wu_manber
+from panelyard.llm import aho_search, chunk_recipes, fact_machine, fm_substrings, gru_toxicity, huffman_ids, metric_join, mixing, url_filter, wrapper_text, wu_manber
 from panelyard.llm.common import table
 from panelyard.session import scratch_path
 
@@ -148,6 +148,24 @@ def op9_chunk_recipes(spark, sf_dir):
     return chunk_recipes.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS nl FROM d WHERE len(w) > 0),
+b AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+q AS (SELECT DISTINCT t FROM b),
+x AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) JOIN q USING (t) GROUP BY doc_id, t),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * (SELECT nd FROM s) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM x GROUP BY t),
+m AS (SELECT doc_id, 50 + (50 * len(w) * (SELECT nd FROM s)) // greatest((SELECT nl FROM s), 1) AS m FROM d),
+g AS (SELECT doc_id, t, f.w * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS gain FROM x JOIN f USING (t) JOIN m USING (doc_id)),
+r AS (SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM b JOIN g USING (t) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""")
+def op11_aho_ranked(spark, sf_dir):
+    return aho_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py, one after another."""
