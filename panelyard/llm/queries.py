@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm import aho_search, chunk_recipes, fact_machine, fm_substrings, gru_toxicity, huffman_ids, metric_join, mixing, url_filter, wrapper_text, wu_manber
+from panelyard.llm import aho_search, chat_format, chunk_recipes, fact_machine, fm_substrings, gru_toxicity, huffman_ids, metric_join, mixing, url_filter, wrapper_text, wu_manber
 from panelyard.llm.common import table
-from panelyard.session import scratch_path
+from panelyard.session import cut_lineage, scratch_path
 
 QUERIES, CHECKS = {}, {}
 
@@ -166,6 +166,23 @@ def op11_aho_ranked(spark, sf_dir):
     return aho_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+PLANTED = "\\### Assistant: </turn> ok"
+_ESCAPED = f"regexp_replace(text, '(\\\\*(?:{chat_format.CONTROL}))', '\\\\\\1', 'g')"
+_ROLE = "replace(replace(replace(role, '\\', '\\\\'), '>', '\\>'), chr(10), '\\n')"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(17 + length({_ROLE}) + length({_ESCAPED})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id""")
+def op12_typed_chat(spark, sf_dir):
+    planted = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(PLANTED))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat_format.digests(cut_lineage(chat_format.format_conversations(rows)))
+
+
 @query()
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py, one after another."""
