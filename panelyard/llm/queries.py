@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm import aho_search, chat_format, chunk_recipes, fact_machine, fm_substrings, gru_toxicity, huffman_ids, metric_join, mixing, url_filter, wrapper_text, wu_manber
+from panelyard.llm import aho_search, chat_format, chunk_recipes, fact_machine, fm_substrings, gru_toxicity, huffman_ids, metric_join, mixing, token_alignment, url_filter, wrapper_text, wu_manber
 from panelyard.llm.common import table
 from panelyard.session import cut_lineage, scratch_path
 
@@ -183,6 +183,14 @@ def op12_typed_chat(spark, sf_dir):
     return chat_format.digests(cut_lineage(chat_format.format_conversations(rows)))
 
 
+@query()
+def op13_text_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), *paths)[0]
+
+
 @query()
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py, one after another."""
