@@ -21,6 +21,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from panelyard.llm.common import id_and_text, per_text, ranges, raw, slices
 from panelyard.session import cut_lineage
 
 #: Distinct stretches, and bytes of them, whose alignment a worker keeps.
-KEPT, KEPT_BYTES = 150_000, 16 << 20
+KEPT, KEPT_BYTES = 500_000, 16 << 20
+#: Stretches that are encoded together and that a long text is worked on at a time; characters of texts that are split at once.
+JOINT, PART, AT_ONCE = 2000, 1 << 16, 1 << 22
 #: Pairs whose sums are sent to all tasks; share of the rows that makes a text's rows a hot key.
 COMMON, HOT_SHARE = 1 << 18, 1000
 #: Links summed in a task before sums are sent on.
@@ -98,6 +102,9 @@ class Aligned:
 
     def __init__(self, words: Words):
         self.words = words
+        self.size_of = [np.array([len(x) for x in side], np.int64) for side in (words.bytes_a, words.bytes_b)]
+        ids = range(max(map(len, self.size_of)))
+        self.told = [f"{i}{sign}" for sign in ",|;" for i in ids]
         self.clear()
 
     def clear(self):
@@ -111,59 +118,99 @@ class Aligned:
             return values
         return np.concatenate([values, np.zeros((max(size, 2 * len(values)) - len(values), *values.shape[1:]), values.dtype)])
 
-    def align(self, stretch: str, a: list[int], b: list[int] | None) -> tuple[tuple, str, np.ndarray]:
-        bytes_a, bytes_b = self.words.bytes_a, self.words.bytes_b
-        known = stretch.encode()
-        if b is None or b"".join([bytes_a[i] for i in a]) != known or b"".join([bytes_b[i] for i in b]) != known:
-            return (0, 0, 0, -1), "", np.zeros(0, np.int64)
-        if len(a) == 1 and len(b) == 1:
-            return (1, 1, 1, 1), f"{a[0]}|{b[0]}", np.array([a[0] * self.words.size_b + b[0]])
-        ends_a, ends_b = np.cumsum([len(bytes_a[i]) for i in a]), np.cumsum([len(bytes_b[i]) for i in b])
-        ends = np.union1d(ends_a, ends_b)  # each stretch between ends lies in one token of either side
-        codes = np.array(a)[np.searchsorted(ends_a, ends)] * self.words.size_b + np.array(b)[np.searchsorted(ends_b, ends)]
-        common = np.intersect1d(ends_a, ends_b)
-        upto_a, upto_b = (np.searchsorted(ends_a, common) + 1).tolist(), (np.searchsorted(ends_b, common) + 1).tolist()
-        text_a, text_b = list(map(str, a)), list(map(str, b))
-        told = ";".join([",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m])
-                         for i, j, k, m in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b, strict=False)])
-        return (len(a), len(b), len(common), len(codes)), told, codes
+    def align(self, stretches: list[bytes], a: list[int], b: list[int] | None):
+        """Of neighbouring stretches and the ids of both sides over all of them: (tokens of A, of B, groups, links) of each,
+        digest texts and link codes. None where bytes differ or a token crosses the end of a stretch."""
+        words, known = self.words, b"".join(stretches)
+        if b is None or b"".join([words.bytes_a[i] for i in a]) != known or b"".join([words.bytes_b[i] for i in b]) != known:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_of[0][a]), np.cumsum(self.size_of[1][b])
+        ends = np.unique(np.concatenate([ends_a, ends_b]))  # each stretch between ends lies in one token of either side
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        common = ends[(ends_a[at_a] == ends) & (ends_b[at_b] == ends)]
+        last = np.cumsum([len(s) for s in stretches])
+        if not np.isin(last, common).all():
+            return None
+        n = np.stack([np.diff(np.searchsorted(x, last) + 1, prepend=0) for x in (ends_a, ends_b, common, ends)], axis=1)
+        # the ids in order of groups, A before B, each with the sign behind it
+        of = np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1])
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        sign = np.where(np.diff(of, append=-1) == 0, 0, 1 + of % 2)
+        pieces = list(map(self.told.__getitem__, (sign * (len(self.told) // 3) + np.concatenate([a, b])[order]).tolist()))
+        upto = np.cumsum(n[:, 0] + n[:, 1]).tolist()
+        return n, ["".join(pieces[i:j]) for i, j in zip([0, *upto], upto, strict=False)], a[at_a] * words.size_b + b[at_b]
+
+    def keep(self, stretches: list[str], found) -> None:
+        n, told, codes = found
+        k, upto = len(self.place), self.used + len(codes)
+        self.n, self.codes = self.room(self.n, k + len(n)), self.room(self.codes, upto)
+        self.n[k:k + len(n), :4] = n
+        self.n[k:k + len(n), 4] = self.used + np.cumsum(n[:, 3]) - n[:, 3]
+        self.codes[self.used:upto] = codes
+        self.used = upto
+        self.held += sum(map(len, stretches))
+        self.groups += told
+        self.place.update(zip(stretches, range(k, k + len(n)), strict=True))
 
     def learn(self, stretches: list[str]) -> None:
-        for stretch, a, b in zip(stretches, *self.words.encode(stretches), strict=True):
-            sizes, told, codes = self.align(stretch, a, b)
-            k = len(self.place)
-            self.n, self.codes = self.room(self.n, k + 1), self.room(self.codes, self.used + len(codes))
-            self.n[k] = (*sizes, self.used)
-            self.codes[self.used:self.used + len(codes)] = codes
-            self.used += len(codes)
-            self.held += len(stretch)
-            self.groups.append(told)
-            self.place[stretch] = k
-
-    def __call__(self, text: str):
-        """n_a, n_b, n_groups, digest and the codes of all links; None where bytes differ. ``text`` begins with a blank."""
-        if not self.words.parted:
-            (n_a, n_b, groups, links), told, codes = self.align(text, *[x[0] for x in self.words.encode([text])])
-            return None if links < 0 else (n_a, n_b, groups, hashlib.sha256(told.encode()).hexdigest(), codes)
-        split = self.words.stretch.findall(text)
-        totals, digest, codes = np.zeros(3, np.int64), hashlib.sha256(), []
-        for at in range(0, len(split), KEPT // 2):
-            part = split[at:at + KEPT // 2]
-            new = {s for s in part if s not in self.place}
-            if len(self.place) + len(new) > KEPT or self.held + sum(map(len, new)) > KEPT_BYTES:
-                self.clear()
-                new = set(part)
-            self.learn(list(new))
+        """Stretches are encoded many at a time, one behind another; blanks alone would join the next one's."""
+        alone, some = [s for s in stretches if s.isspace()], [s for s in stretches if not s.isspace()]
+        for at in range(0, len(some), JOINT):
+            part = some[at:at + JOINT]
+            (a,), (b,) = self.words.encode(["".join(part)])
+            found = self.align([s.encode() for s in part], a, b)
+            if found is None:
+                alone += part
+            else:
+                self.keep(part, found)
+        for stretch, a, b in zip(alone, *self.words.encode(alone), strict=True):
+            found = self.align([stretch.encode()], a, b)
+            self.keep([stretch], found or (np.array([[0, 0, 0, -1]]), [""], np.zeros(0, np.int64)))
+
+    def known(self, stretches: set[str]) -> None:
+        """Learns what is new of ``stretches``; all of them are kept afterwards."""
+        new = {s for s in stretches if s not in self.place}
+        if self.place and (len(self.place) + len(new) > KEPT or self.held + sum(map(len, new)) > KEPT_BYTES):
+            self.clear()
+            new = stretches
+        self.learn(list(new))
+
+    def total(self, parts: Iterable[list[str]]):
+        """n_a, n_b, n_groups, digest, codes of the links and how often each occurs, of a text in parts of its stretches;
+        None where bytes differ."""
+        totals, digest, codes, held = np.zeros(3, np.int64), hashlib.sha256(), [], ""
+        for part in parts:
+            self.known(set(part))
             places = list(map(self.place.__getitem__, part))
             n = self.n[places]
             if (n[:, 3] < 0).any():
                 return None
             totals += n[:, :3].sum(axis=0)
-            codes.append(self.codes[ranges(n[:, 4], n[:, 3])])
-            digest.update(((";" if at else "") + ";".join([self.groups[p] for p in places])).encode())
-        if self.held > KEPT_BYTES:
-            self.clear()
-        return (*totals.tolist(), digest.hexdigest(), np.concatenate(codes))
+            codes.append(np.unique(self.codes[ranges(n[:, 4], n[:, 3])], return_counts=True))
+            digest.update(held.encode())
+            held = "".join([self.groups[p] for p in places])
+        digest.update(held[:-1].encode())
+        codes = codes[0] if len(codes) == 1 else summed(*map(np.concatenate, zip(*codes, strict=True)))
+        return (*totals.tolist(), digest.hexdigest(), *codes)
+
+    def __call__(self, texts: list[str]) -> list:
+        """``total`` of texts that begin with a blank."""
+        if not self.words.parted:
+            found = [self.align([t.encode()], a, b) for t, a, b in zip(texts, *self.words.encode(texts), strict=True)]
+            return [f and (*f[0][0, :3].tolist(), hashlib.sha256(f[1][0][:-1].encode()).hexdigest(), *np.unique(f[2], return_counts=True)) for f in found]
+        if sum(map(len, texts)) > AT_ONCE:
+            return [self.total(self.parts(t)) for t in texts]
+        split = [self.words.stretch.findall(t) for t in texts]
+        self.known(set().union(*split))
+        return [self.total([x]) for x in split]
+
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """Stretches of a long text, some at a time."""
+        found = self.words.stretch.finditer(text)
+        while part := [m[0] for m in islice(found, PART)]:
+            yield part
 
 
 _ALIGNED: dict[tuple, Aligned] = {}
@@ -179,10 +226,10 @@ def aligned_texts(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         def work(part, texts):
             rows = []
-            for i, text in enumerate(texts):
-                if (found := align(" " + text.decode())) is not None:
-                    codes, occurs = np.unique(found[4], return_counts=True)
-                    rows.append((i, *found[:4], len(found[4]), codes.astype("<i8").tobytes(), occurs.astype("<u4").tobytes()))
+            for i, found in enumerate(align([" " + t.decode() for t in texts])):
+                if found is not None:
+                    codes, occurs = found[4:]
+                    rows.append((i, *found[:4], int(occurs.sum()), codes.astype("<i8").tobytes(), occurs.astype("<u4").tobytes()))
             if not rows:
                 return None
             at, n_a, n_b, groups, digest, links, codes, occurs = zip(*rows, strict=True)

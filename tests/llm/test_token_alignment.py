@@ -86,11 +86,13 @@ def test_stretches_give_what_whole_texts_give(text):
     except UnicodeEncodeError:
         return
     words = vocabularies()
-    got, want = T.Aligned(words)(" " + text), plain(words, text)
-    assert (got is None) == (want is None)
-    if want:
-        assert got[:3] == want[:3] and got[3] == hashlib.sha256(want[3].encode()).hexdigest()
-        assert got[4].tolist() == [a * words.size_b + b for a, b in want[4]]
+    align = T.Aligned(words)
+    want = plain(words, text)
+    for got in (align([" " + text])[0], align.total([s] for s in words.stretch.findall(" " + text))):
+        assert (got is None) == (want is None)
+        if want:
+            assert got[:3] == want[:3] and got[3] == hashlib.sha256(want[3].encode()).hexdigest()
+            assert dict(zip(got[4].tolist(), got[5].tolist(), strict=True)) == Counter(a * words.size_b + b for a, b in want[4])
 
 
 @pytest.mark.parametrize("common", [1 << 18, 5])
@@ -108,11 +110,16 @@ def test_against_a_plain_count(documents, words, common, monkeypatch):
 
 def test_long_text_small_memory_and_empty_table(documents, words, monkeypatch):
     text = "w0 w1 " * 4000 + "z" * 5000
-    for kept, size in ((T.KEPT, T.KEPT_BYTES), (8, 40)):
-        monkeypatch.setattr(T, "KEPT", kept)
-        monkeypatch.setattr(T, "KEPT_BYTES", size)
-        got = T.Aligned(words)(" " + text)
-        want = (len(words.a.encode(" " + text).ids), len(words.b.encode(text)))
-        assert got[:2] == want
+    want = plain(words, text[:3000])
+    for kept, size, part, at_once in ((T.KEPT, T.KEPT_BYTES, T.PART, T.AT_ONCE), (8, 40, 3, 10)):
+        for name, value in (("KEPT", kept), ("KEPT_BYTES", size), ("PART", part), ("AT_ONCE", at_once)):
+            monkeypatch.setattr(T, name, value)
+        long, short = T.Aligned(words)([" " + text, " " + text[:3000]])
+        assert long[:2] == (len(words.a.encode(" " + text).ids), len(words.b.encode(text)))
+        assert short[:4] == (*want[:3], hashlib.sha256(want[3].encode()).hexdigest())
+        whole = T.Aligned(words)
+        whole.words.parted = False
+        assert whole([" " + text[:3000]])[0][:4] == short[:4]
+        whole.words.parted = True
     assert T.alignment(documents([]), A, B)[0].count() == 0
     assert rows(T.alignment(documents([(1, None), (2, "")]), A, B)[0]) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
