@@ -4,7 +4,9 @@ Every document has a fixed 60-bit hash of its id. A source whose target is ``b``
 document ``b`` times and, once more, those whose hash lies below the source's threshold. The threshold is found from
 histograms: tokens are summed by source and hash bucket, the bucket in which the running sum passes the rest is the
 boundary, and only the rows of boundary buckets are summed again by their next ten bits, until a bucket is one hash
-value. Nothing is sorted but the at most 1,024 sums of a source, and no document is moved.
+value. The documents of that boundary hash, mostly one, are taken too where this ends nearer to the target, so a source
+misses its target by half of its boundary document at most. Nothing is sorted but the at most 1,024 sums of a source, and
+no document is moved.
 
 Defined results. A null text has size 0. A null source is a source of its own, last in the order. A null doc_id hashes
 like the text "null". Repeated rows share one hash, so they are taken together or not at all. An empty table gives an
@@ -63,12 +65,14 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         sums = inside.groupBy("of", "left", bucket.alias("bucket")).agg(F.sum("size").alias("tokens"))
         upto = F.sum("tokens").over(Window.partitionBy("of").orderBy("bucket"))
         sums = sums.withColumn("upto", upto).where(F.col("upto") > F.col("left"))
-        edge = sums.groupBy("of").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("used"))).alias("edge"))
+        edge = sums.groupBy("of").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("tokens")).alias("used"), "tokens")).alias("edge"))
         # without a boundary everything below this level's end fits; only possible for sources of size 0
+        left = F.col("left") - F.coalesce(F.col("edge.used"), F.lit(0))
+        threshold = F.col("threshold") + F.shiftleft(F.coalesce(F.col("edge.bucket"), F.lit((1 << BITS) - 1)), shift)
+        if level == LEVELS - 1:  # the boundary is one hash value: the threshold may stand behind it
+            threshold = threshold + F.coalesce((F.col("edge.tokens") - left < left).cast("bigint"), F.lit(0))
         after = state.join(edge, F.col("src").eqNullSafe(F.col("of")), "left").select(
-            "src", "source_size", "target", "copies",
-            (F.col("left") - F.coalesce(F.col("edge.used"), F.lit(0))).alias("left"),
-            (F.col("threshold") + F.shiftleft(F.coalesce(F.col("edge.bucket"), F.lit((1 << BITS) - 1)), shift)).alias("threshold"))
+            "src", "source_size", "target", "copies", left.alias("left"), threshold.alias("threshold"))
         state = cut_lineage(after)
     return state
 

@@ -82,10 +82,11 @@ l AS (SELECT *, ((SELECT CAST(sum(source_size) AS DOUBLE) FROM r) * 1.5e0
   - coalesce(sum(bound) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT source, source_size, least(bound, (SELECT min_by(level, k) FROM l WHERE level <= fill) * weight) AS target FROM l),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t),
-v AS (SELECT d.doc_id, d.size, c.source_size, c.target, c.copies, sum(d.size) OVER (PARTITION BY d.source ORDER BY h) AS upto
+v AS (SELECT d.doc_id, d.size, c.source_size, c.target, c.copies, c.target - c.copies * c.source_size AS rest,
+  sum(d.size) OVER (PARTITION BY d.source ORDER BY h) AS upto, sum(d.size) OVER (PARTITION BY d.source, h) AS own
   FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
- CAST((copies + CASE WHEN upto <= target - copies * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM v""")
+ CAST((copies + CASE WHEN upto <= rest OR (upto - own <= rest AND upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM v""")
 def op7_hash_threshold_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
