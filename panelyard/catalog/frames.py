@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import quarter_end
-from panelyard.session import cut_lineage
+from panelyard.session import cut_lineage, scratch_path
+from panelyard.sources.archives import csv_line, write_archives
 
 # Size bands that split the surrogate entities into four groups.
 BANDS = [("community", 0.0, 0.9e6), ("regional", 0.9e6, 1.2e6), ("large_regional", 1.2e6, 1.5e6),
@@ -183,6 +184,41 @@ class Frames:
             F.col("l_suppkey").alias("IDRSSD"), quarter_end(F.col("l_shipdate").cast("date")).alias("REPDTE"),
             code.alias("CODE")).agg(F.round(F.sum("l_extendedprice"), 6).alias("VALUE"))
 
+    def schedule_archives(self, names: list[str], dealt: int = 4) -> str:
+        """Folder of schedule archives with the facts of ``codes``: per quarter ``dealt`` archives of some filers each, in
+        two parts. The middle code stands in both; the second part holds twice its value, which must not count."""
+        half = len(names) // 2
+        parts = {"Schedule RCCI (1 of 2).txt": names[:half + 1], "Schedule RCCI (2 of 2).txt": names[half:]}
+        facts = F.map_from_entries(F.collect_list(F.struct("CODE", "VALUE"))).alias("facts")  # a row per code at most
+        wide = cut_lineage(self.codes(names).groupBy("IDRSSD", "REPDTE").agg(facts).withColumn("archive", F.concat(
+            F.lit("Call Bulk "), F.date_format("REPDTE", "MMddyyyy"), F.lit(" "), F.pmod(F.xxhash64("IDRSSD"), F.lit(dealt)).cast("string"), F.lit(".zip"))))
+        labels = self.table("part").filter(F.col("p_partkey") <= len(names)).agg(F.map_from_entries(F.collect_list(F.struct("p_partkey", "p_name"))).alias("m"))
+        out = None
+        for second, (part, have) in enumerate(parts.items()):
+            values = F.transform(F.array(*[F.lit(c) for c in have]), lambda c: F.coalesce(
+                (F.col("facts")[c] * F.when(c == F.lit(names[half] if second else ""), 2).otherwise(1)).cast("string"), F.lit("")))
+            data = wide.filter(F.arrays_overlap(F.map_keys("facts"), F.array(*[F.lit(c) for c in have]))).select("archive", F.lit(part).alias("part"), (F.col("IDRSSD") + 2).alias("line_number"),
+                                                                      F.concat_ws("\t", F.col("IDRSSD").cast("string"), F.array_join(values, "\t")).alias("line"))
+            texts = F.concat_ws("\t", F.lit(""), *[F.concat(F.lit('" '), F.coalesce(F.col("m")[F.lit(names.index(c) + 1).cast("bigint")], F.lit("")), F.lit(f' {second + 1} "')) for c in have])
+            archives = data.select("archive", "part").distinct()
+            heads = archives.select("archive", "part", F.lit(0).cast("bigint").alias("line_number"), F.lit("\t".join(['"IDRSSD"', *have])).alias("line")).unionByName(
+                archives.withColumn("m", labels.scalar()).select("archive", "part", F.lit(1).cast("bigint").alias("line_number"), texts.alias("line")))
+            both = data.unionByName(heads)
+            out = both if out is None else out.unionByName(both)
+        folder = scratch_path(self.spark, "schedules")
+        write_archives(out, folder)
+        return folder
+
+    def csv_archives(self, df: DataFrame, key: str, dealt: int = 8) -> str:
+        """Folder of Latin-1 CSV archives of a table, dealt out by ``key``; the first name carries a ``#``."""
+        named = df.select(F.concat(F.lit("rows "), F.pmod(F.xxhash64(key), F.lit(dealt)).cast("string"), F.lit(".zip")).alias("archive"),
+                          F.lit("TABLE.CSV").alias("part"), F.monotonically_increasing_id().alias("n"), csv_line(*[F.col(c) for c in df.columns]).alias("line"))
+        data = named.select("archive", "part", (F.col("n") + 1).alias("line_number"), "line")
+        head = data.select("archive", "part").distinct().withColumns({"line_number": F.lit(0).cast("bigint"), "line": F.lit("#" + ",".join(df.columns))})
+        folder = scratch_path(self.spark, "csv")
+        write_archives(data.unionByName(head), folder, "latin-1")
+        return folder
+
     @cached_property
     def named_institutions(self) -> DataFrame:
         """Entities whose names resemble, equal or miss registry titles."""

@@ -80,6 +80,17 @@ def asof(f):
     return joins.asof_join(f.panel, f.yields, YIELD_COLUMNS, matched="TREASURY_YIELD_DATE")
 
 
+@query("asof_join_times", "l_orderkey l_linenumber:i MATCHED:d YC_2YR",
+       "SELECT l_orderkey, l_linenumber, y.DATE AS MATCHED, YC_2YR FROM (SELECT *, l_shipdate::DATE + to_seconds(l_orderkey) AS t FROM lineitem) l "
+       "ASOF LEFT JOIN v_yields y ON y.DATE::TIMESTAMP <= l.t")
+def asof_times(f):
+    """As-of join of single lines on timestamps, of which nearly every line has its own."""
+    at = F.timestamp_add("SECOND", F.col("l_orderkey").cast("int"), F.col("l_shipdate").cast("date").cast("timestamp"))
+    lines = f.table("lineitem").select("l_orderkey", "l_linenumber", at.alias("AT"))
+    history = f.yields.withColumn("DATE", F.col("DATE").cast("timestamp"))
+    return joins.asof_join(lines, history, ["YC_2YR"], day="AT", matched="MATCHED")
+
+
 @query("outer_merge_schedules", "IDRSSD REPDTE:d RCONA570:r RCFD3450:r",
        "SELECT coalesce(w.IDRSSD, d.IDRSSD) AS IDRSSD, coalesce(w.REPDTE, d.REPDTE) AS REPDTE, RCONA570, RCFD3450 "
        "FROM (SELECT * FROM v_jwide WHERE RCONA570 IS NOT NULL) w FULL JOIN (SELECT * FROM v_jdwide WHERE RCFD3450 IS NOT NULL) d "

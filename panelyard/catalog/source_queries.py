@@ -10,7 +10,7 @@ from panelyard.operators.hierarchy import current_edges, entity_attributes
 from panelyard.plans.publish import rows_to_json
 from panelyard.plans.repricing import REPRICING_CODES
 from panelyard.session import scratch_path
-from panelyard.sources import feeds, schedules, tables
+from panelyard.sources import archives, feeds, schedules, tables
 from panelyard.sources.text_files import keyword_line_scan
 
 FRAGMENTS["v_codes"] = codes(REPRICING_CODES)
@@ -30,6 +30,30 @@ def union_by_name(f):
     return tables.union_by_name([customers, suppliers])
 
 
+@query("scan_csv", "C_CUSTKEY C_NAME C_MKTSEGMENT C_ACCTBAL:r",
+       "SELECT c_custkey::BIGINT AS C_CUSTKEY, c_name AS C_NAME, c_mktsegment AS C_MKTSEGMENT, c_acctbal AS C_ACCTBAL FROM customer")
+def scan_csv(f):
+    """Written as CSV and read back as text, with the numeric columns found again."""
+    path = scratch_path(f.spark, "sink") + ".csv"
+    tables.sink_table(f.table("customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), path)
+    df = tables.promote_numeric_columns(tables.scan_table(f.spark, path))
+    return df.withColumn("C_CUSTKEY", F.col("C_CUSTKEY").cast("bigint"))
+
+
+@query("scan_tables", "KEY TOTAL:r NAME",
+       "SELECT o_orderkey AS KEY, o_totalprice AS TOTAL, NULL AS NAME FROM orders UNION ALL SELECT c_custkey, NULL, c_name FROM customer")
+def scan_tables(f):
+    """One file for each order status and market segment, of two shapes: two scans."""
+    folder, paths = scratch_path(f.spark, "many"), []
+    for table, by, columns in (("orders", "o_orderstatus", ["o_orderkey AS key", "o_totalprice AS total"]),
+                               ("customer", "c_mktsegment", ["c_custkey AS key", "c_name AS name"])):
+        df = f.table(table)
+        for (value,) in df.select(by).distinct().collect():  # a handful of codes
+            paths.append(f"{folder}/{table} {value}.parquet")
+            tables.sink_table(df.filter(F.col(by) == value).selectExpr(*columns), paths[-1])
+    return tables.scan_tables(f.spark, paths)
+
+
 @query("sink_table", "CERT REPDTE:d ASSET:r DEPDOM:r DDT:r", "v_panel")
 def sink_table(f):
     path = scratch_path(f.spark, "sink") + ".parquet"
@@ -41,45 +65,46 @@ def sink_table(f):
        "SELECT IDRSSD, REPDTE, " + ", ".join(f"max(CASE WHEN CODE = '{c}' THEN VALUE END) AS {c}" for c in REPRICING_CODES)
        + " FROM v_codes GROUP BY 1, 2")
 def schedule_ingest(f):
-    return schedules.schedule_table(f.codes(REPRICING_CODES), REPRICING_CODES)
+    """Written as archives of two parts with a code in both, and read back."""
+    return schedules.read_schedules(f.spark, f.schedule_archives(REPRICING_CODES), ["Schedule RCCI"], REPRICING_CODES)
+
+
+_HALF = len(REPRICING_CODES) // 2
+_SECOND = ", ".join(f"('{c}', {i + 1}, {1 if i < _HALF else 2})" for i, c in enumerate(REPRICING_CODES))
 
 
 @query("schedule_labels", "CODE LABEL",
-       "SELECT p_type || p_brand AS CODE, arg_max(p_name, p_partkey) AS LABEL FROM part GROUP BY 1")
+       f"SELECT CODE, p_name || ' ' || n AS LABEL FROM (VALUES {_SECOND}) AS c(CODE, i, n) JOIN part ON p_partkey = i")
 def schedule_labels(f):
-    # the label line of every part, next to data lines that must not count
-    def cell(table, key, line, code, text):
-        return f.table(table).select(
-            F.lpad(F.col(key).cast("string"), 12, "0").alias("path"), F.lit("x").alias("part"), F.lit(line).alias("line_number"),
-            F.lit(1).alias("position"), code.alias("CODE"), F.concat(F.lit(" "), text, F.lit(" ")).alias("CELL"))
-
-    labels = cell("part", "p_partkey", 1, F.concat("p_type", "p_brand"), F.col("p_name"))
-    cells = labels.unionByName(cell("supplier", "s_suppkey", 2, F.col("s_name"), F.col("s_name")))
-    return schedules.schedule_labels(cells)
+    """The label lines of the same archives; the last part's label counts."""
+    lines = archives.archive_lines(f.spark, f.schedule_archives(REPRICING_CODES), ["Schedule RCCI"])
+    return schedules.schedule_labels(schedules.schedule_cells(lines))
 
 
 @query("edges_ingest", "ID_RSSD_PARENT ID_RSSD_OFFSPRING RELN_LVL PCT_EQUITY",
        "SELECT DISTINCT o_custkey AS ID_RSSD_PARENT, CAST(floor(o_totalprice / 1000) AS BIGINT) AS ID_RSSD_OFFSPRING, "
-       "1.0e0 AS RELN_LVL, o_orderpriority AS PCT_EQUITY FROM orders "
+       "1.0e0 AS RELN_LVL, 'é, \"' || o_orderpriority AS PCT_EQUITY FROM orders "
        "WHERE o_orderdate >= DATE '1998-01-01' AND o_orderstatus = 'O'")
 def edges_ingest(f):
+    """Written as Latin-1 CSV archives with accents, commas and quotes in cells, and read back."""
     raw = f.table("orders").select(
-        F.col("o_custkey").cast("string").alias("#ID_RSSD_PARENT"),
+        F.col("o_custkey").cast("string").alias("ID_RSSD_PARENT"),
         F.floor(F.col("o_totalprice") / 1000).cast("string").alias("ID_RSSD_OFFSPRING"),
-        F.lit("1").alias("RELN_LVL"), F.col("o_orderpriority").alias("PCT_EQUITY"),
+        F.lit("1").alias("RELN_LVL"), F.concat(F.lit('é, "'), "o_orderpriority").alias("PCT_EQUITY"),
         F.date_format("o_orderdate", "yyyyMMdd").alias("DT_END"),
         F.when(F.col("o_orderstatus") == "O", "1").when(F.col("o_orderstatus") == "F", "x").otherwise("0").alias("CTRL_IND"))
-    return current_edges(raw, 19980101)
+    return current_edges(archives.latin1_table(f.spark, f.csv_archives(raw, "ID_RSSD_PARENT"), []), 19980101)
 
 
 @query("entity_attributes", "ID_RSSD NM_LGL ENTITY_TYPE",
-       "SELECT c_nationkey::BIGINT AS ID_RSSD, arg_max(c_name, c_custkey) AS NM_LGL, "
+       "SELECT c_nationkey::BIGINT AS ID_RSSD, arg_max('Société ' || c_name, c_custkey) AS NM_LGL, "
        "arg_max(c_mktsegment, c_custkey) AS ENTITY_TYPE FROM customer GROUP BY 1")
 def attributes(f):
     raw = f.table("customer").select(
-        F.col("c_nationkey").cast("string").alias("#ID_RSSD"), F.concat(F.lit("  "), "c_name", F.lit(" ")).alias("NM_LGL"),
+        F.col("c_nationkey").cast("string").alias("ID_RSSD"), F.concat(F.lit("  Société "), "c_name", F.lit(" ")).alias("NM_LGL"),
         F.col("c_mktsegment").alias("ENTITY_TYPE"), F.col("c_custkey").alias("SEQ"))
-    return entity_attributes(raw, ["SEQ"])
+    read = archives.latin1_table(f.spark, f.csv_archives(raw, "SEQ"), [])
+    return entity_attributes(read.withColumn("SEQ", F.col("SEQ").try_cast("bigint")), ["SEQ"])
 
 
 @query("yield_xml", "DATE:d YC_3MO YC_2YR YC_10YR", "v_yields")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.operators.ordered import carried_forward
 from panelyard.operators.windows import keep_last
 
 KEYS = ("CERT", "REPDTE")
@@ -66,11 +67,10 @@ def override_values(df: DataFrame, overrides: DataFrame, key: str, columns: dict
 
 def asof_dates(days: DataFrame, history: DataFrame, values: Sequence[str], day: str = "REPDTE",
                date: str = "DATE", matched: str = "MATCHED_DATE", order: Sequence[str] = ()) -> DataFrame:
-    """For each distinct day the last history row on or before it (the whole row, nulls included).
+    """For each distinct day or time the last history row on or before it (the whole row, nulls included).
 
-    Both inputs are first reduced to one row per calendar date, so the single ordered
-    pass over dates handles at most a few rows per day of the covered years, whatever
-    the size of the panel or of the history.
+    Both inputs are first reduced to one row per time; the ordered pass runs in slices of the time line, each of which
+    takes over the last row of the slices before it, so timestamps work like dates.
     """
     seen = days.select(F.col(day).alias("__d")).filter(F.col("__d").isNotNull()).distinct()
     rows = history.filter(F.col(date).isNotNull()).select(date, *[c for c in order if c != date], *values)
@@ -78,8 +78,7 @@ def asof_dates(days: DataFrame, history: DataFrame, values: Sequence[str], day:
     kept = rows.select(F.col(date).alias("__d"), F.struct(F.col(date).alias(matched), *values).alias("__h"),
                        F.lit(0).alias("__q"))
     asked = seen.select("__d", F.lit(None).cast(kept.schema["__h"].dataType).alias("__h"), F.lit(1).alias("__q"))
-    calendar = Window.partitionBy(F.lit(0)).orderBy("__d", "__q").rowsBetween(Window.unboundedPreceding, 0)
-    filled = kept.unionByName(asked).withColumn("__h", F.last("__h", ignorenulls=True).over(calendar))
+    filled = carried_forward(kept.unionByName(asked), ["__d", "__q"], "__h")
     return filled.filter(F.col("__q") == 1).select(
         F.col("__d").alias(day), *[F.col(f"__h.`{c}`").alias(c) for c in (matched, *values)])
 

@@ -66,6 +66,45 @@ def running_weights(hist: DataFrame, groups: Sequence[str], value: str, weights:
     )
 
 
+def in_slices(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` written in contiguous slices of ``order`` with their number in ``__slice``; equal keys share a slice."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn("__slice", F.spark_partition_id()))
+
+
+def carried_forward(df: DataFrame, order: Sequence[str], value: str) -> DataFrame:
+    """``value`` with NULLs filled by the last known one before, in ``order`` over all rows.
+
+    A window runs inside slices; each slice takes over the last value of the slices before it (one row per slice).
+    """
+    sliced = in_slices(df, order)
+    ends = sliced.filter(F.col(value).isNotNull()).groupBy("__slice").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    every = sliced.select("__slice").distinct().join(ends, "__slice", "left")
+    before = every.select("__slice", F.last("__last", ignorenulls=True).over(
+        Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    inside = Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("__carry"))
+    return sliced.join(before, "__slice").select(*[filled.alias(value) if c == value else c for c in df.columns])
+
+
+def positions(df: DataFrame, order: Sequence[str], name: str = "__at") -> DataFrame:
+    """The place of each row (from 1) in ``order`` over all rows, whose keys must differ."""
+    sliced = in_slices(df, order)
+    sizes = sliced.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))  # one row per slice
+    before = sizes.select("__slice", (F.sum("__n").over(Window.orderBy("__slice")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
+    return sliced.join(before, "__slice").select(*df.columns, (F.col("__before") + inside).alias(name))
+
+
+def lagged_rows(df: DataFrame, order: Sequence[str], values: Sequence[str], rows: Sequence[int]) -> DataFrame:
+    """``<value>__lag<k>`` for each of ``rows``: values of the row ``k`` places before in ``order`` over all rows."""
+    placed = cut_lineage(positions(df, order))
+    out = placed
+    for k in rows:
+        side = placed.select((F.col("__at") + k).alias("__at"), *[F.col(v).alias(f"{v}__lag{k}") for v in values])
+        out = out.join(side, "__at", "left")
+    return out.drop("__at")
+
+
 def histogram(long: DataFrame, groups: Sequence[str], value: str = "__value") -> DataFrame:
     return long.groupBy(*groups, value).agg(F.count(F.lit(1)).alias(COUNT))
 

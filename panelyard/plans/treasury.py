@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard import config as cfg
 from panelyard.functions.scalars import clip, double, ensure_columns, nz_sum, present_columns, safe_div
 from panelyard.operators.joins import asof_dates, spread_dates
+from panelyard.operators.ordered import lagged_rows
 from panelyard.plans.mismatch import AGENCY_HAIRCUT, narrow_liquid, with_fallback_column
 
 BOOK = ["SCUST", "SCAGE", "SCPLEDGE", "CHBAL", "FREPO", "DEPUNA", "VOLIAB"]
@@ -66,21 +67,21 @@ def rate_shock(df: DataFrame, shocks: Sequence[int] = tuple(cfg.SHOCKS_BP), chec
 def regime_by_date(panel: DataFrame, history: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """One row per report date: as-of yields, slopes and their changes over the date series.
 
-    The date series is one row per report date, so its single ordered window stays a
-    few hundred rows however large the panel is.
+    Changes look back by report dates, whatever their number: rows are placed in slices and joined by place.
     """
     values = present_columns(history, YIELDS)
     dates = asof_dates(panel, history, values, matched="TREASURY_YIELD_DATE", order=order)
     dates = dates.withColumn("HAS_TREASURY_YIELD_HISTORY", F.col("TREASURY_YIELD_DATE").isNotNull().cast("int"))
     slopes = {name: (F.col(a) - F.col(b)) * 100.0 for name, (a, b) in SLOPES.items() if {a, b} <= set(values)}
     dates = dates.withColumns(slopes) if slopes else dates
-    series = Window.partitionBy(F.lit(0)).orderBy("REPDTE")
-    changes = {}
-    for name in [c for c in ("YC_2YR", "YC_10YR", *SLOPES) if c in dates.columns]:
-        scale = 1.0 if name in SLOPES else 100.0
-        for tag, rows in (("QOQ", 1), ("YOY", 4)):
-            changes[f"{name}_{tag}_CHANGE_BP"] = (F.col(name) - F.lag(name, rows).over(series)) * F.lit(scale)
-    return dates.withColumns(changes) if changes else dates
+    measured = [c for c in ("YC_2YR", "YC_10YR", *SLOPES) if c in dates.columns]
+    if not measured:
+        return dates
+    back = {"QOQ": 1, "YOY": 4}
+    changes = {f"{name}_{tag}_CHANGE_BP": (F.col(name) - F.col(f"{name}__lag{rows}")) * F.lit(1.0 if name in SLOPES else 100.0)
+               for name in measured for tag, rows in back.items()}
+    series = lagged_rows(dates, ["REPDTE"], measured, list(back.values()))
+    return series.withColumns(changes).select(*dates.columns, *changes)
 
 
 def yield_regime(panel: DataFrame, history: DataFrame, order: Sequence[str] = ()) -> DataFrame:

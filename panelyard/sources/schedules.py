@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import ColumnLike, as_col, number
 from panelyard.plans.repricing import pivot_codes
-
-LINES = "path string, part string, line_number long, line string"
-LINE_BATCH = 5_000
-
+from panelyard.session import cut_lineage
+from panelyard.sources.archives import archive_lines
 
 def collect_codes(mapping: dict) -> list[str]:
     """Codes of a nested map: strings of seven or more characters, in order, once."""
@@ -26,54 +21,27 @@ def collect_codes(mapping: dict) -> list[str]:
     return out
 
 
-def archive_lines(spark: SparkSession, paths: str | Sequence[str], patterns: Sequence[str]) -> DataFrame:
-    """Lines of the ``.txt`` members whose name holds one of ``patterns``.
-
-    Spark distributes the archives (one per quarter); a member is decompressed as a
-    stream and leaves the task in batches. Only the unzip step runs in Python.
-    """
-    wanted = tuple(patterns)
-
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    names = sorted(n for n in archive.namelist()
-                                   if n.endswith(".txt") and any(p in n for p in wanted))
-                    for name in names:
-                        with archive.open(name) as member:
-                            rows = []
-                            for i, line in enumerate(io.TextIOWrapper(member, "utf-8", errors="replace")):
-                                rows.append((path, name, i, line.rstrip("\r\n")))
-                                if len(rows) == LINE_BATCH:
-                                    yield pd.DataFrame(rows, columns=["path", "part", "line_number", "line"])
-                                    rows = []
-                            if rows:
-                                yield pd.DataFrame(rows, columns=["path", "part", "line_number", "line"])
-
-    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
-    return files.select("path", "content").mapInPandas(unzip, LINES)
-
-
 def _unquoted(cell: Column) -> Column:
     return F.regexp_replace(F.trim(cell), r'^"(.*)"$', "$1")
 
 
-def schedule_cells(lines: DataFrame) -> DataFrame:
-    """Long cells (path, part, line_number, CODE, cell) under the header line of each part.
+def schedule_cells(lines: DataFrame, codes: Sequence[str] | None = None) -> DataFrame:
+    """Long cells (path, part, line_number, CODE, CELL) under the header line of each part, of ``codes`` only if given.
 
-    Line 0 holds the codes, line 1 the labels, the rest is data. There is one header per
-    part, so the header side of the join is as small as the number of files.
+    Line 0 holds the codes, line 1 the labels, the rest is data. There is one header per part, so the header side of the
+    join is as small as the number of members. A line is split once, and cells of other codes are left out before rows
+    are made of them.
     """
     head = lines.filter(F.col("line_number") == 0).select("path", "part", F.transform(
         F.split("line", "\t"), _unquoted).alias("codes"))
-    body = lines.filter(F.col("line_number") > 0).join(head, ["path", "part"])
-    cells = F.arrays_zip(F.col("codes").alias("c"), F.split("line", "\t").alias("v"))
-    return body.select("path", "part", "line_number", F.posexplode(cells).alias("position", "z"),
-                       _unquoted(F.element_at(F.split("line", "\t"), F.array_position("codes", "IDRSSD").cast("int")))
-                       .alias("__id")).select(
-        "path", "part", "line_number", "position", F.col("__id").try_cast("bigint").alias("IDRSSD"),
-        F.col("z.c").alias("CODE"), _unquoted(F.col("z.v")).alias("CELL"))
+    head = head.withColumn("places", F.transform("codes", lambda c, i: F.struct(i.alias("position"), c.alias("code"))))
+    if codes is not None:
+        head = head.withColumn("places", F.filter("places", lambda p: p["code"].isin(list(codes))))
+    body = lines.filter(F.col("line_number") > 0).withColumn("cells", F.split("line", "\t")).join(head, ["path", "part"])
+    filer = F.element_at("cells", F.array_position("codes", "IDRSSD").cast("int"))
+    return body.select("path", "part", "line_number", _unquoted(filer).try_cast("bigint").alias("IDRSSD"), "cells", F.explode("places").alias("p")).select(
+        "path", "part", "line_number", F.col("p.position").alias("position"), "IDRSSD", F.col("p.code").alias("CODE"),
+        _unquoted(F.get("cells", F.col("p.position"))).alias("CELL"))
 
 
 def schedule_facts(cells: DataFrame, codes: Sequence[str], patterns: Sequence[str] = ()) -> DataFrame:
@@ -107,8 +75,9 @@ def schedule_labels(cells: DataFrame, line: int = 1) -> DataFrame:
 
 def read_schedules(spark: SparkSession, paths: str | Sequence[str], patterns: Sequence[str],
                    codes: Sequence[str]) -> DataFrame:
-    """Archives to the wide schedule table."""
-    return schedule_table(schedule_facts(schedule_cells(archive_lines(spark, paths, patterns)), codes, patterns), codes)
+    """Archives to the wide schedule table. The wanted cells are written once, as the first-part rule reads them twice."""
+    cells = cut_lineage(schedule_cells(archive_lines(spark, paths, patterns), codes))
+    return schedule_table(schedule_facts(cells, codes, patterns), codes)
 
 
 def base_name(path: ColumnLike) -> Column:

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import number, present_columns, upper_names
+from panelyard.sources.archives import file_system
+
+#: Bytes that a written file should have, before compression.
+FILE_BYTES = 128 << 20
 
 
 def _kind(path: str) -> str:
@@ -19,16 +27,36 @@ def _kind(path: str) -> str:
     raise ValueError(f"unsupported table format: {path}")
 
 
-def scan_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Parquet or CSV by suffix, with upper-case names.
+def scan_table(spark: SparkSession, path: str | Sequence[str], schema=None) -> DataFrame:
+    """Parquet or CSV by suffix, with upper-case names; several paths are one scan and have one schema.
 
     A CSV without ``schema`` is read as text: type inference would be a pass over all data.
     """
+    paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
-    df = reader.parquet(path) if _kind(path) == "parquet" else reader.option("header", True).csv(path)
+    df = reader.parquet(*paths) if _kind(paths[0]) == "parquet" else reader.option("header", True).csv(paths)
     return upper_names(df)
 
 
+def file_shape(path: str) -> tuple:
+    """Format and columns of a table from one footer or header line; no rows are read."""
+    kind = _kind(path)
+    system, inner = file_system(path)
+    if system.get_file_info(inner).type == fs.FileType.Directory:
+        files = system.get_file_info(fs.FileSelector(inner, recursive=True))
+        names = sorted(f.path for f in files if f.is_file and f.base_name[0] not in "._" and f.size)
+        if not names:
+            return kind, path  # nothing to look at: a scan of its own
+        if any("=" in n[len(inner):] for n in names):
+            return kind, path  # folders of values have columns that no footer tells
+        inner = names[0]
+    if kind == "parquet":
+        schema = pq.read_schema(inner, filesystem=system)
+        return kind, tuple((f.name, str(f.type)) for f in schema)
+    with system.open_input_stream(inner) as file:
+        return kind, file.read(1 << 20).partition(b"\n")[0].strip()
+
+
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     """Union of frames with different columns; a missing column is NULL."""
     if not frames:
@@ -37,25 +65,39 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def scan_tables(spark: SparkSession, paths: Sequence[str], empty_schema: str | None = None) -> DataFrame:
-    """Read and union files; without any, an empty frame if ``empty_schema`` is given, else an error."""
+    """Read and union files; without any, an empty frame if ``empty_schema`` is given, else an error.
+
+    Files of one shape (footer schema, header line) are one scan, so the plan grows with the number of shapes, not of files.
+    """
     if not paths:
         if empty_schema is None:
             raise FileNotFoundError("no input files")
         return spark.createDataFrame([], empty_schema)
-    return union_by_name([scan_table(spark, p) for p in sorted(paths)])
+    paths, groups = sorted(paths), defaultdict(list)
+    with ThreadPoolExecutor(16) as pool:
+        for path, shape in zip(paths, pool.map(file_shape, paths), strict=True):
+            groups[shape].append(path)
+    return union_by_name([scan_table(spark, group) for group in groups.values()])
 
 
-def sink_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
+def sink_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite",
+               file_bytes: int = FILE_BYTES) -> None:
     """Write Parquet or CSV by suffix; with ``partition_by`` only the touched partitions are replaced.
 
-    Rows are not gathered by partition value: each task writes its own files, so one large
-    partition value is written by many tasks.
+    Rows are rebalanced by partition value first, to tasks of about ``file_bytes``: small values share a task and get a
+    file each, a value that holds a large part of the table is split over several tasks and files.
     """
-    kind = _kind(path)
-    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path) if kind == "parquet" else writer.option("header", True).csv(path)
+    kind, spark = _kind(path), df.sparkSession
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    now = spark.conf.get(size)
+    spark.conf.set(size, str(file_bytes))
+    try:
+        writer = df.hint("rebalance", *[F.col(c) for c in partition_by]).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path) if kind == "parquet" else writer.option("header", True).csv(path)
+    finally:
+        spark.conf.set(size, now)
 
 
 def promote_numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from panelyard.operators import ordered
 from panelyard.operators.ordered import Rank, add_ranks, exact_quantiles, ranked_metrics
 
 
@@ -76,3 +77,22 @@ def test_small_metrics(frame):
     got = {r["g"]: r for r in ranked_metrics(df, ["g"], "s", {"h": ("y", "seen")}, [20]).collect()}
     assert got["a"]["AUC"] == 1.0 and got["a"]["N_FAILURES"] == 2 and got["a"]["N_TOTAL"] == 3
     assert got["b"]["AUC"] is None and got["b"]["N_FAILURES"] == 0 and got["b"]["N_TOTAL"] == 2
+
+
+def test_values_are_carried_over_slices(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(t), None if rng.random() < 0.9 or t < 40 else int(t)) for t in rng.permutation(500)]
+    got = {r["t"]: r["v"] for r in ordered.carried_forward(spark.createDataFrame(rows, "t int, v int").repartition(6), ["t"], "v").collect()}
+    last = None
+    for t, v in sorted(rows):
+        last = v if v is not None else last
+        assert got[t] == last
+    none = spark.createDataFrame([(1, None), (2, None)], "t int, v int")
+    assert [r["v"] for r in ordered.carried_forward(none, ["t"], "v").collect()] == [None, None]
+    assert ordered.carried_forward(none.limit(0), ["t"], "v").count() == 0
+
+
+def test_lags_over_slices(spark):
+    rows = [(3 * t, float(t)) for t in range(200)]
+    got = {r["t"]: (r["x__lag1"], r["x__lag4"]) for r in ordered.lagged_rows(spark.createDataFrame(rows, "t int, x double").repartition(5), ["t"], ["x"], [1, 4]).collect()}
+    assert got == {3 * t: (float(t - 1) if t else None, float(t - 4) if t >= 4 else None) for t in range(200)}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import by
 from panelyard import config as cfg
-from panelyard.sources import feeds, schedules, tables
+from panelyard.sources import archives, feeds, schedules, tables
 from panelyard.sources.text_files import keyword_line_scan, read_text_files
 
 
@@ -38,6 +38,28 @@ def test_union_and_missing_files(spark, frame, tmp_path):
     assert tables.scan_tables(spark, [], "DATE date").count() == 0
 
 
+def test_files_of_one_shape_are_one_scan(spark, frame, tmp_path):
+    paths = []
+    for i in range(60):
+        schema = ("CERT string, X double", "cert string, y double", "CERT string, X double")[i % 3]
+        paths.append(str(tmp_path / f"f{i}.{'csv' if i % 3 == 2 else 'parquet'}"))
+        tables.sink_table(frame(schema, [(str(i), float(i))]), paths[-1])
+    df = tables.scan_tables(spark, paths)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 3
+    got = by(df, "CERT")
+    assert len(got) == 60 and (got["3"]["X"], got["4"]["Y"], got["5"]["X"], got["4"]["X"]) in [(3.0, 4.0, 5.0, None), ("3.0", 4.0, "5.0", None)]
+
+
+def test_a_large_date_gets_several_files_and_small_ones_share_a_task(spark, tmp_path):
+    path = str(tmp_path / "r.parquet")
+    rows = spark.range(300_000).selectExpr("id", "uuid() AS text", "IF(id % 10 < 8, 0, id % 40) AS day")
+    tables.sink_table(rows, path, ["day"], file_bytes=2 << 20)
+    names = list((tmp_path / "r.parquet").glob("day=*/*.parquet"))
+    per_day = {d: sum(f"day={d}" == n.parent.name for n in names) for d in (0, 9, 38)}
+    assert per_day[0] >= 3 and per_day[38] == 1 and len(names) < 20, per_day
+    assert spark.read.parquet(path).count() == 300_000
+
+
 def test_promote_and_audit(frame):
     df = frame("a string, b string, c string", [("1", "x", "3"), (None, "2", "4")])
     assert dict(tables.promote_numeric_columns(df, ["c"]).dtypes) == {"a": "double", "b": "string", "c": "string"}
@@ -62,6 +84,8 @@ def test_schedules(spark, tmp_path):
         "Schedule RCL 06302023.txt": [["IDRSSD", "RCFD3450"], ["", "Swaps"], ["10", "50"]],
     })
     lines = schedules.archive_lines(spark, str(tmp_path), cfg.REPRICING_SCHEDULES + ["Schedule RCCI"])
+    assert lines.rdd.getNumPartitions() == 1  # small members share a partition
+    assert schedules.archive_lines(spark, str(tmp_path), ["Schedule RCCI"], pack_bytes=0).rdd.getNumPartitions() == 2
     cells = schedules.schedule_cells(lines)
     wanted = ["RCONA570", "RCONA571"]
     got = by(schedules.schedule_table(schedules.schedule_facts(cells, wanted), wanted), "IDRSSD")
@@ -128,3 +152,33 @@ def test_keyword_scan(spark, tmp_path):
     (tmp_path / "a.txt").write_text("First line\r\n  has MATURITY here \nnone\nre.pricing")
     got = keyword_line_scan(read_text_files(spark, str(tmp_path)), ["maturity", "e.p"]).orderBy("line_number").collect()
     assert [(r["line_number"], r["snippet"]) for r in got] == [(2, "has MATURITY here"), (4, "re.pricing")]
+
+
+def test_latin1_tables_of_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.writestr("ONE.CSV", '#ID_RSSD ,NM_LGL,X\r\n1,"Crédit, ""Sud""",5\r\n\r\n2,Müller\r\n'.encode("latin-1"))
+        archive.writestr("TWO.CSV", "ID_RSSD,NM_LGL\n9,second member\n")
+        archive.writestr("note.txt", "x")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as archive:
+        archive.writestr("b.csv", "ID_RSSD,Y\n3,y\n")
+    df = archives.latin1_table(spark, str(tmp_path))
+    got = by(df, "ID_RSSD")
+    assert set(got) == {"1", "2", "3"} and got["1"]["NM_LGL"] == 'Crédit, "Sud"' and got["3"]["Y"] == "y" and got["3"]["NM_LGL"] is None
+    assert got["1"]["line_number"] == 1 and got["1"][archives.MALFORMED] is None and got["2"][archives.MALFORMED] == "2,Müller"
+    (tmp_path / "empty").mkdir()
+    assert archives.latin1_table(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        archives.archive_lines(spark, str(tmp_path / "none")).count()
+
+
+def test_written_archives_hold_their_lines_in_order(spark, tmp_path):
+    rows = [(f"a{k % 3}.zip", f"p{k % 2}.txt", k, f"é line {k}") for k in range(900)]
+    paths = archives.write_archives(spark.createDataFrame(rows, "archive string, part string, line_number bigint, line string").repartition(5), str(tmp_path))
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["a0.zip", "a1.zip", "a2.zip"] and not list(tmp_path.glob("*.draft"))
+    got = archives.archive_lines(spark, paths).collect()
+    want = {}
+    for archive, part, _, line in rows:
+        want.setdefault((archive, part), []).append(line)
+    for (archive, part), lines in want.items():
+        found = sorted((r["line_number"], r["line"]) for r in got if r["path"].endswith(archive) and r["part"] == part)
+        assert [line for _, line in found] == lines
