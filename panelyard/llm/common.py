@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +19,8 @@ ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 #: Rows, and bytes of their texts, that are worked on at a time; a longer text stands alone.
 SLICE, SLICE_BYTES = 256, 1 << 21
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +36,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, column: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Parts of at most ``rows`` rows and, with ``column``, of about SLICE_BYTES bytes in it."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, column: str | None = None, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows and, with ``column``, of about ``limit`` bytes in it."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist() if column else None
         at = 0
@@ -42,7 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, column: str | N
             if sizes:
                 total = sizes[at]
                 stop = at + 1
-                while stop < end and total + sizes[stop] <= SLICE_BYTES:
+                while stop < end and total + sizes[stop] <= limit:
                     total += sizes[stop]
                     stop += 1
                 end = stop
@@ -56,15 +60,38 @@ def raw(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(kind).to_pylist()]
 
 
-def per_text(docs: DataFrame, schema: str, make: Callable[[], Callable], column: str = "text") -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch that goes to Python, where the session does not; by rows alone, a batch of long texts
+    is hundreds of megabytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives a task's freed memory back to the machine; workers live on for tasks of other jobs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def per_text(docs: DataFrame, schema: str, make: Callable[[], Callable], column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``make()`` runs once a task and gives ``f(batch, texts) -> dict of columns`` for slices of the rows."""
+    small_batches(docs.sparkSession)
+
     def run(batches):
         work = None
-        for part in slices(batches, column=column):
+        for part in slices(batches, column=column, limit=limit):
             work = work or make()
             out = work(part, raw(part.column(column)))
             if out is not None:
                 yield pa.RecordBatch.from_pydict(out)
+        del work
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -30,6 +30,8 @@ PER_CLASS, MOST_WINDOWS = 2000, 24
 WORDS, GRAMS, WIDE, HIDDEN = 1 << 17, 1 << 15, 16, 8
 STEPS, BATCH, RATE = 400, 48, 0.01
 OFTEN, SEED = 4, 7
+#: Bytes of texts that are scored at once.
+AT_ONCE = 1 << 20
 #: Bytes of words after lower-casing: digits, a to z and everything beyond ASCII; others become a blank.
 KEPT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -305,7 +307,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         scorer = Scorer(sent.value)
         return lambda part, texts: {"doc_id": part.column("doc_id"), "score": pa.array(scorer(texts), pa.float64())}
 
-    return per_text(id_and_text(docs), "doc_id bigint, score double", make)
+    return per_text(id_and_text(docs), "doc_id bigint, score double", make, limit=AT_ONCE)
 
 
 def without_toxic(docs: DataFrame, model: dict, threshold: float) -> DataFrame:
@@ -316,4 +318,4 @@ def without_toxic(docs: DataFrame, model: dict, threshold: float) -> DataFrame:
         scorer = Scorer(sent.value)
         return lambda part, texts: dict(zip(part.schema.names, part.filter(pa.array(scorer(texts) < threshold)).columns, strict=True))
 
-    return per_text(docs, docs.schema, make)
+    return per_text(docs, docs.schema, make, limit=AT_ONCE)

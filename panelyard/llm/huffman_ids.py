@@ -33,7 +33,8 @@ from panelyard.session import cut_lineage
 
 LIMIT, EVERY = 16, 64
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 17, 1 << 22
-CACHED = 400_000
+#: Distinct stretches that a worker keeps the ids of, and bytes of them.
+CACHED, CACHED_BYTES = 700_000, 16 << 20
 FILE = ("shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, n_bits bigint, bits binary, offsets binary")
 
 
@@ -44,7 +45,7 @@ class Kept:
         self.clear()
 
     def clear(self):
-        self.place, self.used = {}, 0
+        self.place, self.used, self.held = {}, 0, 0
         self.begin, self.sizes, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint32)
 
     def add(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray):
@@ -55,6 +56,7 @@ class Kept:
         self.sizes[n:n + k] = sizes
         self.ids[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
+        self.held += sum(map(len, words))
         self.place.update(zip(words, range(n, n + k), strict=True))
 
     @staticmethod
@@ -146,7 +148,7 @@ class Encoder:
         if len(missing := np.flatnonzero(at < 0)):
             unknown = [words[i] for i in missing.tolist()]
             new = set(unknown)
-            if len(self.kept.place) + len(new) > CACHED:
+            if len(self.kept.place) + len(new) > CACHED or self.kept.held + sum(map(len, new)) > CACHED_BYTES:
                 self.kept.clear()
                 missing, unknown, new = slice(None), words, set(words)
             self.learn(list(new))
