@@ -23,7 +23,8 @@ def labelled(f: Frames, table=None):
     return cut_lineage(backtest.failure_labels(narrow, f.failures, FIRST_YEAR, LAST_YEAR))
 
 
-@query("failure_labels", K + "FAILDATE:d QUARTERS_TO_FAILURE:i " + _FLAGS, "v_labels")
+@query("failure_labels", K + "FAILDATE:d FAIL_DATE:d FAILED_BANK:i QUARTERS_TO_FAILURE:i " + _FLAGS,
+       "SELECT *, FAILDATE AS FAIL_DATE, (FAILDATE IS NOT NULL)::INT AS FAILED_BANK FROM v_labels")
 def failure_labels(f):
     return backtest.failure_labels(f.panel, f.failures, FIRST_YEAR, LAST_YEAR)
 

@@ -108,13 +108,21 @@ def link_extract_filtered(f):
 
 
 FRAGMENTS["v_facts"] = f"""SELECT k.*, {_AMOUNT.replace('o_', 'a.o_')} AS SEC_UNINSURED_AMOUNT, a.o_orderpriority <> '5-LOW' AS SEC_UNINSURED_FOUND,
- (k.SEQ % 2 = 0) AS SEC_AFS_FOUND FROM v_kept_filings k JOIN v_amounts a ON k.SEQ = a.o_orderkey"""
+ (k.SEQ % 2 = 0) AS SEC_AFS_FOUND, (date_trunc('quarter', k.FILING_DATE) - INTERVAL 1 DAY)::DATE AS REPORT_DATE, m.CERT, m.SEC_TICKER
+ FROM v_kept_filings k JOIN v_amounts a ON k.SEQ = a.o_orderkey JOIN v_mapped m ON k.CIK = m.SEC_CIK"""
+# every customer files for itself; suppliers share the filings of the customer of their number
+FRAGMENTS["v_mapped"] = """SELECT 'C' || c_custkey AS CERT, c_custkey AS SEC_CIK, 'T' || c_nationkey AS SEC_TICKER FROM customer
+ UNION ALL SELECT 'S' || s_suppkey, s_suppkey, NULL FROM supplier"""
 
 
-@query("filing_facts", "CIK SEQ FORM FILING_DATE:d FILING_URL SEC_UNINSURED_FOUND:b SEC_UNINSURED_AMOUNT:r SEC_AFS_FOUND:b", "v_facts")
+@query("filing_facts", "CERT SEC_TICKER CIK SEQ FORM FILING_DATE:d REPORT_DATE:d FILING_URL SEC_UNINSURED_FOUND:b SEC_UNINSURED_AMOUNT:r SEC_AFS_FOUND:b", "v_facts")
 def facts(f):
     """Filing index to facts: the kept filings joined to their documents and read."""
     html = F.concat(F.lit("<html><style>p{color:red}</style><p>"), F.replace(sentence(), F.lit(" "), F.lit("&nbsp;")), F.lit("</p><p>"),
                     F.when(F.col("o_orderkey") % 2 == 0, "Available for <b>sale</b>").otherwise("none"), F.lit("</p></html>"))
     documents = f.table("orders").select(F.col("o_orderkey").alias("SEQ"), html.alias("HTML"))
-    return filing_facts(kept_filings(f).drop("o_totalprice", "o_orderstatus").join(documents, "SEQ"))
+    filings = kept_filings(f).drop("o_totalprice", "o_orderstatus").withColumn("REPORT_DATE", F.date_sub(F.trunc("FILING_DATE", "quarter"), 1))
+    mapping = f.table("customer").select(F.concat(F.lit("C"), "c_custkey").alias("CERT"), F.col("c_custkey").alias("SEC_CIK"),
+                                         F.concat(F.lit("T"), "c_nationkey").alias("SEC_TICKER")).unionByName(
+        f.table("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("CERT"), F.col("s_suppkey").alias("SEC_CIK"), F.lit(None).cast("string").alias("SEC_TICKER")))
+    return filing_facts(filings.join(documents, "SEQ"), mapping=mapping)

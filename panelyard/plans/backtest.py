@@ -33,8 +33,12 @@ def event_join(panel: DataFrame, failures: DataFrame, first_year: int = FIRST_YE
 
 def failure_labels(panel: DataFrame, failures: DataFrame, first_year: int = FIRST_YEAR,
                    last_year: int = LAST_YEAR, horizons: Sequence[int] = tuple(cfg.HORIZONS)) -> DataFrame:
-    """Per horizon whether the future is observed and, only then, whether a failure falls in it."""
+    """Per horizon whether the future is observed and, only then, whether a failure falls in it.
+
+    ``FAIL_DATE`` and ``FAILED_BANK`` tell whether and when the entity failed at all, whatever the horizon.
+    """
     df = event_join(panel, failures, first_year, last_year)
+    df = df.withColumns({"FAIL_DATE": F.col("FAILDATE"), "FAILED_BANK": F.col("FAILDATE").isNotNull().cast("int")})
     df = df.withColumn("QUARTERS_TO_FAILURE",
                        F.when(F.col("FAILDATE") > F.col("REPDTE"), quarter_distance("REPDTE", "FAILDATE")))
     end = F.lit(f"{last_year}-12-31").cast("date")

@@ -137,9 +137,17 @@ def filing_filter_limit(filings: DataFrame, forms: Sequence[str], first: int, or
     return kept.withColumn("FILING_URL", filing_url(issuer, "ACCESSION", "DOCUMENT"))
 
 
-def filing_facts(filings: DataFrame, html: str = "HTML") -> DataFrame:
-    """Disclosed amount and mentions per filing row."""
+def filing_facts(filings: DataFrame, html: str = "HTML", mapping: DataFrame | None = None, issuer: str = "CIK") -> DataFrame:
+    """Disclosed amount and mentions per filing row; other columns of ``filings`` (form, dates, address) stay.
+
+    ``mapping`` (CERT, SEC_CIK, SEC_TICKER) names the entities of each issuer: a filing has a row for each of them, and
+    filings of unmapped issuers are left out. Documents are read before, once each.
+    """
     from panelyard.functions.text import disclosed_amount, html_text, mention_flags
 
     read = filings.withColumn("__text", html_text(html))
-    return read.withColumns({**disclosed_amount(html, "__text"), **mention_flags("__text")}).drop("__text")
+    facts = read.withColumns({**disclosed_amount(html, "__text"), **mention_flags("__text")}).drop("__text")
+    if mapping is None:
+        return facts
+    entities = mapping.filter(F.col("SEC_CIK").isNotNull()).select("CERT", F.col("SEC_CIK").cast("bigint").alias("SEC_CIK"), "SEC_TICKER")
+    return facts.join(entities, F.col(issuer).cast("bigint") == F.col("SEC_CIK"))
