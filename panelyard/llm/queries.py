@@ -142,6 +142,21 @@ def op8_url_ngram_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
+_RULES = ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in url_filter.RULES)
+
+
+@query(f"""WITH r AS (SELECT split_part(rule, '/', 1) AS dom, substr(rule, strpos(rule, '/')) AS below, rule, verdict FROM (VALUES {_RULES}) AS v(rule, verdict)),
+u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS place FROM pages),
+p AS (SELECT page_id, CASE WHEN place > 0 THEN regexp_extract(substr(url, place + 3), '^[^?#]*') ELSE '' END AS rest FROM u),
+h AS (SELECT page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ substr(rest, length(split_part(rest, '/', 1)) + 1) AS path FROM p),
+f AS (SELECT page_id, arg_max({{'rule': rule, 'verdict': verdict}}, length(rule)) AS best FROM h JOIN r ON (host = dom OR suffix(host, '.' || dom)) AND prefix(path, below) GROUP BY page_id)
+SELECT h.page_id, host, path, best.rule AS rule, best.verdict AS verdict FROM h LEFT JOIN f USING (page_id)""")
+def url_rules(spark, sf_dir):
+    """The part of op8_url_ngram_filter that SQL can express."""
+    return url_filter.ruled(table(spark, sf_dir, "pages"))
+
+
 @query("""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
  doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""")

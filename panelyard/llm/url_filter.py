@@ -89,3 +89,10 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, thre
     scored = model.transform(features(df)).withColumn("score", vector_to_array("probability")[1])
     own = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", own).alias("verdict"), "score")
+
+
+def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule and the rule's verdict (null without a rule): ``judge`` without the model."""
+    df = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    best = best_rule(F.col("host"), F.col("path"), rules)
+    return df.select("page_id", "host", "path", best["rule"].alias("rule"), best["verdict"].alias("verdict"))

@@ -154,3 +154,12 @@ def test_url_model_learns_its_table(spark):
     unseen = [("http://other.example.org/casino/free-spins", 1), ("http://other.example.org/en/article-99.html", 0)]
     rows = U.labelled_table(spark, unseen).select(U.host_of(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"), "label")
     assert all(r.label == r.prediction for r in model.transform(U.features(rows)).collect())
+
+
+def test_rules_alone_agree_with_the_judge(spark):
+    urls = ["https://a.example.com/en/x", "http://www.example.com/en/?q", "https://b.net/fr/a#b", "ftp://x.com", "no scheme", None, "https://EXAMPLE.com/EN/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in U.judge(pages).collect()}
+    got = {r["page_id"]: r for r in U.ruled(pages).collect()}
+    assert {k: (r["host"], r["path"], r["rule"]) for k, r in got.items()} == want
+    assert got[0]["verdict"] == "block" and got[1]["verdict"] == "allow" and got[5]["verdict"] is None
