@@ -166,3 +166,64 @@ def importances(f):
 def supervised_overlay(f):
     staged = stage_mismatch(f, cut_lineage(staged_panel(f)))
     return overlay.supervised_overlay(cut_lineage(treasury.treasury_features(staged, f.yields, check=False)))
+
+
+# Where the labelled rows of the overlay have their features in SQL.
+_STAGED = ["LOAN_WAM_PROXY", "TD_WAM_PROXY", "DURATION_GAP_LITE", "HAS_IR_DERIVATIVES", "SOD_DEPOSIT_HHI_STATE",
+           "SOD_DEPOSIT_HHI_COUNTY", "SOD_TOP_STATE_SHARE"]
+FRAGMENTS["v_model"] = (
+    "SELECT a.CERT, a.REPDTE, o.SEVERE_RELATIVE_OUTFLOW AS y, " + ", ".join(
+        f"CAST({'b' if c in _STAGED else 'a'}.{c} AS DOUBLE) AS {c}" for c in overlay.FEATURE_SIGNS)
+    + " FROM v_alm a JOIN v_outflow o ON a.CERT = o.CERT AND a.REPDTE = o.REPDTE "
+      "JOIN v_bank_panel b ON a.CERT = b.CERT AND a.REPDTE = b.REPDTE WHERE o.SEVERE_RELATIVE_OUTFLOW IS NOT NULL")
+FRAGMENTS["v_model_long"] = " UNION ALL ".join(
+    f"SELECT REPDTE, y, '{c}' AS FEATURE, {c} AS x FROM v_model" for c in overlay.FEATURE_SIGNS)
+# Every date of the panel with the dates, labels and events before it.
+FRAGMENTS["v_model_dates"] = (
+    "SELECT REPDTE, row_number() OVER (ORDER BY REPDTE) - 1 AS seen, coalesce(sum(e) OVER (ORDER BY REPDTE ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND 1 PRECEDING), 0) AS events FROM (SELECT REPDTE, sum(SEVERE_RELATIVE_OUTFLOW) AS e FROM v_outflow GROUP BY 1)")
+
+
+def _statistics(source: str, by: str) -> str:
+    """Counts, medians, and the moments of values whose gaps are filled with the median, of each group."""
+    return (f"SELECT {by}, count(*) AS N_ROWS, sum(y) AS N_EVENTS, max(m) AS MEDIAN, avg(coalesce(x, m)) AS CENTRE, "
+            f"stddev_pop(coalesce(x, m)) AS SPREAD FROM (SELECT *, coalesce(median(x) OVER (PARTITION BY {by}), 0) AS m FROM ({source})) GROUP BY ALL")
+
+
+_VARIES = "SPREAD > 1e-12 * greatest(1, abs(CENTRE))"
+
+
+@query("walk_forward_windows", "REPDTE:d TRAIN_QUARTERS:i N_ROWS:i N_EVENTS:i FEATURE MEDIAN:r CENTRE:r SPREAD:r VARIES:b",
+       f"SELECT *, {_VARIES} AS VARIES FROM (" + _statistics(
+           "SELECT d.REPDTE AS REPDTE, d.seen AS TRAIN_QUARTERS, l.y, l.FEATURE, l.x FROM v_model_dates d JOIN v_model_long l ON l.REPDTE < d.REPDTE "
+           f"WHERE d.seen >= {overlay.MIN_QUARTERS} AND d.events >= {overlay.MIN_EVENTS}", "REPDTE, TRAIN_QUARTERS, FEATURE") + ")")
+def walk_forward_windows(f):
+    """What each walk-forward fit knows of its training rows."""
+    df = model_table(f)
+    return overlay.window_table(df, _features(df))
+
+
+_EXPECTED = ("SELECT * FROM (SELECT FEATURE, N_ROWS, N_EVENTS, MEDIAN, CENTRE, SPREAD, 0 AS RESIDUAL, true AS SIGN_KEPT FROM ("
+             + _statistics("SELECT * FROM v_model_long", "FEATURE") + f") WHERE {_VARIES} UNION ALL "
+             "SELECT '(intercept)', count(*), sum(y), NULL, NULL, NULL, 0, true FROM v_model)")
+
+
+def _certified(f, kind: str):
+    df = model_table(f)
+    table = overlay.fit_certificate(df, _features(df), kind=kind)
+    return table.withColumn("RESIDUAL", F.round("RESIDUAL", 3))  # an optimum up to the fit's tolerance
+
+
+_CERTIFICATE = "FEATURE N_ROWS:i N_EVENTS:i MEDIAN:r CENTRE:r SPREAD:r RESIDUAL:r SIGN_KEPT:b"
+
+
+@query("logistic_certificate", _CERTIFICATE, _EXPECTED)
+def logistic_certificate(f):
+    """The plain fit solves its problem: every gradient is zero."""
+    return _certified(f, "logistic")
+
+
+@query("monotone_certificate", _CERTIFICATE, _EXPECTED)
+def monotone_certificate(f):
+    """The fit held to signs solves its problem: every weight has its sign and no allowed step lowers the loss."""
+    return _certified(f, "signed")

@@ -212,6 +212,26 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], values: Sequence[str], sha
     return picked.select(*groups, "n", *out)
 
 
+def windowed_quantiles(df: DataFrame, values: Sequence[str], within: dict[str, Column], share: float,
+                       slices: int | None = None) -> DataFrame:
+    """One row per ``__metric``: its interpolated quantile over the rows of each condition of ``within``, as ``<name>``.
+
+    All conditions are answered from one histogram whose distinct values carry a weight for each of them, so windows
+    that overlap (all rows before a date, for every date) do not multiply the rows. A window without values gives NULL.
+    """
+    names = list(within)
+    rows = stack_values(df.withColumns({f"__in_{n}": c for n, c in within.items()}), [f"__in_{n}" for n in names], values)
+    hist = rows.groupBy("__metric", "__value").agg(*[F.sum(F.col(f"__in_{n}").cast("long")).alias(n) for n in names])
+    placed = running_weights(hist, ["__metric"], "__value", names, slices)
+    at = {n: F.lit(float(share)) * (F.col(f"{n}__total") - 1) for n in names}
+    picked = placed.groupBy("__metric").agg(*[a for n in names for a in (
+        _at(F.floor(at[n]), f"{n}__below", n, F.col("__value")).alias(f"{n}__lo"),
+        _at(F.ceil(at[n]), f"{n}__below", n, F.col("__value")).alias(f"{n}__hi"),
+        F.max(at[n] - F.floor(at[n])).alias(f"{n}__step"))])
+    return picked.select("__metric", *[
+        (F.col(f"{n}__lo") + (F.col(f"{n}__hi") - F.col(f"{n}__lo")) * F.col(f"{n}__step")).alias(n) for n in names])
+
+
 def ranked_metrics(df: DataFrame, cell: Sequence[str], score: str, labels: dict[str, tuple[str, str]],
                    top_shares: Sequence[int], slices: int | None = None) -> DataFrame:
     """AUC and precision/recall at the top of a score, for several labels in one pass.

@@ -92,3 +92,52 @@ def test_walk_forward_with_a_feature_constant_in_early_windows(panel):
     scored, last = overlay.walk_forward(late, [*FEATURES, "HAS_IR_DERIVATIVES"], "y", "signed", min_quarters=4, min_events=5)
     got = {str(r["REPDTE"]): r["n"] for r in scored.groupBy("REPDTE").agg(F.count(overlay.SCORE).alias("n")).collect()}
     assert got["2023-03-31"] == 30 and got["2023-12-31"] == 30 and "HAS_IR_DERIVATIVES" in last.features
+
+
+def test_window_statistics_equal_each_window_by_itself(panel):
+    """Merged statistics against numpy on the rows of each window; dates without a fit are absent."""
+    odd = panel.withColumn("EMPTY", F.lit(None).cast("double"))
+    names = [*FEATURES, "EMPTY"]
+    got = {(str(r["REPDTE"]), r["FEATURE"]): r for r in overlay.window_table(odd, names, "y", 3, 10).collect()}
+    pdf = panel.toPandas().assign(EMPTY=np.nan)
+    days = sorted(pdf.REPDTE.astype(str).unique())
+    assert {d for d, _ in got} == set(days[3:])
+    for (day, name), r in got.items():
+        rows = pdf[(pdf.REPDTE.astype(str) < day) & pdf.y.notna()]
+        middle = rows[name].median() if rows[name].notna().any() else 0.0
+        filled = rows[name].fillna(middle)
+        assert (r["N_ROWS"], r["N_EVENTS"], r["TRAIN_QUARTERS"]) == (len(rows), rows.y.sum(), days.index(day))
+        assert np.allclose([r["MEDIAN"], r["CENTRE"], r["SPREAD"]], [middle, filled.mean(), filled.std(ddof=0)])
+        assert r["VARIES"] == (name != "EMPTY")
+
+
+def test_windows_of_no_rows_and_null_dates(panel):
+    assert overlay.window_table(panel.limit(0), FEATURES, "y").count() == 0
+    scored, last = overlay.walk_forward(panel.limit(0), FEATURES, "y")
+    assert scored.count() == 0 and last is None
+    undated = panel.unionByName(panel.limit(3).withColumn("REPDTE", F.lit(None).cast("date")))
+    scored, _ = overlay.walk_forward(undated, FEATURES, "y", min_events=5)
+    assert scored.count() == 243 and scored.filter("REPDTE IS NULL").select(F.max(overlay.SCORE)).first()[0] is None
+
+
+def test_linear_scores_equal_the_models(panel):
+    """The one plan over all quarters gives what the fitted model gives."""
+    scored, last = overlay.walk_forward(panel, FEATURES, "y", kind="signed", min_quarters=7, min_events=5)
+    final = scored.filter(F.col("REPDTE") == "2023-12-31")
+    both = last.score(final.drop(overlay.SCORE)).select("CERT", F.col(overlay.SCORE).alias("again")).join(final, "CERT").toPandas()
+    assert len(both) == 30 and np.allclose(both["again"], both[overlay.SCORE], atol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["logistic", "signed"])
+def test_certificate(panel, kind):
+    # a label that rises with TD_WAM_PROXY, whose weight may not be positive: the bound holds it at zero
+    turned = panel.withColumn("y", F.when(F.col("y").isNotNull(), (F.col("TD_WAM_PROXY") + F.crc32("CERT") % 7 / 20.0 > 0.6).cast("int")))
+    rows = {r["FEATURE"]: r for r in overlay.fit_certificate(turned, FEATURES, "y", kind).collect()}
+    assert set(rows) == {"(intercept)", *FEATURES}
+    assert all(abs(r["RESIDUAL"]) < 1e-4 and r["SIGN_KEPT"] for r in rows.values())
+    assert overlay.fit_certificate(turned.filter("CERT = '1'"), FEATURES, "y", kind).count() == 0
+
+
+def test_certificate_tells_a_wrong_fit(panel, monkeypatch):
+    monkeypatch.setattr(overlay, "MAX_ITERATIONS", 1)
+    assert max(abs(r["RESIDUAL"]) for r in overlay.fit_certificate(panel, FEATURES, "y").collect()) > 1e-3
