@@ -11,6 +11,7 @@ from panelyard.operators import windows as W
 from panelyard.operators.aggregates import share_of_total
 from panelyard.operators.ordered import Rank, add_ranks
 from panelyard.plans import checks, indices, outflow, treasury
+from panelyard.session import cut_lineage
 
 KEYS = ["CERT", "REPDTE"]
 
@@ -40,7 +41,8 @@ def pct_rank_peer(f):
        "rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC) AS PLACE FROM lineitem")
 def pct_rank_sliced(f):
     """Three groups that each hold a third of all lines: the form for groups of any size."""
-    lines = f.table("lineitem").withColumn("__key", F.monotonically_increasing_id())
+    lines = cut_lineage(f.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity", "l_extendedprice")
+                        .withColumn("__key", F.monotonically_increasing_id()))  # generated keys are written first
     ranks = [Rank("l_quantity", "R"), Rank("l_extendedprice", "PLACE", "competition")]
     return add_ranks(lines, ["l_returnflag"], ranks, ["__key"])
 

@@ -12,6 +12,9 @@ large part of the table) to one task. Here instead
 3. slice totals (one row per slice) give each slice its offset, and a window runs
    inside slices only.
 
+Row ranks (``add_ranks``) need a result for each row, so there the rows themselves are cut into slices, by (group, value,
+key): a value that a third of the rows share fills many slices, and nothing is joined on a value.
+
 The cuts only steer balance. Results do not depend on them.
 """
 
@@ -144,42 +147,76 @@ class Rank:
 def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Sequence[str], slices: int | None = None) -> DataFrame:
     """Rank columns inside groups of any size; ``keys`` identify a row.
 
-    Only keys, groups and values are ranked, as narrow rows, and joined back once.
+    Only keys, groups and values are written and ranked, as narrow rows; all ranks of a row come back in one row that is
+    joined once. ``df`` is read for the narrow rows and for the result, so its keys must be the same each time (write it
+    first if they are generated).
     """
     by, keys = list(by), list(keys)
     for name in {r.value for r in ranks} - set(df.columns):
         df = df.withColumn(name, F.lit(None).cast("double"))
-    return _rank_in_slices(cut_lineage(df), by, ranks, keys, slices)
-
-
-def _rank_in_slices(df: DataFrame, by: list[str], ranks: Sequence[Rank], keys: list[str],
-                    slices: int | None) -> DataFrame:
     names = list(dict.fromkeys(r.value for r in ranks))
-    rows = stack_values(df, list(dict.fromkeys([*keys, *by])), names)
-    for name in by:
-        rows = rows.filter(F.col(name).isNotNull())
-    placed = running_weights(histogram(rows, [*by, "__metric"]), [*by, "__metric"], "__value",
-                             [COUNT], slices)
-    back = rows.join(placed, [*by, "__metric", "__value"]).groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("__metric") == name,
-                         F.struct(f"{COUNT}__below", COUNT, f"{COUNT}__total"))).alias(f"__r{i}")
-            for i, name in enumerate(names)
-        ]
-    )
+    back = _places(df, by, names, keys, slices)
     back = back.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
                        *[f"__r{i}" for i in range(len(names))])
     matched = df.join(back, [df[k].eqNullSafe(back[f"__k{i}"]) for i, k in enumerate(keys)], "left")
     out = {}
     for r in ranks:
         place = F.col(f"__r{names.index(r.value)}")
-        rank = r.of(place[f"{COUNT}__below"], place[COUNT], place[f"{COUNT}__total"])
+        rank = r.of(place["below"], place["ties"], place["total"])
         absent = F.lit(r.fill * r.scale if r.fill is not None else None)
         out[r.out] = F.when(place.isNotNull(), rank).otherwise(absent)
     return matched.withColumns(out).drop(*[f"__k{i}" for i in range(len(keys))],
                                          *[f"__r{i}" for i in range(len(names))])
 
 
+def _places(df: DataFrame, by: list[str], names: list[str], keys: list[str], slices: int | None) -> DataFrame:
+    """One row per ``keys``: ``__r<i>`` tells how many values lie below the i-th name's value, equal it, and are in all.
+
+    Rows are range-partitioned by group, value and key, so equal values may fill many slices and no value makes a slice
+    larger. Windows run inside slices; only the first and last value of a slice can go on in another one, and their
+    counts are put together over the ends of all slices (two rows per slice).
+    """
+    groups = [*by, "__metric"]
+    rows = stack_values(df, list(dict.fromkeys([*keys, *by])), names).withColumn("__value", F.col("__value") + F.lit(0.0))
+    for name in by:
+        rows = rows.filter(F.col(name).isNotNull())
+    rows = cut_lineage(rows)  # sampled and dealt out from one written copy
+    n = slices or max(1, -(-rows.count() // SLICE_ROWS))
+    order = [*groups, "__value", *[k for k in keys if k not in by]]
+    sliced = cut_lineage(rows.repartitionByRange(n, *order).withColumn("__slice", F.spark_partition_id()))
+    part = [*groups, "__slice"]
+    values = Window.partitionBy(*part).orderBy("__value")
+    placed = sliced.withColumns({
+        "__low": (F.rank().over(values) - 1).cast("long"),
+        "__ties": F.count(F.lit(1)).over(values.rangeBetween(Window.currentRow, Window.currentRow))})
+    sizes = sliced.groupBy(*part, "__value").agg(F.count(F.lit(1)).alias(COUNT)).groupBy(*part).agg(
+        F.sum(COUNT).alias("__rows"), F.min("__value").alias("__first"), F.max("__value").alias("__last"),
+        F.min_by(COUNT, "__value").alias("__firsts"), F.max_by(COUNT, "__value").alias("__lasts"))
+    group = Window.partitionBy(*groups)
+    earlier = group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumns({"__before": F.coalesce(F.sum("__rows").over(earlier), F.lit(0)),
+                                 "__total": F.sum("__rows").over(group)})
+    first = F.struct(F.lit(0).alias("end"), F.col("__first").alias("value"), F.col("__firsts").alias("ties"),
+                     F.col("__before").alias("below"))
+    last = F.struct(F.lit(1).alias("end"), F.col("__last").alias("value"), F.col("__lasts").alias("ties"),
+                    (F.col("__before") + F.col("__rows") - F.col("__lasts")).alias("below"))
+    one = F.col("__first") == F.col("__last")
+    ends = offsets.select(*part, "__before", "__total", F.inline(F.when(one, F.array(first)).otherwise(F.array(first, last))))
+    shared = Window.partitionBy(*groups, "value")
+    ends = ends.withColumns({"ties": F.sum("ties").over(shared), "below": F.min("below").over(shared)})
+    of = lambda end: F.max(F.when(F.col("end") == end, F.struct("value", "ties", "below")))
+    ends = ends.groupBy(*part).agg(F.max("__before").alias("__before"), F.max("__total").alias("total"),
+                                   of(0).alias("__a"), of(1).alias("__b"))
+    whole = lambda field, inside: F.when(F.col("__value") == F.col("__a.value"), F.col(f"__a.{field}")).when(
+        F.col("__value") == F.col("__b.value"), F.col(f"__b.{field}")).otherwise(inside)
+    ranked = placed.join(ends, part).select(
+        *dict.fromkeys([*keys, "__metric"]), whole("below", F.col("__before") + F.col("__low")).alias("below"),
+        whole("ties", F.col("__ties")).alias("ties"), "total")
+    return ranked.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("__metric") == name, F.struct("below", "ties", "total"))).alias(f"__r{i}")
+        for i, name in enumerate(names)])
+
+
 def _at(position: Column, below: str, count: str, value: Column) -> Column:
     """Aggregate that picks ``value`` of the row covering a 0-based position."""
     hit = (F.col(below) <= position) & (position < F.col(below) + F.col(count))

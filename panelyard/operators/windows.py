@@ -74,11 +74,24 @@ def _keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> Dat
 
 
 def latest_snapshot(df: DataFrame, entity: Sequence[str] = ENTITY, time: str = TIME) -> DataFrame:
-    """Last row per entity (rows with a NULL entity are dropped)."""
+    """Last row per entity (rows with a NULL entity are dropped).
+
+    The last date of each entity is an aggregate of two columns; it filters a second read of ``df``, so wide rows of
+    earlier dates are neither sorted nor shuffled as aggregate state. Of several rows of that date the last in the
+    order of all other columns stays.
+    """
+    entity = list(entity)
     known = df
     for name in entity:
         known = known.filter(F.col(name).isNotNull())
-    return keep_last(known, list(entity), [time])
+    last = known.groupBy(*[F.col(name).alias(f"__e{i}") for i, name in enumerate(entity)]).agg(F.max(time).alias("__last"))
+    same = [F.col(name) == F.col(f"__e{i}") for i, name in enumerate(entity)]
+    found = known.join(last, [*same, F.col(time).eqNullSafe(F.col("__last"))], "left_semi")
+    rest = [F.col(f"`{c}`").desc() for c in df.columns if c not in [*entity, time]]
+    if not rest:
+        return found.distinct()
+    over = Window.partitionBy(*entity, time).orderBy(*rest)
+    return found.withColumn("__at", F.row_number().over(over)).filter(F.col("__at") == 1).drop("__at")
 
 
 def top_k(df: DataFrame, by: Sequence[str], k: int, order: Sequence[Column], rank: str = "RANK") -> DataFrame:

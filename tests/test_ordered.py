@@ -96,3 +96,36 @@ def test_lags_over_slices(spark):
     rows = [(3 * t, float(t)) for t in range(200)]
     got = {r["t"]: (r["x__lag1"], r["x__lag4"]) for r in ordered.lagged_rows(spark.createDataFrame(rows, "t int, x double").repartition(5), ["t"], ["x"], [1, 4]).collect()}
     assert got == {3 * t: (float(t - 1) if t else None, float(t - 4) if t >= 4 else None) for t in range(200)}
+
+
+@pytest.mark.parametrize("slices", [1, 7, 64])
+def test_ranks_of_a_value_that_fills_many_slices(spark, slices):
+    """One value in most rows, one group of equal values only, negative zero, infinite and null values and groups."""
+    rows = [(i, "hot", 5.0 if i % 10 else float(i)) for i in range(600)] + [(600 + i, "flat", -1.0) for i in range(200)]
+    rows += [(800, "zero", 0.0), (801, "zero", -0.0), (802, "zero", float("inf")), (803, "zero", None), (804, None, 1.0), (805, "one", 3.0)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    ranks = [Rank("v", "pct"), Rank("v", "place", "competition"), Rank("v", "most", "at_most")]
+    got = add_ranks(df, ["g"], ranks, ["id"], slices=slices).toPandas().set_index("id").sort_index()
+    pdf = pd.DataFrame(rows, columns=["id", "g", "v"]).set_index("id")
+    by = pdf.groupby("g")["v"]
+    assert len(got) == len(pdf)
+    assert np.allclose(got["pct"].astype(float), by.rank(pct=True), equal_nan=True)
+    assert np.allclose(got["place"].astype(float), by.rank(ascending=False, method="min"), equal_nan=True)
+    assert np.allclose(got["most"].astype(float), by.rank(method="max"), equal_nan=True)
+
+
+def test_rank_slices_hold_a_hot_value_in_parts(spark, monkeypatch):
+    """Equal values are dealt over the slices: none holds more than its share."""
+    written = []
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df: written.append(df.cache()) or df)
+    df = spark.range(4000).selectExpr("id", "'g' AS g", "CAST(7 AS DOUBLE) AS v")
+    got = add_ranks(df, ["g"], [Rank("v", "pct")], ["id"], slices=8)
+    assert got.filter("abs(pct - 4001 / 8000.0) < 1e-12").count() == 4000
+    sizes = [r["count"] for r in written[-1].groupBy("__slice").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+    assert all("id" in w.columns and len(w.columns) <= 5 for w in written)
+
+
+def test_ranks_of_no_rows(spark):
+    df = spark.createDataFrame([], "id long, g string, v double")
+    assert add_ranks(df, ["g"], [Rank("v", "pct")], ["id"]).count() == 0

@@ -3,7 +3,7 @@ import pytest
 from conftest import by
 from panelyard.operators import joins
 from panelyard.operators.aggregates import duplicate_keys, require_unique, sod_features
-from panelyard.operators.windows import keep_first, keep_last
+from panelyard.operators.windows import keep_first, keep_last, latest_snapshot
 from panelyard.plans import panel
 
 
@@ -79,3 +79,15 @@ def test_keep_first_last(frame):
     df = frame("k string, o int, v string", [("a", 2, "x"), ("a", 1, "y"), ("b", 1, None)])
     assert {r["k"]: r["v"] for r in keep_last(df, ["k"], ["o"]).collect()} == {"a": "x", "b": None}
     assert {r["k"]: r["v"] for r in keep_first(df, ["k"], ["o"]).collect()} == {"a": "y", "b": None}
+
+
+def test_latest_snapshot(spark):
+    """The last date's row; ties by all other columns, entities without dates keep a row, rows without an entity go."""
+    rows = [("1", "2020-01-01", 1, "a"), ("1", "2020-02-01", None, "b"), ("1", "2020-02-01", 2, "c"), ("1", "2020-02-01", 2, "c"),
+            (None, "2020-02-01", 2, "c"), ("2", None, 5, "x"), ("2", None, 6, None), ("3", "2020-01-01", None, None), ("3", None, 7, "q")]
+    df = spark.createDataFrame(rows, "CERT string, REPDTE string, a int, b string")
+    got = latest_snapshot(df)
+    assert sorted(map(tuple, got.collect())) == [("1", "2020-02-01", 2, "c"), ("2", None, 6, None), ("3", "2020-01-01", None, None)]
+    assert sorted(got.collect()) == sorted(keep_last(df.filter("CERT IS NOT NULL"), ["CERT"], ["REPDTE"]).collect())
+    assert "struct" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert latest_snapshot(df.select("CERT", "REPDTE")).count() == 3 and latest_snapshot(df.limit(0)).count() == 0
