@@ -275,11 +275,19 @@ def bank_panel(f):
     return staged_panel(f)
 
 
-def staged_panel(f):
-    """Everything staged: financials, institutions, branches, schedules, hedges."""
+def staged_panel(f, schedules_from=None, hedges_from=None, equity=False):
+    """Everything staged: financials, institutions, branches, schedules, hedges (these two from their first report date).
+
+    ``equity`` adds the entities' equity to the balance sheet, which the surrogate lines lack.
+    """
+    def filed(codes, first):
+        return codes if first is None else codes.filter(F.col("REPDTE") >= F.lit(first).cast("date"))
+
     fin = f.financials.withColumn("CERT", F.col("__s").cast("string")).drop("__s")
-    gaps = repricing.repricing_features(f.codes(_FACTS), F_KEYS)
-    hedge = repricing.derivative_features(repricing.pivot_codes(f.codes(OVERLAY_CODES), F_KEYS, OVERLAY_CODES))
+    if equity:
+        fin = fin.join(f.institutions.select("CERT", "EQ"), "CERT", "left")
+    gaps = repricing.repricing_features(filed(f.codes(_FACTS), schedules_from), F_KEYS)
+    hedge = repricing.derivative_features(repricing.pivot_codes(filed(f.codes(OVERLAY_CODES), hedges_from), F_KEYS, OVERLAY_CODES))
     return panel.bank_panel(
         fin, f.institutions, f.branch,
         gaps.withColumn("CERT", F.col("IDRSSD").cast("string")).drop("IDRSSD"),

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from panelyard import config as cfg
 from panelyard.catalog.evaluation_queries import labelled
 from panelyard.catalog.fragments import FRAGMENTS, num
-from panelyard.catalog.frames import EPISODES, QUARTER
-from panelyard.catalog.group_queries import layers, stage_competition, stage_deposits, stage_indices, written_indices
+from panelyard.catalog.feature_queries import staged_panel
+from panelyard.catalog.frames import BANDS, EPISODES, QUARTER
+from panelyard.catalog.group_queries import layers, stage_competition, stage_deposits, stage_indices, stage_mismatch, written_indices
 from panelyard.catalog.registry import query
 from panelyard.functions.scalars import last_completed_quarter, quarter_distance
 from panelyard.operators.windows import lagged
-from panelyard.plans import backtest, publish, reports
+from panelyard.plans import backtest, competition, indices, publish, reports, treasury
 from panelyard.session import cut_lineage
 
 BUILT_AT = "2001-12-05T00:00:00Z"
@@ -97,8 +98,11 @@ FRAGMENTS["v_breakdown"] = " UNION ALL ".join([
 
 @query("component_breakdown", "CERT REPDTE:d KIND KEY LABEL WEIGHT PERCENTILE:r SCORE:r CONTRIBUTION:r", "v_breakdown")
 def component_breakdown(f):
-    df = publish.component_breakdown(stage_indices(f)).select("CERT", "REPDTE", *publish.COMPONENT_ARRAYS)
+    return _entries(publish.component_breakdown(stage_indices(f)), ["CERT", "REPDTE"])
 
+
+def _entries(df, keep):
+    """One row per entry of the component arrays."""
     def flat(name):
         def record(c):
             none = F.lit(None).cast("double")
@@ -113,7 +117,7 @@ def component_breakdown(f):
 
         return F.transform(name, record)
 
-    return df.select("CERT", "REPDTE", F.inline(F.concat(*[flat(n) for n in publish.COMPONENT_ARRAYS])))
+    return df.select(*keep, F.inline(F.concat(*[flat(n) for n in publish.COMPONENT_ARRAYS])))
 
 
 _PLAIN = ("SELECT i.CERT AS cert, i.NAMEFULL AS name, i.PEER_GROUP AS peer_group, g.n AS peer_group_bank_count, ASSET AS assets, "
@@ -217,3 +221,46 @@ def manifest_indices(f):
 @query("competition_features", "CERT REPDTE:d OUTSIDE_OPTION_PREMIUM_BP:r DEPOSIT_COMPETITION_PRESSURE_SCORE:r", "v_comp")
 def competition_features(f):
     return stage_competition(f)
+
+
+# First report dates of the schedules and of the hedges in the full run; rows before them have neither.
+SCHEDULES_FROM, HEDGES_FROM = "1997-01-01", "1999-01-01"
+# Index rows of the full run: the indices of the plain panel with the staged flags.
+FRAGMENTS["v_run_full"] = (
+    "SELECT *, CASE WHEN HAS_FFIEC_FEATURES = 1 THEN 'v1_ffiec_hybrid' ELSE 'v0_fdic_only' END AS INDEX_VERSION, "
+    "(coalesce(HEDGED, 0) = 0 AND coalesce(GAP, 0) > 0)::INT AS UNHEDGED_DURATION_FLAG FROM ("
+    "SELECT i.* EXCLUDE (HAS_SOD_FEATURES, HAS_FFIEC_FEATURES, INDEX_VERSION), b.HAS_SOD_FEATURES, b.SOD_BRANCH_COUNT, "
+    f"(b.HAS_FFIEC_FEATURES = 1 AND i.REPDTE >= DATE '{SCHEDULES_FROM}')::INT AS HAS_FFIEC_FEATURES, "
+    f"CASE WHEN i.REPDTE >= DATE '{SCHEDULES_FROM}' THEN b.DURATION_GAP_LITE END AS GAP, "
+    f"CASE WHEN i.REPDTE >= DATE '{HEDGES_FROM}' THEN b.HAS_IR_DERIVATIVES END AS HEDGED "
+    "FROM v_idx i JOIN v_bank_panel b ON i.CERT = b.CERT AND i.REPDTE = b.REPDTE)")
+
+
+def full_run(f):
+    """From the staged tables to the index table, written once: it is read for the records and their peers."""
+    staged = cut_lineage(staged_panel(f, SCHEDULES_FROM, HEDGES_FROM, equity=True))  # ranks and rates read it several times
+    df = treasury.treasury_features(stage_mismatch(f, staged), f.yields, check=False)
+    return cut_lineage(indices.indices_frame(competition.competition_features(df, f.rates), bands=BANDS))
+
+
+@query("full_run_indices", "CERT REPDTE:d NAMEFULL STALP PEER_GROUP INDEX_VERSION UNHEDGED_DURATION_FLAG:i HAS_SOD_FEATURES:i HAS_FFIEC_FEATURES:i "
+       "SOD_BRANCH_COUNT:i " + " ".join(f"{c}:r" for c in cfg.INDEX_COLUMNS), "v_run_full")
+def full_run_indices(f):
+    """One run over financials, institutions, branches, schedules, hedges, yields and rates: base and schedule rows mixed."""
+    return full_run(f)
+
+
+@query("full_run_records", "cert repdte name peer_group peer_group_bank_count:i funding_fragility:r index_version failed:b fail_date KIND KEY LABEL "
+       "WEIGHT PERCENTILE:r SCORE:r CONTRIBUTION:r",
+       "SELECT i.CERT AS cert, strftime(i.REPDTE, '%Y-%m-%d') AS repdte, i.NAMEFULL AS name, i.PEER_GROUP AS peer_group, g.n AS peer_group_bank_count, "
+       "i.FUNDING_FRAGILITY_INDEX AS funding_fragility, i.INDEX_VERSION AS index_version, x.FAILDATE IS NOT NULL AS failed, "
+       "strftime(x.FAILDATE, '%Y-%m-%d') AS fail_date, b.* EXCLUDE (CERT, REPDTE) "
+       "FROM (SELECT * FROM v_run_full QUALIFY row_number() OVER (PARTITION BY CERT ORDER BY REPDTE DESC) = 1) i "
+       "JOIN (SELECT PEER_GROUP, count(*) AS n FROM v_latest GROUP BY 1) g ON i.PEER_GROUP = g.PEER_GROUP "
+       "LEFT JOIN (SELECT CERT, max(FAILDATE) AS FAILDATE FROM v_failures GROUP BY 1) x ON i.CERT = x.CERT "
+       "JOIN v_breakdown b ON i.CERT = b.CERT AND i.REPDTE = b.REPDTE")
+def full_run_records(f):
+    """The published records of that run, their nested arrays compared entry by entry."""
+    rows = publish.league_rows(full_run(f), f.failures)
+    return _entries(rows, ["cert", "repdte", "name", "peer_group", "peer_group_bank_count", "funding_fragility", "index_version",
+                           "failed", "fail_date"])
