@@ -1,16 +1,20 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 Patterns are the word windows of the benchmark items, grouped by length. For one length m the table has, for each hash
-of two neighbouring words, how far the search may jump: to where the pair could stand in the nearest pattern, m - 1
-words if it stands in none. Where the jump is 0 the hash of the pair selects a bucket of patterns that end with it, and
-comparing the words confirms an occurrence. Documents are only read; all work is in the pass over their texts.
+of a block of neighbouring words, how far the search may jump: to where the block could stand in the nearest pattern,
+m - B + 1 words if it stands in none. Where the jump is 0 the hash of the block, with the hash of the first block, selects
+a bucket of patterns, and comparing the words confirms an occurrence. Documents are only read; all work is in the pass
+over their texts. Blocks have two words and one more for each of ``BLOCK_GROWS`` that the number of windows exceeds, and
+the table has at least eight places for each block, so jumps stay long when there are many patterns.
 
-The benchmark is dealt into shards of at most ``SHARD_WORDS`` words; each shard is one pass whose tables are sent to
-the executors, so what is sent at a time has that bound whatever the size of the benchmark.
+The benchmark is dealt into shards of at most ``SHARD_WORDS`` words; the driver builds a shard's tables once, as arrays
+of a bounded size, and each shard is one pass. After ``PASSES`` passes the rows found so far are written, so neither the
+plan nor what executors hold grows with the benchmark. Items longer than a shard are cut into pieces that overlap by a
+window less one word.
 
 Defined results. A null or empty text has no words and is not contaminated. An item without words has no window. Rows
-with one item_id are one item. Repeated documents are judged row by row. Empty tables give empty or all-clean results.
-Other columns are not read.
+with one item_id are one item; those with a null or empty one are together the item named by the empty string. Repeated
+documents are judged row by row. Empty tables give empty or all-clean results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.common import id_and_text, per_text
+from panelyard.session import cut_lineage
 
 WINDOW = 13
-SHARD_WORDS = 2_000_000
-TABLE_BITS = 16
+#: Words of a shard, and shards that are searched in one plan.
+SHARD_WORDS, PASSES = 200_000, 8
+#: Numbers of windows beyond which blocks are a word longer.
+BLOCK_GROWS = (4_000, 100_000)
+#: Least and most bits of a shift table.
+TABLE_BITS = 16, 26
 #: Columns that travel with the rows while they are searched.
 SPANS, ITEMS = "__wm_spans", "__wm_items"
 #: Bytes of words after lower-casing: digits, a to z and everything beyond ASCII; others become a blank.
@@ -39,77 +49,120 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(KEPT).split()
 
 
-def pair(a: bytes, b: bytes) -> int:
-    return zlib.crc32(b, zlib.crc32(a)) & ((1 << TABLE_BITS) - 1)
-
-
+@dataclass
 class Patterns:
-    """Shift table and buckets of the patterns of one length; blocks of two words, one for patterns of one word."""
-
-    def __init__(self, length: int, windows: dict[tuple, set]):
-        self.length, self.block = length, min(2, length)
-        far = length - self.block + 1
-        self.shift = np.full(1 << TABLE_BITS, far, np.int32)
-        buckets = defaultdict(list)
-        for window, items in windows.items():
-            for end in range(self.block, length + 1):
-                h = self.hash(window, end - 1)
-                self.shift[h] = min(self.shift[h], length - end)
-            buckets[self.hash(window, length - 1)].append((list(window), tuple(items)))
-        self.shift, self.buckets = self.shift.tolist(), dict(buckets)
-
-    def hash(self, text, at: int) -> int:
-        return pair(text[at - 1], text[at]) if self.block == 2 else pair(b"", text[at])
+    """The windows of one length: shift table, sorted bucket keys, and each window's place in the shard and its items."""
+
+    length: int
+    block: int
+    shift: bytes
+    keys: np.ndarray
+    starts: np.ndarray
+    owners: list[list[int]]
+
+    def ready(self, flat: list[bytes], names: list[str]) -> Patterns:
+        """With the words and item names of the shard, and the buckets as a dictionary."""
+        self.flat, self.names = flat, names
+        first, at = np.unique(self.keys, return_index=True)
+        ends = np.append(at[1:], len(self.keys))
+        self.buckets = dict(zip(first.tolist(), zip(at.tolist(), ends.tolist(), strict=True), strict=True))
+        return self
 
     def search(self, text: list[bytes]):
         """(start, items) of every occurrence."""
-        shift, buckets, m, n, at = self.shift, self.buckets, self.length, len(text), self.length - 1
-        two, mask, crc = self.block == 2, (1 << TABLE_BITS) - 1, zlib.crc32
+        shift, buckets, crc, join = self.shift, self.buckets, zlib.crc32, b" ".join
+        m, block, n, at, mask = self.length, self.block, len(text), self.length - 1, len(self.shift) - 1
         while at < n:
-            h = (crc(text[at], crc(text[at - 1])) if two else crc(text[at], crc(b""))) & mask
-            jump = shift[h]
+            h = crc(join(text[at - block + 1:at + 1]))
+            jump = shift[h & mask]
             if jump:
                 at += jump
                 continue
             start = at - m + 1
-            for window, items in buckets.get(h, ()):
-                if text[start:at + 1] == window:
-                    yield start, items
+            found = buckets.get(h << 32 | crc(join(text[start:start + block])))
+            if found:
+                for i in range(*found):
+                    held = self.starts[i]
+                    if text[start:at + 1] == self.flat[held:held + m]:
+                        yield start, [self.names[o] for o in self.owners[i]]
             at += 1
 
 
-def build(items: list[tuple[str, bytes]], window: int = WINDOW) -> list[Patterns]:
-    by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        found = words(text)
+def patterns(length: int, flat: list[bytes], ids: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> Patterns:
+    """The tables of the windows of ``length`` words that begin at ``starts`` in the shard."""
+    windows = np.lib.stride_tricks.sliding_window_view(ids, length)[starts]
+    _, one, of = np.unique(windows, axis=0, return_index=True, return_inverse=True)
+    owners: list[set[int]] = [set() for _ in one]
+    for i, o in zip(of.ravel().tolist(), owner.tolist(), strict=True):
+        owners[i].add(o)
+    starts = starts[one]
+    block = min(length, 2 + sum(len(starts) > n for n in BLOCK_GROWS))
+    hashes = np.array([zlib.crc32(b" ".join(flat[i:i + block])) for i in range(len(flat) - block + 1)], np.uint64)
+    used = np.unique(hashes).size
+    bits = min(max((8 * used - 1).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
+    shift = np.full(1 << bits, min(length - block + 1, 255), np.uint8)
+    for end in range(block, length + 1):  # the last and nearest end of a block decides
+        shift[(hashes[starts + end - block] & np.uint64((1 << bits) - 1)).astype(np.int64)] = min(length - end, 255)
+    keys = hashes[starts + length - block] << np.uint64(32) | hashes[starts]
+    order = np.argsort(keys, kind="stable")
+    return Patterns(length, block, shift.tobytes(), keys[order], starts[order], [sorted(owners[i]) for i in order.tolist()])
+
+
+@dataclass
+class Shard:
+    """What is sent of some items: their words once, their names, and the tables of each length."""
+
+    words: bytes
+    names: list[str]
+    tables: list[Patterns]
+
+    def ready(self) -> list[Patterns]:
+        flat = self.words.split(b" ")
+        return [table.ready(flat, self.names) for table in self.tables]
+
+
+def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Shard:
+    flat, names = [], sorted({item for item, _ in items})
+    number = {name: i for i, name in enumerate(names)}
+    starts, owner = defaultdict(list), defaultdict(list)
+    for item, found in items:
         size = min(window, len(found))
-        for at in range(len(found) - size + 1 if size else 0):
-            by_length[size][tuple(found[at:at + size])].add(item)
-    return [Patterns(size, by_length[size]) for size in sorted(by_length)]
+        n = len(found) - size + 1 if size else 0
+        starts[size].extend(range(len(flat), len(flat) + n))
+        owner[size].extend([number[item]] * n)
+        flat += found
+    code: dict[bytes, int] = {}
+    ids = np.array([code.setdefault(w, len(code)) for w in flat], np.int32)
+    return Shard(b" ".join(flat), names, [patterns(size, flat, ids, np.array(starts[size]), np.array(owner[size])) for size in sorted(starts) if starts[size]])
 
 
-def shards(benchmark: DataFrame):
-    """Items in turn, each shard of at most SHARD_WORDS words (or one longer item)."""
-    held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    for row in rows.toLocalIterator():
-        text = row["text"].encode()
-        n = len(words(text))
-        if held and size + n > SHARD_WORDS:
-            yield held
-            held, size = [], 0
-        if n:
-            held.append((row["item"] or "", text))
-            size += n
-    yield held
+def pieces(found: list[bytes], size: int, window: int):
+    """Parts of at most ``size`` words that hold each window once."""
+    step = size - window + 1
+    for at in range(0, max(len(found) - window + 1, 1), step):
+        yield found[at:at + size]
 
 
-def scan(docs: DataFrame, items, window: int) -> DataFrame:
-    """Adds the occurrences in one shard of items to SPANS (start, length pairs) and ITEMS; the rows stay as they are."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)
-
+def shards(benchmark: DataFrame, window: int = WINDOW):
+    """Items in turn, as words, in shards of at most SHARD_WORDS words."""
+    held, size, most = [], 0, max(SHARD_WORDS, window)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    for row in rows.toLocalIterator():
+        for part in pieces(words(row["text"].encode()), most, window):
+            if held and size + len(part) > most:
+                yield held
+                held, size = [], 0
+            if part:
+                held.append((row["item"] or "", part))
+                size += len(part)
+    if held:
+        yield held
+
+
+def scan(docs: DataFrame, sent) -> DataFrame:
+    """Adds the occurrences in one broadcast shard to SPANS (start, length pairs) and ITEMS; the rows stay as they are."""
     def make():
-        tables = build(sent.value, window)
+        tables = sent.value.ready()
 
         def work(part, texts):
             spans, found = part.column(SPANS).to_pylist(), part.column(ITEMS).to_pylist()
@@ -129,8 +182,15 @@ def scan(docs: DataFrame, items, window: int) -> DataFrame:
 
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     out = docs.withColumn(SPANS, F.array().cast("array<int>")).withColumn(ITEMS, F.array().cast("array<string>"))
-    for items in shards(benchmark):
-        out = scan(out, items, window)
+    held = []
+    for items in shards(benchmark, window):
+        if len(held) == PASSES:
+            out = cut_lineage(out)
+            for sent in held:
+                sent.unpersist()
+            held = []
+        held.append(docs.sparkSession.sparkContext.broadcast(build(items, window)))
+        out = scan(out, held[-1])
     return out
 
 
