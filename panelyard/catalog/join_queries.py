@@ -135,14 +135,14 @@ _STOP = "['', " + ", ".join(f"'{w}'" for w in names.STOP_WORDS) + "]"
 _SET = "list_sort(list_filter(list_distinct(string_split(n, ' ')), lambda x: NOT list_contains(" + _STOP + ", x)))"
 
 
-def fuzzy_sql(source: str) -> str:
+def fuzzy_sql(source: str, registry: str = "v_reg") -> str:
     """Every open name against every registry set: the plain all-pairs definition."""
     return f"""SELECT e.* EXCLUDE (SEC_CIK, SEC_TICKER, SEC_TITLE, SEC_MATCH_TYPE, w), coalesce(e.SEC_CIK, b.r.CIK) AS SEC_CIK,
  coalesce(e.SEC_TICKER, b.r.TICKER) AS SEC_TICKER, coalesce(e.SEC_TITLE, b.r.TITLE) AS SEC_TITLE,
  coalesce(e.SEC_MATCH_TYPE, 'fuzzy_' || printf('%.2f', b.score)) AS SEC_MATCH_TYPE FROM (SELECT *, {_SET} AS w FROM {source}) e
  LEFT JOIN (SELECT w, first(score ORDER BY score DESC, SEQ) AS score, first({{'CIK': CIK, 'TICKER': TICKER, 'TITLE': TITLE}} ORDER BY score DESC, SEQ) AS r FROM (
  SELECT a.w, g.*, len(list_intersect(a.w, g.w)) / greatest(len(a.w), len(g.w)) AS score FROM
- (SELECT DISTINCT {_SET} AS w FROM {source} WHERE SEC_MATCH_TYPE IS NULL) a, (SELECT *, {_SET} AS w FROM v_reg) g
+ (SELECT DISTINCT {_SET} AS w FROM {source} WHERE SEC_MATCH_TYPE IS NULL) a, (SELECT *, {_SET} AS w FROM {registry}) g
  WHERE len(list_intersect(a.w, g.w)) >= 2) WHERE score >= 0.6e0 GROUP BY 1) b ON e.SEC_MATCH_TYPE IS NULL AND e.w = b.w"""
 
 
@@ -165,6 +165,31 @@ def token_overlap_match(f):
     return names.token_overlap_match(names.exact_name_match(_named(f), lookup), lookup)
 
 
+# Names of nine and more words, three of which all names share.
+_LONG_TAIL = "Farmers Merchants Community"
+_LONG_CODES = "concat('size', p_size, ' lot', p_size % 10, ' row', p_partkey % 9)"
+FRAGMENTS["v_long_names"] = (
+    f"SELECT CERT, n, NULL::BIGINT AS SEC_CIK, NULL AS SEC_TICKER, NULL AS SEC_TITLE, NULL AS SEC_MATCH_TYPE FROM (SELECT *, {normalized_sql('NAME')} AS n FROM "
+    f"(SELECT CAST(p_partkey AS VARCHAR) AS CERT, concat_ws(' ', p_brand, p_name, p_type, {_LONG_CODES}, '{_LONG_TAIL}') AS NAME FROM part))")
+FRAGMENTS["v_long_reg"] = (
+    f"SELECT *, {normalized_sql('TITLE')} AS n FROM (SELECT p_partkey AS SEQ, p_partkey + 1000000 AS CIK, 'T' || p_partkey AS TICKER, "
+    f"concat_ws(' ', '{_LONG_TAIL}', p_type, p_brand, {_LONG_CODES}, p_name, CASE WHEN p_size % 2 = 0 THEN 'Partners' ELSE 'Financial Group, Inc.' END) AS TITLE FROM part)")
+FRAGMENTS["v_long_fuzzy"] = fuzzy_sql("v_long_names", "v_long_reg")
+
+
+@query("token_overlap_long", MATCH_SPEC, "v_long_fuzzy")
+def token_overlap_long(f):
+    part = f.table("part")
+    end = F.when(F.col("p_size") % 2 == 0, F.lit("Partners")).otherwise(F.lit("Financial Group, Inc."))
+    registry = part.select(F.col("p_partkey").alias("SEQ"), (F.col("p_partkey") + 1000000).alias("CIK_STR"),
+                           F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("TICKER"),
+                           F.concat_ws(" ", F.lit(_LONG_TAIL), "p_type", "p_brand", F.expr(_LONG_CODES), "p_name", end).alias("TITLE"))
+    asked = part.select(F.col("p_partkey").cast("string").alias("CERT"),
+                        normalize_name(F.concat_ws(" ", "p_brand", "p_name", "p_type", F.expr(_LONG_CODES), F.lit(_LONG_TAIL))).alias("INST_NAME_NORM"),
+                        *[F.lit(None).cast("long" if c == "SEC_CIK" else "string").alias(c) for c in names.MATCH_COLUMNS])
+    return names.token_overlap_match(asked, names.registry_lookup(registry))
+
+
 FRAGMENTS["v_overrides"] = ("SELECT CAST(s_suppkey AS VARCHAR) AS CERT, s_suppkey + 5000000 AS CIK, CASE WHEN s_acctbal > 0 THEN 'OV' END "
                             "AS TICKER FROM supplier UNION ALL SELECT 'unknown', 1, 'X'")
 

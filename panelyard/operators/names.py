@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,13 +10,14 @@ from pyspark.sql import functions as F
 from panelyard.functions.scalars import present_columns
 from panelyard.functions.text import normalize_name
 from panelyard.operators.joins import override_values
+from panelyard.session import cut_lineage
 
 # Words that tell nothing about a bank.
 STOP_WORDS = ["bank", "of", "the", "and", "national", "first", "trust", "savings", "federal"]
 # Least shared words and least score of an overlap match.
 MIN_OVERLAP, MIN_SCORE = 2, 0.6
-# Sets up to this size are matched through their subsets, larger ones through rare pairs.
-SUBSET_WORDS = 8
+# Registry sets of one key beyond which the key's rows are split by their next word.
+SPLIT_ROWS = 64
 MATCH_COLUMNS = ["SEC_CIK", "SEC_TICKER", "SEC_TITLE", "SEC_MATCH_TYPE"]
 
 
@@ -51,79 +51,71 @@ def _least_shared(size: Column) -> Column:
     return F.greatest(F.lit(MIN_OVERLAP), F.ceil(size * F.lit(MIN_SCORE) - F.lit(1e-9)).cast("int"))
 
 
-def _subsets(words: Column) -> Column:
-    """All subsets with enough words for a match, as sorted arrays."""
-    size = F.size(words)
-    masks = F.filter(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), size) - 1),
-                     lambda m: F.bit_count(m) >= _least_shared(size))
-    return F.transform(masks, lambda m: F.filter(
-        words, lambda _, i: F.getbit(m, i) == 1))
-
+def _by_rarity(sets: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Word sets with their words ordered by registry frequency, then text; words the registry lacks come first."""
+    others = [c for c in sets.columns if c != "words"]
+    placed = sets.select("words", *others, F.explode("words").alias("word")).join(frequency, "word", "left")
+    ordered = placed.groupBy("words").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("o"),
+        *[F.first(c).alias(c) for c in others])
+    size = F.size("words")
+    return ordered.select(F.transform("o", lambda s: s["word"]).alias("words"), *others, size.alias("size"),
+                          _least_shared(size).alias("need"), F.array().cast("array<string>").alias("key"), F.lit(-1).alias("last"))
 
-def _rare_pairs(sets: DataFrame, frequency: DataFrame) -> DataFrame:
-    """Pairs of the rarest words of each set: two sets that match share at least one pair.
 
-    A match shares ``o`` words, so at least two of them are among the ``n - o + 2``
-    rarest of either set (words ordered by frequency, then by text).
-    """
-    placed = sets.select("words", F.explode("words").alias("word")).join(frequency, "word")
-    ordered = placed.groupBy("words").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("o"))
-    size = F.size("words")
-    rare = F.sort_array(F.transform(F.slice("o", 1, size - _least_shared(size) + 2), lambda s: s["word"]))
-    pairs = F.flatten(F.transform(F.col("rare"), lambda a: F.transform(
-        F.filter(F.col("rare"), lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return ordered.select("words", rare.alias("rare")).select("words", F.explode(pairs).alias("pair"))
+def _extended(rows: DataFrame, k: int) -> DataFrame:
+    """Keys of ``k`` words: each key with every word behind its last one that can be the ``k``-th shared word of a match."""
+    end = F.col("size") - F.greatest("need", F.lit(k)) + k - 1
+    others = [c for c in rows.columns if c not in ("key", "last")]
+    longer = rows.filter(F.col("last") < end).select("*", F.explode(F.sequence(F.col("last") + 1, end)).alias("at"))
+    return longer.select(*others, F.concat("key", F.array(F.get("words", "at"))).alias("key"), F.col("at").alias("last"))
 
 
 def _best(found: DataFrame) -> DataFrame:
     """Highest score per set, ties to the earliest registry row."""
     return found.groupBy("words").agg(F.min(F.struct((-F.col("score")).alias("s"), "hit")).alias("b")).select(
-        "words", (-F.col("b.s")).alias("score"), F.col("b.hit").alias("hit"))
+        F.sort_array("words").alias("words"), (-F.col("b.s")).alias("score"), F.col("b.hit").alias("hit"))
 
 
 def token_overlap(asked: DataFrame, registered: DataFrame) -> DataFrame:
     """Best registry row per distinct word set.
 
-    ``asked`` has distinct ``words``; ``registered`` has distinct ``words`` and ``hit``
-    (first registry row of that set). Equal sets are one row on both sides, so copies
-    of a name cost nothing. Sets of up to ``SUBSET_WORDS`` words meet on an equal
-    subset: the registry side is reduced to one row per (subset, size) before the join, so
-    a word that a third of the names share is never multiplied out. Longer sets
-    (rare) meet on a pair of their rarest words and are verified.
+    ``asked`` has distinct ``words``; ``registered`` has distinct ``words`` and ``hit`` (first registry row of that set).
+    Equal sets are one row on both sides, so copies of a name cost nothing.
+
+    A positional prefix filter for sets of every size: words are ordered by rarity, and sets that match share their first
+    two common words, which lie so far in front that enough others can follow in both. Pairs with a common key of two
+    words, of near sizes and with enough words left are verified. A key that more than ``SPLIT_ROWS`` registry sets have
+    is not joined: its rows are split by their next word into keys of three words, and so on. Rows that need no more words
+    than such a key has match every registry row that needs no more; of these the first one of each size stands for all.
+    So a key never pairs more than ``SPLIT_ROWS`` rows with an asked one, whatever words most names share. The driver
+    goes on for as many rounds as the longest key that many sets share has words.
     """
-    size = F.size("words")
-    small = size <= SUBSET_WORDS
-    left = asked.filter(size >= MIN_OVERLAP)
-    right = registered.filter(size >= MIN_OVERLAP)
-    shared = right.filter(small).select(F.explode(_subsets(F.col("words"))).alias("common"), size.alias("n"), "hit")
-    shared = shared.groupBy("common", "n").agg(F.min("hit").alias("hit"))
-    offered = left.filter(small).select("words", F.explode(_subsets(F.col("words"))).alias("common"))
-    score = F.size("common") / F.greatest(F.size("words"), F.col("n"))
-    by_subset = offered.join(shared, "common").select("words", score.alias("score"), "hit").filter(
-        F.col("score") >= MIN_SCORE)
-    # one side longer than the subset limit: the other side has at least this many words
-    least = math.ceil((SUBSET_WORDS + 1) * MIN_SCORE - 1e-9)
-    frequency = right.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    a = _rare_pairs(left.filter(size >= least), frequency_of_both(left, frequency))
-    b = _rare_pairs(right.filter(size >= least).select("words"), frequency_of_both(left, frequency))
-    b = b.withColumnRenamed("words", "other")
-    near = F.least(F.size("words"), F.size("other")) >= F.greatest(F.size("words"), F.size("other")) * MIN_SCORE
-    candidates = a.join(b.filter(F.size("other") > SUBSET_WORDS), "pair").filter(near).select("words", "other")
-    candidates = candidates.unionByName(
-        a.filter(F.size("words") > SUBSET_WORDS).join(b.filter(F.size("other") <= SUBSET_WORDS), "pair")
-        .filter(near).select("words", "other")).distinct()
-    overlap = F.size(F.array_intersect("words", "other"))
-    long_score = overlap / F.greatest(F.size("words"), F.size("other"))
-    verified = candidates.select("words", "other", overlap.alias("o"), long_score.alias("score")).filter(
-        (F.col("o") >= MIN_OVERLAP) & (F.col("score") >= MIN_SCORE))
-    by_pair = verified.join(right.withColumnRenamed("words", "other"), "other").select("words", "score", "hit")
-    return _best(by_subset.unionByName(by_pair))
-
-
-def frequency_of_both(left: DataFrame, frequency: DataFrame) -> DataFrame:
-    """Registry frequency of each word, 0 for words only the asking side has (one order for both)."""
-    words = left.select(F.explode("words").alias("word")).distinct()
-    return words.join(frequency, "word", "full").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    enough = F.size("words") >= MIN_OVERLAP
+    registered = registered.filter(enough)
+    frequency = registered.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    a = cut_lineage(_extended(_extended(_by_rarity(asked.filter(enough).select("words"), frequency), 1), 2))
+    b = cut_lineage(_extended(_extended(_by_rarity(registered, frequency), 1), 2))
+    found, k = None, 2
+    while True:
+        hot = cut_lineage(b.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT_ROWS).select("key"))
+        other = b.join(hot, "key", "left_anti").select(
+            "key", "hit", F.col("words").alias("other"), F.col("size").alias("n"), F.col("need").alias("need_n"), F.col("last").alias("last_n"))
+        behind = F.least(F.col("size") - F.col("last"), F.col("n") - F.col("last_n")) - 1
+        near = (F.least("size", "n") >= F.greatest("size", "n") * MIN_SCORE) & (behind + k >= F.greatest("need", "need_n"))
+        overlap = F.size(F.array_intersect("words", "other"))
+        verified = a.join(other, "key").filter(near).select(
+            "words", overlap.alias("o"), (overlap / F.greatest("size", "n")).alias("score"), "hit")
+        verified = verified.filter((F.col("o") >= MIN_OVERLAP) & (F.col("score") >= MIN_SCORE)).select("words", "score", "hit")
+        found = verified if found is None else found.unionByName(verified)
+        if hot.isEmpty():
+            return _best(found)
+        a, b = (cut_lineage(side.join(hot, "key", "left_semi")) for side in (a, b))
+        first = b.filter(F.col("need") <= k).groupBy("key", F.col("size").alias("n")).agg(F.min("hit").alias("hit"))
+        whole = a.filter(F.col("need") <= k).join(first, "key").select(
+            "words", (F.lit(k) / F.greatest("size", "n")).alias("score"), "hit").filter(F.col("score") >= MIN_SCORE)
+        found, k = found.unionByName(whole), k + 1
+        a, b = (cut_lineage(_extended(side, k)) for side in (a, b))
 
 
 def token_overlap_match(names: DataFrame, lookup: DataFrame, norm: str = "INST_NAME_NORM") -> DataFrame:

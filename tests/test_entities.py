@@ -47,9 +47,10 @@ def brute(asked, registered):
     return best
 
 
-@pytest.mark.parametrize("longest, words", [(6, 9), (14, 18)])
-def test_overlap_matches_all_pairs(frame, longest, words):
-    """Short and long sets, and two words that most names share."""
+@pytest.mark.parametrize("longest, words, split", [(6, 9, 64), (6, 9, 25), (14, 18, 100)])
+def test_overlap_matches_all_pairs(frame, monkeypatch, longest, words, split):
+    """Short and long sets, two words that most names share, and keys that are split several times."""
+    monkeypatch.setattr(names, "SPLIT_ROWS", split)
     rng = random.Random(longest)
 
     def name():
