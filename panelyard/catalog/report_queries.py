@@ -157,6 +157,65 @@ def league_records(f):
     return publish.rows_to_json(publish.league_rows(written_indices(f), f.failures))
 
 
+def _leaf(path: str, text: str = "NULL", number: str = "NULL") -> str:
+    return f"{{'PATH': {path}, 'TEXT': CAST({text} AS VARCHAR), 'NUMBER': CAST({number} AS DOUBLE)}}"
+
+
+def _unnested(keep: str, leaves: list[str], source: str) -> str:
+    """A row per leaf of each row of the source."""
+    held = f"{keep}, " if keep else ""
+    return f"SELECT {held}x.PATH, x.TEXT, x.NUMBER FROM (SELECT {held}unnest([{', '.join(leaves)}]) AS x FROM {source})"
+
+
+# Published fields as texts and as numbers, apart from those that are lists.
+_LEAF_TEXTS = {
+    "cert": "i.CERT", "name": "NAMEFULL", "peer_group": "i.PEER_GROUP", "state": "STALP", "charter": "BKCLASS",
+    "repdte": "strftime(i.REPDTE, '%Y-%m-%d')", "treasury_yield_date": "strftime(TREASURY_YIELD_DATE, '%Y-%m-%d')",
+    "index_version": "INDEX_VERSION", "failed": "(f.FAILDATE IS NOT NULL)", "fail_date": "strftime(f.FAILDATE, '%Y-%m-%d')"}
+_LEAF_NUMBERS = {
+    "peer_group_bank_count": "g.n", "assets": "ASSET", "deposits": "DEPDOM_EFFECTIVE", "uninsured_pct": "UNINSURED_SHARE",
+    "run_risk_score": "RUN_RISK_SCORE", "stickiness_score": "STICKINESS_SCORE", "run_risk": "RUN_RISK_INDEX",
+    "alm_mismatch": "ALM_MISMATCH_INDEX", "treasury_buffer": "TREASURY_BUFFER_INDEX",
+    "deposit_competition": "DEPOSIT_COMPETITION_PRESSURE_INDEX", "deposit_competition_resilience": "DEPOSIT_COMPETITION_RESILIENCE_INDEX",
+    "deposit_competition_score": "DEPOSIT_COMPETITION_PRESSURE_SCORE", "funding_fragility": "FUNDING_FRAGILITY_INDEX",
+    "supervised_outflow_score": "NULL", "has_treasury_yield_history": "HAS_TREASURY_YIELD_HISTORY", "yc_2yr": "YC_2YR",
+    "yc_10yr": "YC_10YR", "yc_10y_3m_slope_bp": "YC_10Y_3M_SLOPE_BP", "yc_10y_2y_slope_bp": "YC_10Y_2Y_SLOPE_BP",
+    "yc_10yr_qoq_change_bp": "YC_10YR_QOQ_CHANGE_BP", "has_ffiec_features": "HAS_FFIEC_FEATURES", "has_sod_features": "HAS_SOD_FEATURES"}
+_KIND_PLACES = ", ".join(
+    f"('{kind}', '{key}', {at})" for kind, keys in (
+        ("run_risk_components", [c.lower() for c, _, _ in cfg.RUN_RISK_COMPONENTS]),
+        ("deposit_competition_components", [c.lower() for c, _, _ in cfg.PRESSURE_COMPONENTS]),
+        ("alm_components", [c.lower() for c, _, _ in cfg.MISMATCH_COMPONENTS]),
+        ("treasury_buffer_components", [c.lower() for c, _, _ in cfg.BUFFER_COMPONENTS]),
+        ("composite_components", [k for k, _, _ in cfg.COMPOSITE_COMPONENTS])) for at, key in enumerate(keys))
+
+
+def _entry(field: str, text: str = "NULL", number: str = "NULL") -> str:
+    return _leaf(f"b.KIND || '[' || b.at || '].{field}'", text, number)
+
+
+FRAGMENTS["v_league_leaves"] = (
+    _unnested("cert", [_leaf(f"'{n}'", c) for n, c in _LEAF_TEXTS.items()] + [_leaf(f"'{n}'", "NULL", c) for n, c in _LEAF_NUMBERS.items()],
+              "(SELECT i.*, g, f FROM v_latest i JOIN (SELECT PEER_GROUP, count(*) AS n FROM v_latest GROUP BY 1) g ON i.PEER_GROUP = g.PEER_GROUP "
+              "LEFT JOIN (SELECT CERT, max(FAILDATE) AS FAILDATE FROM v_failures GROUP BY 1) f ON i.CERT = f.CERT) i")
+    + " UNION ALL " + _unnested(
+        "cert", [_entry("key", "b.KEY"), _entry("label", "b.LABEL"), _entry("weight", "NULL", "b.WEIGHT"), _entry("contribution", "NULL", "b.CONTRIBUTION")],
+        "v_entries b")
+    + " UNION ALL " + _unnested("cert", [_entry("percentile", "NULL", "b.PERCENTILE")],
+                                "v_entries b WHERE b.KIND IN ('run_risk_components', 'deposit_competition_components')")
+    + " UNION ALL " + _unnested("cert", [_entry("score", "NULL", "b.SCORE")], "v_entries b WHERE b.KIND = 'composite_components'"))
+FRAGMENTS["v_entries"] = (
+    "SELECT b.*, row_number() OVER (PARTITION BY b.CERT, b.KIND ORDER BY p.place) - 1 AS at FROM v_breakdown b "
+    "JOIN (SELECT CERT, REPDTE FROM v_latest) l ON b.CERT = l.CERT AND b.REPDTE = l.REPDTE "
+    f"JOIN (VALUES {_KIND_PLACES}) p(kind, key, place) ON b.KIND = p.kind AND b.KEY = p.key")
+
+
+@query("league_leaves", "cert PATH TEXT NUMBER:r", "v_league_leaves")
+def league_leaves(f):
+    """Every leaf of every published record, read back from its JSON text."""
+    return publish.record_leaves(publish.league_rows(written_indices(f), f.failures), "cert")
+
+
 @query("headline_metric", "SLICE HORIZON_QUARTERS:i SCORE_COL AUC:r RECALL_AT_20PCT:r",
        "SELECT * FROM v_metrics WHERE SLICE = 'full_sample' AND HORIZON_QUARTERS = 4 AND SCORE_COL = 'FUNDING_FRAGILITY_INDEX'")
 def headline_metric(f):
@@ -218,6 +277,74 @@ def manifest_indices(f):
     return out.withColumn("tops", F.array_join(F.transform("top_banks", lambda b: b["cert"]), ","))
 
 
+def _panel_leaves(path: str, where: str = "") -> str:
+    day = lambda c: f"strftime({c}, '%Y-%m-%d')"
+    return _unnested("", [_leaf(f"'{path}.bank_quarters'", "NULL", "rows"), _leaf(f"'{path}.unique_banks'", "NULL", "banks"),
+                          _leaf(f"'{path}.quarters'", "NULL", "quarters"), _leaf(f"'{path}.date_range'", f"{day('first')} || ' – ' || {day('last')}")],
+                     "(SELECT count(*) AS rows, count(DISTINCT CERT) AS banks, count(DISTINCT REPDTE) AS quarters, min(REPDTE) AS first, "
+                     f"max(REPDTE) AS last FROM v_idx {where})")
+
+
+_ENRICHED_FROM = "(SELECT min(REPDTE) FROM v_idx WHERE HAS_FFIEC_FEATURES > 0 OR HAS_TREASURY_YIELD_HISTORY > 0)"
+FRAGMENTS["v_dates"] = (
+    "SELECT max(REPDTE) AS day, max(CASE WHEN HAS_FFIEC_FEATURES > 0 THEN REPDTE END) AS ffiec, max(TREASURY_YIELD_DATE) AS treasury, "
+    "make_date(CAST(year(max(CASE WHEN HAS_SOD_FEATURES > 0 THEN REPDTE END)) AS INT), 6, 30) AS sod FROM v_idx")
+FRAGMENTS["v_warnings"] = (
+    "SELECT text, row_number() OVER (ORDER BY nth) - 1 AS nth FROM (" + " UNION ALL ".join(
+        f"SELECT {at} AS nth, {_warning(s, c)} AS text FROM v_dates"
+        for at, (s, c) in enumerate((("fdic_financials", "day"), ("ffiec", "ffiec"), ("sod", "sod"), ("treasury", "treasury"))))
+    + ") WHERE text IS NOT NULL")
+FRAGMENTS["v_published"] = (
+    "SELECT n.nth, n.id, n.title, AUC, RECALL_AT_20PCT, N_FAILURES FROM (VALUES " + ", ".join(
+        f"({at}, '{i}', '{t}', '{s}')" for at, (i, (s, t)) in enumerate(cfg.PUBLISHED_INDICES.items()))
+    + ") n(nth, id, title, score) JOIN v_headline h ON n.score = h.SCORE_COL")
+FRAGMENTS["v_groups"] = (
+    "SELECT PEER_GROUP, n, row_number() OVER (ORDER BY n DESC, PEER_GROUP) - 1 AS nth FROM (SELECT PEER_GROUP, count(*) AS n FROM v_latest GROUP BY 1)")
+
+
+def _dated(name: str, column: str) -> str:
+    return _leaf(f"'{name}'", f"strftime({column}, '%Y-%m-%d')")
+
+
+def _placed(prefix: str, field: str, text: str = "NULL", number: str = "NULL") -> str:
+    return _leaf(f"'{prefix}[' || nth || '].{field}'", text, number)
+
+
+FRAGMENTS["v_manifest_leaves"] = " UNION ALL ".join([
+    _unnested("", [_leaf("'schema_version'", "NULL", "3"), _leaf("'generated_at'", f"'{BUILT_AT}'"), _leaf("'freshness.generated_at'", f"'{BUILT_AT}'"),
+                   _leaf("'headline_horizon_quarters'", "NULL", "4"), _leaf("'site_panel'", "'recent_history_enriched'"), _leaf("'published_panels.none'"),
+                   _dated("freshness.site_snapshot_as_of", "day"), _dated("freshness.source_max_dates.fdic_financials", "day"),
+                   _dated("freshness.source_max_dates.ffiec", "ffiec"), _dated("freshness.source_max_dates.sod", "sod"),
+                   _dated("freshness.source_max_dates.treasury", "treasury"), _leaf("'freshness.stale'", "(day < DATE '2001-09-30')")], "v_dates"),
+    _unnested("", [_leaf("'freshness.coverage_warnings[' || nth || ']'", "text")], "v_warnings"),
+    _panel_leaves("pipeline"), _panel_leaves("published_panels.full_history_core"),
+    _panel_leaves("published_panels.recent_history_enriched", f"WHERE REPDTE >= {_ENRICHED_FROM}"),
+    _unnested("", [_leaf("'failures_tested'", "NULL", "N_FAILURES")], "v_published WHERE id = 'run_risk'"),
+    _unnested("", [_dated("treasury_regime.yield_date", "day"), _leaf("'treasury_regime.y2'", "NULL", "y2"), _leaf("'treasury_regime.y10'", "NULL", "y10"),
+                   _leaf("'treasury_regime.slope_10y_3m_bp'", "NULL", "slope")],
+              "(SELECT max(TREASURY_YIELD_DATE) AS day, arg_max(YC_2YR, CERT) AS y2, arg_max(YC_10YR, CERT) AS y10, arg_max(YC_10Y_3M_SLOPE_BP, CERT) "
+              "AS slope FROM v_latest WHERE TREASURY_YIELD_DATE IS NOT NULL)"),
+    _unnested("", [_placed("indices", "position", "NULL", "nth"), _placed("indices", "id", "id"), _placed("indices", "title", "title"),
+                   _placed("indices", "failure_auc", "NULL", "AUC"), _placed("indices", "failure_recall_20", "NULL", "RECALL_AT_20PCT"),
+                   _placed("indices", "headline_horizon_quarters", "NULL", "4"), _placed("indices", "validation_status", "'backtested'")], "v_published"),
+    _unnested("", [_placed("indices", f"top_banks[' || (RANK - 1) || '].{n}", t, v) for n, t, v in (
+        ("rank", "NULL", "RANK"), ("name", "NAMEFULL", "NULL"), ("cert", "CERT", "NULL"), ("score", "NULL", "SCORE"), ("peer_group", "PEER_GROUP", "NULL"))],
+        "(SELECT s.*, p.nth, row_number() OVER (PARTITION BY INDEX_ID ORDER BY SCORE DESC NULLS LAST, CERT) AS RANK FROM v_scores s "
+        "JOIN v_published p ON s.INDEX_ID = p.id QUALIFY RANK <= 3)"),
+    _unnested("", [_placed("peer_groups", "order", "NULL", "-n"), _placed("peer_groups", "id", "PEER_GROUP"), _placed("peer_groups", "count", "NULL", "n"),
+                   _placed("peer_groups", "label", "array_to_string(list_transform(string_split(PEER_GROUP, '_'), lambda w: upper(w[1]) || w[2:]), ' ')")],
+              "v_groups")])
+
+
+@query("manifest_leaves", "PATH TEXT NUMBER:r", "v_manifest_leaves")
+def manifest_leaves(f):
+    """Every leaf of the manifest, read back from its JSON text."""
+    mart = written_indices(f)
+    core, enriched = reports.core_enriched_split(mart)
+    metrics = backtest.metrics_table(labelled(f, mart), {"full_sample": EPISODES["full_sample"]}, [4])
+    return publish.record_leaves(publish.manifest(mart, BUILT_AT, core, enriched, metrics))
+
+
 @query("competition_features", "CERT REPDTE:d OUTSIDE_OPTION_PREMIUM_BP:r DEPOSIT_COMPETITION_PRESSURE_SCORE:r", "v_comp")
 def competition_features(f):
     return stage_competition(f)

@@ -245,8 +245,49 @@ def manifest(mart: DataFrame, built_at: str, core: DataFrame | None = None, enri
         records.scalar().alias("indices"), groups.scalar().alias("peer_groups"))
 
 
+def _finite_below(value: Column, dtype: T.DataType) -> Column:
+    """A value with NaN and infinities as null at every depth."""
+    if isinstance(dtype, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_finite_below(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: _finite_below(x, dtype.elementType))
+    return finite(value, dtype)
+
+
 def rows_to_json(df: DataFrame) -> DataFrame:
-    """One JSON text per row: NaN and infinities as null, dates as yyyy-MM-dd, nulls kept."""
-    fields = [finite(f.name, f.dataType).alias(f.name) for f in df.schema.fields]
+    """One JSON text per row: NaN and infinities as null at every depth, dates as yyyy-MM-dd, nulls kept."""
+    fields = [_finite_below(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
     options = {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd"}
     return df.select(F.to_json(F.struct(*fields), options).alias("JSON"))
+
+
+_LEAVES = "array<struct<PATH:string,TEXT:string,NUMBER:double>>"
+
+
+def _leaves(value: Column, dtype: T.DataType, path: Column) -> Column:
+    """Array of (PATH, TEXT, NUMBER) of all leaves below a value of this type."""
+    none = F.array().cast(_LEAVES)
+    if isinstance(dtype, T.StructType):
+        parts = [_leaves(value[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in dtype.fields]
+        return F.concat(none, *parts)
+    if isinstance(dtype, T.ArrayType):
+        below = F.transform(value, lambda x, i: _leaves(x, dtype.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.coalesce(F.flatten(below), none)
+    number = isinstance(dtype, T.NumericType)
+    text = F.lit(None).cast("string") if number else value.cast("string")
+    amount = value.cast("double") if number else F.lit(None).cast("double")
+    return F.array(F.struct(path.alias("PATH"), text.alias("TEXT"), amount.alias("NUMBER")))
+
+
+def record_leaves(df: DataFrame, key: str | None = None) -> DataFrame:
+    """The published JSON texts of nested rows, read back and flattened: a row per leaf with its path, like ``a.b[0].c``.
+
+    Numbers stand in NUMBER, texts and truth values in TEXT, a JSON null has neither; the fields of a null object are null
+    leaves, an empty or null list has none. With ``key``, a field of the record, each leaf carries its value. All is one
+    projection over the rows, whatever their shape.
+    """
+    record = F.from_json("JSON", df.schema)
+    rows = rows_to_json(df).select(record.alias("r"))
+    leaves = [_leaves(F.col("r")[f.name], f.dataType, F.lit(f.name)) for f in df.schema.fields]
+    held = [F.col("r")[key].alias(key)] if key else []
+    return rows.select(*held, F.inline(F.concat(*leaves)))

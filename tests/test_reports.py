@@ -179,3 +179,14 @@ def test_config_weights_add_up():
     assert sum(w for _, w, _ in cfg.RUN_RISK_COMPONENTS) == pytest.approx(0.78)
     for parts in (cfg.PRESSURE_COMPONENTS, cfg.MISMATCH_COMPONENTS, cfg.BUFFER_COMPONENTS, cfg.COMPOSITE_COMPONENTS):
         assert sum(w for _, w, _ in parts) == pytest.approx(1.0)
+
+
+def test_leaves_of_nested_records(spark):
+    rows = [("r", 1, [("p", [0.5, None]), ("q", [])], (float("nan"), True)), ("e", None, [], None), ("z", 2, None, (2.0, None))]
+    df = spark.createDataFrame(rows, "id string, n int, a array<struct<k:string,w:array<double>>>, s struct<x:double,b:boolean>")
+    got = sorted((tuple(r) for r in publish.record_leaves(df, "id").collect()), key=str)
+    assert got == sorted([
+        ("r", "id", "r", None), ("r", "n", None, 1.0), ("r", "a[0].k", "p", None), ("r", "a[0].w[0]", None, 0.5), ("r", "a[0].w[1]", None, None),
+        ("r", "a[1].k", "q", None), ("r", "s.x", None, None), ("r", "s.b", "true", None),
+        ("e", "id", "e", None), ("e", "n", None, None), ("e", "s.x", None, None), ("e", "s.b", None, None),
+        ("z", "id", "z", None), ("z", "n", None, 2.0), ("z", "s.x", None, 2.0), ("z", "s.b", None, None)], key=str)
