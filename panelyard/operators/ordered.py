@@ -144,37 +144,49 @@ class Rank:
         return rank * F.lit(self.scale) if self.scale != 1.0 else rank
 
 
-def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Sequence[str], slices: int | None = None) -> DataFrame:
+def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Sequence[str], slices: int | None = None,
+              entity: bool = False) -> DataFrame:
     """Rank columns inside groups of any size; ``keys`` identify a row.
 
     Only keys, groups and values are written and ranked, as narrow rows; all ranks of a row come back in one row that is
     joined once. ``df`` is read for the narrow rows and for the result, so its keys must be the same each time (write it
     first if they are generated).
+
+    ``entity``: the first key is an entity with a bounded history, never NULL. Its ranks come back as one map from the
+    other keys, joined on the entity alone: a wide frame that lies by entity for its history windows stays where it is.
     """
     by, keys = list(by), list(keys)
     for name in {r.value for r in ranks} - set(df.columns):
         df = df.withColumn(name, F.lit(None).cast("double"))
     names = list(dict.fromkeys(r.value for r in ranks))
-    back = _places(df, by, names, keys, slices)
-    back = back.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                       *[f"__r{i}" for i in range(len(names))])
-    matched = df.join(back, [df[k].eqNullSafe(back[f"__k{i}"]) for i, k in enumerate(keys)], "left")
-    out = {}
-    for r in ranks:
+    back = _places(df, by, names, keys, slices, entity)
+    absent = [F.lit(r.fill * r.scale if r.fill is not None else None) for r in ranks]
+    found = []
+    for i, r in enumerate(ranks):
         place = F.col(f"__r{names.index(r.value)}")
         rank = r.of(place["below"], place["ties"], place["total"])
-        absent = F.lit(r.fill * r.scale if r.fill is not None else None)
-        out[r.out] = F.when(place.isNotNull(), rank).otherwise(absent)
-    return matched.withColumns(out).drop(*[f"__k{i}" for i in range(len(keys))],
-                                         *[f"__r{i}" for i in range(len(names))])
-
-
-def _places(df: DataFrame, by: list[str], names: list[str], keys: list[str], slices: int | None) -> DataFrame:
+        found.append(F.when(place.isNotNull(), rank).otherwise(absent[i]).alias(f"__r{i}"))
+    if entity:
+        first, *rest = keys
+        held = F.struct(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(rest)]).alias("key"), F.struct(*found).alias("value"))
+        # written, as a wide frame is read again for the ranks of later stages
+        back = cut_lineage(back.groupBy(F.col(first).alias("__k0")).agg(F.map_from_entries(F.collect_list(held)).alias("__held")))
+        own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(rest)])
+        matched = df.join(back, df[first] == back["__k0"], "left").withColumn("__back", F.element_at("__held", own))
+    else:
+        back = back.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*found).alias("__back"))
+        matched = df.join(back, [df[k].eqNullSafe(back[f"__k{i}"]) for i, k in enumerate(keys)], "left")
+    out = {r.out: F.when(F.col("__back").isNotNull(), F.col("__back")[f"__r{i}"]).otherwise(absent[i]) for i, r in enumerate(ranks)}
+    return matched.withColumns(out).drop(*[f"__k{i}" for i in range(len(keys))], "__held", "__back")
+
+
+def _places(df: DataFrame, by: list[str], names: list[str], keys: list[str], slices: int | None, entity: bool = False) -> DataFrame:
     """One row per ``keys``: ``__r<i>`` tells how many values lie below the i-th name's value, equal it, and are in all.
 
     Rows are range-partitioned by group, value and key, so equal values may fill many slices and no value makes a slice
     larger. Windows run inside slices; only the first and last value of a slice can go on in another one, and their
-    counts are put together over the ends of all slices (two rows per slice).
+    counts are put together over the ends of all slices (two rows per slice). Rows are dealt to as many tasks as there are
+    slices: by bytes alone, compressed ones, a task would hold many times more of larger inputs.
     """
     groups = [*by, "__metric"]
     rows = stack_values(df, list(dict.fromkeys([*keys, *by])), names).withColumn("__value", F.col("__value") + F.lit(0.0))
@@ -186,12 +198,15 @@ def _places(df: DataFrame, by: list[str], names: list[str], keys: list[str], sli
     sliced = cut_lineage(rows.repartitionByRange(n, *order).withColumn("__slice", F.spark_partition_id()))
     part = [*groups, "__slice"]
     values = Window.partitionBy(*part).orderBy("__value")
-    placed = sliced.withColumns({
+    placed = sliced.repartition(n, *part).withColumns({
         "__low": (F.rank().over(values) - 1).cast("long"),
         "__ties": F.count(F.lit(1)).over(values.rangeBetween(Window.currentRow, Window.currentRow))})
-    sizes = sliced.groupBy(*part, "__value").agg(F.count(F.lit(1)).alias(COUNT)).groupBy(*part).agg(
-        F.sum(COUNT).alias("__rows"), F.min("__value").alias("__first"), F.max("__value").alias("__last"),
-        F.min_by(COUNT, "__value").alias("__firsts"), F.max_by(COUNT, "__value").alias("__lasts"))
+    # both scans leave one row per slice and task; the bounds, one row per slice, are sent to every task
+    bounds = sliced.groupBy(*part).agg(F.min("__value").alias("__first"), F.max("__value").alias("__last"))
+    sizes = sliced.join(F.broadcast(bounds), part).groupBy(*part).agg(
+        F.count(F.lit(1)).alias("__rows"), F.max("__first").alias("__first"), F.max("__last").alias("__last"),
+        F.count(F.when(F.col("__value") == F.col("__first"), 1)).alias("__firsts"),
+        F.count(F.when(F.col("__value") == F.col("__last"), 1)).alias("__lasts"))
     group = Window.partitionBy(*groups)
     earlier = group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumns({"__before": F.coalesce(F.sum("__rows").over(earlier), F.lit(0)),
@@ -212,6 +227,8 @@ def _places(df: DataFrame, by: list[str], names: list[str], keys: list[str], sli
     ranked = placed.join(ends, part).select(
         *dict.fromkeys([*keys, "__metric"]), whole("below", F.col("__before") + F.col("__low")).alias("below"),
         whole("ties", F.col("__ties")).alias("ties"), "total")
+    # the rows of an entity meet in one task, where they are joined; others are dealt to as many tasks as slices
+    ranked = ranked.repartition(keys[0]) if entity else ranked.repartition(n, *keys)
     return ranked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("__metric") == name, F.struct("below", "ties", "total"))).alias(f"__r{i}")
         for i, name in enumerate(names)])

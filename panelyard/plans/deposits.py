@@ -76,14 +76,14 @@ def rank_score(df: DataFrame, components: Sequence[tuple[str, float, str]], scor
                fill: float = 0.5, by: Sequence[str] = ("REPDTE",), keys: Sequence[str] = SCORE_KEYS) -> DataFrame:
     """100 x weighted mean of percentile ranks, with ``RANK_<column>`` kept per component.
 
-    Components with a weight of zero or less are left out; an absent column ranks as ``fill``.
+    Components with a weight of zero or less are left out; an absent column ranks as ``fill``. Entities are known.
     """
     used = [(name, weight) for name, weight, _ in components if weight > 0]
     if not used:
         return df.withColumns({score: F.lit(None).cast("double"), complement: F.lit(None).cast("double")})
     ranks = [Rank(name, f"RANK_{name}", fill=fill) for name, _ in used]
     have = df.columns
-    df = add_ranks(df, by, ranks, keys).select(*have, *[r.out for r in ranks])
+    df = add_ranks(df, by, ranks, keys, entity=True).select(*have, *[r.out for r in ranks])
     weight_sum = sum(weight for _, weight in used)
     weighted = nz_weighted({f"RANK_{name}": weight for name, weight in used})
     df = df.withColumn(score, F.expr(f"({weighted}) / {double(weight_sum)} * 100D"))

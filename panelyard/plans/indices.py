@@ -63,14 +63,14 @@ def weighted_index(df: DataFrame, components, index: str, by: Sequence[str] = GR
 
 
 def fragility_indices(df: DataFrame, bands=cfg.SIZE_BANDS, weighted=None) -> DataFrame:
-    """All indices from one pass of ranks inside (quarter, peer group)."""
+    """All indices from one pass of ranks inside (quarter, peer group). Entities are known."""
     weighted = weighted or WEIGHTED_INDICES
     df = with_peer_group(df, bands)
     parts = {index: _usable(df, components) for index, components in weighted.items()}
     plain = {source: names for source, names in PLAIN_INDICES.items() if source in df.columns}
     sources = list(dict.fromkeys([*plain, *[name for usable in parts.values() for name, _ in usable]]))
     ranks = [Rank(name, f"__p_{name}", scale=100.0, fill=0.5) for name in sources]
-    df = add_ranks(df, GROUP, ranks, KEYS) if ranks else df
+    df = add_ranks(df, GROUP, ranks, KEYS, entity=True) if ranks else df
     simple = {}
     for source, (index, inverse) in PLAIN_INDICES.items():
         value = f"__p_{source}" if source in plain else "CAST(NULL AS DOUBLE)"

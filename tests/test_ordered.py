@@ -129,3 +129,18 @@ def test_rank_slices_hold_a_hot_value_in_parts(spark, monkeypatch):
 def test_ranks_of_no_rows(spark):
     df = spark.createDataFrame([], "id long, g string, v double")
     assert add_ranks(df, ["g"], [Rank("v", "pct")], ["id"]).count() == 0
+
+
+def test_ranks_by_entity_leave_a_frame_in_place(frame):
+    """Ranks joined on the entity equal those joined on all keys, and the frame is not dealt out by the date as well."""
+    days = [f"20{y:02d}-{m}" for y in range(4) for m in ("03-31", "06-30")]
+    rows = [(str(i % 7), day, float((i * 5) % 4) if i % 6 else None) for i in range(21) for day in days]
+    rows = list({(c, d): (c, d, v) for c, d, v in rows}.values())
+    df = frame("CERT string, REPDTE date, v double", rows)
+    ranks = [Rank("v", "pct", fill=0.5, scale=100.0), Rank("v", "place", "competition"), Rank("none", "gone", fill=0.25)]
+    keys = ["CERT", "REPDTE"]
+    plain = {(r["CERT"], r["REPDTE"]): r for r in add_ranks(df, ["REPDTE"], ranks, keys, slices=5).collect()}
+    got = add_ranks(df.repartition("CERT"), ["REPDTE"], ranks, keys, slices=5, entity=True)
+    assert {(r["CERT"], r["REPDTE"]): r for r in got.collect()} == plain
+    assert "hashpartitioning(CERT" in (text := got._jdf.queryExecution().executedPlan().toString())
+    assert "hashpartitioning(coalesce(CERT" not in text and "REPDTE" not in "".join(x for x in text.splitlines() if "hashpartitioning" in x)
