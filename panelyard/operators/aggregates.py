@@ -94,15 +94,15 @@ def geo_concentration(sod: DataFrame) -> DataFrame:
 
 
 def sod_features(sod: DataFrame, digits: int = 6) -> DataFrame:
-    """All branch features per entity and year from one scan and two shuffles.
+    """All branch features per entity and year from one scan and one shuffle.
 
-    Branch rows are combined to (entity, year, state, county, branch) first. One
-    explode then makes a row per role, so states, counties and branches share the
-    second and third aggregate instead of three scans and two joins.
+    The branches of an entity and year (some thousands at most) meet in one task and are combined to (entity, year,
+    state, county, branch) there. One explode then makes a row per role, so states, counties and branches share the
+    second and third aggregate, and the rows that it makes are not sent on.
     """
-    rows = normalise_branches(sod)
-    roles = [r for r in ("STATE", "COUNTY", "BRANCH") if r in rows.columns]
     entity = ["CERT", "SOD_YEAR"]
+    rows = normalise_branches(sod).repartition(*entity)
+    roles = [r for r in ("STATE", "COUNTY", "BRANCH") if r in rows.columns]
     fine = rows.groupBy(*entity, *roles).agg(F.sum("DEP_AMT").alias("__a"))
     marks = [F.struct(F.lit(r).alias("role"), F.col(r).cast("string").alias("part")) for r in roles]
     marks.append(F.struct(F.lit("ALL").alias("role"), F.lit(None).cast("string").alias("part")))
