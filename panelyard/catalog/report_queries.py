@@ -364,10 +364,10 @@ FRAGMENTS["v_run_full"] = (
 
 
 def full_run(f):
-    """From the staged tables to the index table, written once: it is read for the records and their peers."""
+    """From the staged tables to the index table."""
     staged = cut_lineage(staged_panel(f, SCHEDULES_FROM, HEDGES_FROM, equity=True))  # ranks and rates read it several times
     df = treasury.treasury_features(stage_mismatch(f, staged), f.yields, check=False)
-    return cut_lineage(indices.indices_frame(competition.competition_features(df, f.rates), bands=BANDS))
+    return indices.indices_frame(competition.competition_features(df, f.rates), bands=BANDS)
 
 
 @query("full_run_indices", "CERT REPDTE:d NAMEFULL STALP PEER_GROUP INDEX_VERSION UNHEDGED_DURATION_FLAG:i HAS_SOD_FEATURES:i HAS_FFIEC_FEATURES:i "
@@ -388,6 +388,7 @@ def full_run_indices(f):
        "JOIN v_breakdown b ON i.CERT = b.CERT AND i.REPDTE = b.REPDTE")
 def full_run_records(f):
     """The published records of that run, their nested arrays compared entry by entry."""
-    rows = publish.league_rows(full_run(f), f.failures)
+    # read for the records and their peers, so what they show is written once
+    rows = publish.league_rows(cut_lineage(publish.record_columns(full_run(f))), f.failures)
     return _entries(rows, ["cert", "repdte", "name", "peer_group", "peer_group_bank_count", "funding_fragility", "index_version",
                            "failed", "fail_date"])

@@ -117,6 +117,16 @@ def failure_flags(df: DataFrame, failures: DataFrame, key: str = "CERT") -> Data
     return joined.withColumn("failed", F.col("fail_date").isNotNull())
 
 
+def record_columns(mart: DataFrame) -> DataFrame:
+    """The columns of ``mart`` that ``league_rows`` reads."""
+    parts = [f"RANK_{name}" for name, _, _ in (*cfg.RUN_RISK_COMPONENTS, *cfg.PRESSURE_COMPONENTS)]
+    parts += [f"ALM_MISMATCH_INDEX_CONTRIB_{name}" for name, _, _ in cfg.MISMATCH_COMPONENTS]
+    parts += [f"TREASURY_BUFFER_INDEX_CONTRIB_{name}" for name, _, _ in cfg.BUFFER_COMPONENTS]
+    named = ["CERT", "REPDTE", "NAMEFULL", "PEER_GROUP", "DEPDOM_EFFECTIVE", "DEPDOM", *LEAGUE_HEAD.values(), *LEAGUE_TAIL.values(), *parts]
+    have = set(mart.columns)
+    return mart.select(*[c for c in dict.fromkeys(named) if c in have])
+
+
 def league_rows(mart: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """The published record of each entity: its latest row, explained and flagged.
 
