@@ -13,6 +13,7 @@ from panelyard.operators import hierarchy, joins, names
 from panelyard.operators.aggregates import sod_features
 from panelyard.plans import backtest, panel, publish
 from panelyard.plans.repricing import OVERLAY_CODES, REPRICING_CODES, pivot_codes
+from panelyard.session import cut_lineage
 from panelyard.sources.schedules import crosswalk
 
 
@@ -151,7 +152,7 @@ MATCH_SPEC = "CERT SEC_CIK SEC_TICKER SEC_TITLE SEC_MATCH_TYPE"
 
 
 def _named(f):
-    return f.named_institutions.withColumn("INST_NAME_NORM", normalize_name("NAME"))
+    return names.dealt(f.named_institutions).withColumn("INST_NAME_NORM", normalize_name("NAME"))
 
 
 @query("exact_name_match", MATCH_SPEC, "v_exact")
@@ -161,7 +162,7 @@ def exact_name_match(f):
 
 @query("token_overlap_match", MATCH_SPEC, "v_fuzzy")
 def token_overlap_match(f):
-    lookup = names.registry_lookup(f.registry)
+    lookup = cut_lineage(names.registry_lookup(f.registry))
     return names.token_overlap_match(names.exact_name_match(_named(f), lookup), lookup)
 
 
@@ -184,7 +185,7 @@ def token_overlap_long(f):
     registry = part.select(F.col("p_partkey").alias("SEQ"), (F.col("p_partkey") + 1000000).alias("CIK_STR"),
                            F.concat(F.lit("T"), F.col("p_partkey").cast("string")).alias("TICKER"),
                            F.concat_ws(" ", F.lit(_LONG_TAIL), "p_type", "p_brand", F.expr(_LONG_CODES), "p_name", end).alias("TITLE"))
-    asked = part.select(F.col("p_partkey").cast("string").alias("CERT"),
+    asked = names.dealt(part).select(F.col("p_partkey").cast("string").alias("CERT"),
                         normalize_name(F.concat_ws(" ", "p_brand", "p_name", "p_type", F.expr(_LONG_CODES), F.lit(_LONG_TAIL))).alias("INST_NAME_NORM"),
                         *[F.lit(None).cast("long" if c == "SEC_CIK" else "string").alias(c) for c in names.MATCH_COLUMNS])
     return names.token_overlap_match(asked, names.registry_lookup(registry))

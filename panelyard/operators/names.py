@@ -21,8 +21,15 @@ SPLIT_ROWS = 64
 MATCH_COLUMNS = ["SEC_CIK", "SEC_TICKER", "SEC_TITLE", "SEC_MATCH_TYPE"]
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt to all tasks: normalising costs much a row, and a file of some million names is one or two splits."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def registry_lookup(registry: DataFrame, seq: str = "SEQ") -> DataFrame:
     """Registry rows with their normalised name; ``seq`` is the row order that breaks ties."""
+    registry = dealt(registry)
     cik = "CIK_STR" if "CIK_STR" in registry.columns else "CIK"
     return registry.select(
         F.col(seq).alias("__seq"), F.col(cik).alias("SEC_CIK"), F.col("TICKER").alias("SEC_TICKER"),
@@ -74,7 +81,7 @@ def _extended(rows: DataFrame, k: int) -> DataFrame:
 def _best(found: DataFrame) -> DataFrame:
     """Highest score per set, ties to the earliest registry row."""
     return found.groupBy("words").agg(F.min(F.struct((-F.col("score")).alias("s"), "hit")).alias("b")).select(
-        F.sort_array("words").alias("words"), (-F.col("b.s")).alias("score"), F.col("b.hit").alias("hit"))
+        "words", (-F.col("b.s")).alias("score"), F.col("b.hit").alias("hit"))
 
 
 def token_overlap(asked: DataFrame, registered: DataFrame) -> DataFrame:
@@ -92,27 +99,30 @@ def token_overlap(asked: DataFrame, registered: DataFrame) -> DataFrame:
     goes on for as many rounds as the longest key that many sets share has words.
     """
     enough = F.size("words") >= MIN_OVERLAP
-    registered = registered.filter(enough)
+    registered = cut_lineage(registered.filter(enough))  # names are normalised once
     frequency = registered.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     a = cut_lineage(_extended(_extended(_by_rarity(asked.filter(enough).select("words"), frequency), 1), 2))
     b = cut_lineage(_extended(_extended(_by_rarity(registered, frequency), 1), 2))
     found, k = None, 2
     while True:
+        # joins by merging: written sets are compressed many times over, so by their size the planner would send them
+        # through the driver, those of all rounds at once
         hot = cut_lineage(b.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT_ROWS).select("key"))
-        other = b.join(hot, "key", "left_anti").select(
+        other = b.join(hot.hint("merge"), "key", "left_anti").select(
             "key", "hit", F.col("words").alias("other"), F.col("size").alias("n"), F.col("need").alias("need_n"), F.col("last").alias("last_n"))
         behind = F.least(F.col("size") - F.col("last"), F.col("n") - F.col("last_n")) - 1
         near = (F.least("size", "n") >= F.greatest("size", "n") * MIN_SCORE) & (behind + k >= F.greatest("need", "need_n"))
         overlap = F.size(F.array_intersect("words", "other"))
-        verified = a.join(other, "key").filter(near).select(
+        verified = a.join(other.hint("merge"), "key").filter(near).select(
             "words", overlap.alias("o"), (overlap / F.greatest("size", "n")).alias("score"), "hit")
-        verified = verified.filter((F.col("o") >= MIN_OVERLAP) & (F.col("score") >= MIN_SCORE)).select("words", "score", "hit")
+        verified = _best(verified.filter((F.col("o") >= MIN_OVERLAP) & (F.col("score") >= MIN_SCORE)).select("words", "score", "hit"))
+        verified = cut_lineage(verified)  # a round is run by itself: the plan of the result does not hold all of them
         found = verified if found is None else found.unionByName(verified)
         if hot.isEmpty():
-            return _best(found)
-        a, b = (cut_lineage(side.join(hot, "key", "left_semi")) for side in (a, b))
+            return _best(found).withColumn("words", F.sort_array("words"))
+        a, b = (cut_lineage(side.join(hot.hint("merge"), "key", "left_semi")) for side in (a, b))
         first = b.filter(F.col("need") <= k).groupBy("key", F.col("size").alias("n")).agg(F.min("hit").alias("hit"))
-        whole = a.filter(F.col("need") <= k).join(first, "key").select(
+        whole = a.filter(F.col("need") <= k).join(first.hint("merge"), "key").select(
             "words", (F.lit(k) / F.greatest("size", "n")).alias("score"), "hit").filter(F.col("score") >= MIN_SCORE)
         found, k = found.unionByName(whole), k + 1
         a, b = (cut_lineage(_extended(side, k)) for side in (a, b))
@@ -120,12 +130,12 @@ def token_overlap(asked: DataFrame, registered: DataFrame) -> DataFrame:
 
 def token_overlap_match(names: DataFrame, lookup: DataFrame, norm: str = "INST_NAME_NORM") -> DataFrame:
     """Fill rows that have no match yet by word overlap."""
-    words = names.withColumn("words", _words(norm))
+    words = cut_lineage(names.withColumn("words", _words(norm)))  # names are normalised once, for the search and the result
     open_names = words.filter(F.col("SEC_MATCH_TYPE").isNull()).select("words").distinct()
     registered = lookup.select(_words("__norm").alias("words"), F.struct(
         "__seq", "SEC_CIK", "SEC_TICKER", "SEC_TITLE").alias("hit")).groupBy("words").agg(F.min("hit").alias("hit"))
     best = token_overlap(open_names, registered).withColumnRenamed("words", "__w")
-    joined = words.join(best, (words["words"] == best["__w"]) & words["SEC_MATCH_TYPE"].isNull(), "left")
+    joined = words.join(best.hint("merge"), (words["words"] == best["__w"]) & words["SEC_MATCH_TYPE"].isNull(), "left")
     kind = F.concat(F.lit("fuzzy_"), F.format_string("%.2f", F.bround("score", 2)))
     return joined.withColumns({
         "SEC_CIK": F.coalesce("SEC_CIK", "hit.SEC_CIK"), "SEC_TICKER": F.coalesce("SEC_TICKER", "hit.SEC_TICKER"),
@@ -156,8 +166,8 @@ def sec_mapping(institutions: DataFrame, registry: DataFrame, overrides: DataFra
                 keep: Sequence[str] = ("FED_RSSD", "RSSDID", "RSSDHCR", "NAME", "NAMEFULL")) -> DataFrame:
     """Entity to registrant: holder name, exact match, word overlap, overrides."""
     name = "NAME" if "NAME" in institutions.columns else "NAMEFULL"
-    lookup = registry_lookup(registry, seq)
-    inst = institutions.withColumn("INST_NAME_NORM", normalize_name(name))
+    lookup = cut_lineage(registry_lookup(registry, seq))  # read for equal names and for word sets
+    inst = dealt(institutions).withColumn("INST_NAME_NORM", normalize_name(name))
     on = present_columns(inst, ["FED_RSSD", "RSSDID"])
     if holders is not None and on:
         inst = holder_name_preference(inst, holders, on[0])

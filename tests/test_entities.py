@@ -138,3 +138,15 @@ def test_links(frame):
     got = [tuple(r) for r in X.link_extract(pages, (".zip", ".csv")).orderBy("POSITION").collect()]
     assert got == [(1, 0, "One file", "https://h.org/a.zip"), (1, 1, "b.CSV", "https://h.org/d/b.CSV")]
     assert X.link_extract(pages, match=["one", "zip"]).count() == 1
+
+
+def test_overlap_sends_no_sets_through_the_driver(frame, spark):
+    """Word sets of all rounds are joined by merging, whatever their written size, and a name is normalised in many tasks."""
+    registry = frame(REG, [(i, i, "T", f"alpha beta{i % 9} gamma") for i in range(30)])
+    inst = frame(INST, [(str(i), i, f"alpha beta{i} delta gamma") for i in range(12)]).withColumn("INST_NAME_NORM", F.col("NAME"))
+    lookup = names.registry_lookup(registry)
+    assert lookup.rdd.getNumPartitions() > 1
+    open_names = inst.withColumns({c: F.lit(None).cast("long" if c == "SEC_CIK" else "string") for c in names.MATCH_COLUMNS})
+    got = names.token_overlap_match(open_names, lookup)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["CERT"] for r in got.collect() if r["SEC_MATCH_TYPE"] == "fuzzy_0.75"} == {str(i) for i in range(9)}
