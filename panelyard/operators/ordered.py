@@ -159,7 +159,7 @@ def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Seq
     for name in {r.value for r in ranks} - set(df.columns):
         df = df.withColumn(name, F.lit(None).cast("double"))
     names = list(dict.fromkeys(r.value for r in ranks))
-    back = _places(df, by, names, keys, slices, entity)
+    back, n = _places(df, by, names, keys, slices, entity)
     absent = [F.lit(r.fill * r.scale if r.fill is not None else None) for r in ranks]
     found = []
     for i, r in enumerate(ranks):
@@ -168,20 +168,25 @@ def add_ranks(df: DataFrame, by: Sequence[str], ranks: Sequence[Rank], keys: Seq
         found.append(F.when(place.isNotNull(), rank).otherwise(absent[i]).alias(f"__r{i}"))
     if entity:
         first, *rest = keys
-        held = F.struct(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(rest)]).alias("key"), F.struct(*found).alias("value"))
+        held = F.struct(_row(rest).alias("key"), F.struct(*found).alias("value"))
         # written, as a wide frame is read again for the ranks of later stages
         back = cut_lineage(back.groupBy(F.col(first).alias("__k0")).agg(F.map_from_entries(F.collect_list(held)).alias("__held")))
-        own = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(rest)])
-        matched = df.join(back, df[first] == back["__k0"], "left").withColumn("__back", F.element_at("__held", own))
+        matched = df.join(back, df[first] == back["__k0"], "left").withColumn("__back", F.element_at("__held", _row(rest)))
     else:
-        back = back.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.struct(*found).alias("__back"))
-        matched = df.join(back, [df[k].eqNullSafe(back[f"__k{i}"]) for i, k in enumerate(keys)], "left")
+        # a record of the keys is equal where they are, NULL or not; both sides lie by it in as many tasks as slices
+        back = back.select("__row", F.struct(*found).alias("__back"))
+        matched = df.withColumn("__row", _row(keys)).repartition(n, "__row").join(back, "__row", "left")
     out = {r.out: F.when(F.col("__back").isNotNull(), F.col("__back")[f"__r{i}"]).otherwise(absent[i]) for i, r in enumerate(ranks)}
-    return matched.withColumns(out).drop(*[f"__k{i}" for i in range(len(keys))], "__held", "__back")
+    return matched.withColumns(out).drop("__k0", "__row", "__held", "__back")
 
 
-def _places(df: DataFrame, by: list[str], names: list[str], keys: list[str], slices: int | None, entity: bool = False) -> DataFrame:
-    """One row per ``keys``: ``__r<i>`` tells how many values lie below the i-th name's value, equal it, and are in all.
+def _row(keys: Sequence[str]) -> Column:
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+
+
+def _places(df: DataFrame, by: list[str], names: list[str], keys: list[str], slices: int | None, entity: bool = False) -> tuple[DataFrame, int]:
+    """One row per ``keys`` (without ``entity`` as one record ``__row``), and the number of slices: ``__r<i>`` tells how many
+    values lie below the i-th name's value, equal it, and are in all.
 
     Rows are range-partitioned by group, value and key, so equal values may fill many slices and no value makes a slice
     larger. Windows run inside slices; only the first and last value of a slice can go on in another one, and their
@@ -228,10 +233,13 @@ def _places(df: DataFrame, by: list[str], names: list[str], keys: list[str], sli
         *dict.fromkeys([*keys, "__metric"]), whole("below", F.col("__before") + F.col("__low")).alias("below"),
         whole("ties", F.col("__ties")).alias("ties"), "total")
     # the rows of an entity meet in one task, where they are joined; others are dealt to as many tasks as slices
-    ranked = ranked.repartition(keys[0]) if entity else ranked.repartition(n, *keys)
-    return ranked.groupBy(*keys).agg(*[
+    if entity:
+        ranked, row = ranked.repartition(keys[0]), keys
+    else:
+        ranked, row = ranked.withColumn("__row", _row(keys)).drop(*keys).repartition(n, "__row"), ["__row"]
+    return ranked.groupBy(*row).agg(*[
         F.max(F.when(F.col("__metric") == name, F.struct("below", "ties", "total"))).alias(f"__r{i}")
-        for i, name in enumerate(names)])
+        for i, name in enumerate(names)]), n
 
 
 def _at(position: Column, below: str, count: str, value: Column) -> Column:

@@ -144,3 +144,14 @@ def test_ranks_by_entity_leave_a_frame_in_place(frame):
     assert {(r["CERT"], r["REPDTE"]): r for r in got.collect()} == plain
     assert "hashpartitioning(CERT" in (text := got._jdf.queryExecution().executedPlan().toString())
     assert "hashpartitioning(coalesce(CERT" not in text and "REPDTE" not in "".join(x for x in text.splitlines() if "hashpartitioning" in x)
+
+
+def test_ranks_are_dealt_to_as_many_tasks_as_slices(frame):
+    """Few bytes of many rows are not put into one task; NULL keys meet, and of a key that comes again the highest place counts."""
+    df = frame("id int, g string, v double", [*[(i, "a", float(i % 5)) for i in range(40)], (None, "a", 9.0), (7, "a", 8.0)])
+    got = add_ranks(df, ["g"], [Rank("v", "place", "ascending")], ["id"], slices=9)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.count("hashpartitioning(__row") == 2 and "hashpartitioning(__row#" in text and "coalesce(id" not in text
+    rows = got.collect()
+    assert len(rows) == 42 and {r["place"] for r in rows if r["id"] is None} == {42}
+    assert [r["place"] for r in rows if r["id"] == 7] == [41, 41]
