@@ -97,6 +97,26 @@ def test_schedules(spark, tmp_path):
     assert [(r["IDRSSD"], r["RCFD3450"]) for r in swaps] == [(10, 50.0)]
 
 
+def test_schedule_lines_stay_single_rows(spark, tmp_path):
+    """The wide way gives the rows of the long one; a line is one row of what is written, whatever the number of codes."""
+    codes = [f"RCON{i:04d}" for i in range(12)]
+    for day, third in (("06302023", "3"), ("20230930", "bad")):
+        write_zip(tmp_path / f"Call Bulk {day}.zip", {
+            "Schedule B(2 of 2).txt": [["IDRSSD", *codes[5:], codes[6]], ["", *["x"] * 8], ["10", *"1234567", "0.5"], ["10", *"9" * 7, "8"],
+                                       ["", *"1111111", "1"], ["11", "", third]],
+            "Schedule B(1 of 2).txt": [["OTHER", "IDRSSD", *codes[:6]], ["", "", *["x"] * 6], ["a", '"10"', *"123456"], ["a", "12", *"nan 1"]],
+            "Schedule A.txt": [["IDRSSD", codes[11]]],
+            "Schedule C.txt": [["IDRSSD", codes[0]], ["", "x"], ["13", "7"]],
+        })
+    patterns = ["Schedule C", "Schedule A", "Schedule B"]
+    lines = schedules.archive_lines(spark, str(tmp_path), patterns)
+    long = schedules.schedule_table(schedules.schedule_facts(schedules.schedule_cells(lines, codes), codes, patterns), codes)
+    found = schedules.read_schedules(spark, str(tmp_path), patterns, codes)
+    assert found.columns == long.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, long.collect()))
+    assert schedules.schedule_rows(lines, codes, patterns).count() == 2 * (4 + 2 + 1)
+
+
 def test_code_map():
     assert schedules.collect_codes({"a": {"x": "RCON1234", "y": "short"}, "b": "RCFD9999", "c": {"x": "RCON1234"}, "d": 5}) == [
         "RCON1234", "RCFD9999"]
