@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import id_and_text, per_text, ranges, raw, slices
+from panelyard.llm.common import id_and_text, per_text, ranges, raw, release, slices
 from panelyard.session import cut_lineage
 
 LIMIT, EVERY = 16, 64
@@ -46,7 +46,7 @@ class Kept:
 
     def clear(self):
         self.place, self.used, self.held = {}, 0, 0
-        self.begin, self.sizes, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint32)
+        self.begin, self.sizes, self.ids = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1, np.uint32)
 
     def add(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray):
         n, k = len(self.place), len(words)
@@ -63,10 +63,11 @@ class Kept:
     def room(values: np.ndarray, size: int) -> np.ndarray:
         if size <= len(values):
             return values
-        return np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)])
+        return np.concatenate([values, np.zeros(max(size, len(values) + len(values) // 4) - len(values), values.dtype)])
 
 
 _KEPT: dict[str, Kept] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
@@ -160,6 +161,15 @@ class Encoder:
         return [np.concatenate([ids[i:j], end]) for i, j in zip(upto[:-1], upto[1:], strict=True)]
 
 
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for each worker: reading a vocabulary twice over takes as long as a megabyte of text, and its parts' memory."""
+    if (path, end_id) not in _ENCODERS:
+        release()  # what tasks of other jobs left
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+        release()
+    return _ENCODERS[path, end_id]
+
+
 def vocabulary(path: str, end_id: int) -> int:
     from tokenizers import Tokenizer
 
@@ -171,7 +181,7 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     kind = "<u2" if vocabulary(path, end_id) <= 1 << 16 else "<u4"
 
     def make():
-        encode = Encoder(path, end_id)
+        encode = encoder(path, end_id)
 
         def work(part, texts):
             ids = [x.astype(kind) for x in encode(texts)]

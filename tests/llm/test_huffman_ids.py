@@ -86,3 +86,19 @@ def test_empty_table_and_other_vocabulary(spark, documents):
     tokenizer = Tokenizer.from_file(name)
     assert {r.doc_id: list(r.ids) for r in H.read_ids(spark, path).collect()} == {
         i: [*tokenizer.encode(t).ids, 50256] for i, t in ((1, "Two  Words"), (2, "x"))}
+
+
+def test_a_worker_reads_a_vocabulary_once(monkeypatch):
+    monkeypatch.setattr(H, "_ENCODERS", {})
+    made = []
+    monkeypatch.setattr(H, "Encoder", lambda *given: made.append(given) or object())
+    assert H.encoder("a", 2) is H.encoder("a", 2) and H.encoder("a", 3) is not H.encoder("a", 2)
+    assert made == [("a", 2), ("a", 3)]
+
+
+def test_kept_places_grow_by_a_quarter():
+    kept = H.Kept()
+    for i in range(100):
+        kept.add([b"%d" % i], np.array([3]), np.arange(3 * i, 3 * i + 3))
+    assert len(kept.ids) <= 1.3 * 300 and kept.begin.dtype == kept.sizes.dtype == np.int32
+    assert kept.begin[:100].tolist() == list(range(0, 300, 3)) and kept.ids[:300].tolist() == list(range(300))
