@@ -16,6 +16,7 @@ An empty table gives an empty file set. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import unicodedata
@@ -119,7 +120,7 @@ class Encoder:
         plain = np.array([c.islower() and c.isalpha() and len(w) <= 2 * len(c) for w, c in zip(new, cores, strict=True)], bool)
         if self.bare is None or not unicodedata.is_normalized("NFC", " ".join(texts)):
             plain[:] = False
-        for at in np.array_split(np.flatnonzero(plain), max(1, plain.sum() // 1000)):
+        for at in np.array_split(np.flatnonzero(plain), max(1, plain.sum() // 250)):
             if len(at):
                 some = at.tolist()
                 spaced = " ".join([f"{cores[i]} {texts[i][-1]}" if signs[i] else texts[i] for i in some])
@@ -152,7 +153,13 @@ class Encoder:
             if len(self.kept.place) + len(new) > CACHED or self.kept.held + sum(map(len, new)) > CACHED_BYTES:
                 self.kept.clear()
                 missing, unknown, new = slice(None), words, set(words)
-            self.learn(list(new))
+            collecting = gc.isenabled()
+            gc.disable()  # many small lists without cycles, beside which each collection walks through all that is held
+            try:
+                self.learn(list(new))
+            finally:
+                if collecting:
+                    gc.enable()
             at[missing] = places(unknown)
         sizes = self.kept.sizes[at]
         ids = self.kept.ids[ranges(self.kept.begin[at], sizes)]

@@ -1,3 +1,4 @@
+import gc
 import heapq
 import zlib
 
@@ -102,3 +103,23 @@ def test_kept_places_grow_by_a_quarter():
         kept.add([b"%d" % i], np.array([3]), np.arange(3 * i, 3 * i + 3))
     assert len(kept.ids) <= 1.3 * 300 and kept.begin.dtype == kept.sizes.dtype == np.int32
     assert kept.begin[:100].tolist() == list(range(0, 300, 3)) and kept.ids[:300].tolist() == list(range(300))
+
+
+def test_new_words_are_learnt_without_collections():
+    """Collections walk through all words of a slice; they are on again afterwards."""
+    encode, seen = H.Encoder(tokenizer_path(), 2), []
+    texts = [" ".join(f"W{i}x{k}" for k in range(100)).encode() for i in range(200)]
+    started = lambda phase, info: seen.append(phase)
+    learn, encode.kept = encode.learn, H.Kept()
+
+    def counted(new):
+        gc.callbacks.append(started)
+        try:
+            learn(new)
+        finally:
+            gc.callbacks.remove(started)
+
+    encode.learn = counted
+    got = encode(texts)
+    assert not seen and gc.isenabled()
+    assert [x.tolist() for x in got[:20]] == [[*encode.tokenizer.encode(t.decode(), add_special_tokens=False).ids, 2] for t in texts[:20]]
