@@ -21,7 +21,7 @@ import json
 import os
 import unicodedata
 import zlib
-from itertools import chain, repeat
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +29,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import id_and_text, per_text, ranges, raw, release, slices
+from panelyard.llm.common import give_back, id_and_text, per_text, ranges, raw, release, slices
 from panelyard.session import cut_lineage
 
 LIMIT, EVERY = 16, 64
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 17, 1 << 22
-#: Distinct stretches that a worker keeps the ids of, and bytes of them.
-CACHED, CACHED_BYTES = 700_000, 16 << 20
+#: Distinct stretches that a worker keeps the ids of (a few more would double the dictionary), and bytes of them.
+CACHED, CACHED_BYTES = 345_000, 8 << 20
+#: Bytes of text encoded at a time, and after how many such parts freed memory is given back.
+AT_ONCE, GIVE_BACK = 1 << 19, 4
 FILE = ("shard int, before bigint, doc_ids array<bigint>, n_tokens array<bigint>, n_bits bigint, bits binary, offsets binary")
 
 
 class Kept:
-    """Stretches already encoded: their number, and their ids one after another."""
+    """Stretches already encoded: their number, their ids one after another, and whether they came again lately."""
 
     def __init__(self):
         self.clear()
@@ -48,11 +50,20 @@ class Kept:
     def clear(self):
         self.place, self.used, self.held = {}, 0, 0
         self.begin, self.sizes, self.ids = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(1, np.uint32)
+        self.again = np.zeros(1, bool)
+
+    def trim(self):
+        """Forgets what did not come again since the last time: most stretches of a text are rare ones."""
+        words, at = list(self.place), np.flatnonzero(self.again[:len(self.place)])
+        sizes = self.sizes[at]
+        ids = self.ids[ranges(self.begin[at], sizes)]
+        self.clear()
+        self.add([words[i] for i in at.tolist()], sizes, ids)
 
     def add(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray):
         n, k = len(self.place), len(words)
         self.begin, self.sizes = self.room(self.begin, n + k), self.room(self.sizes, n + k)
-        self.ids = self.room(self.ids, self.used + len(ids))
+        self.ids, self.again = self.room(self.ids, self.used + len(ids)), self.room(self.again, n + k)
         self.begin[n:n + k] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n:n + k] = sizes
         self.ids[self.used:self.used + len(ids)] = ids
@@ -146,13 +157,19 @@ class Encoder:
         def places(some):
             return np.fromiter(map(self.kept.place.get, some, repeat(-1)), np.int64, len(some))
 
-        at = places(words)
-        if len(missing := np.flatnonzero(at < 0)):
+        def lacking():
+            at = places(words)
+            missing = np.flatnonzero(at < 0)
             unknown = [words[i] for i in missing.tolist()]
-            new = set(unknown)
+            return at, missing, unknown, set(unknown)
+
+        at, missing, unknown, new = lacking()
+        self.kept.again[at[at >= 0]] = True
+        for forget in (self.kept.trim, self.kept.clear):
             if len(self.kept.place) + len(new) > CACHED or self.kept.held + sum(map(len, new)) > CACHED_BYTES:
-                self.kept.clear()
-                missing, unknown, new = slice(None), words, set(words)
+                forget()
+                at, missing, unknown, new = lacking()
+        if new:
             collecting = gc.isenabled()
             gc.disable()  # many small lists without cycles, beside which each collection walks through all that is held
             try:
@@ -188,15 +205,17 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     kind = "<u2" if vocabulary(path, end_id) <= 1 << 16 else "<u4"
 
     def make():
-        encode = encoder(path, end_id)
+        encode, parts = encoder(path, end_id), count(1)
 
         def work(part, texts):
+            if next(parts) % GIVE_BACK == 0:
+                give_back()  # what the parts before left would else add up in each worker
             ids = [x.astype(kind) for x in encode(texts)]
             return {"doc_id": part.column("doc_id"), "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
                     "ids": pa.array([x.tobytes() for x in ids], pa.binary())}
         return work
 
-    return per_text(id_and_text(docs), "doc_id bigint, n_tokens bigint, ids binary", make)
+    return per_text(id_and_text(docs), "doc_id bigint, n_tokens bigint, ids binary", make, limit=AT_ONCE)
 
 
 def id_counts(tokens: DataFrame, size: int) -> DataFrame:

@@ -123,3 +123,19 @@ def test_new_words_are_learnt_without_collections():
     got = encode(texts)
     assert not seen and gc.isenabled()
     assert [x.tolist() for x in got[:20]] == [[*encode.tokenizer.encode(t.decode(), add_special_tokens=False).ids, 2] for t in texts[:20]]
+
+
+def test_recurring_words_outlive_a_full_cache(monkeypatch):
+    """Rare words make room; a word that came again is not learnt anew, and ids stay those of the tokenizer."""
+    monkeypatch.setattr(H, "CACHED", 60)
+    encode = H.Encoder(tokenizer_path(), 2)
+    learn, encode.kept, learnt = encode.learn, H.Kept(), []
+    monkeypatch.setattr(encode, "learn", lambda new: (learnt.extend(new), learn(new)))
+    plain = Tokenizer.from_file(tokenizer_path())
+    for n in range(20):
+        text = "always here, word " + " ".join(f"rare{n}x{i}" for i in range(15))
+        assert encode([text.encode()])[0].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+        assert len(encode.kept.place) <= 60
+    assert learnt.count(b"always") == learnt.count(b"word") == 1
+    many = " ".join(f"many{i}" for i in range(200))
+    assert encode([many.encode()])[0].tolist() == [*plain.encode(many, add_special_tokens=False).ids, 2]
