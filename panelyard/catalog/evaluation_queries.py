@@ -112,10 +112,17 @@ def stress_case_report(f):
     return stress.stress_case_report(stage_treasury(f), QUARTER)
 
 
+def model_panel(f: Frames):
+    """The staged panel written once, with what its stages read for the overlay: the balance sheet and staged features."""
+    staged = staged_panel(f)
+    read = ["CERT", *f.financials.columns, *overlay.FEATURE_SIGNS]
+    return cut_lineage(staged.select(*[c for c in staged.columns if c in read]))
+
+
 def model_table(f: Frames):
     """Labels next to the features of the overlay, written once: every fit reads it."""
     have = [c for c in overlay.FEATURE_SIGNS]
-    staged = stage_mismatch(f, cut_lineage(staged_panel(f)))
+    staged = stage_mismatch(f, model_panel(f))
     df = outflow.outflow_labels(treasury.treasury_features(staged, f.yields, check=False))
     return cut_lineage(df.select("CERT", "REPDTE", "DEPDOM", overlay.LABEL, *[c for c in have if c in df.columns]))
 
@@ -164,7 +171,7 @@ def importances(f):
 @query("supervised_overlay", K + "SUPERVISED_OUTFLOW_SCORE SUPERVISED_RISK_SCORE SUPERVISED_MODEL_TYPE SUPERVISED_LABEL_KIND "
        "SUPERVISED_IMPORTANCE_1 SUPERVISED_COEF_1 SEVERE_RELATIVE_OUTFLOW")
 def supervised_overlay(f):
-    staged = stage_mismatch(f, cut_lineage(staged_panel(f)))
+    staged = stage_mismatch(f, model_panel(f))
     return overlay.supervised_overlay(cut_lineage(treasury.treasury_features(staged, f.yields, check=False)))
 
 

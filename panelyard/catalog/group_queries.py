@@ -36,11 +36,6 @@ def stage_indices(f: Frames):
     return indices.indices_frame(stage_competition(f), bands=BANDS)
 
 
-def written_indices(f: Frames):
-    """The index table written once, for queries that read it several times."""
-    return cut_lineage(stage_indices(f))
-
-
 @query("branch_totals", "CERT SOD_YEAR:i SOD_TOTAL_DEPOSITS:r",
        "SELECT CERT, YEAR AS SOD_YEAR, sum(DEPSUMBR) AS SOD_TOTAL_DEPOSITS FROM v_branch GROUP BY 1, 2")
 def branch_totals(f):

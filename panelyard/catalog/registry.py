@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.catalog.frames import Frames
+from panelyard.session import compiled_methods
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}  # without the fragments they use
@@ -58,6 +59,7 @@ def query(name: str, spec: str | None = None, source: str | None = None, where:
     """
     def register(fn: Callable[[Frames], DataFrame]) -> Callable[[Frames], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            compiled_methods(spark)
             out = fn(Frames(spark, sf_dir))
             return shaped(out, spec) if spec else out
 

@@ -9,7 +9,7 @@ from panelyard.catalog.evaluation_queries import labelled
 from panelyard.catalog.fragments import FRAGMENTS, num
 from panelyard.catalog.feature_queries import staged_panel
 from panelyard.catalog.frames import BANDS, EPISODES, QUARTER
-from panelyard.catalog.group_queries import layers, stage_competition, stage_deposits, stage_indices, stage_mismatch, written_indices
+from panelyard.catalog.group_queries import layers, stage_competition, stage_deposits, stage_indices, stage_mismatch
 from panelyard.catalog.registry import query
 from panelyard.functions.scalars import last_completed_quarter, quarter_distance
 from panelyard.operators.windows import lagged
@@ -20,6 +20,16 @@ BUILT_AT = "2001-12-05T00:00:00Z"
 _DRILL = ["ASSET", *cfg.INDEX_COLUMNS, "UNINSURED_SHARE", "VOLATILE_TO_LIQUID_LOWER", "RUN_RISK_SCORE", "PASS_THROUGH_GAP_BP"]
 
 
+def record_table(f):
+    """What published records read of the index table, written once."""
+    return cut_lineage(publish.record_columns(stage_indices(f)))
+
+
+def manifest_table(f):
+    """What the manifest reads of the index table, written once."""
+    return cut_lineage(publish.manifest_columns(stage_indices(f)))
+
+
 def cols(names, kind: str = "r") -> str:
     return " ".join(f"{n}:{kind}" for n in names)
 
@@ -138,7 +148,7 @@ _SUMMARY = ("cert name peer_group peer_group_bank_count:i assets:r deposits:r un
        _PLAIN)
 def league_rows(f):
     """The published records; their arrays are checked by size and by the sum of all contributions."""
-    rows = publish.league_rows(written_indices(f), f.failures)
+    rows = publish.league_rows(record_table(f), f.failures)
     sizes, sums = F.lit(0), F.lit(0.0)
     for name in publish.COMPONENT_ARRAYS:
         sizes = sizes + F.size(name)
@@ -148,13 +158,13 @@ def league_rows(f):
 
 @query("bank_summary_rows", _SUMMARY, _PLAIN)
 def bank_summary_rows(f):
-    return publish.bank_summary_rows(written_indices(f), f.failures)
+    return publish.bank_summary_rows(record_table(f), f.failures)
 
 
 @query("league_records", "JSON")
 def league_records(f):
     """One JSON record per entity."""
-    return publish.rows_to_json(publish.league_rows(written_indices(f), f.failures))
+    return publish.rows_to_json(publish.league_rows(record_table(f), f.failures))
 
 
 def _leaf(path: str, text: str = "NULL", number: str = "NULL") -> str:
@@ -213,7 +223,7 @@ FRAGMENTS["v_entries"] = (
 @query("league_leaves", "cert PATH TEXT NUMBER:r", "v_league_leaves")
 def league_leaves(f):
     """Every leaf of every published record, read back from its JSON text."""
-    return publish.record_leaves(publish.league_rows(written_indices(f), f.failures), "cert")
+    return publish.record_leaves(publish.league_rows(record_table(f), f.failures), "cert")
 
 
 @query("headline_metric", "SLICE HORIZON_QUARTERS:i SCORE_COL AUC:r RECALL_AT_20PCT:r",
@@ -255,7 +265,7 @@ def source_lag(f):
 
 @query("manifest", "JSON")
 def manifest(f):
-    mart = written_indices(f)
+    mart = manifest_table(f)
     core, enriched = reports.core_enriched_split(mart)
     metrics = backtest.metrics_table(labelled(f, mart), {"full_sample": EPISODES["full_sample"]}, [4])
     return publish.rows_to_json(publish.manifest(mart, BUILT_AT, core, enriched, metrics))
@@ -271,7 +281,7 @@ FRAGMENTS["v_headline"] = "SELECT * FROM v_metrics WHERE SLICE = 'full_sample' A
          "(SELECT *, row_number() OVER (PARTITION BY INDEX_ID ORDER BY SCORE DESC NULLS LAST, CERT) AS RANK FROM v_scores QUALIFY RANK <= 3) "
          "GROUP BY 1) t ON n.INDEX_ID = t.INDEX_ID")
 def manifest_indices(f):
-    mart = written_indices(f)
+    mart = manifest_table(f)
     metrics = backtest.metrics_table(labelled(f, mart), {"full_sample": EPISODES["full_sample"]}, [4])
     out = publish.index_records(reports.snapshot(mart), metrics)
     return out.withColumn("tops", F.array_join(F.transform("top_banks", lambda b: b["cert"]), ","))
@@ -339,7 +349,7 @@ FRAGMENTS["v_manifest_leaves"] = " UNION ALL ".join([
 @query("manifest_leaves", "PATH TEXT NUMBER:r", "v_manifest_leaves")
 def manifest_leaves(f):
     """Every leaf of the manifest, read back from its JSON text."""
-    mart = written_indices(f)
+    mart = manifest_table(f)
     core, enriched = reports.core_enriched_split(mart)
     metrics = backtest.metrics_table(labelled(f, mart), {"full_sample": EPISODES["full_sample"]}, [4])
     return publish.record_leaves(publish.manifest(mart, BUILT_AT, core, enriched, metrics))

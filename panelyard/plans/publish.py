@@ -127,6 +127,14 @@ def record_columns(mart: DataFrame) -> DataFrame:
     return mart.select(*[c for c in dict.fromkeys(named) if c in have])
 
 
+def manifest_columns(mart: DataFrame) -> DataFrame:
+    """The columns of ``mart`` that ``manifest`` and a back-test of its scores read."""
+    named = ["CERT", "REPDTE", "NAMEFULL", "PEER_GROUP", *cfg.ENRICHED_FLAGS, "HAS_FFIEC_FEATURES", "HAS_SOD_FEATURES", "TREASURY_YIELD_DATE",
+             "YC_2YR", "YC_10YR", "YC_10Y_3M_SLOPE_BP", *cfg.BACKTEST_SCORES, *[score for score, _ in cfg.PUBLISHED_INDICES.values()]]
+    have = set(mart.columns)
+    return mart.select(*[c for c in dict.fromkeys(named) if c in have])
+
+
 def league_rows(mart: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """The published record of each entity: its latest row, explained and flagged.
 

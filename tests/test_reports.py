@@ -190,3 +190,16 @@ def test_leaves_of_nested_records(spark):
         ("r", "a[1].k", "q", None), ("r", "s.x", None, None), ("r", "s.b", "true", None),
         ("e", "id", "e", None), ("e", "n", None, None), ("e", "s.x", None, None), ("e", "s.b", None, None),
         ("z", "id", "z", None), ("z", "n", None, 2.0), ("z", "s.x", None, 2.0), ("z", "s.b", None, None)], key=str)
+
+
+def test_manifest_reads_named_columns_only(mart):
+    """What the manifest writes of the index table is enough for it, and leaves the other columns out."""
+    wide = mart.withColumn("NOT_READ", F.lit(1.0))
+    narrow = publish.manifest_columns(wide)
+    assert "NOT_READ" not in narrow.columns and set(narrow.columns) <= set(mart.columns)
+
+    def text(df):
+        core, enriched = reports.core_enriched_split(df)
+        return publish.rows_to_json(publish.manifest(df, "2024-07-15T00:00:00Z", core, enriched)).first()["JSON"]
+
+    assert text(narrow) == text(wide)
