@@ -150,3 +150,37 @@ def test_overlap_sends_no_sets_through_the_driver(frame, spark):
     got = names.token_overlap_match(open_names, lookup)
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r["CERT"] for r in got.collect() if r["SEC_MATCH_TYPE"] == "fuzzy_0.75"} == {str(i) for i in range(9)}
+
+
+def test_near_names_take_no_rounds(frame, monkeypatch):
+    """Ten words, three of which all names share: a name with a near one is found by what both leave, the others by rounds.
+    Names are normalised after they are dealt."""
+    plans, write = [], names.cut_lineage
+    monkeypatch.setattr(names, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    monkeypatch.setattr(names, "SPLIT_ROWS", 4)
+    rng = random.Random(5)
+
+    def name(many):
+        return ["farm", "merch", "comm"] + [f"{kind}{rng.randrange(many)}" for kind in "abcdefg"]
+
+    registered = [name(3) for _ in range(80)]
+    near = []
+    for words in registered:
+        words = rng.sample(words, 10)
+        near.append(rng.choice([words, words[1:], words + ["other"], words[1:] + ["other"], words[1:] + ["a1"]]))
+
+    def check(asked):
+        registry = frame(REG, [(i, i, "T", " ".join(n)) for i, n in enumerate(registered)])
+        open_names = frame(INST, [(str(i), i, " ".join(n)) for i, n in enumerate(asked)]).withColumn("INST_NAME_NORM", F.col("NAME")).withColumns(
+            {c: F.lit(None).cast("long" if c == "SEC_CIK" else "string") for c in names.MATCH_COLUMNS})
+        del plans[:]
+        got = by(names.token_overlap_match(open_names, names.registry_lookup(registry)), "CERT")
+        sets = [(i, set(n)) for i, n in enumerate(registered)]
+        for i, n in enumerate(asked):
+            want, row = brute(set(n), sets), got[str(i)]
+            assert (row["SEC_CIK"], row["SEC_MATCH_TYPE"]) == ((want[1], f"fuzzy_{want[0]:.2f}") if want else (None, None))
+        return len(plans)
+
+    assert check(near) <= 10
+    assert not [line for plan in plans for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]
+    assert check(near[:20] + [name(4) for _ in range(20)] + [["farm", "merch", "comm", "x1", "x2"]]) > 10
